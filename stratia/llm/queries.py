@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratia.llm import bpe
+from stratia.llm import bpe, flac, mixing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
+        "op2_sharding": sharding.op2_sharding,
+        "op6_simhash": simhash.op6_simhash,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op10_flac": flac.op10_flac,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.op1_sql(), "op2_sharding": sharding.op2_sql()}
