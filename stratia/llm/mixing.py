@@ -181,7 +181,8 @@ def op1_sql() -> str:
         ranked AS (SELECT d.*, r.* EXCLUDE (source), size > room * 0.01 AS long, (CAST(('0x' || substr(md5('mix:' || id), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
             FROM docs d JOIN rooms r ON d.source IS NOT DISTINCT FROM r.source),
         keyed AS (SELECT *, u / (1 - u) * (1 - p) / p AS odds FROM ranked WHERE p > 0),
-        alike AS (SELECT source, long, CAST(floor(odds / (1 + odds) * 1125899906842624.0::DOUBLE) AS BIGINT) AS k, id, size, any_value(p) AS p, any_value(room) AS room, count(*) * size AS words FROM keyed GROUP BY ALL),
+        binned AS (SELECT *, CAST(floor(odds / (1 + odds) * 1125899906842624.0::DOUBLE) AS BIGINT) AS k FROM keyed),
+        alike AS (SELECT source, long, k, id, size, any_value(p) AS p, any_value(room) AS room, sum(size) AS words FROM binned GROUP BY source, long, k, id, size),
         upto AS (SELECT *, CAST(sum(words) OVER (PARTITION BY source, long ORDER BY k, id, size) AS BIGINT) AS upto, p * CAST(sum(words) OVER (PARTITION BY source, long) AS DOUBLE) AS share FROM alike),
         first AS (SELECT source, k, id, size, long, words FROM upto WHERE long AND upto - words / 2 <= share),
         got AS (SELECT source, sum(words) AS got FROM first GROUP BY source),

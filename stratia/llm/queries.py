@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratia.llm import bpe, flac, mixing, sharding, simhash
+from stratia.llm import bpe, flac, mixing, neighbours, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_sharding": sharding.op2_sharding,
+        "op5_warc": warc.op5_warc,
         "op6_simhash": simhash.op6_simhash,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_nearest": neighbours.op9_nearest,
         "op10_flac": flac.op10_flac,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.op1_sql(), "op2_sharding": sharding.op2_sql()}
+    return {"op1_mixing": mixing.op1_sql(), "op2_sharding": sharding.op2_sql(), "op5_warc": warc.op5_sql(), "op9_nearest": neighbours.op9_sql()}
