@@ -5,9 +5,9 @@ P = 1 - prod(1 - p_s). Labels of documents alone train it, by the gradient of th
 then say where the offence is. A word's weight is the sum over hashed features of the word: the whole word, beginnings
 of 3 to 5 characters and an ending of 3.
 
-The fit uses a bounded sample: up to FIT_ROWS labelled documents of up to FIT_BYTES, drawn by digests of their ids,
-dealt to SHARDS tasks that each climb from the same weights; the averaged weights start the next round. Nothing but
-weights (a fixed size) reaches the driver. Scoring reads every whole text once, without a shuffle.
+The fit uses a bounded sample: about FIT_ROWS labelled documents of up to FIT_BYTES, drawn by digests of their ids, in
+one task. Nothing but weights (a fixed size) reaches the driver. Scoring reads every whole text once, without a
+shuffle.
 
 Defined cases: null and empty texts have no sentence and score 0; labels other than 0 and 1 and null labels don't
 train, and of repeated labels of an id the largest counts; repeated rows score alike; without usable labels all
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratia.llm.common import fold, slices, table
-from stratia.session import materialize
 
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
-FIT_ROWS, FIT_BYTES, SHARDS, ROUNDS, STEPS = 16_384, 1 << 20, 8, 3, 40
-#: Hashed features, features of a word, where the bias starts, and the strength of the pull towards zero.
-SIZE, PER_WORD, BIAS, PULL, RATE = 1 << 18, 5, -6.0, 2e-5, 0.3
+FIT_ROWS, FIT_BYTES, STEPS = 6144, 1 << 20, 100
+#: Hashed features, features of a word, where the bias starts.
+SIZE, PER_WORD, BIAS = 1 << 18, 5, -6.0
+#: Size of a step, the pull towards zero, what holds rare features back, and the fewest occurrences of one.
+RATE, PULL, RARE, LEAST = 0.3, 0.4, 10, 3
 TOKENS = re.compile(r"\w+|[.!?。！？\n]")
 ENDS = ".!?。！？\n"
 REMEMBERED = 400_000
@@ -81,11 +83,16 @@ def sentence_scores(values: np.ndarray, bias: float) -> np.ndarray:
     return bias + np.bincount(part, values[words], minlength=len(index))
 
 
-def _train(pdf: pd.DataFrame, weights: np.ndarray, bias: float, steps: int) -> tuple[np.ndarray, float]:
-    """Climb the likelihood of one shard's documents, all at once in each step."""
+def train(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias that climb the likelihood of the documents' labels, all documents at once in each step.
+
+    A step divides each feature's slope by how often the feature occurs, plus a constant that keeps rare ones back, and
+    pulls every weight towards zero by a fixed amount, so that few features stay. Features that fewer than LEAST
+    pairs of a document and a word have take no part.
+    """
     names: dict[str, int] = {}
-    word_at, sentence_at, owner, n = [], [], [], 0
-    for d, text in enumerate(pdf["text"]):
+    word_at, sentence_at, owner = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
         open_sentence = False
         for t in tokens(text):
             if t in ENDS:
@@ -93,30 +100,28 @@ def _train(pdf: pd.DataFrame, weights: np.ndarray, bias: float, steps: int) -> t
                 continue
             if not open_sentence:
                 owner.append(d)
-                n, open_sentence = n + 1, True
+                open_sentence = True
             word_at.append(names.setdefault(t, len(names)))
-            sentence_at.append(n - 1)
-    y = pdf["toxic"].to_numpy(np.float64)
-    w, b = weights.astype(np.float64), bias
+            sentence_at.append(len(owner) - 1)
+    w, b, n, docs = np.zeros(SIZE), BIAS, len(owner), max(len(texts), 1)
     if not n:
         return w.astype(np.float32), b
-    word_at, sentence_at, owner = np.array(word_at), np.array(sentence_at), np.array(owner)
+    word_at, sentence_at, owner = (np.frombuffer(x, np.int32) for x in (word_at, sentence_at, owner))
     features = np.array([word_features(t) for t in names]).reshape(-1, PER_WORD)
-    m, v, mb, vb = np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0
-    for step in range(1, steps + 1):
-        of_word = w[features].sum(axis=1)
-        s = b + np.bincount(sentence_at, of_word[word_at], minlength=n)
+    seen = np.unique(owner[sentence_at].astype(np.int64) * len(names) + word_at) % len(names)
+    often = sum(np.bincount(features[seen, j], minlength=SIZE) for j in range(PER_WORD))
+    scale, use, y = often / docs + RARE / docs, often >= LEAST, labels.astype(np.float64)
+    move, move_b = np.zeros(SIZE), 0.0
+    for _ in range(steps):
+        s = b + np.bincount(sentence_at, w[features].sum(axis=1)[word_at], minlength=n)
         p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
         whole = np.clip(noisy_or(s, owner, len(y)), 1e-9, 1 - 1e-12)
-        slope = np.where(y[owner] > 0, -((1 - whole) / whole)[owner], 1.0) * p / len(y)
+        slope = np.where(y[owner] > 0, -((1 - whole) / whole)[owner], 1.0) * p / docs
         back = np.bincount(word_at, slope[sentence_at], minlength=len(names))
-        g = np.bincount(features.ravel(), np.repeat(back, PER_WORD), minlength=SIZE) + PULL * w
-        gb = slope.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        fix = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        w -= RATE * fix * m / (np.sqrt(v) + 1e-6)
-        b -= RATE * fix * mb / (np.sqrt(vb) + 1e-6)
+        move = 0.9 * move + np.bincount(features.ravel(), np.repeat(back, PER_WORD), minlength=SIZE) / scale
+        move_b = 0.9 * move_b + 2 * slope.sum()
+        w, b = w - RATE * move, b - RATE * move_b
+        w = np.where(use, np.sign(w) * np.maximum(np.abs(w) - RATE * PULL / (scale * docs), 0), 0)
     return w.astype(np.float32), float(b)
 
 
@@ -131,24 +136,20 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         known = known.filter(use(F.col("id")))
     total = known.count()
     number = F.conv(F.substring(F.md5(F.concat(F.lit("fit:"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    known = known.filter(number < min(1.0, rows / max(total, 1))).withColumn("shard", (number * float(1 << 32)).cast("long") % SHARDS)
+    known = known.filter(number < min(1.0, rows / max(total, 1)))
     # The sample's ids are at most about `rows`, so they are broadcast; the texts stay where they are.
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.octet_length("text") <= FIT_BYTES)
-    sample = materialize(docs.join(F.broadcast(known), "id").groupBy("id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"), F.first("shard").alias("shard")), "toxicity-fit")
-    weights, bias = np.zeros(SIZE, np.float32), BIAS
-    for _ in range(ROUNDS):
-        shared = df.sparkSession.sparkContext.broadcast((weights, bias))
-
-        def climb(pdf: pd.DataFrame, shared=shared) -> pd.DataFrame:
-            w, b = _train(pdf.sort_values("id"), *shared.value, STEPS)
-            return pd.DataFrame({"w": [w.tobytes()], "b": [b], "n": [len(pdf)]})
-
-        found = sample.groupBy("shard").applyInPandas(climb, "w binary, b double, n long").orderBy("n", "b").collect()  # SHARDS rows of a fixed size
-        if found:
-            share = np.array([r["n"] for r in found]) / sum(r["n"] for r in found)
-            weights = np.sum([s * np.frombuffer(r["w"], np.float32) for s, r in zip(share, found, strict=True)], axis=0).astype(np.float32)
-            bias = float(np.dot(share, [r["b"] for r in found]))
-    return weights, bias
+    sample = docs.join(F.broadcast(known), "id").groupBy("id").agg(F.min_by(F.struct("text", "toxic"), "text").alias("row")).select("id", "row.*")
+
+    def climb(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        w, b = train(list(pdf["text"]), pdf["toxic"].to_numpy())
+        return pd.DataFrame({"w": [w.tobytes()], "b": [b]})
+
+    found = sample.groupBy(F.lit(1)).applyInPandas(climb, "w binary, b double").collect()  # one row of a fixed size
+    if not found:
+        return np.zeros(SIZE, np.float32), BIAS
+    return np.frombuffer(found[0]["w"], np.float32), found[0]["b"]
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
