@@ -139,14 +139,14 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     known = known.filter(number < min(1.0, rows / max(total, 1)))
     # The sample's ids are at most about `rows`, so they are broadcast; the texts stay where they are.
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.octet_length("text") <= FIT_BYTES)
-    sample = docs.join(F.broadcast(known), "id").groupBy("id").agg(F.min_by(F.struct("text", "toxic"), "text").alias("row")).select("id", "row.*")
+    sample = docs.join(F.broadcast(known), "id").groupBy("id").agg(F.min(F.struct("text", "toxic")).alias("row")).select(F.lit(0).alias("all"), "id", "row.text", "row.toxic")
 
     def climb(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         w, b = train(list(pdf["text"]), pdf["toxic"].to_numpy())
         return pd.DataFrame({"w": [w.tobytes()], "b": [b]})
 
-    found = sample.groupBy(F.lit(1)).applyInPandas(climb, "w binary, b double").collect()  # one row of a fixed size
+    found = sample.groupBy("all").applyInPandas(climb, "w binary, b double").collect()  # one row of a fixed size
     if not found:
         return np.zeros(SIZE, np.float32), BIAS
     return np.frombuffer(found[0]["w"], np.float32), found[0]["b"]
