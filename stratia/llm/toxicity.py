@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,8 +49,9 @@ def word_features(word: str) -> list[int]:
 
 
 def tokens(text: str | None) -> list[str]:
-    """Words and the marks that end sentences, in order, lower-cased."""
-    return TOKENS.findall((text or "").lower())
+    """Words and the marks that end sentences, in order, lower-cased; a word or mark right after itself counts once."""
+    found = TOKENS.findall((text or "").lower())
+    return [t for t, before in zip(found, chain([None], found), strict=False) if t != before]
 
 
 def noisy_or(scores: np.ndarray, owner: np.ndarray, documents: int) -> np.ndarray:
