@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratia.llm import bpe, flac, mixing, neighbours, sharding, simhash, toxicity, warc
+from stratia.llm import bpe, flac, lattice, mixing, neighbours, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_warc": warc.op5_warc,
         "op6_simhash": simhash.op6_simhash,
+        "op7_lattice": lattice.op7_lattice,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_nearest": neighbours.op9_nearest,
         "op10_flac": flac.op10_flac,
