@@ -57,7 +57,9 @@ class Vocabulary:
         self.byte, self.end = [named[f"<0x{b:02X}>"] for b in range(256)], named[END]
         weight = 1 / (1 + np.minimum(np.abs(np.array(scores)), 1e9))  # the scores are minus a piece's rank
         weight[[self.end, *self.byte]] = weight.min()
-        weight[[i for i in range(len(pieces)) if i not in {*plain.values(), *self.byte, self.end}]] = 0
+        used = np.zeros(len(pieces), bool)
+        used[[*plain.values(), *self.byte, self.end]] = True
+        weight[~used] = 0
         with np.errstate(divide="ignore"):
             self.start = np.log(weight / weight.sum())
         steps: dict[int, int] = {}
