@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratia.llm import bpe, flac, lattice, mixing, neighbours, sharding, simhash, toxicity, warc
+from stratia.llm import bpe, flac, lattice, mixing, neighbours, pii, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_sharding": sharding.op2_sharding,
+        "op3_pii": pii.op3_pii,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_warc": warc.op5_warc,
         "op6_simhash": simhash.op6_simhash,
