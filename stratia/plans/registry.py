@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratia.plans import graph
+from stratia.plans import graph, statements
 
-MODULES = (graph,)
+MODULES = (graph, statements)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
