@@ -1,0 +1,176 @@
+"""Stratified Datalog as joins, with provenance and warrants.
+
+A program is a list of rules over relations whose tables have text columns a0, a1, ... Rules become joins on shared
+variables; negation is an anti-join on the bound part; each stratum runs semi-naively: a round joins what the last
+round found, and new facts are checkpointed.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from stratia.session import checkpoint
+
+#: Warrants by strength; what a rule derives is at most structural.
+HEURISTIC, ASSERTED, STRUCTURAL, PROVED = range(4)
+MOST_ROUNDS = 128
+
+
+@dataclass(frozen=True)
+class Atom:
+    """relation(terms): upper-case terms are variables, others constants."""
+
+    relation: str
+    terms: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class Rule:
+    name: str
+    head: Atom
+    body: tuple[Atom, ...]
+    without: tuple[Atom, ...] = ()
+    equal: tuple[tuple[str, str], ...] = ()
+
+
+def is_variable(term: str) -> bool:
+    return term[:1].isupper()
+
+
+def strata(rules: list[Rule]) -> list[set[str]]:
+    """Derived relations in the order in which they can be computed; raises for unsafe or unstratified programs."""
+    heads = {r.head.relation for r in rules}
+    for r in rules:
+        bound = {t for a in r.body for t in a.terms if is_variable(t)}
+        for a, b in r.equal:
+            bound |= {x for x, y in ((a, b), (b, a)) if is_variable(x) and (not is_variable(y) or y in bound)}
+        if loose := {t for t in r.head.terms if is_variable(t)} - bound:
+            raise ValueError(f"rule {r.name}: {', '.join(sorted(loose))} occurs in no positive atom")
+    level = dict.fromkeys(heads, 0)
+    for _ in range(len(heads) + 1):
+        changed = False
+        for r in rules:
+            need = max([0, *(level[a.relation] for a in r.body if a.relation in heads), *(level[a.relation] + 1 for a in r.without if a.relation in heads)])
+            if need > level[r.head.relation]:
+                level[r.head.relation], changed = need, True
+        if not changed:
+            return [{h for h in heads if level[h] == i} for i in range(max(level.values(), default=-1) + 1)]
+    raise ValueError("negation runs in a circle")
+
+
+def _scan(atom: Atom, table: DataFrame, key: str | None = None) -> DataFrame:
+    """The table's rows as bindings of the atom's variables; constants and repeated variables filter."""
+    out, seen = table, {}
+    for i, t in enumerate(atom.terms):
+        if not is_variable(t):
+            out = out.filter(F.col(f"a{i}") == t)
+        elif t in seen:
+            out = out.filter(F.col(f"a{i}") == F.col(f"a{seen[t]}"))
+        else:
+            seen[t] = i
+    keys = [F.concat_ws(",", F.lit(atom.relation), *(F.col(f"a{i}") for i in range(len(atom.terms)))).alias(key)] if key else []
+    return out.select(*(F.col(f"a{i}").alias(t) for t, i in seen.items()), *keys)
+
+
+def _body(rule: Rule, tables: list[DataFrame], negated: dict[str, DataFrame], keys: bool = False) -> DataFrame:
+    out = None
+    for i, (atom, table) in enumerate(zip(rule.body, tables, strict=True)):
+        rows = _scan(atom, table, f"_k{i}" if keys else None)
+        shared = [] if out is None else [c for c in rows.columns if c in out.columns]
+        out = rows if out is None else out.join(rows, shared) if shared else out.join(rows)
+    value = lambda t: F.col(t) if is_variable(t) else F.lit(t)
+    for a, b in rule.equal:
+        free = [x for x in (a, b) if is_variable(x) and x not in out.columns]
+        out = out.withColumn(free[0], value(b if free[0] == a else a)) if free else out.filter(value(a) == value(b))
+    for atom in rule.without:
+        rows = _scan(atom, negated[atom.relation])
+        out = out.join(rows, [c for c in rows.columns if c in out.columns], "left_anti")
+    return out
+
+
+def _head(rule: Rule, rows: DataFrame) -> DataFrame:
+    return rows.select(*((F.col(t) if is_variable(t) else F.lit(t)).cast("string").alias(f"a{i}") for i, t in enumerate(rule.head.terms)))
+
+
+def evaluate(rules: list[Rule], facts: dict[str, DataFrame], most: int = MOST_ROUNDS) -> dict[str, DataFrame]:
+    """Tables of all relations, given and derived."""
+    known = dict(facts)
+    for layer in strata(rules):
+        mine = [r for r in rules if r.head.relation in layer]
+        delta: dict[str, DataFrame] = {}
+        for relation in layer:
+            made = [_head(r, _body(r, [known[a.relation] for a in r.body], known)) for r in mine if r.head.relation == relation and not any(a.relation in layer and a.relation not in known for a in r.body)]
+            start = known.get(relation)
+            for m in made:
+                start = m if start is None else start.union(m)
+            if start is None:  # it waits for other relations of its stratum
+                width = next(len(r.head.terms) for r in mine if r.head.relation == relation)
+                start = next(iter(facts.values())).sparkSession.range(0).select(*(F.lit("").alias(f"a{i}") for i in range(width)))
+            delta[relation] = checkpoint(start.distinct())
+        for relation in layer:
+            known[relation] = delta[relation]
+        for _ in range(most):
+            made: dict[str, DataFrame] = {}
+            for r in mine:
+                for i, a in enumerate(r.body):
+                    if a.relation in delta:
+                        rows = _head(r, _body(r, [delta[a.relation] if j == i else known[b.relation] for j, b in enumerate(r.body)], known))
+                        made[r.head.relation] = rows if r.head.relation not in made else made[r.head.relation].union(rows)
+            delta = {}
+            for relation, rows in made.items():
+                new = checkpoint(rows.distinct().join(known[relation], known[relation].columns, "left_anti"))
+                if not new.isEmpty():
+                    delta[relation] = new
+            if not delta:
+                break
+            for relation, new in delta.items():
+                known[relation] = known[relation].union(new)
+        else:
+            raise RuntimeError(f"no end after {most} rounds")
+    return known
+
+
+def fact_key(relation: str, width: int) -> Column:
+    return F.concat_ws(",", F.lit(relation), *(F.col(f"a{i}") for i in range(width)))
+
+
+def derivations(rules: list[Rule], known: dict[str, DataFrame]) -> DataFrame:
+    """(fact, rule, inputs): every way in which a rule gives a fact, inputs in the order of the rule's atoms."""
+    out = None
+    for r in rules:
+        rows = _body(r, [known[a.relation] for a in r.body], known, keys=True)
+        head = F.concat_ws(",", F.lit(r.head.relation), *(F.col(t) if is_variable(t) else F.lit(t) for t in r.head.terms))
+        made = rows.select(head.alias("fact"), F.lit(r.name).alias("rule"), F.array(*(f"_k{i}" for i in range(len(r.body)))).alias("inputs"))
+        out = made if out is None else out.union(made)
+    return out.distinct()
+
+
+def warrants(ways: DataFrame, given: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
+    """(fact, warrant): of derived facts the best of their ways, a way being as good as its weakest input.
+
+    given: (fact, warrant) of source facts, which derivations don't change. Derived facts start as heuristic and rise.
+    """
+    sources = checkpoint(given.select("fact", F.col("warrant").cast("int").alias("warrant")))
+    ways = checkpoint(ways.withColumn("way", F.concat_ws("|", "fact", "rule", F.array_join("inputs", "&"))).join(sources.select("fact"), "fact", "left_anti"))
+    state = sources.union(ways.select("fact", F.lit(HEURISTIC).alias("warrant")).distinct())
+    steps = ways.select("fact", "way", F.explode("inputs").alias("input"))
+    for _ in range(most):
+        of = steps.join(state.select(F.col("fact").alias("input"), "warrant"), "input", "left")
+        each = of.groupBy("fact", "way").agg(F.least(F.min(F.coalesce("warrant", F.lit(HEURISTIC))), F.lit(STRUCTURAL)).alias("w"))
+        best = each.groupBy("fact").agg(F.max("w").alias("warrant"))
+        new = checkpoint(sources.union(best.select("fact", F.col("warrant").cast("int").alias("warrant"))))
+        if new.join(state, ["fact", "warrant"], "left_anti").isEmpty():
+            return new
+        state = new
+    raise RuntimeError(f"warrants still rise after {most} rounds")
+
+
+def explain(ways: DataFrame, warranted: DataFrame) -> DataFrame:
+    """(fact, rule, inputs, missing, warrant): of each derived fact its strongest way, first by rule and inputs on ties."""
+    rows = ways.select("fact", "rule", F.array_join("inputs", "&").alias("inputs"), F.explode("inputs").alias("input"))
+    rows = rows.join(warranted.select(F.col("fact").alias("input"), F.col("warrant").alias("w")), "input", "left")
+    each = rows.groupBy("fact", "rule", "inputs").agg(F.least(F.min(F.coalesce("w", F.lit(HEURISTIC))), F.lit(STRUCTURAL)).alias("warrant"), F.count_if(F.col("w").isNull()).alias("missing"))
+    return each.groupBy("fact").agg(F.min(F.struct((-F.col("warrant")).alias("o"), "rule", "inputs", "missing", "warrant")).alias("b")).select("fact", "b.rule", "b.inputs", "b.missing", "b.warrant")

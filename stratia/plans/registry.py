@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratia.plans import graph, statements
+from stratia.plans import graph, logic, methods, statements
 
-MODULES = (graph, statements)
+MODULES = (graph, statements, methods, logic)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
