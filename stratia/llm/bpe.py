@@ -143,8 +143,10 @@ class ByteBpe:
         return [(e.ids, e.offsets) for e in self.of_text.encode_batch(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) and not self.known[np.asarray(ids)].all():
-            raise ValueError("an id is not in the vocabulary")
+        if len(ids):
+            at = np.asarray(ids)
+            if at.min() < 0 or at.max() >= len(self.known) or not self.known[at].all():
+                raise ValueError("an id is not in the vocabulary")
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
