@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratia.plans import graph, logic, methods, statements
+from stratia.plans import graph, laws, logic, methods, statements
 
-MODULES = (graph, statements, methods, logic)
+MODULES = (graph, statements, methods, logic, laws)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
