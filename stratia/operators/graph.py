@@ -46,6 +46,26 @@ def reach(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
 
+def reachable(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node): what any of the roots (column node) leads to, and the roots; one mark a node, whatever the roots."""
+    pairs = checkpoint(pairs)
+    seen = frontier = checkpoint(roots.select("node").distinct())
+    for _ in range(MAX_ROUNDS):
+        step = frontier.join(pairs, frontier.node == pairs.src).select(F.col("dst").alias("node")).distinct()
+        frontier = checkpoint(step.join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.union(frontier)
+    raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
+
+
+def orphans(edges: DataFrame, names: DataFrame, lens: str = "both") -> DataFrame:
+    """(name): definitions that no theorem rests on."""
+    theorems = names.filter("kind = 'theorem'").select(F.col("name").alias("node"))
+    used = reachable(through(edges, lens), theorems)
+    return names.filter("kind = 'def'").select("name").join(used.select(F.col("node").alias("name")), "name", "left_anti")
+
+
 def foundations(edges: DataFrame, sources: DataFrame, lens: str = "both") -> DataFrame:
     """(source, node): all that each source rests on."""
     return reach(through(edges, lens), sources)

@@ -317,3 +317,75 @@ def frontier(rows: DataFrame, cross: DataFrame, least: int = 200, top: int = 20)
     pairs = pairs.withColumn("excess", excess).join(cross.withColumnRenamed("n", "cross"), ["left", "right"], "left")
     pairs = pairs.withColumn("cross", F.coalesce("cross", F.lit(0)).cast("long")).withColumn("score", F.col("excess") / (1 + F.sqrt("cross")))
     return pairs.orderBy(F.round("score", 9).desc(), "left", "right").limit(top)
+
+
+def rule_keys(parsed: DataFrame) -> DataFrame:
+    """(name, shallow, deep) of conclusions: head with arity, and with the arguments' heads; null for variable heads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [terms.rule_key(terms.parse("x-stmt-v1;" + c)) for c in b.column(1).to_pylist()]
+            shallow = [f and f"{f[0]}/{f[1]}" for f in found]
+            deep = [f and f"{f[0]}/{f[1]}({','.join(f[2])})" for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shallow, _S), pa.array(deep, _S)], names=["name", "shallow", "deep"])
+
+    return parsed.select("name", "concludes").mapInArrow(run, "name string, shallow string, deep string")
+
+
+def rule_stats(parsed: DataFrame) -> DataFrame:
+    """How many rule keys there are, how large the largest bucket is, of either depth, and rows with a variable head."""
+    keys = rule_keys(parsed)
+    out = keys.agg(F.count_if(F.col("shallow").isNull()).alias("flex"))
+    for depth in ("shallow", "deep"):
+        sizes = keys.filter(F.col(depth).isNotNull()).groupBy(depth).agg(F.count("*").alias("n"))
+        out = out.join(sizes.agg(F.count("*").alias(f"{depth}_keys"), F.coalesce(F.max("n"), F.lit(0)).alias(f"{depth}_largest")))
+    return out
+
+
+def find(rows: DataFrame, pattern: str, term: str = "root") -> DataFrame:
+    """(name, fillings): rows whose term a pattern matches, with what its variables stand for, in order; holes match anything."""
+    wanted = terms.parse("x-stmt-v1;" + pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(n, terms.matches(wanted, terms.parse("x-stmt-v1;" + t))) for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            out = [(n, [terms.render(m[k]) for k in sorted(m)]) for n, m in out if m is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], _S), pa.array([m for _, m in out], pa.list_(_S))], names=["name", "fillings"])
+
+    return rows.select("name", term).mapInArrow(run, "name string, fillings array<string>")
+
+
+def image(left: str, right: str, subject: str) -> str | None:
+    """The subject moved as left is moved to right; None where it is no instance or a variable hides a bound one."""
+    x, y, s = (terms.parse("x-stmt-v1;" + t) for t in (left, right, subject))
+    skeleton, pairs, scoped = terms.generalise(x, y)
+    bound = None if scoped else terms.matches(skeleton, s)
+    if bound is None:
+        return None
+    return terms.render(terms.substitute(skeleton, {i: pairs[i][1] if v == pairs[i][0] else v for i, v in bound.items()}))
+
+
+def transport(wanted: DataFrame, rows: DataFrame, term: str = "erased") -> DataFrame:
+    """wanted (left, right, subject) with the subject's image and the first declaration that states it.
+
+    rows: seq, name, term.
+    """
+    out = wanted
+    for side in ("left", "right", "subject"):
+        out = out.join(rows.select(F.col("name").alias(side), F.col(term).alias(f"{side}_t")), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            moved = [image(*ts) for ts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(moved, _S)], names=["left_t", "right_t", "subject_t", "image"])
+
+    keys = ["left_t", "right_t", "subject_t"]
+    images = out.select(*keys).distinct().mapInArrow(run, "left_t string, right_t string, subject_t string, image string")
+    first = rows.groupBy(F.col(term).alias("image")).agg(F.min_by("name", "seq").alias("exists"))
+    return out.join(images, keys).filter("image is not null").join(first, "image", "left").select("left", "right", "subject", "image", "exists")
+
+
+def census(parsed: DataFrame) -> DataFrame:
+    """Sizes of statements by kind."""
+    p = lambda q: F.percentile("size", q)
+    return parsed.groupBy("kind").agg(F.count("*").alias("n"), F.min("size").alias("least"), p(0.5).alias("median"), p(0.9).alias("p90"), F.max("size").alias("most"), F.avg("concrete").alias("concrete"), F.countDistinct("root").alias("distinct_roots"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratia.operators import graph
-from stratia.sources import derived
+from stratia.sources import derived, slices
 
 E, N = derived.SQL["edges"], derived.SQL["names"]
 
@@ -64,13 +64,38 @@ def cyclic_reach(spark: SparkSession, d: str) -> DataFrame:
     return graph.foundations(pairs, t.select(F.col("method").alias("source")).distinct())
 
 
+def orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Nations that no supplier in debt sits in."""
+    debtors = derived.table(spark, d, "supplier").filter("s_acctbal < 0").select(derived.node("supplier", "s_suppkey").alias("name"), F.lit("theorem").alias("kind"))
+    kinds = derived.names(spark, d).filter("kind = 'def'").select("name", "kind").union(debtors)
+    return graph.orphans(derived.edges(spark, d), kinds)
+
+
+def _slice(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as rows of a slice, every tenth without its kind."""
+    c = derived.table(spark, d, "customer")
+    row = F.struct(
+        F.lit("x-row-v2").alias("schema"), derived.node("customer", "c_custkey").alias("name"), F.when(F.col("c_custkey") % 10 != 0, "theorem").alias("kind"), F.concat(F.lit("Trade."), "c_mktsegment").alias("module"), F.lit(False).alias("is_instance"),
+        F.concat(F.lit("x-stmt-v1;n"), F.col("c_custkey").cast("string")).alias("stmt"), F.array(derived.node("nation", "c_nationkey")).alias("uses_statement"), F.array().cast("array<string>").alias("uses_proof"), F.array().cast(slices.REQUIREMENTS).alias("requirements_statement"),
+    )
+    return c.select(F.lit("customer").alias("file"), F.col("c_custkey").alias("line"), F.to_json(row).alias("value"))
+
+
+def slice_faults(spark: SparkSession, d: str) -> DataFrame:
+    return slices.faults(_slice(spark, d)).select("line", "reason")
+
+
+def slice_edges(spark: SparkSession, d: str) -> DataFrame:
+    return slices.edges(slices.below(slices.read_rows(_slice(spark, d)), "Trade.BU"))
+
+
 def _reach_sql(start: str, step: str, lens: str = "") -> str:
     where = f"WHERE lens = '{lens}'" if lens else ""
     return f"""WITH RECURSIVE {E}, {N}, pairs AS (SELECT DISTINCT src, dst FROM edges {where}),
         found(source, node) AS (SELECT name, name FROM names WHERE {start} UNION SELECT f.source, {step})"""
 
 
-QUERIES = {f.__name__: f for f in (walls, citations_by_lens, foundations_all, impact_all, bridge_centrality, why_path, honesty, theory_sizes, cross_citations, cyclic_reach)}
+QUERIES = {f.__name__: f for f in (walls, citations_by_lens, foundations_all, impact_all, bridge_centrality, why_path, honesty, theory_sizes, cross_citations, cyclic_reach, orphans, slice_faults, slice_edges)}
 
 DOWN = "p.dst FROM found f JOIN pairs p ON f.node = p.src"
 UP = "p.src FROM found f JOIN pairs p ON f.node = p.dst"
@@ -93,4 +118,7 @@ SQL = {
         SELECT least(a.theory, b.theory) AS left, greatest(a.theory, b.theory) AS right, count(*) AS n FROM edges JOIN t a ON src = a.name JOIN t b ON dst = b.name WHERE a.theory <> b.theory GROUP BY 1, 2""",
     "cyclic_reach": f"""WITH RECURSIVE {derived.SQL['traces']}, pairs AS (SELECT DISTINCT a.method AS src, b.method AS dst FROM traces a JOIN traces b ON a.problem = b.problem AND b.step = a.step + 1),
         found(source, node) AS (SELECT DISTINCT method, method FROM traces UNION SELECT f.source, p.dst FROM found f JOIN pairs p ON f.node = p.src) SELECT source, node FROM found WHERE node <> source""",
+    "slice_faults": "SELECT c_custkey AS line, 'kind, module or is_instance is missing' AS reason FROM customer WHERE c_custkey % 10 = 0",
+    "slice_edges": "SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst, 'statement' AS lens FROM customer WHERE c_custkey % 10 <> 0 AND c_mktsegment LIKE 'BU%'",
+    "orphans": "SELECT 'nation:' || n_nationkey AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)",
 }

@@ -160,7 +160,29 @@ def frontier(spark: SparkSession, d: str) -> DataFrame:
     return found.select("left", "right", "shared", "cross", F.round("excess", 6).alias("excess"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (slice_stats, stmt_digest, measures, skeletons, equivalent, ladder, postings_idf, symbol_df, motifs, closure_coverage, derivativeness, similar_topk, score_variants, work_budget, variants, adjacent, vocab_adjacent, dictionary, dictionary_missing, coherence, shuffle_control, frontier)}
+def rule_stats(spark: SparkSession, d: str) -> DataFrame:
+    return st.rule_stats(_parsed(spark, d))
+
+
+def pattern_groups(spark: SparkSession, d: str) -> DataFrame:
+    found = st.find(_parsed(spark, d), "a(a(a(a(c(4:Part,0),?0),?1),_),_)")
+    return found.groupBy(F.array_join("fillings", " ").alias("fillings")).agg(F.count("*").alias("n"), F.min("name").alias("first"))
+
+
+def transport(spark: SparkSession, d: str) -> DataFrame:
+    found, rows = _dictionary(spark, d)
+    pairs = found.join(rows.select("name", "module", "shape"), "name").select(F.col("name").alias("left"), F.col("other").alias("right"), "shape", F.split("module", r"\.")[1].alias("brand"))
+    subjects = rows.select(F.col("name").alias("subject"), "shape", F.split("module", r"\.")[1].alias("brand"))
+    wanted = pairs.join(subjects, ["shape", "brand"]).select("left", "right", "subject")
+    return st.transport(wanted, rows)
+
+
+def census(spark: SparkSession, d: str) -> DataFrame:
+    found = st.census(_parsed(spark, d))
+    return found.withColumn("concrete", F.round("concrete", 6))
+
+
+QUERIES = {f.__name__: f for f in (slice_stats, stmt_digest, measures, skeletons, equivalent, ladder, postings_idf, symbol_df, motifs, closure_coverage, derivativeness, similar_topk, score_variants, work_budget, variants, adjacent, vocab_adjacent, dictionary, dictionary_missing, coherence, shuffle_control, frontier, rule_stats, pattern_groups, transport, census)}
 QUERIES |= {"equiv_classes_exact": _classes("exact"), "equiv_classes_shape": _classes("shape")}
 
 ROOT = "substr(stmt, 11)"
@@ -224,4 +246,18 @@ SQL = {
         f AS (SELECT a.theory AS "left", b.theory AS "right", coalesce(shared, 0) AS shared, coalesce("cross", 0) AS "cross", coalesce(shared, 0) * 1.0 / least(a.n, b.n) - greatest(a.n, b.n) * 1.0 / m AS excess
             FROM z a JOIN z b ON a.theory < b.theory CROSS JOIN m LEFT JOIN shared h ON h."left" = a.theory AND h."right" = b.theory LEFT JOIN cross_ c ON c."left" = a.theory AND c."right" = b.theory)
         SELECT "left", "right", shared, "cross", round(excess, 6) AS excess, round(excess / (1 + sqrt("cross")), 6) AS score FROM f ORDER BY round(excess / (1 + sqrt("cross")), 9) DESC, "left", "right" LIMIT 20""",
+    "rule_stats": f"""WITH {D}, k AS (SELECT CASE WHEN layers = 0 THEN 'Part/4' ELSE 'f/1' END AS shallow, CASE layers WHEN 0 THEN 'Part/4(' || brand || ',' || type || ',n,n)' WHEN 1 THEN 'f/1(Part)' ELSE 'f/1(f)' END AS deep FROM decls),
+        s AS (SELECT count(*) AS n FROM k GROUP BY shallow), e AS (SELECT count(*) AS n FROM k GROUP BY deep)
+        SELECT 0 AS flex, (SELECT count(*) FROM s) AS shallow_keys, (SELECT max(n) FROM s) AS shallow_largest, (SELECT count(*) FROM e) AS deep_keys, (SELECT max(n) FROM e) AS deep_largest""",
+    "pattern_groups": f"WITH {D} SELECT 'c(' || strlen(brand) || ':' || brand || ',0) c(' || strlen(type) || ':' || type || ',0)' AS fillings, count(*) AS n, min(name) AS first FROM decls WHERE layers = 0 GROUP BY brand, type",
+    "transport": DICT + """, moved AS (SELECT d.name AS "left", d.other AS "right", s.name AS subject, s.layers,
+            CASE WHEN l.brand = r.brand OR s.brand <> l.brand THEN s.brand ELSE r.brand END AS brand, CASE WHEN l.type = r.type OR s.type <> l.type THEN s.type ELSE r.type END AS type,
+            CASE WHEN l.size = r.size OR s.size <> l.size THEN s.size ELSE r.size END AS size, CASE WHEN l.bucket = r.bucket OR s.bucket <> l.bucket THEN s.bucket ELSE r.bucket END AS bucket
+            FROM dict d JOIN decls l ON l.name = d.name JOIN decls r ON r.name = d.other JOIN decls s ON s.brand = l.brand AND s.layers = l.layers
+            WHERE (l.brand <> r.brand OR s.brand = l.brand) AND (l.type <> r.type OR s.type = l.type) AND (l.size <> r.size OR s.size = l.size) AND (l.bucket <> r.bucket OR s.bucket = l.bucket)
+                AND NOT (l.size = l.bucket AND r.size = r.bucket AND l.size <> r.size AND s.size <> s.bucket)),
+        images AS (SELECT *, repeat('a(c(1:f,0),', layers) || 'a(a(a(a(c(4:Part,0),c(' || strlen(brand) || ':' || brand || ',0)),c(' || strlen(type) || ':' || type || ',0)),n' || size || '),n' || bucket || ')' || repeat(')', layers) AS image FROM moved),
+        firsts AS (SELECT substr(stmt, 11) AS image, arg_min(name, seq) AS exists FROM decls GROUP BY stmt)
+        SELECT "left", "right", subject, i.image, exists FROM images i LEFT JOIN firsts f ON f.image = i.image""",
+    "census": f"WITH {D}, m AS (SELECT kind, 9 + 2 * layers AS size, stmt FROM decls) SELECT kind, count(*) AS n, min(size) AS least, quantile_cont(size, 0.5) AS median, quantile_cont(size, 0.9) AS p90, max(size) AS most, round(avg(size), 6) AS concrete, count(DISTINCT stmt) AS distinct_roots FROM m GROUP BY kind",
 }
