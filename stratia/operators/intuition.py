@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratia.session import checkpoint
+
 # Fixed values of the scoring.
 BASE, DISTANCE, BRIDGE, NOVELTY, BREADTH = 0.44, 0.18, 0.16, 0.10, 0.12
 FITS, FAMILY_PENALTY = 0.34, 0.68
@@ -148,3 +150,44 @@ def benchmark(ranked: DataFrame, cases: DataFrame) -> DataFrame:
     hit = F.when(F.array_contains("expected", F.col("method")), F.col("place"))
     out = rows.groupBy("id").agg(F.min(hit).alias("rank"), F.first("top_k").alias("top_k"))
     return out.select("id", "rank", F.coalesce(F.col("rank") <= F.col("top_k"), F.lit(False)).alias("hit"), F.coalesce(1 / F.col("rank"), F.lit(0.0)).alias("reciprocal"))
+
+
+def explore(objects: DataFrame, methods: list[dict], depth: int = 3, beam: int = 12, least: float = 0.25, most_nodes: int = 256) -> DataFrame:
+    """(name, path, tags, depth, score, breadth): views that sequences of methods open, by beam search for all objects at once.
+
+    A level explodes the catalogue beside each state of the beam, keeps steps that fit and add a tag, and picks `beam` of
+    an object's proposals with the penalty for repeated families. States with the same tags are one, with the better
+    path. The beam bounds an object's states to depth * beam + 1, which must not exceed most_nodes.
+    """
+    if depth * beam + 1 > most_nodes:
+        raise ValueError("the beam and depth allow more states than most_nodes")
+    every, tags = catalogue(methods), F.col("tags")
+    start = objects.select("name", F.array_sort(F.array_distinct("tags")).alias("tags")).withColumn("key", F.array_join("tags", ","))
+    nodes = start.select("name", "key", "tags", F.array().cast("array<string>").alias("path"), F.lit(0).alias("depth"), F.lit(1.0).alias("score"), breadth(every, tags).alias("breadth"))
+    nodes = checkpoint(nodes)
+    front = nodes.withColumn("place", F.lit(1))
+    for level in range(depth):
+        step = front.withColumn("m", F.explode(every)).withColumn("fit", part_present(F.col("m.recognizes"), tags)).withColumn("added", F.array_except("m.unlocks", "tags"))
+        step = step.filter((F.col("fit") >= least) & (F.size("added") > 0)).withColumn("after", F.array_sort(F.array_union(tags, F.col("added"))))
+        step = step.withColumn("wide", breadth(every, F.col("after"))).withColumn("novelty", F.size("added") / F.size("m.unlocks"))
+        gain = F.least(F.greatest(F.col("wide") - F.col("breadth"), F.lit(0)) / 5, F.lit(1.0))
+        first = BASE + DISTANCE * (1 - part_present(F.col("m.native"), tags)) + (BRIDGE + NOVELTY) * F.col("novelty") + BREADTH * gain
+        later = 0.66 + 0.20 * F.col("novelty") + 0.14 * gain
+        step = step.withColumn("made", F.col("score") * F.col("fit") * (first if level == 0 else later) * 0.94**level)
+        family = Window.partitionBy("name", "m.family").orderBy(F.round("made", 12).desc(), "m.method", "place")
+        step = step.withColumn("shown", F.col("made") * F.pow(F.lit(FAMILY_PENALTY), F.row_number().over(family) - 1))
+        order = Window.partitionBy("name").orderBy(F.round("shown", 12).desc(), F.round("made", 12).desc(), "m.family", "m.method", "place")
+        chosen = step.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= beam)
+        chosen = chosen.select("name", F.array_join("after", ",").alias("key"), F.col("after").alias("tags"), F.concat("path", F.array("m.method")).alias("path"), F.col("made").alias("score"), "wide", "r")
+        best = chosen.groupBy("name", "key").agg(F.min("r").alias("r"), F.max(F.struct("score", (-F.col("r")).alias("o"), "path")).alias("b"), F.first("tags").alias("t"), F.first("wide").alias("w"))
+        old = nodes.select("name", "key", *(F.col(c).alias(f"old_{c}") for c in ("tags", "path", "depth", "score", "breadth")))
+        both = old.join(best, ["name", "key"], "full_outer")
+        better = F.col("b").isNotNull() & (F.col("old_score").isNull() | (F.col("b.score") > F.col("old_score")))
+        both = checkpoint(both.select(
+            "name", "key", F.coalesce("old_tags", "t").alias("tags"), F.when(better, F.col("b.path")).otherwise(F.col("old_path")).alias("path"), F.coalesce("old_depth", F.lit(level + 1)).alias("depth"),
+            F.when(better, F.col("b.score")).otherwise(F.col("old_score")).alias("score"), F.coalesce("old_breadth", "w").alias("breadth"), "r",
+        ))
+        nodes = both.drop("r")
+        place = Window.partitionBy("name").orderBy(F.round("score", 12).desc(), "r")
+        front = both.filter("r is not null").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= beam).drop("r")
+    return nodes.select("name", "path", "tags", "depth", "score", "breadth")

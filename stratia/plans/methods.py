@@ -80,6 +80,11 @@ def mrr_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return intuition.benchmark(ranked, cases).select("id", "rank", "hit", F.round("reciprocal", 6).alias("reciprocal"))
 
 
+def explore(spark: SparkSession, d: str) -> DataFrame:
+    found = intuition.explore(_objects(spark, d), METHODS)
+    return found.select("name", F.array_join("path", ">").alias("path"), F.array_join("tags", ",").alias("tags"), "depth", F.round("score", 6).alias("score"), "breadth")
+
+
 def _counted(spark: SparkSession, d: str) -> DataFrame:
     return concepts.masks(_objects(spark, d), ATTRIBUTES)
 
@@ -105,7 +110,7 @@ def fca_covers(spark: SparkSession, d: str) -> DataFrame:
     return concepts.covers(concepts.lattice(_counted(spark, d), len(ATTRIBUTES)))
 
 
-QUERIES = {f.__name__: f for f in (experience_factor, profile_tags, method_rank, diversify, pareto, theory_profile, bridges, action_motifs, mrr_benchmark, fca_closure, implications, missing_cells, fca_concepts, fca_covers)}
+QUERIES = {f.__name__: f for f in (experience_factor, profile_tags, method_rank, diversify, pareto, theory_profile, bridges, action_motifs, mrr_benchmark, explore, fca_closure, implications, missing_cells, fca_concepts, fca_covers)}
 
 OBJECTS = """objects AS (SELECT 'customer:' || c_custkey AS name, n_name AS theory, list_filter([lower(c_mktsegment), lower(r_name), CASE WHEN c_acctbal < 0 THEN 'debtor' END, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'buyer' END], lambda x: x IS NOT NULL) AS tags
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""

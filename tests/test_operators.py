@@ -119,3 +119,45 @@ def test_variants_count_distinct_replacements(spark):
     parsed = statements.parse(decls)
     assert {(r.name, r.other) for r in statements.variants(parsed, 1).collect()} == {("p", "q"), ("q", "p"), ("q", "r"), ("r", "q")}
     assert {(r.other, r.n) for r in statements.variants(parsed, 2).filter("name = 'p'").collect()} == {("q", 1), ("r", 2)}
+
+
+def test_exploration_equals_a_plain_beam_search(spark):
+    from stratia.plans.methods import METHODS
+
+    def fit(m, tags):
+        return len(set(m["recognizes"]) & tags) / len(m["recognizes"])
+
+    def breadth(tags):
+        return sum(fit(m, tags) >= intuition.FITS for m in METHODS)
+
+    def search(tags, depth=3, beam=4):
+        nodes, front = {tags: ([], 1.0, 0)}, [tags]
+        for level in range(depth):
+            made = []
+            for place, t in enumerate(front):
+                for m in METHODS:
+                    added = set(m["unlocks"]) - t
+                    if fit(m, t) < 0.25 or not added:
+                        continue
+                    after, new = frozenset(t | added), len(added) / len(m["unlocks"])
+                    gain = min(max(breadth(after) - breadth(t), 0) / 5, 1)
+                    native = len(set(m["native"]) & t) / len(m["native"])
+                    step = 0.44 + 0.18 * (1 - native) + 0.26 * new + 0.12 * gain if level == 0 else 0.66 + 0.2 * new + 0.14 * gain
+                    made.append((nodes[t][1] * fit(m, t) * step * 0.94**level, m["family"], m["method"], place, after, [*nodes[t][0], m["method"]]))
+            made.sort(key=lambda x: (-round(x[0], 12), *x[1:4]))
+            chosen, used = [], {}
+            while made and len(chosen) < beam:
+                i = max(range(len(made)), key=lambda i: (round(made[i][0] * intuition.FAMILY_PENALTY ** used.get(made[i][1], 0), 12), -i))
+                used[made[i][1]] = used.get(made[i][1], 0) + 1
+                chosen.append(made.pop(i))
+            for s, _, _, _, after, path in chosen:
+                if after not in nodes or s > nodes[after][1]:
+                    nodes[after] = (path, s, nodes[after][2] if after in nodes else level + 1)
+            front = sorted(dict.fromkeys(c[4] for c in chosen), key=lambda t: -round(nodes[t][1], 12))[:beam]
+        return {(">".join(p), ",".join(sorted(t)), d, round(s, 9)) for t, (p, s, d) in nodes.items()}
+
+    starts = [["debtor", "africa"], ["buyer"], ["building", "america", "debtor"], []]
+    objects = spark.createDataFrame([(str(i), t) for i, t in enumerate(starts)], "name string, tags array<string>")
+    got = intuition.explore(objects, METHODS, beam=4).collect()
+    for i, t in enumerate(starts):
+        assert {(">".join(r.path), ",".join(r.tags), r.depth, round(r.score, 9)) for r in got if r.name == str(i)} == search(frozenset(t))
