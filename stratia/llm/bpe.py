@@ -13,6 +13,7 @@ has replaces nothing but raises.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import os
 import re
@@ -23,8 +24,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratia.llm.common import slices, table
@@ -99,7 +100,9 @@ def piece_finder(pattern: str):
 
 
 #: Distinct pieces that a task remembers with their ids, and the longest of them in characters.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 200_000, 48
+#: Bytes of text, and ids, that a task turns at once.
+SLICE, IDS = 1 << 20, 500_000
 
 
 class ByteBpe:
@@ -179,7 +182,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(*shared.value)
-        for b in slices(batches, text):
+        for b in slices(batches, text, SLICE):
             texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             if offsets:
                 found = coder.encode_with_offsets(texts)
@@ -210,11 +213,11 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", keep: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(*shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                column = b.column(b.schema.get_field_index(ids))
-                flat, ends = column.flatten().to_pylist(), np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in column])])
-                out = pa.array([coder.decode(flat[a:e]) for a, e in zip(ends, ends[1:], strict=False)], pa.binary())
+            counts = pc.fill_null(pc.list_value_length(whole.column(whole.schema.get_field_index(ids))), 0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(counts) // IDS)) + 1
+            for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), whole.num_rows], strict=True):
+                b = whole.slice(at, end - at)
+                out = pa.array([coder.decode(x.values.to_pylist() if x.is_valid else []) for x in b.column(b.schema.get_field_index(ids))], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), out], names=schema.names)
 
     return df.mapInArrow(run, schema)
@@ -226,15 +229,23 @@ def decoded_text(decoded: bytes) -> str:
 
 
 def round_trip(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode each text; one row per row, with counts and digests of both directions."""
-    coded = encode(df.select(id_column, text), text=text, ids="ids").drop(text)
-    back = decode(coded, ids="ids", decoded="decoded")
-    return back.select(
-        F.col(id_column),
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """Encode and decode each text; one row per row, with counts and digests of both directions.
+
+    Both directions run in one pass over small slices, so that no list of ids leaves its task.
+    """
+    shared = _vocabulary(df.sparkSession, None, None)
+    schema = T.StructType([df.schema[id_column], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(*shared.value)
+        number = [str(i) for i in range(len(coder.bytes_of))].__getitem__
+        for b in slices(batches, text, SLICE):
+            rows = coder.encode([t or "" for t in b.column(1).to_pylist()])
+            listed = [hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest() for ids in rows]
+            decoded = [hashlib.sha256(coder.decode(ids)).hexdigest() for ids in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, rows)), pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
+
+    return df.select(id_column, text).mapInArrow(run, schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
