@@ -82,6 +82,11 @@ def canonical(mention: Column, kind: Column) -> Column:
     return F.when(kind.isin("email", "secret", "name"), F.lower(mention)).when(kind == "phone", phone).when(kind == "ip", mention).otherwise(digits)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once: a lambda's variable stands for it, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hash(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *(F.lit(p) if isinstance(p, str) else p for p in parts)).cast("binary"), 256)
 
@@ -111,7 +116,7 @@ def permute_digits(digits: Column, salt: Column) -> Column:
     size = lambda x: F.pow(F.lit(10), x).cast("long")
     part = lambda x: F.coalesce(F.when(F.length(x) > 0, x.cast("long")), F.lit(0).cast("long"))
     out = _feistel(part(F.substring(digits, F.lit(1), a)), part(F.substring(digits, a + 1, b)), size(a), size(b), F.concat_ws("|", salt, n.cast("string")))
-    return F.transform(F.array(out), lambda s: F.concat(F.when(a > 0, F.lpad(s["l"].cast("string"), a, F.lit("0"))).otherwise(""), F.lpad(s["r"].cast("string"), b, F.lit("0"))))[0]
+    return let(out, lambda s: F.concat(F.when(a > 0, F.lpad(s["l"].cast("string"), a, F.lit("0"))).otherwise(""), F.lpad(s["r"].cast("string"), b, F.lit("0"))))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -121,16 +126,14 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _card(digits: Column, salt: Column) -> Column:
-    body = F.transform(F.array(permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), salt)), lambda b: F.concat(b, (F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10))).cast("string")))[0]
+    body = let(permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), salt), lambda b: F.concat(b, (F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10))).cast("string")))
     return F.when(luhn_sum(digits) % 10 == 0, body).otherwise(permute_digits(digits, salt))
 
 
 def _ip(address: Column, salt: Column) -> Column:
-    octets = F.transform(F.split(address, r"\."), lambda x: x.cast("int"))
-    at = lambda i: F.get(octets, F.lit(i))
-    out = _feistel(at(0) * 256 + at(1), at(2) * 256 + at(3), F.lit(65536), F.lit(65536), salt)
     part = lambda x: F.concat(F.floor(x / 256).cast("string"), F.lit("."), (x % 256).cast("string"))
-    return F.transform(F.array(out), lambda s: F.concat(part(s["l"]), F.lit("."), part(s["r"])))[0]
+    halves = lambda o: _feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), salt)
+    return let(F.transform(F.split(address, r"\."), lambda x: x.cast("int")), lambda o: let(halves(o), lambda s: F.concat(part(s["l"]), F.lit("."), part(s["r"]))))
 
 
 def _letters(hexes: Column) -> Column:
@@ -151,9 +154,9 @@ def _shaped(text: Column, seed: Column) -> Column:
 def _email(email: Column, salt: Column) -> Column:
     local, domain = F.substring_index(email, "@", 1), F.substring_index(email, "@", -1)
     last = F.substring_index(domain, ".", -1)
-    seed, of_domain = _hash(salt, email), _hash(salt, F.concat(F.lit("@"), domain))
     front = F.substring(domain, F.lit(1), F.length(domain) - F.length(last) - 1)
-    return F.concat(_shaped(local, seed), _letters(F.substring(seed, 53, 12)), F.lit("@"), _shaped(front, of_domain), F.lit("."), last)
+    name = let(_hash(salt, email), lambda seed: F.concat(_shaped(local, seed), _letters(F.substring(seed, 53, 12))))
+    return F.concat(name, F.lit("@"), let(_hash(salt, F.concat(F.lit("@"), domain)), lambda seed: _shaped(front, seed)), F.lit("."), last)
 
 
 def _secret(token: Column, salt: Column) -> Column:
@@ -162,12 +165,12 @@ def _secret(token: Column, salt: Column) -> Column:
 
 def _surname(word: Column, salt: Column, syllables: int) -> Column:
     """Keyed syllables in the script of the (lower-cased) word."""
-    seed = _hash(salt, word)
+    places = let(_hash(salt, word), lambda seed: F.array(*(F.conv(F.substring(seed, 1 + 2 * i, 2), 16, 10).cast("int") % 32 for i in range(syllables))))
 
     def spell(script: str) -> Column:
         first, second = SYLLABLES[script]
-        places = (F.conv(F.substring(seed, 1 + 2 * i, 2), 16, 10).cast("int") % 32 for i in range(syllables))
-        return F.concat(*(F.concat(F.substring(F.lit(first), F.floor(p / 4).cast("int") + 1, F.lit(1)), F.substring(F.lit(second), p % 4 + 1, F.lit(1))) for p in places))
+        syllable = lambda p: F.concat(F.substring(F.lit(first), F.floor(p / 4).cast("int") + 1, F.lit(1)), F.substring(F.lit(second), p % 4 + 1, F.lit(1)))
+        return F.array_join(F.transform(places, syllable), "")
 
     ending = F.when(word.rlike("[ая]$"), "ова").otherwise("ов")
     return F.when(word.rlike(r"[Ѐ-ӿ]"), F.concat(spell("cyrillic"), ending)).when(word.rlike(r"[Ͱ-Ͽ]"), spell("greek")).otherwise(spell("latin"))
@@ -210,19 +213,24 @@ class Surrogates:
 
     def mention(self, mention: Column) -> Column:
         """What a text has in place of a mention."""
-        kind = kind_of(mention)
-        new = self.of(kind, canonical(mention, kind))
         upper = (F.upper(mention) == mention) & (F.lower(mention) != mention)
-        cased = F.when(upper, F.upper(new)).otherwise(new)
-        return F.when(kind == "name", self.name(mention)).when(kind.isin("phone", "ssn", "card"), fill(mention, F.regexp_replace(new, r"\|", ""))).otherwise(cased)
+
+        def put(kind: Column, new: Column) -> Column:
+            return F.when(kind.isin("phone", "ssn", "card"), fill(mention, F.regexp_replace(new, r"\|", ""))).when(upper, F.upper(new)).otherwise(new)
+
+        def replace(kind: Column) -> Column:
+            other = let(canonical(mention, kind), lambda canon: let(self.of(kind, canon), lambda new: put(kind, new)))
+            return F.when(kind == "name", self.name(mention)).otherwise(other)
+
+        return let(kind_of(mention), replace)
 
     def name(self, mention: Column) -> Column:
         given = F.create_map(*(F.lit(x) for pair in self.given().items() for x in pair))
         titles = F.array(*(F.lit(t + dot) for t in TITLES for dot in ("", ".")))
 
         def word(w: Column) -> Column:
-            new = F.initcap(self.surname(F.lower(w)))
-            return F.when(F.array_contains(titles, w), w).otherwise(F.coalesce(F.element_at(given, w), F.when((F.upper(w) == w) & (F.length(w) > 1), F.upper(new)).otherwise(new)))
+            cased = lambda new: F.when((F.upper(w) == w) & (F.length(w) > 1), F.upper(new)).otherwise(F.initcap(new))
+            return F.when(F.array_contains(titles, w), w).otherwise(F.coalesce(F.element_at(given, w), let(self.surname(F.lower(w)), cased)))
 
         return F.array_join(F.transform(F.split(mention, " "), word), " ")
 

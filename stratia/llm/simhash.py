@@ -201,7 +201,8 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", distance:
     linked = roots.join(first, roots.node == first.fp)
     smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
     of_linked = roots.join(smallest, "root").select(F.col("node").alias("fp"), "least")
-    of_each = first.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
+    # Written out, so that both sides of the last join are plain shuffles and Spark can split a fingerprint that many rows share.
+    of_each = materialize(first.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component")), "simhash-components")
     return marked.join(of_each, "fp").select(key, "fp", "component")
 
 
