@@ -7,6 +7,7 @@ those encodings; Python sees one statement, or one candidate pair, at a time.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -166,6 +167,35 @@ def compare(pairs: DataFrame, rows: DataFrame, term: str = "erased") -> DataFram
     return joined.join(distinct.mapInArrow(run, schema), ["x", "y"]).drop("x", "y")
 
 
+def information(pairs: DataFrame, rows: DataFrame, frequency: DataFrame, total: int, term: str = "erased") -> DataFrame:
+    """pairs (name, other) with info_weighted and info_dice: how much of two terms' information their shared part has.
+
+    A term's information is the sum of log(total / df) over its names, repeats counted; a name of unknown frequency
+    counts as one declaration's. frequency: (sym, df). Tasks count names, joins weigh them; equal pairs of terms go once.
+    """
+    a, b = rows.select("name", F.col(term).alias("x")), rows.select(F.col("name").alias("other"), F.col(term).alias("y"))
+    joined = pairs.select("name", "other").join(a, "name").join(b, "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("x", _S), ("y", _S), ("sym", _S), ("shared", _I), ("left", _I), ("right", _I)])
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s, t = terms.parse("x-stmt-v1;" + x), terms.parse("x-stmt-v1;" + y)
+                counts = [Counter(terms.symbols(u)) for u in (terms.generalise(s, t)[0], s, t)]
+                out += [{"x": x, "y": y, "sym": k, "shared": counts[0][k], "left": counts[1][k], "right": counts[2][k]} for k in counts[1].keys() | counts[2].keys()]
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    named = joined.select("x", "y").distinct().mapInArrow(run, "x string, y string, sym string, shared int, left int, right int")
+    weight = F.greatest(F.log(F.lit(float(max(total, 1))) / F.coalesce("df", F.lit(1))), F.lit(0.0))
+    sides = ("shared", "left", "right")
+    sums = named.join(frequency, "sym", "left").groupBy("x", "y").agg(*(F.sum(F.col(c) * weight).alias(c) for c in sides))
+    known = joined.join(sums, ["x", "y"], "left").select("name", "other", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in sides))
+    most, both = F.greatest("left", "right"), F.col("left") + F.col("right")
+    ratio = lambda part, whole: F.when(whole <= 0, 0.0).otherwise(part / whole)
+    return known.select("name", "other", ratio(F.col("shared"), most).alias("info_weighted"), ratio(2 * F.col("shared"), both).alias("info_dice"))
+
+
 def rank(compared: DataFrame, total: int, score: str = "retention", top: int = 10, theories: DataFrame | None = None, derivativeness: DataFrame | None = None) -> DataFrame:
     """The `top` of each query by the score and its factors, ties by shared nodes, variables and name."""
     check_choice(score, MEASURES, "score")
