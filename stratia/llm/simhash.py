@@ -33,31 +33,39 @@ from stratia.session import materialize, shuffle_partitions
 SHINGLE, SEED, DISTANCE, BLOCKS = 4, 42, 4, 8
 #: Fingerprints of a cell that one task compares; larger cells are dealt out in chunks.
 CELL = 4096
+#: Fingerprints in a part that is written between steps, and the fewest parts that a step may use.
+PART, LEAST_PARTS = 10_000, 8
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 16
 EVEN = 0x5555555555555555
 
 
+def _spans(text: bytes, size: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text's words with one space between, and where its shingles start and end in that."""
+    words = text.lower().split()  # of bytes: lower() changes A-Z alone, split() parts at 0x20 and 0x09-0x0D
+    joined, count = b" ".join(words), min(len(words), max(len(words) - size + 1, 1))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends])[:count]
+    return joined, starts, ends[len(words) - count :] - 1
+
+
 def shingles(text: bytes, size: int = SHINGLE) -> list[bytes]:
     """Runs of `size` words, with repeats, of a text whose A-Z are lower-cased; all words, if there are fewer."""
-    words = text.lower().split()  # of bytes: lower() changes A-Z alone, split() parts at 0x20 and 0x09-0x0D
-    if len(words) <= size:
-        return [b" ".join(words)] if words else []
-    joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])
-    return [joined[a:e] for a, e in zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
+    joined, starts, ends = _spans(text, size)
+    return [joined[a:e] for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def fingerprint(text: str | None) -> int:
     """The 64-bit fingerprint: bit i is set if over half the shingles' XXH64 values have it."""
     import xxhash
 
-    found = shingles((text or "").encode())
+    joined, starts, ends = _spans((text or "").encode(), SHINGLE)
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(found), AT_ONCE):
-        values = np.array([xxhash.xxh64_intdigest(s, SEED) for s in found[at : at + AT_ONCE]], np.uint64)
+    for at in range(0, len(starts), AT_ONCE):
+        cut = slice(at, at + AT_ONCE)
+        values = np.array([xxhash.xxh64_intdigest(joined[a:e], SEED) for a, e in zip(starts[cut].tolist(), ends[cut].tolist(), strict=True)], np.uint64)
         counts += np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(found), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(starts), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,13 +204,15 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -
 def components(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(key, fp, component): of each row its fingerprint and the smallest key that links reach."""
     marked = materialize(fingerprints(df, key, text), "simhash")
-    first = materialize(marked.groupBy("fp").agg(F.min(key).alias("first")), "simhash-distinct")
-    roots = connected_components(links(first.select("fp"), distance))
+    # Later tables have at most a row a document: they are written in parts that follow that number, not the setting for shuffles.
+    width = max(LEAST_PARTS, -(-marked.count() // PART))
+    first = materialize(marked.groupBy("fp").agg(F.min(key).alias("first")).coalesce(width), "simhash-distinct")
+    roots = connected_components(links(first.select("fp"), distance), width=width)
     linked = roots.join(first, roots.node == first.fp)
     smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
     of_linked = roots.join(smallest, "root").select(F.col("node").alias("fp"), "least")
     # Written out, so that both sides of the last join are plain shuffles and Spark can split a fingerprint that many rows share.
-    of_each = materialize(first.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component")), "simhash-components")
+    of_each = materialize(first.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component")).coalesce(width), "simhash-components")
     return marked.join(of_each, "fp").select(key, "fp", "component")
 
 
