@@ -49,18 +49,24 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
-def tokenizer_json(ranks: dict[bytes, int], pattern: str | None) -> str:
-    """A definition for the tokenizers library that merges as the ranks say; without a pattern texts are one piece.
+def merge_rules(ranks: dict[bytes, int]) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """The vocabulary in characters of bytes, and merges that act as the ranks say.
 
     The ranks merge any two neighbours whose joined bytes are a token, so every split of a token into two
     tokens becomes a merge, in the order of ranks.
     """
     chars = byte_characters()
     text = {t: "".join(chars[b] for b in t) for t in ranks}
-    merges = [[text[t[:i]], text[t[i:]]] for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    merges = [(text[t[:i]], text[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    return {text[t]: r for t, r in ranks.items()}, merges
+
+
+def tokenizer_json(ranks: dict[bytes, int], pattern: str | None) -> str:
+    """A definition of the whole tokenizer for the tokenizers library; without a pattern texts are one piece."""
+    vocab, merges = merge_rules(ranks)
     split = pattern and {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Isolated", "invert": False}
     byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
-    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": True, "vocab": {text[t]: r for t, r in ranks.items()}, "merges": merges}
+    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": True, "vocab": vocab, "merges": merges}
     return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, byte_level] if split else [byte_level]}, "post_processor": None, "decoder": None, "model": model})
 
 
@@ -116,7 +122,7 @@ class ByteBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.definition, ranks = (content, pattern), read_ranks(content)
         self.pieces, self.seen = piece_finder(pattern), {}
-        self.tokenize, self.of_text = self._library(None).model.tokenize, None
+        self.tokenize, self.of_text = self._model(ranks).tokenize, None
         self.characters = dict(enumerate(byte_characters()))
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -124,6 +130,14 @@ class ByteBpe:
         self.known = np.zeros(len(self.bytes_of), dtype=bool)
         self.known[list(ranks.values())] = True
 
+    @staticmethod
+    def _model(ranks: dict[bytes, int]):
+        """The library's model alone: a third of the memory that a whole tokenizer takes to build."""
+        from tokenizers.models import BPE
+
+        vocab, merges = merge_rules(ranks)
+        return BPE(vocab=vocab, merges=merges, ignore_merges=True)
+
     def _library(self, pattern: str | None):
         from tokenizers import Tokenizer
 
