@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,8 @@ CLOSED, OPEN, SHAPE = 3, 5, 8
 #: Weights of a similarity's factors (fixed values of the ranking), and the least shared nodes and score.
 RARITY, OTHER_THEORY, SCOPED, DERIVED = 0.5, 0.15, 0.30, 0.45
 LEAST_COMMON, LEAST_SCORE = 6, 0.30
+#: Representatives of a key that one task joins; keys of more are dealt out in chunks.
+CHUNK = 512
 
 PARSED = "seq long, name string, kind string, module string, root string, size int, concrete int, closed boolean, concludes string, heads array<string>, symbols array<string>, requires array<string>, rigid string, slots array<string>, binders array<string>, carriers array<boolean>, type_former boolean"
 
@@ -148,6 +151,82 @@ def candidates(queries: DataFrame, keys: DataFrame, posted: DataFrame) -> DataFr
     return mine.join(theirs, "key").filter("name <> other").groupBy("name", "other").agg(F.max("idf").alias("rarity"))
 
 
+def representatives(rows: DataFrame) -> DataFrame:
+    """(name, root, erased, n): one row for each distinct root, with its first name and how many rows have it.
+
+    rows: name, root, erased; names are unique and equal roots have equal erasures.
+    """
+    return rows.groupBy("root").agg(F.min("name").alias("name"), F.min("erased").alias("erased"), F.count("*").alias("n"))
+
+
+def members(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(class, name): each row's class by the name of its representative."""
+    return rows.select("root", "name").join(reps.select("root", F.col("name").alias("class")), "root").select("class", "name")
+
+
+def weighed(keys: DataFrame, reps: DataFrame, total: int) -> DataFrame:
+    """(name, key, idf) of representatives: all keys, by how many declarations (not classes) have them."""
+    found = keys.select("name", "key").join(reps.select("name", "n"), "name")
+    idf = found.groupBy("key").agg(F.log(F.lit(float(total)) / F.sum("n")).alias("idf"))
+    return found.join(idf, "key").select("name", "key", "idf")
+
+
+def meetings(keys: DataFrame, chunk: int | None = None) -> DataFrame:
+    """(name, other, rarity): all pairs name <= other of representatives that share a key, each with itself too.
+
+    keys: (name, key, idf). A key of over `chunk` (CHUNK) representatives is dealt out as pairs of chunks, so that no task
+    holds all of one; none is dropped.
+    """
+    chunks = keys.groupBy("key").agg(F.ceil(F.count("*") / (chunk or CHUNK)).alias("chunks"))
+    dealt = keys.join(chunks, "key").withColumn("i", F.pmod(F.xxhash64("name"), "chunks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    a = dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "name", "idf")
+    b = a.select("key", "lo", "hi", F.col("i").alias("k"), F.col("name").alias("other"))
+    met = a.join(b, ["key", "lo", "hi"]).filter("name <= other and (lo = hi or i <> k)")
+    return met.groupBy("name", "other").agg(F.max("idf").alias("rarity"))
+
+
+def compare_classes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(name, other, rarity, n, measures) in both directions from pairs name <= other of representatives.
+
+    n: how many rows the other's class has besides the row itself; a class of one row does not meet itself.
+    """
+    a = reps.select("name", F.col("erased").alias("x"), F.col("n").alias("na"))
+    b = reps.select(F.col("name").alias("other"), F.col("erased").alias("y"), F.col("n").alias("nb"))
+    joined = pairs.filter("name < other").unionByName(pairs.filter("name = other").join(reps.filter("n > 1").select("name"), "name", "left_semi"))
+    joined = joined.join(a, "name").join(b, "other").select("name", "other", "rarity", "na", "nb", "x", "y")
+    fields = [f"{m} {'int' if i < 5 else 'double'}" for i, m in enumerate(MEASURES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed = lru_cache(maxsize=1 << 15)(lambda t: terms.parse("x-stmt-v1;" + t))
+        for b in batches:
+            found = [terms.scores(parsed(x), parsed(y)) for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array([f[m] for f in found], _I if i < 5 else pa.float64()) for i, m in enumerate(MEASURES))], names=["name", "other", "rarity", "na", "nb", *MEASURES])
+
+    once = joined.mapInArrow(run, "name string, other string, rarity double, na long, nb long, " + ", ".join(fields))
+    # Every measure but left and right is the same both ways, so that a pair is compared once.
+    sides = F.explode(F.when(F.col("name") == F.col("other"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
+    turn = lambda c, d: F.when(F.col("turned"), F.col(d)).otherwise(F.col(c)).alias(c)
+    n = F.when(F.col("name") == F.col("other"), F.col("nb") - 1).when(F.col("turned"), F.col("na")).otherwise(F.col("nb")).alias("n")
+    swap = {"left": "right", "right": "left"}
+    return once.withColumn("turned", sides).select(turn("name", "other"), turn("other", "name"), "rarity", n, *(turn(m, swap.get(m, m)) for m in MEASURES))
+
+
+def rank_members(compared: DataFrame, membership: DataFrame, total: int, score: str = "retention", top: int = 10) -> DataFrame:
+    """The `top` of each row, as rank() gives, from classes that were compared and (class, name).
+
+    top + 1 rows by (score, name) lie in the top + 1 classes by (score, first name), and in each among its first
+    top + 1 names; one more than `top`, as a row may be among them itself.
+    """
+    most = top + 1
+    classes_ = rank(compared, total, score, most).drop("rank")
+    place = F.row_number().over(Window.partitionBy("class").orderBy("name"))
+    firsts = membership.withColumn("place", place).filter(F.col("place") <= most).select(F.col("class").alias("other"), F.col("name").alias("member"))
+    order = lambda by: Window.partitionBy(by).orderBy(F.round("total", 9).desc(), F.col("common").desc(), "vars", "member")
+    heads = classes_.withColumnRenamed("name", "class").join(firsts, "other").withColumn("place", F.row_number().over(order("class"))).filter(F.col("place") <= most)
+    each = membership.join(heads.drop("other", "place"), "class").filter("name <> member").drop("class")
+    return each.withColumn("rank", F.row_number().over(order("name"))).filter(F.col("rank") <= top).withColumnRenamed("member", "other")
+
+
 MEASURES = ("common", "vars", "scoped", "left", "right", "retention", "min_normalised", "dice", "jaccard", "geometric_mean")
 
 

@@ -13,6 +13,7 @@ from stratia.functions.components import connected_components
 from stratia.operators import hypotheses as hy
 from stratia.operators import statements as st
 from stratia.plans import statements as plans
+from stratia.session import materialize
 from stratia.sources import derived
 
 D = derived.SQL["decls"]
@@ -93,7 +94,22 @@ def information(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("name").agg(F.count("*").alias("n"), *(F.round(f(m), 6).alias(f"{label}_{m}") for m in ("info_weighted", "info_dice") for label, f in (("best", F.max), ("mean", F.avg))))
 
 
-QUERIES = {f.__name__: f for f in (hypothesis_homes, class_ancestors, proved_elsewhere, proof_families, substitutions, interchangeable, shrunk_rates, auc, information)}
+def information_whole(spark: SparkSession, d: str) -> DataFrame:
+    """information over all keys: classes are compared once, and a class counts as often as it has other members."""
+    p, n = plans._parsed(spark, d), plans._total(spark, d)
+    rows = p.withColumn("erased", F.col("root"))
+    reps = materialize(st.representatives(rows), "representatives")
+    pairs = st.meetings(st.weighed(plans._keys(reps), reps, n))
+    found = st.information(pairs, reps, st.symbol_frequency(p), n, "root")  # the same both ways
+    both = found.unionByName(found.filter("name <> other").select(F.col("other").alias("name"), F.col("name").alias("other"), "info_weighted", "info_dice"))
+    sized = both.join(reps.select(F.col("name").alias("other"), "n"), "other").withColumn("n", F.col("n") - (F.col("name") == F.col("other")).cast("int")).filter("n > 0")
+    best = [F.round(F.max(m), 6).alias(f"best_{m}") for m in ("info_weighted", "info_dice")]
+    mean = [F.round(F.sum(F.col(m) * F.col("n")) / F.sum("n"), 6).alias(f"mean_{m}") for m in ("info_weighted", "info_dice")]
+    of_class = sized.groupBy(F.col("name").alias("class")).agg(*best, *mean, F.sum("n").alias("n"))
+    return st.members(rows, reps).join(of_class, "class").drop("class")
+
+
+QUERIES = {f.__name__: f for f in (hypothesis_homes, class_ancestors, proved_elsewhere, proof_families, substitutions, interchangeable, shrunk_rates, auc, information, information_whole)}
 
 EDITS = f"""{D}, v AS (SELECT a.size, a.bucket, CASE WHEN a.brand <> b.brand THEN a.brand ELSE a.type END AS a, CASE WHEN a.brand <> b.brand THEN b.brand ELSE b.type END AS b
         FROM decls a JOIN decls b ON a.size = b.size AND a.bucket = b.bucket AND (a.brand <> b.brand)::INT + (a.type <> b.type)::INT = 1),

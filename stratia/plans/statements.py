@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratia.operators import statements as st
+from stratia.session import materialize
 from stratia.sources import derived
 
 D = derived.SQL["decls"]
@@ -97,6 +98,47 @@ def score_variants(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("name").agg(F.count("*").alias("n"), *(F.round(F.max(m), 6).alias(m) for m in ("retention", "min_normalised", "dice", "jaccard", "geometric_mean")), F.max("common").alias("common"))
 
 
+def _classes_compared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    """Classes compared by all their keys, (class, name), and how many declarations there are."""
+    n = _total(spark, d)
+    rows = st.erased(_parsed(spark, d), "carriers")
+    reps = materialize(st.representatives(rows), "representatives")
+    return st.compare_classes(st.meetings(st.weighed(_keys(reps), reps, n)), reps), st.members(rows, reps), n
+
+
+def similar_whole(spark: SparkSession, d: str) -> DataFrame:
+    """similar_topk over all keys, however many declarations have them."""
+    found = st.rank_members(*_classes_compared(spark, d))
+    return found.select("name", "other", "rank", "common", "vars", F.round("retention", 6).alias("retention"), F.round("total", 6).alias("total"))
+
+
+def score_whole(spark: SparkSession, d: str) -> DataFrame:
+    """score_variants over all keys, however many declarations have them."""
+    compared, membership, _ = _classes_compared(spark, d)
+    kept = compared.filter(F.col("common") >= st.LEAST_COMMON)
+    found = kept.groupBy(F.col("name").alias("class")).agg(F.sum("n").alias("n"), *(F.round(F.max(m), 6).alias(m) for m in ("retention", "min_normalised", "dice", "jaccard", "geometric_mean")), F.max("common").alias("common"))
+    return membership.join(found, "class").drop("class")
+
+
+def postings_whole(spark: SparkSession, d: str) -> DataFrame:
+    """postings_idf of all keys."""
+    n = _total(spark, d)
+    return st.postings(_keys(_parsed(spark, d)), n, n).select("key", "n", "size", F.round("idf", 6).alias("idf"))
+
+
+def motifs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """motifs of all keys."""
+    n = _total(spark, d)
+    return st.motifs(st.postings(_keys(_parsed(spark, d)), n, n)).select("key", "n", "size", F.round("weight", 6).alias("weight"))
+
+
+def work_budget_whole(spark: SparkSession, d: str) -> DataFrame:
+    """work_budget of all keys: the budget alone bounds the walk."""
+    n = _total(spark, d)
+    keys = _keys(_parsed(spark, d))
+    return st.within_budget(keys.select("name", "key").join(st.postings(keys, n, n), "key"), 40).groupBy("name").agg(F.count("*").alias("kept"), F.max("before").alias("last_start"))
+
+
 def work_budget(spark: SparkSession, d: str) -> DataFrame:
     p, n = _parsed(spark, d), _total(spark, d)
     keys = _keys(p)
@@ -182,7 +224,7 @@ def census(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("concrete", F.round("concrete", 6))
 
 
-QUERIES = {f.__name__: f for f in (slice_stats, stmt_digest, measures, skeletons, equivalent, ladder, postings_idf, symbol_df, motifs, closure_coverage, derivativeness, similar_topk, score_variants, work_budget, variants, adjacent, vocab_adjacent, dictionary, dictionary_missing, coherence, shuffle_control, frontier, rule_stats, pattern_groups, transport, census)}
+QUERIES = {f.__name__: f for f in (slice_stats, stmt_digest, measures, skeletons, equivalent, ladder, postings_idf, symbol_df, motifs, closure_coverage, derivativeness, similar_topk, score_variants, similar_whole, score_whole, postings_whole, motifs_whole, work_budget, work_budget_whole, variants, adjacent, vocab_adjacent, dictionary, dictionary_missing, coherence, shuffle_control, frontier, rule_stats, pattern_groups, transport, census)}
 QUERIES |= {"equiv_classes_exact": _classes("exact"), "equiv_classes_shape": _classes("shape")}
 
 ROOT = "substr(stmt, 11)"
