@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from stratia.functions import terms
 from stratia.operators.graph import check_choice
+from stratia.session import materialize
 
 #: Nodes that a shared subterm needs to be a key: closed, open, and of a shape.
 CLOSED, OPEN, SHAPE = 3, 5, 8
@@ -152,11 +153,22 @@ def candidates(queries: DataFrame, keys: DataFrame, posted: DataFrame) -> DataFr
 
 
 def representatives(rows: DataFrame) -> DataFrame:
-    """(name, root, erased, n): one row for each distinct root, with its first name and how many rows have it.
+    """(name, root, erased, shape, n): one row for each distinct root, with its first name and how many rows have it.
 
-    rows: name, root, erased; names are unique and equal roots have equal erasures.
+    rows: name, root, erased, shape; names are unique and equal roots have equal erasures.
     """
-    return rows.groupBy("root").agg(F.min("name").alias("name"), F.min("erased").alias("erased"), F.count("*").alias("n"))
+    return rows.groupBy("root").agg(F.min("name").alias("name"), F.min("erased").alias("erased"), F.min("shape").alias("shape"), F.count("*").alias("n"))
+
+
+def sources(reps: DataFrame) -> DataFrame:
+    """(name, key): the keys of the three sources of candidates, of each its own.
+
+    A: the shape; B: subterms of at least CLOSED nodes, open ones of OPEN; C: subterms of the shape of at least SHAPE.
+    """
+    tagged = lambda df, tag: df.select("name", F.concat(F.lit(tag), "key").alias("key"))
+    b = subterms(reps).filter(F.col("size") >= F.when(F.col("closed"), CLOSED).otherwise(OPEN))
+    c = subterms(reps, "shape").filter(F.col("size") >= SHAPE)
+    return tagged(reps.select("name", F.col("shape").alias("key")), "A").union(tagged(b, "B")).union(tagged(c, "C"))
 
 
 def members(rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -185,6 +197,19 @@ def meetings(keys: DataFrame, chunk: int | None = None) -> DataFrame:
     return met.groupBy("name", "other").agg(F.max("idf").alias("rarity"))
 
 
+def meetings_between(a: DataFrame, b: DataFrame, chunk: int | None = None) -> DataFrame:
+    """(name, other): pairs of a row of a and one of b that share a key, each (name, key); large keys go in chunks."""
+    dealt = {}
+    for side, df in (("i", a), ("j", b)):
+        dealt[side] = df.groupBy("key").agg(F.ceil(F.count("*") / (chunk or CHUNK)).alias(f"{side}_chunks"))
+    sizes = dealt["i"].join(dealt["j"], "key")
+    place = lambda side: F.pmod(F.xxhash64("name"), f"{side}_chunks").alias(side)
+    over = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"{side}_chunks") - 1)).alias(side)
+    left = a.join(sizes, "key").select("key", place("i"), over("j"), "name")
+    right = b.join(sizes, "key").select("key", over("i"), place("j"), F.col("name").alias("other"))
+    return left.join(right, ["key", "i", "j"]).select("name", "other").distinct()
+
+
 def compare_classes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """(name, other, rarity, n, measures) in both directions from pairs name <= other of representatives.
 
@@ -211,16 +236,18 @@ def compare_classes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return once.withColumn("turned", sides).select(turn("name", "other"), turn("other", "name"), "rarity", n, *(turn(m, swap.get(m, m)) for m in MEASURES))
 
 
-def rank_members(compared: DataFrame, membership: DataFrame, total: int, score: str = "retention", top: int = 10) -> DataFrame:
+def rank_members(compared: DataFrame, membership: DataFrame, total: int, score: str = "retention", top: int = 10, others: DataFrame | None = None) -> DataFrame:
     """The `top` of each row, as rank() gives, from classes that were compared and (class, name).
 
+    others: (class, name) of the rows that are ranked, where they are not the same.
+
     top + 1 rows by (score, name) lie in the top + 1 classes by (score, first name), and in each among its first
     top + 1 names; one more than `top`, as a row may be among them itself.
     """
     most = top + 1
     classes_ = rank(compared, total, score, most).drop("rank")
     place = F.row_number().over(Window.partitionBy("class").orderBy("name"))
-    firsts = membership.withColumn("place", place).filter(F.col("place") <= most).select(F.col("class").alias("other"), F.col("name").alias("member"))
+    firsts = (membership if others is None else others).withColumn("place", place).filter(F.col("place") <= most).select(F.col("class").alias("other"), F.col("name").alias("member"))
     order = lambda by: Window.partitionBy(by).orderBy(F.round("total", 9).desc(), F.col("common").desc(), "vars", "member")
     heads = classes_.withColumnRenamed("name", "class").join(firsts, "other").withColumn("place", F.row_number().over(order("class"))).filter(F.col("place") <= most)
     each = membership.join(heads.drop("other", "place"), "class").filter("name <> member").drop("class")
@@ -386,6 +413,17 @@ def dictionary(rows: DataFrame, left: Column, right: Column, per_left: int = 1,
     return ranked.filter(F.col("rank") <= per_left)
 
 
+def dictionary_whole(rows: DataFrame, left: Column, right: Column, per_left: int = 1, score: str = "retention") -> DataFrame:
+    """dictionary over all three sources of candidates: (name, other, rank, total, ...).
+
+    rows: name, root, erased, shape. Classes of either theory meet and are compared; members are ranked from them.
+    """
+    a, b = rows.filter(left), rows.filter(right)
+    lefts, rights = (materialize(representatives(x), "representatives") for x in (a, b))
+    compared = compare(meetings_between(sources(lefts), sources(rights)), rows)
+    return rank_members(compared, members(a, lefts), 2, score, per_left, members(b, rights))
+
+
 def coherence(found: DataFrame, rights: DataFrame) -> DataFrame:
     """Counts of a dictionary: rows, lefts, rights, distinct right statements, rows that share their right.
 

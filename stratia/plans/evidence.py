@@ -95,11 +95,11 @@ def information(spark: SparkSession, d: str) -> DataFrame:
 
 
 def information_whole(spark: SparkSession, d: str) -> DataFrame:
-    """information over all keys: classes are compared once, and a class counts as often as it has other members."""
+    """information over all sources and keys: classes are compared once, and a class counts as often as it has other members."""
     p, n = plans._parsed(spark, d), plans._total(spark, d)
-    rows = p.withColumn("erased", F.col("root"))
+    rows = st.erased(p, "shape", "shape").withColumn("erased", F.col("root"))
     reps = materialize(st.representatives(rows), "representatives")
-    pairs = st.meetings(st.weighed(plans._keys(reps), reps, n))
+    pairs = st.meetings(st.weighed(st.sources(reps), reps, n))
     found = st.information(pairs, reps, st.symbol_frequency(p), n, "root")  # the same both ways
     both = found.unionByName(found.filter("name <> other").select(F.col("other").alias("name"), F.col("name").alias("other"), "info_weighted", "info_dice"))
     sized = both.join(reps.select(F.col("name").alias("other"), "n"), "other").withColumn("n", F.col("n") - (F.col("name") == F.col("other")).cast("int")).filter("n > 0")

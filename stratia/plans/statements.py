@@ -98,22 +98,27 @@ def score_variants(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("name").agg(F.count("*").alias("n"), *(F.round(F.max(m), 6).alias(m) for m in ("retention", "min_normalised", "dice", "jaccard", "geometric_mean")), F.max("common").alias("common"))
 
 
+def _shaped(spark: SparkSession, d: str) -> DataFrame:
+    p = _parsed(spark, d)
+    return st.erased(p, "carriers").join(st.erased(p, "shape", "shape").select("seq", "shape"), "seq")
+
+
 def _classes_compared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
-    """Classes compared by all their keys, (class, name), and how many declarations there are."""
+    """Classes compared by the keys of all three sources, (class, name), and how many declarations there are."""
     n = _total(spark, d)
-    rows = st.erased(_parsed(spark, d), "carriers")
+    rows = _shaped(spark, d)
     reps = materialize(st.representatives(rows), "representatives")
-    return st.compare_classes(st.meetings(st.weighed(_keys(reps), reps, n)), reps), st.members(rows, reps), n
+    return st.compare_classes(st.meetings(st.weighed(st.sources(reps), reps, n)), reps), st.members(rows, reps), n
 
 
 def similar_whole(spark: SparkSession, d: str) -> DataFrame:
-    """similar_topk over all keys, however many declarations have them."""
+    """similar_topk over all sources and keys, however many declarations have them."""
     found = st.rank_members(*_classes_compared(spark, d))
     return found.select("name", "other", "rank", "common", "vars", F.round("retention", 6).alias("retention"), F.round("total", 6).alias("total"))
 
 
 def score_whole(spark: SparkSession, d: str) -> DataFrame:
-    """score_variants over all keys, however many declarations have them."""
+    """score_variants over all sources and keys, however many declarations have them."""
     compared, membership, _ = _classes_compared(spark, d)
     kept = compared.filter(F.col("common") >= st.LEAST_COMMON)
     found = kept.groupBy(F.col("name").alias("class")).agg(F.sum("n").alias("n"), *(F.round(F.max(m), 6).alias(m) for m in ("retention", "min_normalised", "dice", "jaccard", "geometric_mean")), F.max("common").alias("common"))
@@ -180,6 +185,25 @@ def dictionary_missing(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(F.col("module").startswith(f"Mfgr.{lo}.")).select("name").join(found, "name", "left_anti")
 
 
+def _dictionary_whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The dictionary of the first brand's theory in the last one's, and the first's names."""
+    rows = _shaped(spark, d)
+    brands = rows.select(F.split("module", r"\.")[1].alias("b")).agg(F.min("b").alias("lo"), F.max("b").alias("hi")).first()
+    of = lambda b: F.col("module").startswith(f"Mfgr.{b}.")
+    return st.dictionary_whole(rows, of(brands["lo"]), of(brands["hi"])), rows.filter(of(brands["lo"])).select("name")
+
+
+def dictionary_whole(spark: SparkSession, d: str) -> DataFrame:
+    """dictionary over all sources of candidates."""
+    found, _ = _dictionary_whole(spark, d)
+    return found.select("name", "other", "common", "vars", F.round("total", 6).alias("total"))
+
+
+def dictionary_missing_whole(spark: SparkSession, d: str) -> DataFrame:
+    found, lefts = _dictionary_whole(spark, d)
+    return lefts.join(found, "name", "left_anti")
+
+
 def coherence(spark: SparkSession, d: str) -> DataFrame:
     found, rows = _dictionary(spark, d)
     return st.coherence(found, rows.select(F.col("name").alias("other"), "root"))
@@ -224,7 +248,7 @@ def census(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("concrete", F.round("concrete", 6))
 
 
-QUERIES = {f.__name__: f for f in (slice_stats, stmt_digest, measures, skeletons, equivalent, ladder, postings_idf, symbol_df, motifs, closure_coverage, derivativeness, similar_topk, score_variants, similar_whole, score_whole, postings_whole, motifs_whole, work_budget, work_budget_whole, variants, adjacent, vocab_adjacent, dictionary, dictionary_missing, coherence, shuffle_control, frontier, rule_stats, pattern_groups, transport, census)}
+QUERIES = {f.__name__: f for f in (slice_stats, stmt_digest, measures, skeletons, equivalent, ladder, postings_idf, symbol_df, motifs, closure_coverage, derivativeness, similar_topk, score_variants, similar_whole, score_whole, postings_whole, motifs_whole, work_budget, work_budget_whole, variants, adjacent, vocab_adjacent, dictionary, dictionary_missing, dictionary_whole, dictionary_missing_whole, coherence, shuffle_control, frontier, rule_stats, pattern_groups, transport, census)}
 QUERIES |= {"equiv_classes_exact": _classes("exact"), "equiv_classes_shape": _classes("shape")}
 
 ROOT = "substr(stmt, 11)"

@@ -37,6 +37,11 @@ def subterm_keys(text):
     return {terms.render(t) for t in terms.walk(terms.parse(text)) if terms.size(t) >= (st.CLOSED if terms.loose(t) == 0 else st.OPEN)}
 
 
+def source_keys(text):
+    shape = terms.erase(terms.parse(text), "shape", {})
+    return {"A" + terms.render(shape)} | {"B" + k for k in subterm_keys(text)} | {"C" + terms.render(t) for t in terms.walk(shape) if terms.size(t) >= st.SHAPE}
+
+
 def brute(corpus, keys_of):
     """name: [(sort key, other, scores, rarity)] of all that share a key."""
     total, keys = len(corpus), {t: keys_of(t) for t in {r[4] for r in corpus}}
@@ -60,15 +65,46 @@ def best(found):
 
 
 def test_similar_whole_keeps_hot_statements(spark, hot):
-    want = best(brute(hot, subterm_keys))
+    want = best(brute(hot, source_keys))
     got = {(r.name, r.other, r["rank"]) for r in plans.similar_whole(spark, "").collect()}
     assert got == want and len({a for a, _, _ in got}) == len(hot)
     cut = {r.name for r in plans.similar_topk(spark, "").collect()}
     assert "part:0" not in cut  # the query whose SQL has the cut
 
 
+def test_sources_reach_pairs_of_equal_shape_alone(spark, hot):
+    a, b = part("X", "U", 100, 50, 2), part("Y", "V", 101, 51, 2)
+    assert not subterm_keys(a) & subterm_keys(b)
+    assert {k[0] for k in source_keys(a) & source_keys(b)} == {"A", "C"}
+    hot = [(i, f"part:{i}", "theorem", "Mfgr.B.T", t) for i, t in enumerate([a, b, part("Z", "W", 102, 52, 3)])]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(derived, "declarations", lambda s, d: spark.createDataFrame(hot, PARTS))
+        got = {(r.name, r.other) for r in plans.similar_whole(spark, "").collect()}
+        assert {(x, y) for x, y, _ in best(brute(hot, source_keys))} == got >= {("part:0", "part:1"), ("part:1", "part:0")}
+        assert plans.similar_topk(spark, "").count() == 0  # its SQL has one source of three
+
+
+def test_dictionary_whole_meets_other_shapes(spark):
+    texts = [("A", part("A", "T", 1, 1, 5)), ("A", part("A", "T", 2, 2, 1)), ("A", "x-stmt-v1;n1"), ("B", part("B", "T", 1, 1, 4)), ("B", part("B", "T", 1, 1, 4)), ("B", part("C", "U", 3, 3, 1))]
+    rows = [(i, f"part:{i}", "theorem", f"Mfgr.{m}.T", t) for i, (m, t) in enumerate(texts)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(derived, "declarations", lambda s, d: spark.createDataFrame(rows, PARTS))
+        want = {}
+        for _, a, _, _, x in rows[:3]:
+            found = []
+            for _, b, _, _, y in rows[3:]:
+                s = terms.scores(terms.parse(x), terms.parse(y))
+                if source_keys(x) & source_keys(y) and s["common"] >= st.LEAST_COMMON and s["retention"] >= st.LEAST_SCORE:
+                    found.append((-round(s["retention"] * (1 - st.SCOPED * s["scoped"] / max(s["vars"], 1)), 9), -s["common"], s["vars"], b))
+            if found:
+                want[a] = min(found)[3]
+        assert {r.name: r.other for r in plans.dictionary_whole(spark, "").collect()} == want
+        assert {r.name for r in plans.dictionary_missing_whole(spark, "").collect()} == {"part:0", "part:1", "part:2"} - want.keys()
+        assert want["part:0"] == "part:3" and "part:0" not in {r.name for r in plans.dictionary(spark, "").collect()}
+
+
 def test_score_whole_counts_all_members(spark, hot):
-    found = brute(hot, subterm_keys)
+    found = brute(hot, source_keys)
     kept = {a: [s for _, s in rows if s["common"] >= st.LEAST_COMMON] for a, rows in found.items()}
     want = {a: (len(x), round(max(s["dice"] for s in x), 6), max(s["common"] for s in x)) for a, x in kept.items() if x}
     assert {r.name: (r.n, r.dice, r.common) for r in plans.score_whole(spark, "").collect()} == want
@@ -85,7 +121,7 @@ def test_information_whole_weighs_members(spark, hot):
     df = Counter(k for r in hot for k in set(terms.symbols(terms.parse(r[4]))))
     weigh = lambda t: sum(log(len(hot) / df[k]) for k in terms.symbols(t))
     want, known = {}, {}
-    for a, rows in brute(hot, subterm_keys).items():
+    for a, rows in brute(hot, source_keys).items():
         x, values = next(r[4] for r in hot if r[1] == a), []
         for key, _ in rows:
             y = hot[int(key[3].split(":")[1])][4]
