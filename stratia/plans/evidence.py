@@ -48,6 +48,11 @@ def hypothesis_homes(spark: SparkSession, d: str) -> DataFrame:
     return hy.homes(*_lattice(spark, d)).filter(F.col("name").startswith("order:"))
 
 
+def homes_whole(spark: SparkSession, d: str) -> DataFrame:
+    """hypothesis_homes of suppliers and projections too."""
+    return hy.homes(*_lattice(spark, d))
+
+
 def class_ancestors(spark: SparkSession, d: str) -> DataFrame:
     binders, ends, _ = _lattice(spark, d)
     return hy.ancestors(binders, ends)
@@ -109,7 +114,7 @@ def information_whole(spark: SparkSession, d: str) -> DataFrame:
     return st.members(rows, reps).join(of_class, "class").drop("class")
 
 
-QUERIES = {f.__name__: f for f in (hypothesis_homes, class_ancestors, proved_elsewhere, proof_families, substitutions, interchangeable, shrunk_rates, auc, information, information_whole)}
+QUERIES = {f.__name__: f for f in (hypothesis_homes, homes_whole, class_ancestors, proved_elsewhere, proof_families, substitutions, interchangeable, shrunk_rates, auc, information, information_whole)}
 
 EDITS = f"""{D}, v AS (SELECT a.size, a.bucket, CASE WHEN a.brand <> b.brand THEN a.brand ELSE a.type END AS a, CASE WHEN a.brand <> b.brand THEN b.brand ELSE b.type END AS b
         FROM decls a JOIN decls b ON a.size = b.size AND a.bucket = b.bucket AND (a.brand <> b.brand)::INT + (a.type <> b.type)::INT = 1),

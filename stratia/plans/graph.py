@@ -44,6 +44,40 @@ def why_path(spark: SparkSession, d: str) -> DataFrame:
     return found.select("source", "target", F.array_join("path", ">").alias("path"))
 
 
+def _every(spark: SparkSession, d: str) -> DataFrame:
+    return derived.names(spark, d).select(F.col("name").alias("source"))
+
+
+def citations_whole(spark: SparkSession, d: str) -> DataFrame:
+    """citations_by_lens of every name."""
+    e, n = derived.edges(spark, d), derived.names(spark, d)
+    parts = [graph.citations(e, n, lens).select(F.lit(lens).alias("lens"), "name", "citations") for lens in graph.LENSES]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def foundations_whole(spark: SparkSession, d: str) -> DataFrame:
+    """foundations_all from every name."""
+    found = graph.foundations(derived.edges(spark, d), _every(spark, d))
+    return found.groupBy("source").agg(F.count("*").alias("n"), F.min("node").alias("first_node"))
+
+
+def impact_whole(spark: SparkSession, d: str) -> DataFrame:
+    """impact_all from every name."""
+    found = graph.impact(derived.edges(spark, d), _every(spark, d), "proof")
+    return found.groupBy("source", F.substring_index("node", ":", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def bridge_whole(spark: SparkSession, d: str) -> DataFrame:
+    """bridge_centrality of every name, by edges of both lenses, as suppliers and parts are used by statements alone."""
+    return graph.bridge_centrality(derived.edges(spark, d), _every(spark, d))
+
+
+def why_whole(spark: SparkSession, d: str) -> DataFrame:
+    """why_path from every name."""
+    found = graph.why(derived.edges(spark, d), _every(spark, d), F.col("node").startswith("region:"))
+    return found.select("source", "target", F.array_join("path", ">").alias("path"))
+
+
 def honesty(spark: SparkSession, d: str) -> DataFrame:
     return graph.honesty(derived.edges(spark, d), derived.names(spark, d), trusted=("region:0", "region:1", "region:2"), gap="nation:7")
 
@@ -95,7 +129,7 @@ def _reach_sql(start: str, step: str, lens: str = "") -> str:
         found(source, node) AS (SELECT name, name FROM names WHERE {start} UNION SELECT f.source, {step})"""
 
 
-QUERIES = {f.__name__: f for f in (walls, citations_by_lens, foundations_all, impact_all, bridge_centrality, why_path, honesty, theory_sizes, cross_citations, cyclic_reach, orphans, slice_faults, slice_edges)}
+QUERIES = {f.__name__: f for f in (walls, citations_by_lens, foundations_all, impact_all, bridge_centrality, why_path, citations_whole, foundations_whole, impact_whole, bridge_whole, why_whole, honesty, theory_sizes, cross_citations, cyclic_reach, orphans, slice_faults, slice_edges)}
 
 DOWN = "p.dst FROM found f JOIN pairs p ON f.node = p.src"
 UP = "p.src FROM found f JOIN pairs p ON f.node = p.dst"
@@ -112,6 +146,15 @@ SQL = {
         found(source, node, path) AS (SELECT name, name, [name] FROM names WHERE name LIKE 'part:%' OR name LIKE 'nation:%' UNION ALL SELECT f.source, p.dst, list_append(f.path, p.dst) FROM found f JOIN pairs p ON f.node = p.src),
         short AS (SELECT *, rank() OVER (PARTITION BY source, node ORDER BY len(path)) AS r FROM found WHERE node LIKE 'region:%')
         SELECT source, node AS target, array_to_string(min(path), '>') AS path FROM short WHERE r = 1 GROUP BY source, node""",
+    "citations_whole": f"""WITH {E}, {N}, lenses AS (SELECT unnest(['statement', 'proof', 'both']) AS lens), c AS (SELECT l.lens, dst AS name, count(DISTINCT src) AS citations FROM lenses l JOIN edges e ON l.lens = 'both' OR l.lens = e.lens GROUP BY 1, 2)
+        SELECT l.lens, n.name, coalesce(citations, 0) AS citations FROM lenses l CROSS JOIN names n LEFT JOIN c ON c.lens = l.lens AND c.name = n.name""",
+    "foundations_whole": _reach_sql("true", DOWN) + " SELECT source, count(*) AS n, min(node) AS first_node FROM found WHERE node <> source GROUP BY source",
+    "impact_whole": _reach_sql("true", UP, "proof") + " SELECT source, split_part(node, ':', 1) AS kind, count(*) AS n FROM found WHERE node <> source GROUP BY 1, 2",
+    "bridge_whole": _reach_sql("true", UP) + " SELECT source, count(*) - 1 AS n FROM found GROUP BY source",
+    "why_whole": f"""WITH RECURSIVE {E}, {N}, pairs AS (SELECT DISTINCT src, dst FROM edges),
+        found(source, node, path) AS (SELECT name, name, [name] FROM names UNION ALL SELECT f.source, p.dst, list_append(f.path, p.dst) FROM found f JOIN pairs p ON f.node = p.src),
+        short AS (SELECT *, rank() OVER (PARTITION BY source, node ORDER BY len(path)) AS r FROM found WHERE node LIKE 'region:%')
+        SELECT source, node AS target, array_to_string(min(path), '>') AS path FROM short WHERE r = 1 GROUP BY source, node""",
     "honesty": _reach_sql("name IN ('region:3', 'region:4', 'nation:7')", UP, "proof") + " SELECT DISTINCT node AS name FROM found WHERE node <> source OR node IN ('region:3', 'region:4')",
     "theory_sizes": f"WITH {derived.SQL['decls']} SELECT split_part(module, '.', 2) AS theory, count(*) AS n, count(stmt) AS encoded FROM decls GROUP BY 1",
     "cross_citations": f"""WITH {E}, {N}, t AS (SELECT name, split_part(module, '.', 2) AS theory FROM names)

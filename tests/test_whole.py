@@ -5,9 +5,10 @@ from math import log
 
 import pytest
 
+import __spark_entry__ as entry
 from stratia.functions import terms
 from stratia.operators import statements as st
-from stratia.plans import evidence
+from stratia.plans import evidence, graph, logic
 from stratia.plans import statements as plans
 from stratia.sources import derived
 
@@ -133,3 +134,36 @@ def test_information_whole_weighs_members(spark, hot):
     got = {r.name: (r.n, r.best_info_dice, r.mean_info_dice) for r in evidence.information_whole(spark, "").collect()}
     assert got.keys() == want.keys()
     assert all(got[a][0] == n and got[a][1:] == pytest.approx((b, m), abs=2e-6) for a, (n, b, m) in want.items())
+
+
+def test_every_name_is_a_source(spark):
+    """Against a search by hand over the smallest tables; test_queries holds the same queries against their SQL."""
+    names = {r.name for r in derived.names(spark, entry.SMOKE).collect()}
+    down, proofs = defaultdict(set), defaultdict(set)
+    for r in derived.edges(spark, entry.SMOKE).collect():
+        down[r.src].add(r.dst)
+        if r.lens == "proof":
+            proofs[r.src].add(r.dst)
+
+    def reached(start, steps):
+        found, todo = set(), [start]
+        while todo:
+            new = steps.get(todo.pop(), set()) - found
+            found |= new
+            todo += new
+        return found
+
+    below = {n: reached(n, down) for n in names}
+    assert {r.source: r.n for r in graph.foundations_whole(spark, entry.SMOKE).collect()} == {n: len(x) for n, x in below.items() if x}
+    above = Counter(x for found in below.values() for x in found)
+    got = {r.source: r.n for r in graph.bridge_whole(spark, entry.SMOKE).collect()}
+    assert got == {n: above[n] for n in names} and any(n for s, n in got.items() if s.startswith("supplier:"))
+    pairs = {(r.src, r.dst) for r in logic.reach_whole(spark, entry.SMOKE).collect()}
+    assert pairs == {(a, b) for a in list(proofs) for b in reached(a, proofs)} and any(a.startswith("order:") for a, _ in pairs)
+
+
+def test_homes_whole_keeps_suppliers_and_projections(spark):
+    whole, orders = ({tuple(r) for r in f(spark, entry.SMOKE).collect()} for f in (evidence.homes_whole, evidence.hypothesis_homes))
+    binders, _, _ = evidence._lattice(spark, entry.SMOKE)
+    assert {r[0] for r in whole} == {r.name for r in binders.select("name").distinct().collect()}
+    assert {r for r in whole if r[0].startswith("order:")} == orders and len(whole) > len(orders)
