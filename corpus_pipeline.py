@@ -1,14 +1,14 @@
 """A corpus pipeline of five stages, each a function from documents to documents, the last to encoded documents.
 
     toxicity        documents whose noisy-or score reaches the threshold go
-    near duplicates of each group of linked SimHash fingerprints the document with the smallest id stays
+    near duplicates of each group of linked SimHash fingerprints the row with the smallest id stays
     surrogates      personal data gives way to keyed surrogates; n_chars follows the new text
     mixing          sources meet their target weights: a document's rows are its copies in the mix
     encoding        byte-level BPE ids, with counts and digests of both directions
 
 A stage works on all that the one before it kept. run() writes each stage's result to the shared folder and reads it
 back, so that a lost executor costs a stage's part at most. Nulls, empty texts, repeated rows and empty tables have
-the results that the operators state; rows without an id pass the second stage.
+the results that the operators state; rows without an id come after the others in the second stage.
 """
 
 from __future__ import annotations

@@ -38,6 +38,8 @@ PART, LEAST_PARTS = 10_000, 8
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 16
 EVEN = 0x5555555555555555
+#: A column for a text's digest while rows are told apart.
+DIGEST = "digest_of_text_"
 
 
 def _spans(text: bytes, size: int) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -68,16 +70,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the fingerprint of each row as a signed long."""
-    schema = T.StructType([df.schema[key], T.StructField("fp", T.LongType(), False)])
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
+    """(key, fp, more): the fingerprint of each row as a signed long, and other columns of it."""
+    schema = T.StructType([df.schema[key], T.StructField("fp", T.LongType(), False), *(df.schema[c] for c in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             values = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64)), *b.columns[2:]], names=schema.names)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text, *more).mapInArrow(run, schema)
 
 
 def embedding(fp: Column) -> Column:
@@ -203,29 +205,35 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -
 
 def components(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(key, fp, component): of each row its fingerprint and the smallest key that links reach."""
-    marked = materialize(fingerprints(df, key, text), "simhash")
+    return _grouped(df, key, text, distance).select(key, "fp", "component")
+
+
+def _grouped(df: DataFrame, key: str, text: str, distance: int, *more: str) -> DataFrame:
+    """(key, fp, more, root, component): components also by a fingerprint of theirs, as keys can be null or repeat."""
+    marked = materialize(fingerprints(df, key, text, *more), "simhash")
     # Later tables have at most a row a document: they are written in parts that follow that number, not the setting for shuffles.
     width = max(LEAST_PARTS, -(-marked.count() // PART))
     first = materialize(marked.groupBy("fp").agg(F.min(key).alias("first")).coalesce(width), "simhash-distinct")
     roots = connected_components(links(first.select("fp"), distance), width=width)
     linked = roots.join(first, roots.node == first.fp)
     smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
-    of_linked = roots.join(smallest, "root").select(F.col("node").alias("fp"), "least")
+    of_linked = roots.join(smallest, "root").select(F.col("node").alias("fp"), "root", "least")
     # Written out, so that both sides of the last join are plain shuffles and Spark can split a fingerprint that many rows share.
-    of_each = materialize(first.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component")).coalesce(width), "simhash-components")
-    return marked.join(of_each, "fp").select(key, "fp", "component")
+    of_each = materialize(first.join(of_linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component")).coalesce(width), "simhash-components")
+    return marked.join(of_each, "fp")
 
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that stay: of each component the one with the smallest key.
+    """The rows of df that stay: of each component the one with the smallest (key, nulls last, fingerprint, digest).
 
-    Rows that share a key count as copies of one document and one of them stays; rows without a key can't be
-    compared by key and stay.
+    Rows are told apart by key and text, so that a key on unlike texts loses none of them, and copies without a key
+    are copies. Of rows with one key and one text that with the smallest other columns stays.
     """
-    found = components(df, key, text)
-    keep = found.filter(F.col(key) == F.col("component")).select(key).distinct()
-    stay = df.join(keep, key, "left_semi").dropDuplicates([key])
-    return stay.select(df.columns).unionByName(df.filter(F.col(key).isNull()))
+    marked = df.withColumn(DIGEST, F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("")))
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "fp", F.col(DIGEST).alias("digest"))
+    best = _grouped(marked, key, text, DISTANCE, DIGEST).groupBy("root").agg(F.min(order).alias("b")).select("b.key", "b.digest")
+    stay = marked.join(best, marked[key].eqNullSafe(best["key"]) & (marked[DIGEST] == best["digest"]), "left_semi")
+    return stay.groupBy(key, DIGEST).agg(F.min(F.struct(*df.columns)).alias("row")).select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

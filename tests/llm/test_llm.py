@@ -316,6 +316,18 @@ def test_one_document_of_each_group_stays(spark, many):
     assert sum(r.doc_id is None for r in kept) == 1
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta eta theta iota kappa", "one two three four five six seven eight nine ten")
+    c, d = ("red orange yellow green blue indigo violet black white grey", "north south east west up down left right in out")
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, d), (None, c), (None, "x y z"), (None, "x y z"), (5, a)]
+    prints = {t: simhash.fingerprint(t) for _, t in rows}
+    assert min((x ^ y).bit_count() for t, x in prints.items() for u, y in prints.items() if t != u) > simhash.DISTANCE
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        got = sorted(((r.doc_id or 0), r.text) for r in simhash.near_dedup(df).collect())
+        assert got == sorted([(5, a), (3, b), (7, c), (7, d), (0, "x y z")])
+
+
 # Lattice
 
 
