@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 The tokenizers library runs over Arrow batches. The rank file gives the vocabulary; bytes are written as
-characters by the usual byte table, so that every byte string is a string of visible characters, and decoding
-reverses that table. Ids equal those of the tiktoken library with the same ranks and pattern.
+characters by the usual byte table, so that every byte string is a string of visible characters for the library. Decoding does
+not go back through that table: it joins the rank file's own token bytes, which are the same bytes. Ids equal those of the tiktoken library with the same ranks and pattern.
 
 Defined cases: a null text is an empty text (no ids, zero bytes); an id outside the vocabulary raises; bytes that
 end inside a character decode to exactly those bytes, and the text form shows U+FFFD there; repeated rows and
