@@ -1,26 +1,25 @@
 """Byte-level BPE encoding and decoding.
 
-The tokenizers library runs over Arrow batches. The rank file gives the vocabulary; bytes are written as
-characters by the usual byte table, so that every byte string is a string of visible characters for the library. Decoding does
-not go back through that table: it joins the rank file's own token bytes, which are the same bytes. Ids equal those of the tiktoken library with the same ranks and pattern.
+The tokenizers library runs over Arrow batches: its pre-tokenizer cuts texts by the pattern, its byte table writes
+bytes as visible characters, its model merges them by the ranks of the file, and it gives each token's offsets in
+characters. Decoding writes ids as the vocabulary's characters and reverses that table. Ids equal those of the tiktoken
+library with the same ranks and pattern.
 
 Defined cases: a null text is an empty text (no ids, zero bytes); an id outside the vocabulary raises; bytes that
-end inside a character decode to exactly those bytes, and the text form shows U+FFFD there; repeated rows and
-null ids of rows pass through unchanged; columns of the input stay, and an added column whose name the input
-has replaces nothing but raises.
+end inside a character decode to exactly those bytes, and the text form shows U+FFFD there; the offsets of tokens that
+share a character all hold that character; repeated rows and null keys of rows pass through unchanged; an empty table
+gives an empty result; columns of the input stay, and an added column whose name the input has raises. A text of over
+1 MB is cut where the pattern surely ends a piece, so that no task holds the tokens of a whole long text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import os
 import re
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,110 +60,81 @@ def merge_rules(ranks: dict[bytes, int]) -> tuple[dict[str, int], list[tuple[str
     return {text[t]: r for t, r in ranks.items()}, merges
 
 
-def tokenizer_json(ranks: dict[bytes, int], pattern: str | None) -> str:
-    """A definition of the whole tokenizer for the tokenizers library; without a pattern texts are one piece."""
-    vocab, merges = merge_rules(ranks)
-    split = pattern and {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Isolated", "invert": False}
-    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
-    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": True, "vocab": vocab, "merges": merges}
-    return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, byte_level] if split else [byte_level]}, "post_processor": None, "decoder": None, "model": model})
-
-
-def _members(known) -> str:
-    """The characters up to U+FFFF that a compiled one-character pattern matches, as ranges of a class."""
-    spans: list[list[int]] = []
-    for cp in (*range(0xD800), *range(0xE000, 0x10000)):
-        if known(chr(cp)):
-            if spans and spans[-1][1] == cp - 1:
-                spans[-1][1] = cp
-            else:
-                spans.append([cp, cp])
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans)
+#: Bytes of text, and ids, that a task turns at once; a longer text is cut where its pieces surely end.
+SLICE, IDS = 1 << 20, 500_000
+CUT = re.compile(r"(?<=\S) (?=[A-Za-z])")
 
 
-def piece_finder(pattern: str):
-    """A function from a text to its pieces.
+def parts(text: str, most: int = SLICE) -> list[tuple[int, str]]:
+    """(start, part) of a text, each of about `most` characters.
 
-    The standard library's matcher is twice as fast but has no Unicode properties: they are written out for it as
-    character ranges up to U+FFFF. Texts with characters beyond take the regex library.
+    A piece of the pattern never goes on over a space between a character that is none and a letter: such a space
+    starts a piece of its own. Where there is none, a part grows until there is one.
     """
-    import regex
-
-    full, out, inside, at = regex.compile(pattern), "", False, 0
-    while at < len(pattern):
-        m = regex.compile(r"\\p\{\w+\}|\\[sS]|\\.|.", regex.S).match(pattern, at)
-        token, at = m[0], m.end()
-        if token.startswith("\\p") or token in (r"\s", r"\S"):
-            members = _members(regex.compile(token.lower() if token == r"\S" else token).match)
-            if token == r"\S" and inside:
-                return full.findall
-            token = members if inside else f"[{'^' * (token == r'\S')}{members}]"
-        inside = (inside or token == "[") and token != "]"
-        out += token
-    fast, beyond = re.compile(out).findall, re.compile("[\U00010000-\U0010ffff]").search
-    return lambda text: full.findall(text) if beyond(text) else fast(text)
-
-
-#: Distinct pieces that a task remembers with their ids, and the longest of them in characters.
-REMEMBERED, LONGEST = 200_000, 48
-#: Bytes of text, and ids, that a task turns at once.
-SLICE, IDS = 1 << 20, 500_000
+    out, at = [], 0
+    while len(text) - at > most:
+        m = CUT.search(text, at + most)
+        if m is None:
+            break
+        out.append((at, text[at : m.start()]))
+        at = m.start()
+    return [*out, (at, text[at:])]
 
 
 class ByteBpe:
     """Encoder and decoder of one rank file, for use inside a task.
 
-    Ids alone come from the pieces that the pattern finds: the library sees each distinct piece once and a
-    dictionary repeats its ids. Offsets need the library's pass over whole texts.
+    The library's tokenizer cuts texts by the pattern, writes bytes as characters, merges, and gives each token's
+    offsets. Decoding writes ids as the vocabulary's characters and turns these back into bytes by the same table.
     """
 
     def __init__(self, content: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.definition, ranks = (content, pattern), read_ranks(content)
-        self.pieces, self.seen = piece_finder(pattern), {}
-        self.tokenize, self.of_text = self._model(ranks).tokenize, None
-        self.characters = dict(enumerate(byte_characters()))
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
-        self.known = np.zeros(len(self.bytes_of), dtype=bool)
-        self.known[list(ranks.values())] = True
-
-    @staticmethod
-    def _model(ranks: dict[bytes, int]):
-        """The library's model alone: a third of the memory that a whole tokenizer takes to build."""
+        from tokenizers import Regex, Tokenizer
         from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
-        vocab, merges = merge_rules(ranks)
-        return BPE(vocab=vocab, merges=merges, ignore_merges=True)
-
-    def _library(self, pattern: str | None):
-        from tokenizers import Tokenizer
+        vocab, merges = merge_rules(read_ranks(content))
+        # Built from its parts: a definition as JSON takes three times the memory.
+        self.tokenizer = Tokenizer(BPE(vocab=vocab, merges=merges, ignore_merges=True))
+        self.tokenizer.pre_tokenizer = Sequence([Split(Regex(pattern), "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokens = [""] * (max(vocab.values(), default=-1) + 1)
+        for token, rank in vocab.items():
+            self.tokens[rank] = token
+        self.byte_of = {ord(c): b for b, c in enumerate(byte_characters())}
 
-        return Tokenizer.from_str(tokenizer_json(read_ranks(self.definition[0]), pattern))
+    def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
+        """Ids and, of each, the first character that its bytes touch and the one after the last."""
+        cut = [parts(t) for t in texts]
+        coded = iter(self.tokenizer.encode_batch([x for row in cut for _, x in row], add_special_tokens=False))
+        out = []
+        for row in cut:
+            ids, spans = [], []
+            for start, _ in row:
+                e = next(coded)
+                ids += e.ids
+                spans += e.offsets if not start else [(a + start, b + start) for a, b in e.offsets]
+            out.append((ids, spans))
+        return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [self.pieces(t) for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = list({*chain.from_iterable(split)}.difference(self.seen))
-        visible = (p.encode().decode("latin-1").translate(self.characters) for p in new)
-        ids = {p: [t.id for t in self.tokenize(v)] for p, v in zip(new, visible, strict=True)}
-        self.seen.update((p, x) for p, x in ids.items() if len(p) <= LONGEST)
-        known = ChainMap(self.seen, ids) if any(len(p) > LONGEST for p in new) else self.seen
-        return [list(chain.from_iterable(map(known.__getitem__, row))) for row in split]
-
-    def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
-        """Ids and, of each, the first and the end character that its bytes touch."""
-        self.of_text = self.of_text or self._library(self.definition[1])
-        return [(e.ids, e.offsets) for e in self.of_text.encode_batch(texts, add_special_tokens=False)]
+        return [ids for ids, _ in self.encode_with_offsets(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids):
-            at = np.asarray(ids)
-            if at.min() < 0 or at.max() >= len(self.known) or not self.known[at].all():
-                raise ValueError("an id is not in the vocabulary")
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        if len(ids) and min(ids) < 0:
+            raise ValueError("an id is not in the vocabulary")
+        try:
+            found = list(map(self.tokens.__getitem__, ids))
+        except IndexError:
+            raise ValueError("an id is not in the vocabulary") from None
+        if not all(found):
+            raise ValueError("an id is not in the vocabulary")
+        return "".join(found).translate(self.byte_of).encode("latin-1")
+
+
+def inside_characters(spans: list[tuple[int, int]]) -> int:
+    """How many borders between tokens lie inside a character."""
+    return sum(end > start for (_, end), (start, _) in zip(spans, spans[1:], strict=False))
 
 
 @lru_cache(maxsize=2)
@@ -198,14 +168,10 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str | N
         coder = _coder(*shared.value)
         for b in slices(batches, text, SLICE):
             texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            found = coder.encode_with_offsets(texts)
+            added = [_lists([x for x, _ in found])]
             if offsets:
-                found = coder.encode_with_offsets(texts)
-                rows, spans = [x for x, _ in found], [[{"start": a, "end": e} for a, e in y] for _, y in found]
-            else:
-                rows = coder.encode(texts)
-            added = [_lists(rows)]
-            if offsets:
-                added.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+                added.append(pa.array([[{"start": a, "end": e} for a, e in y] for _, y in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=schema.names)
 
     return df.mapInArrow(run, schema)
@@ -220,8 +186,10 @@ def _lists(rows: list[list[int]]) -> pa.Array:
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """df (or its columns `keep`) with the bytes that each row's ids stand for; null ids give no bytes."""
+    keep = list(keep if keep is not None else df.columns)
+    if decoded.lower() in {c.lower() for c in keep}:
+        raise ValueError(f"the input has a column named {decoded}")
     shared = _vocabulary(df.sparkSession, ranks, pattern)
-    keep = [c for c in (keep if keep is not None else df.columns)]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,19 +213,23 @@ def decoded_text(decoded: bytes) -> str:
 def round_trip(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode each text; one row per row, with counts and digests of both directions.
 
+    n_characters is the end of the last token's offsets, n_split how many borders of tokens lie inside a character.
     Both directions run in one pass over small slices, so that no list of ids leaves its task.
     """
     shared = _vocabulary(df.sparkSession, None, None)
-    schema = T.StructType([df.schema[id_column], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    long, string = T.LongType(), T.StringType()
+    schema = T.StructType([df.schema[id_column], *(T.StructField(n, t) for n, t in (("n_tokens", long), ("ids_sha256", string), ("decoded_sha256", string), ("n_characters", long), ("n_split", long)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(*shared.value)
-        number = [str(i) for i in range(len(coder.bytes_of))].__getitem__
+        number = [str(i) for i in range(len(coder.tokens))].__getitem__
         for b in slices(batches, text, SLICE):
-            rows = coder.encode([t or "" for t in b.column(1).to_pylist()])
+            found = coder.encode_with_offsets([t or "" for t in b.column(1).to_pylist()])
+            rows, spans = [x for x, _ in found], [y for _, y in found]
             listed = [hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest() for ids in rows]
             decoded = [hashlib.sha256(coder.decode(ids)).hexdigest() for ids in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, rows)), pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
+            ends = [y[-1][1] if y else 0 for y in spans]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, rows)), pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string()), pa.array(ends, pa.int64()), pa.array(list(map(inside_characters, spans)), pa.int64())], names=schema.names)
 
     return df.select(id_column, text).mapInArrow(run, schema)
 
