@@ -41,6 +41,13 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or root
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The full address of a folder, with the scheme that Spark's default file system adds where there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file:///") else full
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors and cuts the plan."""
     shared_root(df.sparkSession)
