@@ -4,21 +4,27 @@ Writing: each partition becomes one archive of gzip members, one member a record
 one response, that with the smallest page id; the others are revisits, which keep the response headers and the
 payload's digest and name the response.
 
-Reading: an archive is cut into byte ranges without looking into it. A task scans its range for the gzip magic,
-takes a place for a member only if it decodes to a WARC version line, and owns the records that start inside its
-range; the last one may end beyond it. So each record is read once, whatever the cuts.
+Reading: an archive is cut into byte ranges without looking into it, and the ranges are dealt evenly over tasks. A task
+scans its range for the gzip magic, takes a place for a member only if it decodes to a whole block of WARC headers
+(version line, type, id, date, length), and owns the records that start inside its range; the last one may end beyond
+it. So each record is read once, whatever the cuts. Behind a record the next one must start, or the file ends. A file is
+read forward through one window, so that a range costs its own bytes and the rest of its last record.
 
-Files go through pyarrow's file systems, in the shared folder or any folder that all executors see. A writing task
-that is run again puts the same bytes in the same place.
+Files go through pyarrow's file systems by a full address, which Spark's own file systems give for a folder, so that
+a path without a scheme means the same folder to all. A writing task that is run again puts the same bytes in the
+same place.
 
 Defined cases: a null payload is an empty payload and counts as equal to other empty ones; a null url is written
 without a target; a null page id is never the smallest while another is there, and of equal payloads without any
-id all are responses; rows that share the smallest id are all responses; an empty table gives no records.
+id all are responses; rows that share the smallest id are all responses, other repeated rows revisit; an empty table
+gives no records; columns besides key, url and payload are not written, so that their names cannot clash. A record that
+is cut off, does not decompress or is not as long as its headers say raises ValueError.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import uuid
 import zlib
@@ -31,10 +37,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratia.llm.common import slices, table
-from stratia.session import materialize, shared_root
+from stratia.llm.common import fresh, slices, table
+from stratia.session import materialize, qualified, shared_root
 
-MAGIC, VERSION, SPLIT, PROBE, LEVEL = b"\x1f\x8b\x08", b"WARC/1.1\r\n", 8 << 20, 4096, 6
+MAGIC, VERSION, SPLIT, LEVEL = b"\x1f\x8b\x08", b"WARC/1.1\r\n", 8 << 20, 6
+#: Bytes that are read at once, bytes of a candidate that are unpacked at once, and the longest block of headers.
+WINDOW, PROBE, HEADERS = 1 << 18, 1 << 12, 1 << 16
+#: Tasks that read archives.
+MOST_TASKS = 100_000
+#: Fields without which a block of headers is not a record's.
+NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 PREFIX, DATE = "urn:page:", "2020-01-01T00:00:00Z"
 
 
@@ -67,20 +79,24 @@ def with_responses(pages: DataFrame, key: str, payload: str, least_bytes: int =
     Only (digest, key) pairs are grouped; the rows themselves meet that small table by their digest, in a join whose
     large side Spark may split where many rows share a payload.
     """
-    marked = pages.withColumn("digest_", F.sha2(F.coalesce(F.col(payload), F.lit("")).cast("binary"), 256))
+    if "refers_to" in {c.lower() for c in pages.columns}:
+        raise ValueError("the input has a column named refers_to")
+    digest, first, n = fresh(pages, "digest_", "first_", "n_")
+    marked = pages.withColumn(digest, F.sha2(F.coalesce(F.col(payload), F.lit("")).cast("binary"), 256))
     long_enough = F.coalesce(F.octet_length(payload), F.lit(0)) >= least_bytes
-    first = marked.filter(long_enough).groupBy("digest_").agg(F.min(key).alias("first_"), F.count("*").alias("n_")).filter("n_ > 1").select("digest_", "first_")
-    joined = marked.join(first, "digest_", "left")
-    same = F.coalesce(F.col(key) == F.col("first_"), F.lit(False))
-    return joined.withColumn("refers_to", F.when(~same, F.col("first_"))).drop("digest_", "first_")
+    firsts = marked.filter(long_enough).groupBy(digest).agg(F.min(key).alias(first), F.count("*").alias(n)).filter(F.col(n) > 1).select(digest, first)
+    joined = marked.join(firsts, digest, "left")
+    same = F.coalesce(F.col(key) == F.col(first), F.lit(False))
+    return joined.withColumn("refers_to", F.when(~same, F.col(first))).drop(digest, first)
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write one archive a partition into the folder; (path, length, records) of each."""
     rows = with_responses(pages.select(key, url, payload), key, payload, least_bytes).select(key, url, payload, "refers_to")
+    folder = qualified(pages.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs, base = pafs.FileSystem.from_uri(folder)
         context = TaskContext.get()
         part, n, out = f"{base}/part-{context.partitionId():06d}.warc.gz", 0, None
         trial = f"{base}/_{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex}"
@@ -97,90 +113,161 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             fs.move(trial, part)
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([length], pa.int64()), pa.array([n], pa.int64())], names=["path", "length", "records"])
 
-    if folder.startswith("file:") or "://" not in folder:
-        fs, base = pafs.FileSystem.from_uri(folder) if folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
-    else:
-        fs, base = pafs.FileSystem.from_uri(folder)
+    fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     return rows.mapInArrow(run, "path string, length long, records long")
 
 
-class _Member:
-    """A member that starts in a task's range: its decoded start, and the rest on demand."""
+class _Window:
+    """A file's bytes from one place on, read forward; what lies behind is dropped."""
 
-    def __init__(self, file, at: int, size: int):
-        self.file, self.at, self.size = file, at, size
+    def __init__(self, file, at: int):
+        self.file, self.start, self.held = file, at, bytearray()
+        file.seek(at)
 
-    def decode(self, most: int | None = None) -> bytes | None:
-        """All decoded bytes, or up to `most` of them; None if this is no member."""
-        unpack, out, got, at = zlib.decompressobj(31), [], 0, self.at
-        step = PROBE if most else 1 << 18
+    def upto(self, end: int) -> None:
+        """Hold the bytes up to `end`, or to the end of the file."""
+        while (short := end - self.start - len(self.held)) > 0:
+            data = self.file.read(max(WINDOW, short))
+            if not data:
+                return
+            self.held += data
+
+    def bytes(self, at: int, n: int) -> bytes:
+        self.upto(at + n)
+        return bytes(self.held[at - self.start : at - self.start + n])
+
+    def find(self, mark: bytes, at: int, end: int) -> int:
+        """The first place in [at, end) where mark starts, or -1."""
+        while at < end:
+            self.upto(at + len(mark))
+            stop = min(end + len(mark) - 1, self.start + len(self.held))
+            found = self.held.find(mark, at - self.start, stop - self.start)
+            if found >= 0:
+                return self.start + found
+            if stop - at < len(mark):
+                return -1
+            at = stop - len(mark) + 1
+            self.drop(at)
+        return -1
+
+    def drop(self, at: int) -> None:
+        del self.held[: max(0, at - self.start)]
+        self.start = max(self.start, at)
+
+
+def header_fields(head: bytes) -> dict[str, str] | None:
+    """The fields, by lower-case name, of a record's header lines; None if they are no WARC headers."""
+    if not head.startswith(b"WARC/1."):
+        return None
+    try:
+        lines = head.decode().split("\r\n")[1:]
+        fields = {name.lower(): value.strip() for name, value in (line.split(":", 1) for line in lines)}
+    except ValueError:  # no text, or a line without a colon
+        return None
+    return fields if all(fields.get(name) for name in NEEDED) and fields["content-length"].isdigit() else None
+
+
+def _starts_record(data: bytes) -> bool:
+    """Whether the first bytes that decode are a record's headers, whatever follows."""
+    unpack, out = zlib.decompressobj(31), b""
+    with contextlib.suppress(zlib.error):
+        for at in range(0, len(data), 16):
+            out += unpack.decompress(data[at : at + 16])
+    head, blank, _ = out.partition(b"\r\n\r\n")
+    return bool(blank) and header_fields(head) is not None
+
+
+def member(window: _Window, at: int) -> tuple[bytes, int] | None:
+    """(decoded record, the place behind it) of the member at a place; None if no WARC headers decode there."""
+    unpack, out, place, known = zlib.decompressobj(31), bytearray(), at, None
+    step = PROBE
+    while not unpack.eof:
+        data = window.bytes(place, step)
+        if not data:
+            break
+        if known:
+            window.drop(place)  # all but this piece, in which the member may end
+        step = min(2 * step, WINDOW)
         try:
-            while not unpack.eof and at < self.size and (most is None or got < most):
-                self.file.seek(at)
-                data = self.file.read(step)
-                at += len(data)
-                out.append(unpack.decompress(data))
-                got += len(out[-1])
-        except zlib.error:
+            out += unpack.decompress(data)
+        except zlib.error as e:
+            if known or _starts_record(window.bytes(at, PROBE)):
+                raise ValueError(f"a record at byte {at} is damaged: {e}") from None
             return None
-        if most is None and not unpack.eof:
-            raise ValueError(f"a record at byte {self.at} is cut off")
-        self.end = at - len(unpack.unused_data)
-        return b"".join(out)
+        place += len(data)
+        if not known:
+            end = out.find(b"\r\n\r\n")
+            if end >= 0 or unpack.eof or len(out) > HEADERS:
+                known = header_fields(bytes(out[:end])) if end >= 0 else None
+                if known is None:
+                    return None
+    if not known:
+        return None
+    if not unpack.eof:
+        raise ValueError(f"a record at byte {at} is cut off")
+    if len(out) != end + 4 + int(known["content-length"]) + 4:
+        raise ValueError(f"a record at byte {at} is not as long as its headers say")
+    return bytes(out), place - len(unpack.unused_data)
 
 
 def records(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, decoded record) of the records that start in [start, end) of a file."""
-    at = start
-    while at < end:
-        file.seek(at)
-        window = file.read(min(1 << 20, end - at) + len(MAGIC) - 1)
-        found = window.find(MAGIC)
-        if found < 0:
-            at += max(1, len(window) - len(MAGIC) + 1)
-            continue
-        at += found
-        if at >= end:
-            return
-        member = _Member(file, at, size)
-        head = member.decode(len(VERSION))
-        if head is None or not head.startswith(b"WARC/1."):
+    window, at, behind = _Window(file, start), start, start == 0
+    while at < min(end, size):
+        if not behind:
+            at = window.find(MAGIC, at, end)
+            if at < 0:
+                return
+        window.drop(at)
+        found = member(window, at)
+        if found is None and behind:
+            raise ValueError(f"no record starts at byte {at}")
+        if found is None:
             at += 1  # the magic's bytes inside compressed data
             continue
-        if (whole := member.decode()) is None:
-            raise ValueError(f"a record at byte {at} is damaged")
-        yield at, whole
-        at = member.end
+        yield at, found[0]
+        at, behind = found[1], True
+
+
+def _page(name: str | None) -> int | None:
+    """The page id in a record's name; None for other names."""
+    number = (name or "").strip("<>").removeprefix(PREFIX)
+    return int(number) if number.lstrip("-").isdigit() else None
 
 
 def parse(whole: bytes) -> dict:
     """Type, ids, url, digest, the payload of a response and the payload's length of either kind."""
     head, _, rest = whole.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    body = rest[: int(fields["Content-Length"])]
+    fields = header_fields(head)
+    body = rest[: int(fields["content-length"])]
     http, _, payload = body.partition(b"\r\n\r\n")
-    sent = dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])
-    number = lambda name: None if (v := fields.get(name, "none").strip("<>").removeprefix(PREFIX)) == "none" else int(v)
-    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    if kind == "response" and payload_digest(payload) != digest:
+    sent = dict((name.lower(), value.strip()) for name, colon, value in (line.partition(":") for line in http.decode("latin-1").split("\r\n")[1:]) if colon)
+    kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    if kind == "response" and digest and payload_digest(payload) != digest:
         raise ValueError("a payload's digest differs from its record's")
-    return {"page_id": number("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "payload": payload if kind == "response" else None, "payload_bytes": int(sent["Content-Length"]), "payload_digest": digest, "record_type": kind, "refers_to": number("WARC-Refers-To")}
+    size = int(sent["content-length"]) if kind == "revisit" and sent.get("content-length", "").isdigit() else len(payload)
+    return {"page_id": _page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": _page(fields.get("warc-refers-to"))}
 
 
 READ = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
 def read(files: DataFrame, folder: str, split: int = SPLIT, payloads: bool = True) -> DataFrame:
-    """One row a record of the given archives (path, length), each file read in ranges of `split` bytes."""
+    """One row a record of the given archives (path, length), each file read in ranges of `split` bytes.
+
+    There are as many tasks as ranges, up to MOST_TASKS; beyond that a task reads several, one after the other.
+    """
+    folder = qualified(files.sparkSession, folder)
+    many = files.agg(F.sum(F.ceil(F.col("length") / split)).alias("n")).first()["n"] or 1
     fields = [f for f in READ if payloads or f.name != "payload"]
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.xxhash64("path", "start"))
+    ranges = ranges.repartitionByRange(int(max(1, min(many, MOST_TASKS))), "path", "start")
     kinds = {pa.string(): T.StringType(), pa.int64(): T.LongType(), pa.binary(): T.BinaryType()}
     schema = T.StructType([T.StructField(f.name, kinds[f.type]) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs = pafs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else pafs.LocalFileSystem()
+        fs = pafs.FileSystem.from_uri(folder)[0]
         for b in batches:
             for path, size, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 with fs.open_input_file(path) as file:

@@ -218,6 +218,50 @@ def test_damage_is_reported():
         list(warc.records(io.BytesIO(data[:-20]), len(data) - 20, 0, len(data) - 20))
 
 
+class _Counting(io.BytesIO):
+    """A file that counts the bytes that are read."""
+
+    total = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.total += len(data)
+        return data
+
+
+def test_ranges_read_little_more_than_their_bytes():
+    rng = random.Random(8)
+    members = []
+    for i in range(3000):
+        payload = bytes(rng.randrange(256) for _ in range(rng.randrange(400)))
+        members.append(warc.record(i, None, payload, warc.payload_digest(payload), None))
+    data = b"".join(members)
+    file, found = _Counting(data), []
+    for at in range(0, len(data), len(data) // 4):
+        found += [warc.parse(w)["page_id"] for _, w in warc.records(file, len(data), at, min(at + len(data) // 4, len(data)))]
+    assert found == list(range(3000)) and file.total < 1.5 * len(data) + 8 * warc.WINDOW
+
+
+def test_candidates_need_whole_headers_and_records_their_length():
+    lone = warc._gzip(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length")
+    good = warc.record(7, "u", b"x" * 50, warc.payload_digest(b"x" * 50), None)
+    assert [at for at, _ in warc.records(io.BytesIO(lone + good), len(lone + good), 1, len(lone + good))] == [len(lone)]
+    with pytest.raises(ValueError, match="no record starts"):
+        list(warc.records(io.BytesIO(good + b"junk"), len(good) + 4, 0, len(good) + 4))
+    short = warc._gzip(b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Record-ID: <a>\r\nWARC-Date: d\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")
+    with pytest.raises(ValueError, match="not as long"):
+        list(warc.records(io.BytesIO(short), len(short), 0, len(short)))
+    with pytest.raises(ValueError, match="damaged"):
+        list(warc.records(io.BytesIO(good[:-6] + b"\0\0" + good[-4:]), len(good), 0, len(good)))
+
+
+def test_archives_keep_clashing_names_apart(spark):
+    pages = spark.createDataFrame([(1, "u", "ab", 5), (2, "u", "ab", 6)], PAGES + ", digest_ int")
+    assert {(r.page_id, r.digest_, r.refers_to) for r in warc.with_responses(pages, "page_id", "html").collect()} == {(1, 5, None), (2, 6, 1)}
+    with pytest.raises(ValueError, match="refers_to"):
+        warc.with_responses(pages.withColumnRenamed("digest_", "refers_to"), "page_id", "html")
+
+
 def test_small_payloads_can_all_be_responses(spark):
     rows = warc.with_responses(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], PAGES), "page_id", "html", 3).collect()
     assert all(r.refers_to is None for r in rows)
@@ -388,6 +432,10 @@ def test_ids_equal_tiktoken_and_decode_back(spark, many):
         text = r.text or ""
         assert r.ids == e.encode_ordinary(text) and bytes(r.decoded).decode() == text and len(r.offsets) == len(r.ids)
         assert all(text[o.start : o.end].encode().find(e.decode_single_token_bytes(i)) >= 0 for i, o in zip(r.ids, r.offsets, strict=True))
+    for r in bpe.round_trip(many).collect():
+        text = {str(x.doc_id): x.text or "" for x in back}[str(r.doc_id)]
+        ids = e.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.n_characters) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), len(text))
     plain = bpe.encode(many).select("doc_id", "ids").collect()
     assert sorted((str(r.doc_id), r.ids) for r in plain) == sorted((str(r.doc_id), r.ids) for r in back)
     assert bpe.round_trip(empty(spark)).count() == 0
@@ -401,11 +449,26 @@ def test_split_characters(spark):
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
         coder = bpe.ByteBpe(f.read(), P.PATTERN)
     (ids,) = coder.encode(["🙂"])
+    ((_, spans),) = coder.encode_with_offsets(["a🙂"])
+    assert spans == [(0, 1), *[(1, 2)] * len(ids)] and bpe.inside_characters(spans) == len(ids) - 1
     assert len(ids) > 1 and coder.decode(ids) == "🙂".encode() and bpe.decoded_text(coder.decode(ids[:1])) == "�"
     with pytest.raises(ValueError):
         coder.decode([60_000])
 
 
+def test_long_texts_are_cut_where_pieces_end(monkeypatch):
+    import public_tokenizers as P
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        coder = bpe.ByteBpe(f.read(), P.PATTERN)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["it's", " ", "  ", "\n", "a", " b", "9", "é", " 漢", "🙂", ".", " ,"]) for _ in range(3000)), "x" * 500, " " * 500]
+    whole = coder.encode_with_offsets(texts)
+    cut = bpe.parts
+    monkeypatch.setattr(bpe, "parts", lambda t: cut(t, 40))
+    assert len(bpe.parts(texts[0])) > 20 and coder.encode_with_offsets(texts) == whole
+
+
 # Nearest neighbours
 
 
