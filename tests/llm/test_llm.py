@@ -138,12 +138,158 @@ def test_surrogates_are_distinct_and_keyed(spark):
     assert len(set(a)) == len(a) == 700 and sum(x == y for x, y in zip(a, b, strict=True)) == 0
 
 
-def test_colliding_kinds_are_salted_anew(spark, monkeypatch):
-    monkeypatch.setattr(pii, "_surname", lambda word, salt, syllables: F.substring(pii._letters(pii._hash(salt, word)), 1, syllables - 5))
-    known = spark.createDataFrame([("name", f"n{i}") for i in range(40)], "kind string, canon string")
-    found = pii.salts(known, "k")
-    made = known.select(pii.Surrogates("k", found).of(F.col("kind"), F.col("canon")).alias("x"))
-    assert found["name"] > 0 and made.distinct().count() == 40
+class PlainSurrogates:
+    """The surrogates in plain Python, from the module's fixed values and the docstring's rules; level 0 for all."""
+
+    def __init__(self, key):
+        import regex
+
+        # Classes of Java's patterns are ASCII.
+        out, inside, at = "", False, 0
+        while at < len(pii.ENTITY):
+            c = pii.ENTITY[at : at + 2] if pii.ENTITY[at] == "\\" else pii.ENTITY[at]
+            plain = {"\\d": "0-9", "\\w": "A-Za-z0-9_"}.get(c)
+            inside = (inside or c == "[") and c != "]"
+            out, at = out + (c if plain is None else plain if inside else f"[{plain}]"), at + len(c)
+        self.key, self.entity = key, regex.compile(out)
+
+    @staticmethod
+    def hash(*parts):
+        return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+
+    def cycle(self, left, right, a, b, salt):
+        number = lambda i, x: int(self.hash(salt, i, x)[:15], 16)
+        for i in range(1, 7):
+            left, right = ((left + number(i, right)) % a, right) if i % 2 else (left, (right + number(i, left)) % b)
+        value = (left * b + right + 1) % (a * b)
+        left, right = divmod(value, b)
+        for i in range(6, 0, -1):
+            left, right = ((left - number(i, right)) % a, right) if i % 2 else (left, (right - number(i, left)) % b)
+        return left, right
+
+    def digits(self, text, salt):
+        n = len(text)
+        a, b = n // 2, n - n // 2
+        left, right = self.cycle(int(text[:a] or 0), int(text[a:]), 10**a, 10**b, f"{salt}|{n}")
+        return (f"{left:0{a}d}" if a else "") + f"{right:0{b}d}"
+
+    def spelled(self, word, salt, n):
+        first, second = pii.SYLLABLES[self.script(word)]
+        seed = self.hash(salt, word)
+        places = [int(seed[2 * i : 2 * i + 2], 16) % 32 for i in range(n)]
+        return "".join(first[p // 4] + second[p % 4] for p in places)
+
+    @staticmethod
+    def script(word):
+        return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "greek" if any("Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" for c in word) else "latin"
+
+    def word(self, role, word):
+        salt, script = f"{self.key}|{role}", self.script(word)
+        if role == "surname":
+            return self.spelled(word, salt, 6) + ("" if script != "cyrillic" else "ова" if word[-1] in "ая" else "ов")
+        return self.spelled(word, salt, 4) + pii.ENDINGS[script][role[-1]]
+
+    def name(self, mention):
+        words, listed = mention.split(" "), {}
+        for (gender, script), names in pii.GIVEN.items():
+            order = sorted(names, key=lambda n: self.hash(self.key, gender, script, n))
+            listed |= {n: order[(i + 1) % len(order)] for i, n in enumerate(order)}
+        title, out = pii.TITLED.get(words[0]), []
+        for i, w in enumerate(words):
+            low, cased = w.lower(), (str.upper if w.upper() == w and len(w) > 1 else str.capitalize)
+            if i == 0 and title is not None:
+                out.append(w)
+            elif len(w) == 2 and w[0].isupper() and w[1] == ".":
+                out.append(self.spelled(low, f"{self.key}|initial", 1)[0].upper() + ".")
+            elif w in listed and i < len(words) - 1:
+                out.append(listed[w])
+            elif i == (title is not None) and i < len(words) - 1:
+                suggested = "f" if low[-1] in "aeаяαη" or low.endswith(("ie", "ία")) else "m"
+                out.append(cased(self.word(f"given-{title or suggested}", low)))
+            else:
+                out.append(cased(self.word("surname", low)))
+        return " ".join(out)
+
+    def shaped(self, text, seed):
+        letter = dict(zip("0123456789abcdef", "abdefgiklmnoprst", strict=True))
+        digit = lambda c: str("abcdef".index(c)) if c in "abcdef" else c
+        return "".join(letter[seed[i % 64]] if c.isalpha() else digit(seed[i % 64]) if c in "0123456789" else c for i, c in enumerate(text))
+
+    def mention(self, m):
+        only = "".join(c for c in m if c in "0123456789")
+
+        def fill(new):
+            left = iter(new)
+            return "".join(next(left) if c in "0123456789" else c for c in m)
+
+        import re
+
+        upper = str.upper if m.upper() == m and m.lower() != m else str
+        if "@" in m:
+            local, domain = m.lower().rsplit("@", 1)
+            front, last = domain.rsplit(".", 1)
+            seed, other = self.hash(f"{self.key}|email|0", m.lower()), self.hash(f"{self.key}|email", "@" + domain)
+            return upper(self.shaped(local, seed) + "".join("abdefgiklmnoprst"[int(c, 16)] for c in seed[40:52]) + "@" + self.shaped(front, other) + "." + last)
+        if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", m):
+            o = [int(x) for x in m.split(".")]
+            left, right = self.cycle(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, f"{self.key}|ip")
+            return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+        if re.match(r"[+(]|[0-9]{3}([.\- ])[0-9]{3}\1[0-9]{4}$", m):
+            spelled = re.match(r"\+([0-9]{1,3})[ .\-(]", m)
+            code = spelled[1] if spelled else "1" if len(only) == 11 and m.startswith("+1") else ""
+            return fill(code + self.digits(only[len(code) :], f"{self.key}|phone|{code}"))
+        if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", m):
+            return fill(self.digits(only, f"{self.key}|ssn"))
+        if re.fullmatch(r"[0-9]{13,19}|[0-9]{4}[ \-].*", m):
+            luhn = lambda d: sum(x - 9 * (x > 9) for x in (int(c) * (1 + i % 2) for i, c in enumerate(d[::-1])))
+            front = self.digits(only[:-1], f"{self.key}|card")
+            return fill(front + str((luhn(only) - luhn(front + "0")) % 10))
+        if re.fullmatch("[0-9A-Fa-f]{32,64}", m):
+            return upper((self.hash(f"{self.key}|secret|0", m.lower()) + self.hash(f"{self.key}|secret|0", m.lower(), "2"))[: len(m)])
+        return self.name(m)
+
+    def text(self, t):
+        return None if t is None else self.entity.sub(lambda m: self.mention(m[0]), t)
+
+
+def test_surrogates_equal_a_plain_version_on_a_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = ["Dr. J. Smith, Mrs. Zelda Fitz-Roy and MR. NO; Ms Anna Q. Bell", "555.123.4567 or 555 123 4567, (555) 123 4567 not 1.555.123.4567", "3782 822463 10005; 4111-1111-1111-1112 1234567890123", "Госпожа Анфиса Петрова, Κύριος Φίλιππος Παπαδόπουλος", "a@b.co A.B@c-d.example.org 10.0.0.1 " + "AB" * 20, "00000 999-99-9999 +44 20 7946 0958"]
+    d = d.union(docs(spark, extra).select(F.col("doc_id") + 10**6, "text"))
+    plain, changed = PlainSurrogates(pii.KEY), 0
+    texts = {r.doc_id: r.text for r in d.collect()}
+    for r in pii.pseudonymise(d).collect():
+        assert r.text == plain.text(texts[r.doc_id]), texts[r.doc_id]
+        changed += r.text != texts[r.doc_id]
+    assert changed >= 15
+
+
+def test_dense_phones_settle(spark):
+    """Fifty full ranges of four digits: each code's numbers are a permutation without fixed points."""
+    codes = [f"+{c}" for c in range(210, 260)]
+    rows = spark.range(50 * 10_000).select(F.col("id").alias("doc_id"), F.concat(F.element_at(F.array(*map(F.lit, codes)), (F.col("id") / 10_000).cast("int") + 1), F.lit(" "), F.lpad((F.col("id") % 10_000).cast("string"), 4, "0")).alias("canon"))
+    known = rows.select(F.lit("phone").alias("kind"), F.concat(F.substring("canon", 2, 3), F.lit("|"), F.substring("canon", 6, 4)).alias("canon"))
+    made = pii.settle(known, "k")
+    got = known.withColumn("new", made.of(F.col("kind"), F.col("canon"))).agg(F.countDistinct("new").alias("n"), F.count_if(F.col("new") == F.col("canon")).alias("kept")).first()
+    assert (got.n, got.kept) == (500_000, 0)
+
+
+@pytest.mark.parametrize("bound", [2000, 3])
+def test_colliding_names_are_settled_alone(spark, monkeypatch, bound):
+    monkeypatch.setattr(pii, "_surname", lambda word, salt, level: F.concat(F.substring(pii._letters(pii._hash(salt, word)), F.lit(1), 1 + level)))
+    monkeypatch.setattr(pii, "EXCEPTIONS", bound)
+    known = spark.createDataFrame([("surname", f"n{i}") for i in range(40)] + [("surname", "a")], "kind string, canon string")
+    found = pii.settle(known, "k")
+    made = known.select("canon", found.of(F.col("kind"), F.col("canon")).alias("x")).collect()
+    assert len({r.x for r in made}) == 41 and not {r.x for r in made} & {r.canon for r in made}
+    assert bool(found.levels["surname"]) == (bound == 3) and max(Counter(k for k, _ in found.own).values(), default=0) <= bound
+
+
+def test_gender_follows_title_list_or_ending(spark):
+    got = [r.text for r in pii.pseudonymise(docs(spark, ["Mrs. Zorblat Quux", "Mr. Zorblat Quux", "Dr. Zorblata Quux", "Mr. Peter Quux", "Peter Quux"])).orderBy("doc_id").collect()]
+    first = [t.replace("Mrs. ", "").replace("Mr. ", "").replace("Dr. ", "").split(" ")[0] for t in got]
+    assert first[0].endswith("a") and first[1].endswith("n") and first[2].endswith("a") and first[3] == first[4] in pii.GIVEN["m", "latin"]
+    assert len({t.split(" ")[-1] for t in got}) == 1
 
 
 def test_pii_edge_cases(spark, many):
