@@ -1,12 +1,18 @@
 """FLAC media columns: mono streams of up to 16 bits, encoded and decoded in bulk.
 
-Encoding: fixed predictors of order 0 to 2, Rice residuals, constant and verbatim blocks, a seek point for each
-block. Decoding: constant, verbatim, fixed (0 to 4) and linear predictors, Rice partitions with escapes, CRC-8 of
-headers, CRC-16 of frames, MD5 of the samples. A task works on the frames of many streams in step: sample i of all
-frames at once, so that the serial nature of Rice codes costs one array operation per sample position.
+Encoding: of each block the cheapest of constant, verbatim, fixed predictors of order 0 to 2 and linear prediction of
+order LPC, with Rice residuals and a seek point for each block. Decoding: constant, verbatim, fixed (0 to 4) and linear
+predictors, Rice partitions with escapes, CRC-8 of headers, CRC-16 of frames, MD5 of the samples. A task works on the
+frames of many streams in step: sample i of all frames at once, so that the serial nature of Rice codes and of linear
+prediction costs a few array operations per sample position.
+
+Decoded samples are PCM blocks: (first_sample, n_samples, pcm), where first_sample is the offset by which a range of
+samples is found.
 
 Defined cases: a null payload is an empty payload; a stream without samples decodes to no blocks; a damaged
-stream (checksum, marker or length) raises ValueError naming the fault; stereo and more than 16 bits raise too.
+stream (checksum, marker or length) raises ValueError naming the fault; stereo and more than 16 bits raise too. Payloads
+of any length are cut into blocks of at most BLOCK samples; repeated rows give equal streams; an empty table gives an
+empty result; an added column whose name the input has raises.
 """
 
 from __future__ import annotations
@@ -22,9 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratia.llm.common import slices, table
+from stratia.llm.common import fresh, slices, table
+from stratia.session import materialize
 
 BLOCK, RATE, SLICE = 4096, 8000, 1 << 20
+#: Order, bits and shift of linear prediction: coefficients are multiples of 2**-SHIFT.
+LPC, PRECISION, SHIFT = 4, 8, 5
 #: Binomial signs of the fixed predictors' differences.
 DIFFERENCES = [[1], [1, -1], [1, -2, 1], [1, -3, 3, -1], [1, -4, 6, -4, 1]]
 
@@ -113,24 +122,34 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     start, owner = _segments(length)
     inside = np.arange(len(x)) - start[owner]
     best = order = residual = None
-    for o in range(3):
+    linear, weights = np.zeros(len(length), bool), _predictors(x, start, owner, inside, length)
+    for o in (0, 1, 2, LPC):
         r = np.zeros_like(x)
-        for i, c in enumerate(DIFFERENCES[o]):
+        for i, c in enumerate(DIFFERENCES[o] if o < LPC else [1]):
             r[o:] += c * x[o - i : len(x) - i]
+        if o == LPC:
+            said = np.zeros_like(x)
+            for i in range(LPC):
+                said[o:] += weights[owner[o:], i] * x[o - 1 - i : len(x) - 1 - i]
+            r -= said >> SHIFT
         r[inside < o] = 0
-        cost = np.add.reduceat(np.abs(r), start) + 8 * o
+        # About the bits of a Rice code with the best parameter, and what the predictor itself takes.
+        mean = np.add.reduceat(np.abs(r), start) / length
+        cost = length * np.log2(mean + 0.5) + 8 * o + (9 + PRECISION * LPC) * (o == LPC)
         if o == 0:
             best, order, residual = cost, np.zeros(len(length), np.int64), r
         else:
             better = (cost < best) & (length > o)
             best, order = np.where(better, cost, best), np.where(better, o, order)
             residual = np.where(better[owner], r, residual)
+            linear = better if o == LPC else linear
     coded = inside >= order[owner]
     z = (residual << 1) ^ (residual >> 31)
     mean = np.add.reduceat(np.where(coded, z, 0), start) / np.maximum(length - order, 1)
     k = np.clip(np.ceil(np.log2(np.maximum(mean * 0.6931, 1e-9))), 0, 14).astype(np.int64)
     bits_of = np.where(coded, (z >> k[owner]) + 1 + k[owner], 0)
-    rice = 8 + 8 * order + 10 + np.add.reduceat(bits_of, start)
+    said = (9 + PRECISION * LPC) * linear  # precision, shift and coefficients
+    rice = 8 + 8 * order + said + 10 + np.add.reduceat(bits_of, start)
     constant = np.maximum.reduceat(x, start) == np.minimum.reduceat(x, start)
     verbatim = ~constant & (rice >= 8 + 8 * length)
     size = np.where(constant, 16, np.where(verbatim, 8 + 8 * length, rice))
@@ -142,7 +161,7 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     begin = np.concatenate([[0], np.cumsum(whole)[:-1]])
     bits = np.zeros(8 * int(whole.sum()), np.uint8)
     body = 8 * (begin + head)
-    kind = np.where(constant, 0, np.where(verbatim, 1, 8 + order))
+    kind = np.where(constant, 0, np.where(verbatim, 1, np.where(linear, 31 + order, 8 + order)))
     for j in range(6):  # after a zero bit; the wasted-bits flag stays zero
         bits[body + 1 + j] = kind >> (5 - j) & 1
     raw = np.where(constant[owner], inside == 0, verbatim[owner] | (inside < order[owner]))
@@ -151,6 +170,11 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
         bits[at + j] = x[raw] >> (7 - j) & 1
     use = ~(constant | verbatim)
     after = body + 8 + 8 * order
+    told = use & linear
+    for at, width, value in [(0, 4, PRECISION - 1), (4, 5, SHIFT), *((9 + PRECISION * i, PRECISION, weights[told, i]) for i in range(LPC))]:
+        for j in range(width):
+            bits[after[told] + at + j] = value >> (width - 1 - j) & 1
+    after = after + said
     for j in range(4):  # two bits of method and four of partition order are zero, then the parameter
         bits[(after + 6 + j)[use]] = (k >> (3 - j) & 1)[use]
     pick = coded & use[owner]
@@ -174,6 +198,24 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     return out
 
 
+def _predictors(x: np.ndarray, start: np.ndarray, owner: np.ndarray, inside: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of each frame the coefficients of linear prediction, as whole numbers of PRECISION bits, most recent sample first."""
+    lags = []
+    for j in range(LPC + 1):
+        product = np.zeros(len(x))
+        product[j:] = x[j:].astype(np.float64) * x[: len(x) - j]
+        product[inside < j] = 0
+        lags.append(np.add.reduceat(product, start))
+    # Levinson's recursion, for all frames at once.
+    error, a = np.maximum(lags[0], 1e-9) * (1 + 1e-9), np.zeros((LPC, len(length)))
+    for i in range(LPC):
+        reflect = (lags[i + 1] - sum(a[j] * lags[i - j] for j in range(i))) / error
+        a[:i] = a[:i] - reflect * a[:i][::-1]
+        a[i] = reflect
+        error = np.maximum(error * (1 - reflect * reflect), 1e-9)
+    return np.clip(np.rint(a.T * (1 << SHIFT)), -(1 << PRECISION - 1), (1 << PRECISION - 1) - 1).astype(np.int32)
+
+
 def _header(number: int, samples: int) -> bytes:
     out = bytes([0xFF, 0xF8, 0x74, 0x02]) + _number(number) + struct.pack(">H", samples - 1)
     return out + bytes([crc8(out)])
@@ -336,12 +378,7 @@ def _frames(data: np.ndarray, starts: list[int], streams: list[_Stream]) -> list
             v[s0 + j] = warm[j]
         value[mine] = v
         del m
-    for f, (c, move) in coefficients.items():
-        row = value[base[f] : base[f] + length[f]]
-        known, weights = row.tolist(), c.tolist()
-        for i in range(order[f], len(known)):
-            known[i] += sum(w * known[i - 1 - j] for j, w in enumerate(weights)) >> move
-        row[:] = known
+    _predict(value, base, length, order, coefficients)
     stop = -(-end // 8)
     got = CRC16(data, starts_a - shift, stop)
     if (got != (data[stop].astype(np.uint16) << 8 | data[stop + 1])).any():
@@ -352,6 +389,30 @@ def _frames(data: np.ndarray, starts: list[int], streams: list[_Stream]) -> list
     return out
 
 
+def _predict(value: np.ndarray, base: np.ndarray, length: np.ndarray, order: np.ndarray, coefficients: dict[int, tuple[np.ndarray, int]]) -> None:
+    """Add what linear prediction says to the residuals, for all frames in step; they come sorted, longest first."""
+    if not coefficients:
+        return
+    frames = np.array(sorted(coefficients))
+    most = int(order[frames].max())
+    weights, shift = np.zeros((most, len(frames)), np.int64), np.array([coefficients[f][1] for f in frames.tolist()])
+    for row, f in enumerate(frames.tolist()):
+        weights[: order[f], row] = coefficients[f][0]
+    n, first, o = length[frames], base[frames], order[frames]
+    if (shift < 0).any():
+        raise ValueError("a negative shift of linear prediction")
+    live_at = np.searchsorted(-n, -np.arange(int(n.max())), side="left")
+    known = np.zeros((most, len(frames)), np.int64)  # the samples before this one, the latest first
+    for i in range(int(n.max())):
+        live = int(live_at[i])
+        at = first[:live] + i
+        said = (weights[:, :live] * known[:, :live]).sum(axis=0) >> shift[:live]
+        now = value[at] + (said if i >= most else np.where(i >= o[:live], said, 0))
+        value[at] = now
+        known[1:, :live] = known[:-1, :live]
+        known[0, :live] = now
+
+
 def _residuals(data, take, signed, value, end, rice, order, length, base) -> None:
     """Read the Rice codes of all frames in step into value; end moves behind them."""
     frames = np.flatnonzero(rice)
@@ -410,9 +471,16 @@ def _residuals(data, take, signed, value, end, rice, order, length, base) -> Non
     end[frames] = pos
 
 
+def _no_clash(df: DataFrame, keep: list[str], added: list[str]) -> None:
+    clash = {c.lower() for c in keep} & {c.lower() for c in added}
+    if clash:
+        raise ValueError(f"the input has a column named {min(clash)}")
+
+
 def encode_column(df: DataFrame, payload: str, media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """df (or its columns `keep`) with a FLAC stream of each payload's bytes in place of the payload."""
     keep = [c for c in (keep if keep is not None else df.columns) if c != payload]
+    _no_clash(df, keep, [media])
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(media, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,24 +491,48 @@ def encode_column(df: DataFrame, payload: str, media: str = "media", keep: list[
     return df.mapInArrow(run, schema)
 
 
-def pcm_blocks(df: DataFrame, key: str, media: str = "media") -> DataFrame:
-    """One row for each PCM block: key, block, first_sample, n_samples, pcm (8-bit, or 16-bit little-endian).
+BLOCKS = T.ArrayType(T.StructType([T.StructField("first_sample", T.LongType()), T.StructField("n_samples", T.IntegerType()), T.StructField("pcm", T.BinaryType())]), False)
+_BLOCKS = pa.list_(pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))
 
-    first_sample is the seek offset: a range of samples is the blocks whose [first_sample, first_sample + n_samples)
-    meet it.
+
+def decode_column(df: DataFrame, media: str = "media", blocks: str = "blocks", keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns `keep`) with each stream's PCM blocks, sizes and digest of the stream; null for a null stream.
+
+    pcm holds 8-bit samples, or 16-bit little-endian ones.
     """
-    schema = T.StructType([df.schema[key], *(T.StructField(n, t) for n, t in (("block", T.IntegerType()), ("first_sample", T.LongType()), ("n_samples", T.IntegerType()), ("pcm", T.BinaryType())))])
+    keep = [c for c in (keep if keep is not None else df.columns) if c != media]
+    names = [blocks, "media_bytes", "media_sha256"]
+    _no_clash(df, keep, names)
+    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, t) for n, t in zip(names, (BLOCKS, T.LongType(), T.StringType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, media, SLICE):
-            there = [(k, m) for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if m is not None]
-            streams = [m for _, m in there]
-            kinds = [np.int8 if _Stream(m, 0).bits <= 8 else "<i2" for m in streams]
-            rows = [(k, i, first, len(x), x.astype(kind).tobytes()) for (k, _), kind, blocks in zip(there, kinds, decode(streams), strict=True) for i, (first, x) in enumerate(blocks)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=schema.names)
+            streams = b.column(b.schema.get_field_index(media)).to_pylist()
+            found = iter(decode([m for m in streams if m is not None]))
+            rows = [None if m is None else [(first, len(x), x.astype(np.int8 if _Stream(m, 0).bits <= 8 else "<i2").tobytes()) for first, x in next(found)] for m in streams]
+            added = [pa.array(rows, _BLOCKS), pa.array([m if m is None else len(m) for m in streams], pa.int64()), pa.array([m if m is None else hashlib.sha256(m).hexdigest() for m in streams], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *added], names=schema.names)
 
-    return df.select(key, media).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
+
+
+def pcm_blocks(df: DataFrame, key: str, media: str = "media") -> DataFrame:
+    """One row for each PCM block: key, block, first_sample, n_samples, pcm.
+
+    A range of samples is the blocks whose [first_sample, first_sample + n_samples) meet it.
+    """
+    found = decode_column(df.select(key, media), media, fresh(df, "blocks_")[0], [key])
+    return found.select(key, F.posexplode(found.columns[1]).alias("block", "b")).select(key, "block", "b.first_sample", "b.n_samples", "b.pcm")
+
+
+def seek(blocks: list[dict], start: int, end: int) -> bytes:
+    """The 8-bit samples [start, end) of a stream, from the blocks that meet the range."""
+    out = []
+    for b in blocks:
+        first, n = b["first_sample"], b["n_samples"]
+        if first < end and start < first + n:
+            out.append(b["pcm"][max(start - first, 0) : end - first])
+    return b"".join(out)
 
 
 def features(samples: np.ndarray) -> str:
@@ -449,20 +541,21 @@ def features(samples: np.ndarray) -> str:
     return f"sum={s.sum()};energy={(s * s).sum()};crossings={int(((s[1:] < 0) != (s[:-1] < 0)).sum())};peak={int(np.abs(s).max(initial=0))}"
 
 
-def read_digests(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
-    """Decode each stream and describe what was read: columns `keep`, sizes, digests and features."""
-    added = (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))
+def read_digests(df: DataFrame, blocks: str, keep: list[str]) -> DataFrame:
+    """What PCM blocks of 8-bit samples hold: columns `keep`, size, digests and features; the tail is read by its offset."""
+    added = (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("feature", T.StringType()))
+    _no_clash(df, keep, [n for n, _ in added])
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, t) for n, t in added)])
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, media, SLICE):
-            streams = b.column(b.schema.get_field_index(media)).to_pylist()
+        for b in batches:
             rows = []
-            for m, blocks in zip(streams, decode(streams), strict=True):
-                samples = np.concatenate([x for _, x in blocks]).astype(np.int8) if blocks else np.empty(0, np.int8)
-                read = samples.tobytes()
-                rows.append((len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(samples)))
+            for value in b.column(b.schema.get_field_index(blocks)):
+                found = value.as_py() or []
+                total = sum(x["n_samples"] for x in found)
+                read = seek(found, 0, total)
+                rows.append((total, hashlib.sha256(read).hexdigest(), zlib.crc32(seek(found, max(total - 64, 0), total)), features(np.frombuffer(read, np.int8))))
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=schema.names)
 
@@ -480,5 +573,5 @@ def padded(text: str = "text"):
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload, n = padded("text")
     rows = table(spark, sf_dir, "documents").select("doc_id", n.alias("n_bytes"), payload.alias("payload"))
-    stored = encode_column(rows, "payload", "media")
-    return read_digests(stored, "media", ["doc_id", "n_bytes"])
+    written = materialize(decode_column(encode_column(rows, "payload")), "pcm")
+    return read_digests(written, "blocks", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])

@@ -692,13 +692,35 @@ def test_linear_prediction_partitions_and_escapes_decode():
 def test_flac_digests_and_blocks(spark, many):
     payload, n = flac.padded("text")
     stored = flac.encode_column(many.select("doc_id", n.alias("n_bytes"), payload.alias("p"), "text"), "p", keep=["doc_id", "n_bytes", "text"])
-    for r in flac.read_digests(stored, "media", ["doc_id", "n_bytes", "text"]).collect():
+    for r in flac.read_digests(flac.decode_column(stored), "blocks", ["doc_id", "n_bytes", "text", "media_bytes"]).collect():
         raw = (r.text or "").encode()
         raw += bytes(-len(raw) % 64 or 64 * (not raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((r.text or "").encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
     blocks = flac.pcm_blocks(stored.filter("doc_id = 140"), "doc_id").orderBy("block").collect()
     assert [b.first_sample for b in blocks] == [i * flac.BLOCK for i in range(len(blocks))] and b"".join(bytes(b.pcm) for b in blocks).rstrip(b"\0") == b"word " * 30_000
     assert flac.encode_column(many.select("doc_id", F.lit(None).cast("binary").alias("p")).limit(0), "p").count() == 0
+    rows = [r.asDict() for r in blocks]
+    whole = flac.seek(rows, 0, 10**9)
+    for a, b in ((0, 1), (4090, 4100), (100, 9000), (149_990, 150_016), (5, 5)):
+        assert flac.seek(rows, a, b) == whole[a:b]
+    with pytest.raises(ValueError, match="media"):
+        flac.encode_column(many.select(F.lit(b"x").alias("p"), F.lit(1).alias("Media")), "p")
+    assert flac.decode_column(many.select("doc_id", F.lit(None).cast("binary").alias("media"))).filter("blocks is not null").count() == 0
+
+
+def test_linear_prediction_is_chosen_and_decodes():
+    t = np.arange(9000)
+    waves = [np.rint(100 * np.sin(t / 9) * np.cos(t / 50)).astype(np.int8).tobytes(), np.rint(60 * np.sin(t[:700] / 2.5)).astype(np.int8).tobytes(), b"the rain in spain falls mainly " * 40, bytes(range(5)), b"\x80\x7f" * 300]
+    streams = flac.encode(waves)
+    assert len(streams[0]) < 0.5 * len(waves[0])
+    kinds = set()
+    for s in streams:
+        m = flac._Stream(s, 0)
+        for _, offset, _ in m.points:
+            kinds.add(s[flac._frame_header(np.frombuffer(s, np.uint8), m.first + offset, m)[2]] >> 1 & 63)
+    assert 31 + flac.LPC in kinds
+    for p, blocks in zip(waves, flac.decode(streams), strict=True):
+        assert b"".join(x.astype(np.int8).tobytes() for _, x in blocks) == p
 
 
 # Pipeline
