@@ -521,7 +521,10 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark):
 # Lattice
 
 
-def test_lattice_sums_over_all_segmentations():
+@pytest.mark.parametrize(("in_step", "at_once"), [(48, 100_000), (3, 4), (48, 7)])
+def test_lattice_sums_over_all_segmentations(monkeypatch, in_step, at_once):
+    monkeypatch.setattr(lattice, "IN_STEP", in_step)
+    monkeypatch.setattr(lattice, "AT_ONCE", at_once)
     pieces = ["<unk>", "<s>", "</s>", *(f"<0x{b:02X}>" for b in range(256)), "▁", "a", "b", "ab", "▁a", "▁ab", "ba"]
     v = lattice.Vocabulary(tuple(pieces), tuple(-float(i) for i in range(len(pieces))))
     p = dict(zip(pieces, np.exp(v.start), strict=True))
@@ -540,6 +543,8 @@ def test_lattice_sums_over_all_segmentations():
     words = ["ab", "aba", "b", "éa", "", "abababab", "bé漢"]
     model = lattice.Lattice(v, v.start)
     assert model.score(words) == pytest.approx([total(w) for w in words])
+    other = v.start - np.arange(len(pieces)) / 50
+    assert lattice.Lattice(v, v.start, other).scores(words)[1] == pytest.approx(lattice.Lattice(v, other).score(words))
     # Expected uses are the slopes of the likelihood.
     uses = model.expected(words, np.arange(1.0, len(words) + 1))
     i, step = pieces.index("ab"), 1e-6
@@ -557,7 +562,7 @@ def test_scores_equal_brute_force(spark, many):
     n, v = sum(count.values()), len(count)
     expected = sorted((str(k), len(w) + 1, sum(count[x] > 0 for x in [*w, None]), round(sum(np.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in [*w, None]), 4)) for k, w, _ in rows)
     assert sorted((str(None if np.isnan(r.doc_id) else int(r.doc_id)), r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got.itertuples()) == expected
-    assert (got.train_tokens == n).all() and np.isfinite(got.score).all() and (got.score <= 1e-9).all() and (got.lattice_score < 0).all()
+    assert (got.train_tokens == n).all() and np.isfinite(got.score).all() and (got.score <= 1e-9).all() and (got.vocabulary_score < 0).all() and (got.mixed_score < 0).all()
     assert lattice.score_texts(empty(spark)).count() == 0
 
 
