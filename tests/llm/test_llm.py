@@ -70,6 +70,32 @@ def test_boost_changes_rates_inside_a_source(spark):
     assert a[4.0] > a[1.0]
 
 
+def test_inclusion_differs_inside_a_ranking_and_follows_size(spark):
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.choice([1, 3, 10, 40, 200]), "en", rng.choice("ab"), 0) for i in range(3000)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = mix(d).toPandas()
+    drawn = got[got.p > 0]
+    assert (drawn.groupby("cell").p.nunique() >= 3).any()
+    # Rates fall with size; p is what a document of that size gets on average, over seeds.
+    assert all(g.sort_values("size").eval("copies + p").is_monotonic_decreasing for _, g in got.groupby("src"))
+    hits = Counter()
+    for seed in range(12):
+        plan, docs_ = mixing.plan(d, seed=f"s{seed}")
+        for r in mixing.apply(plan, docs_).groupBy("src", "size").agg(F.avg(F.col("taken_copies") - F.col("copies")).alias("c")).collect():
+            hits[r.src, r["size"]] += r.c / 12
+    for (src, size), g in got.groupby(["src", "size"]):
+        assert hits[src, size] == pytest.approx(g.p.iloc[0], abs=0.06)
+
+
+def test_alike_rows_are_taken_as_far_as_they_fit(spark):
+    rows = [(None, "w " * 10, "en", s, 0) for s in "abc" for _ in range(600)] + [(i, "w " * 10, "en", "d", 0) for i in range(600)]
+    d = spark.createDataFrame(rows, DOCS)
+    by = mix(d).groupBy("src").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 10 for r in by)
+    assert mixing.mixed_documents(d).count() * 10 == sum(r.taken for r in by)
+
+
 def test_mix_edge_cases(spark, many):
     got = mix(many).toPandas()
     assert len(got) == many.count() and (got.taken[got["size"] == 0] == 0).all()
