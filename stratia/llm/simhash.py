@@ -6,13 +6,17 @@ count in unary (0: 00, 1: 10, 2: 11), so that the Manhattan distance is the numb
 
 The grid: the 32 coordinates form `BLOCKS` blocks. Vectors within distance `d` agree on at least BLOCKS - d blocks, so
 each choice of that many blocks gives a grid cell, and any two that link share a cell. One shuffle brings the cells
-together; a scan over sorted cells compares neighbours, first by the lower bound, then by the exact distance.
-A cell of more than CELL fingerprints is dealt out again as pairs of chunks, so that no task holds a large cell;
-of a large cell only edges that join two groups are kept, which loses no link between components.
+together, sorted by the sum of all coordinates. Inside a cell that is a range join: two vectors within distance d have sums
+that differ by at most d, so a fingerprint meets only those of that range, first by the lower bound, then by the exact
+distance. A cell of more than CELL fingerprints gets a finer grid, over the sums of the two halves of the coordinates with
+steps of d + 1: a fingerprint goes to its own cell and to those neighbours that it can reach within d, so that what links
+meets in one of them. What is still over CELL there is dealt out as pairs of chunks of CHUNK, so that no task holds more;
+inside a cell only edges that join two groups are kept, which loses no link between components.
 
 Defined cases: a null text is an empty text; texts without words have fingerprint zero and link like any other;
 a null id takes part, and a component's id is its smallest non-null one (null if there is none); repeated rows
-each give a row; an empty table gives none.
+each give a row; an empty table gives none. Fingerprints and components have columns of their own besides the key, which must
+not be named fp, root or component; near_dedup keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from stratia.llm.common import slices, table
 from stratia.session import materialize, shuffle_partitions
 
 SHINGLE, SEED, DISTANCE, BLOCKS = 4, 42, 4, 8
-#: Fingerprints of a cell that one task compares; larger cells are dealt out in chunks.
-CELL = 4096
+#: Fingerprints of a cell that one task compares, and of a chunk of a cell that stays larger.
+CELL, CHUNK = 4096, 8192
 #: Fingerprints in a part that is written between steps, and the fewest parts that a step may use.
 PART, LEAST_PARTS = 10_000, 8
 #: Shingles whose bits are counted at once.
@@ -109,19 +113,26 @@ def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
 
 
 def forest(fp: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """Edges that join what links within one cell, one fewer than members for each group."""
-    left, edges = np.arange(1, len(fp)), []
-    frontier = [0] if len(fp) else []
+    """Edges that join what links within one cell, one fewer than members for each group.
+
+    A fingerprint is compared with those not yet joined whose sum of coordinates is within the distance of its own.
+    """
+    sums = np.bitwise_count(fp).astype(np.int64)
+    left = np.argsort(sums, kind="stable")
+    of_left, frontier, edges = sums[left], [], []
     while frontier or len(left):
         if not frontier:
-            frontier, left = [int(left[0])], left[1:]
+            frontier, left, of_left = [int(left[0])], left[1:], of_left[1:]
         at = frontier.pop()
-        if len(left):
-            hit = _near(np.broadcast_to(fp[at], len(left)), fp[left], distance)
-            found = left[hit].tolist()
+        low, high = np.searchsorted(of_left, [sums[at] - distance, sums[at] + distance + 1])
+        hit = _near(np.broadcast_to(fp[at], high - low), fp[left[low:high]], distance)
+        if hit.any():
+            found = left[low:high][hit].tolist()
             edges += [(at, x) for x in found]
             frontier += found
-            left = left[~hit]
+            keep = np.ones(len(left), bool)
+            keep[low:high] = ~hit
+            left, of_left = left[keep], of_left[keep]
     return edges
 
 
@@ -185,6 +196,19 @@ def _scan(split: bool, distance: int):
     return run
 
 
+def finer(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(cell, fp) in a finer grid over the sums of both halves of the coordinates, each row in every cell it can reach.
+
+    Of two rows that link, the cell of the larger step in either half holds both.
+    """
+    step = distance + 1
+    sums = [F.bit_count(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1))), F.bit_count(F.shiftrightunsigned("fp", 32))]
+    (a, b), (to_a, to_b) = ([F.floor(s / step) for s in sums], [step - s % step for s in sums])
+    near = lambda i, j: F.when(i * to_a + j * to_b <= distance, F.struct((a + i).alias("i"), (b + j).alias("j")))
+    reached = F.explode(F.filter(F.array(near(0, 0), near(1, 0), near(0, 1), near(1, 1)), lambda x: x.isNotNull()))
+    return rows.select("cell", "fp", reached.alias("at")).select(F.xxhash64("cell", "at.i", "at.j").alias("cell"), "fp")
+
+
 def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(a, b): edges between distinct fingerprints (column fp) that give the components of all links."""
     spark = distinct.sparkSession
@@ -193,13 +217,21 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -
     cells = distinct.select("fp", embedding(F.col("fp")).alias("counts"), F.posexplode(masks).alias("choice", "mask"))
     cells = cells.select(F.xxhash64("choice", F.col("counts").bitwiseAND(F.col("mask"))).alias("cell"), "fp")
     schema = "cell long, a long, b long, hot boolean"
-    first = materialize(cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_scan(True, distance), schema), "simhash-links")
-    hot = first.filter("hot").select("cell", F.col("a").alias("fp"))
-    chunks = hot.groupBy("cell").agg(F.ceil(F.count("*") / (CELL // 2)).alias("n"))
-    dealt = hot.join(chunks, "cell").withColumn("i", F.pmod(F.xxhash64("fp"), "n")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+
+    def scan(rows: DataFrame, split: bool) -> DataFrame:
+        return rows.repartition(n, "cell").sortWithinPartitions("cell", F.bit_count("fp")).mapInArrow(_scan(split, distance), schema)
+
+    def hot(scanned: DataFrame) -> DataFrame:
+        return scanned.filter("hot").select("cell", F.col("a").alias("fp"))
+
+    first = materialize(scan(cells, True), "simhash-links")
+    second = materialize(scan(finer(hot(first), distance), True), "simhash-links-finer")
+    large = hot(second)
+    chunks = large.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).alias("n"))
+    dealt = large.join(chunks, "cell").withColumn("i", F.pmod(F.xxhash64("fp"), "n")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select(F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "fp")
-    second = dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_scan(False, distance), schema)
-    found = first.filter("not hot").select("a", "b").union(second.select("a", "b"))
+    third = scan(dealt, False)
+    found = first.union(second).filter("not hot").select("a", "b").union(third.select("a", "b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -80,12 +80,12 @@ def test_inclusion_differs_inside_a_ranking_and_follows_size(spark):
     # Rates fall with size; p is what a document of that size gets on average, over seeds.
     assert all(g.sort_values("size").eval("copies + p").is_monotonic_decreasing for _, g in got.groupby("src"))
     hits = Counter()
-    for seed in range(12):
+    for seed in range(4):
         plan, docs_ = mixing.plan(d, seed=f"s{seed}")
         for r in mixing.apply(plan, docs_).groupBy("src", "size").agg(F.avg(F.col("taken_copies") - F.col("copies")).alias("c")).collect():
-            hits[r.src, r["size"]] += r.c / 12
+            hits[r.src, r["size"]] += r.c / 4
     for (src, size), g in got.groupby(["src", "size"]):
-        assert hits[src, size] == pytest.approx(g.p.iloc[0], abs=0.06)
+        assert hits[src, size] == pytest.approx(g.p.iloc[0], abs=0.1)
 
 
 def test_alike_rows_are_taken_as_far_as_they_fit(spark):
@@ -487,6 +487,7 @@ def test_fingerprints_and_components_equal_brute_force(spark, many):
 @pytest.mark.parametrize("cell", [4096, 16])
 def test_links_of_a_dense_group_equal_brute_force(spark, monkeypatch, cell):
     monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "CHUNK", 2 * cell)
     rng = random.Random(cell)
     center, values = rng.getrandbits(64), set()
     for _ in range(250):
@@ -515,6 +516,21 @@ def test_links_of_a_dense_group_equal_brute_force(spark, monkeypatch, cell):
     assert [smallest[find(i)] for i in range(len(values))] == brute_components([(v, v) for v in values])
 
 
+def test_what_links_meets_in_the_finer_grid(spark):
+    rng = random.Random(2)
+    values = [rng.getrandbits(64) for _ in range(40)]
+    for v in values[:40]:
+        for b in [rng.sample(range(64), k) for k in (1, 2, 3, 4, 4, 4)]:
+            values.append(v ^ sum(1 << x for x in b))
+    values = sorted(set(values))
+    rows = spark.createDataFrame([(1, v - (1 << 64) if v >> 63 else v) for v in values], "cell long, fp long")
+    cells = {}
+    for r in simhash.finer(rows).collect():
+        cells.setdefault(r.fp % (1 << 64), set()).add(r.cell)
+    assert all(cells[a] & cells[b] for a in values for b in values if (a ^ b).bit_count() <= 4)
+    assert sum(map(len, cells.values())) < 4 * len(values)
+
+
 def test_embedding_is_a_lower_bound(spark):
     rng = random.Random(9)
     for _ in range(300):
