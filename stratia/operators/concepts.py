@@ -78,8 +78,15 @@ def lattice(counted: DataFrame, attributes: int, most: int = MOST_CONCEPTS) -> D
 
 
 def covers(intents: DataFrame) -> DataFrame:
-    """(lower, upper): pairs of intents, the lower one a proper part of the upper, with none between."""
-    a, b, c = (intents.select(F.col("intent").alias(x)) for x in ("lower", "upper", "mid"))
-    pairs = a.join(b, has(F.col("upper"), F.col("lower")) & (F.col("upper") != F.col("lower")))
-    between = has(F.col("upper"), F.col("mid")) & has(F.col("mid"), F.col("lower")) & (F.col("mid") != F.col("lower")) & (F.col("mid") != F.col("upper"))
-    return pairs.join(c, between, "left_anti")
+    """(lower, upper): pairs of intents, the lower one a proper part of the upper, with none between.
+
+    Of each intent and attribute beyond it, the least intent that has both is the intersection of those above that have the
+    attribute, which meet by that attribute. Such an intent is a cover if each attribute that it adds leads to it.
+    """
+    bits = F.explode(F.sequence(F.lit(0), F.lit(61))).alias("bit")
+    at = lambda name: intents.select(F.col("intent").alias(name), bits)
+    on = lambda name: F.expr(f"getbit({name}, bit)") == 1
+    above = at("lower").filter(~on("lower")).join(at("upper").filter(on("upper")), "bit").filter(has(F.col("upper"), F.col("lower")))
+    least = above.groupBy("lower", "bit").agg(F.bit_and("upper").alias("upper"))
+    ways = least.groupBy("lower", "upper").agg(F.count("*").alias("n"))
+    return ways.filter(F.col("n") == F.bit_count(F.col("upper").bitwiseAND(F.bitwise_not("lower")))).select("lower", "upper")

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratia.session import checkpoint
+from stratia.session import checkpoint, shuffle_partitions
 
 LENSES = ("statement", "proof", "both")
 MAX_ROUNDS = 10_000
+#: Rounds after which what is known is written anew, as one table of the usual number of parts.
+COMPACT = 8
 #: Axioms that the audit lets pass unless told otherwise (fixed values of the domain), and its mark of a gap.
 TRUSTED = ("propext", "Classical.choice", "Quot.sound")
 GAP = "sorryAx"
@@ -29,6 +31,10 @@ def through(edges: DataFrame, lens: str = "both") -> DataFrame:
     return (edges if lens == "both" else edges.filter(F.col("lens") == lens)).select("src", "dst").distinct()
 
 
+def _compact(seen: DataFrame, i: int, *keys: str) -> DataFrame:
+    return seen if i % COMPACT else checkpoint(seen.repartition(shuffle_partitions(seen.sparkSession), *keys))
+
+
 def reach(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node): what each source's edges lead to, itself excluded even on a cycle.
 
@@ -37,12 +43,12 @@ def reach(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     pairs = checkpoint(pairs)
     frontier = checkpoint(sources.select("source", F.col("source").alias("node")).distinct())
     seen = frontier
-    for _ in range(MAX_ROUNDS):
+    for i in range(1, MAX_ROUNDS):
         step = frontier.join(pairs, frontier.node == pairs.src).select("source", F.col("dst").alias("node")).distinct()
         frontier = checkpoint(step.join(seen, ["source", "node"], "left_anti"))
         if frontier.isEmpty():
             return seen.filter("node <> source")
-        seen = seen.union(frontier)
+        seen = _compact(seen.union(frontier), i, "source", "node")
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
 
@@ -50,12 +56,12 @@ def reachable(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """(node): what any of the roots (column node) leads to, and the roots; one mark a node, whatever the roots."""
     pairs = checkpoint(pairs)
     seen = frontier = checkpoint(roots.select("node").distinct())
-    for _ in range(MAX_ROUNDS):
+    for i in range(1, MAX_ROUNDS):
         step = frontier.join(pairs, frontier.node == pairs.src).select(F.col("dst").alias("node")).distinct()
         frontier = checkpoint(step.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = seen.union(frontier)
+        seen = _compact(seen.union(frontier), i, "node")
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratia.functions import terms
+from stratia.functions.numbering import numbered
 from stratia.operators.graph import check_choice
 from stratia.session import materialize
 
@@ -93,16 +94,24 @@ def is_prop(kind: Column, concludes: Column) -> Column:
 
 
 def classes(rows: DataFrame, canon: str = "erased", least: int = 2) -> DataFrame:
-    """(canon, n, first, members): rows that share a canonical form, members in the order of the slice."""
-    found = rows.groupBy(canon).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("seq", "name"))).alias("m"))
-    return found.filter(F.col("n") >= least).select(canon, "n", F.col("m")[0]["name"].alias("first"), F.col("m.name").alias("members"))
+    """(canon, n, first, members): rows that share a canonical form; members is a sum of digests of their names.
+
+    A class is a partial sum and no list, however many rows it has; membership() gives its rows.
+    """
+    digest = F.conv(F.substring(F.md5(F.col("name").cast("binary")), 1, 6), 16, 10).cast("long")
+    found = rows.groupBy(canon).agg(F.count("*").alias("n"), F.min(F.struct("seq", "name"))["name"].alias("first"), F.sum(digest).alias("members"))
+    return found.filter(F.col("n") >= least)
+
+
+def membership(rows: DataFrame, canon: str = "erased", least: int = 2) -> DataFrame:
+    """(name, first, n): each row with the first member and the size of its class."""
+    found = classes(rows, canon, least).select(canon, "first", "n")
+    return rows.select(canon, "name").join(found, canon).select("name", "first", "n")
 
 
 def equivalent(rows: DataFrame, canon: str = "erased") -> DataFrame:
-    """(name, other): pairs of propositions with one canonical form, a name's own excluded."""
-    props = rows.filter(is_prop(F.col("kind"), F.col("concludes")))
-    a, b = props.select(canon, "name"), props.select(canon, F.col("name").alias("other"))
-    return a.join(b, canon).filter("name <> other").select("name", "other")
+    """(name, first, n): propositions that share a canonical form with others, by their class; pairs are not spelled out."""
+    return membership(rows.filter(is_prop(F.col("kind"), F.col("concludes"))), canon)
 
 
 def subterms(parsed: DataFrame, column: str = "root") -> DataFrame:
@@ -117,14 +126,10 @@ def subterms(parsed: DataFrame, column: str = "root") -> DataFrame:
     return parsed.select("name", column).mapInArrow(run, "name string, key string, size int, closed boolean")
 
 
-def postings(keys: DataFrame, total: int, most: int | None = None) -> DataFrame:
-    """(key, n, idf): how many declarations have a key; keys of more than `most` are dropped.
-
-    most is by default a thousandth of all declarations, or 50.
-    """
-    most = max(total // 1000, 50) if most is None else most
-    found = keys.groupBy("key").agg(F.countDistinct("name").alias("n"), F.max("size").alias("size"))
-    return found.filter(F.col("n") <= most).withColumn("idf", F.log(F.lit(float(total)) / F.col("n")))
+def postings(keys: DataFrame, total: int) -> DataFrame:
+    """(key, n, size, idf): how many declarations have a key, of all keys; (name, key) are distinct."""
+    found = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    return found.withColumn("idf", F.log(F.lit(float(total)) / F.col("n")))
 
 
 def symbol_frequency(parsed: DataFrame) -> DataFrame:
@@ -145,13 +150,6 @@ def closure(parsed: DataFrame, prefix: str = "") -> DataFrame:
     return heads.join(known, "sym", "left").select("sym", F.coalesce("known", F.lit(False)).alias("known"), "df")
 
 
-def candidates(queries: DataFrame, keys: DataFrame, posted: DataFrame) -> DataFrame:
-    """(name, other, rarity): declarations that share a posted key with a query, and the rarest such key's idf."""
-    mine = queries.select("name").join(keys, "name").join(posted.select("key", "idf"), "key").select("key", "name", "idf")
-    theirs = keys.join(posted.select("key"), "key").select("key", F.col("name").alias("other"))
-    return mine.join(theirs, "key").filter("name <> other").groupBy("name", "other").agg(F.max("idf").alias("rarity"))
-
-
 def representatives(rows: DataFrame) -> DataFrame:
     """(name, root, erased, shape, n): one row for each distinct root, with its first name and how many rows have it.
 
@@ -355,15 +353,35 @@ def within_budget(keys: DataFrame, budget: int) -> DataFrame:
     return keys.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)).cast("long")).filter(F.col("before") < budget)
 
 
+def _edits(pairs: DataFrame, most: int) -> DataFrame:
+    edits = F.array_distinct(F.filter(F.arrays_zip("s", "t"), lambda x: x["s"] != x["t"]))
+    pairs = pairs.withColumn("edits", F.sort_array(edits)).withColumn("n", F.size("edits"))
+    return pairs.filter((F.col("n") > 0) & (F.col("n") <= most)).select("name", "other", "n", "edits")
+
+
 def variants(parsed: DataFrame, most: int = 1, queries: DataFrame | None = None) -> DataFrame:
-    """(name, other, n, edits): rows with one rigid skeleton that differ by few distinct replacements of names."""
+    """(name, other, n, edits): rows with one rigid skeleton that differ by few distinct replacements of names.
+
+    Rows that differ by one replacement agree where neither of its two names stands. So each row goes out under its
+    slots with the places of any one or two of its names masked, and only rows that agree there meet. With more
+    replacements all rows of a skeleton meet.
+    """
     a = parsed.select("rigid", "name", F.col("slots").alias("s"))
     a = a if queries is None else a.join(queries.select("name"), "name", "left_semi")
     b = parsed.select("rigid", F.col("name").alias("other"), F.col("slots").alias("t"))
-    pairs = a.join(b, "rigid").filter((F.col("name") != F.col("other")) & (F.size("s") == F.size("t")))
-    edits = F.array_distinct(F.filter(F.arrays_zip("s", "t"), lambda x: x["s"] != x["t"]))
-    pairs = pairs.withColumn("edits", F.sort_array(edits)).withColumn("n", F.size("edits"))
-    return pairs.filter((F.col("n") > 0) & (F.col("n") <= most)).select("name", "other", "n", "edits")
+    if most > 1:
+        return _edits(a.join(b, "rigid").filter((F.col("name") != F.col("other")) & (F.size("s") == F.size("t"))), most)
+
+    def masked(slots: str) -> Column:
+        """Digests of the slots without the places of any one or two names."""
+        own = F.array_distinct(slots)
+        two = F.flatten(F.transform(own, lambda x: F.transform(F.filter(own, lambda y: y >= x), lambda y: F.transform(F.col(slots), lambda v: F.when((v != x) & (v != y), v)))))
+        return F.array_distinct(F.transform(two, lambda key: F.xxhash64(F.to_json(F.struct(key.alias("k")), {"ignoreNullFields": "false"}))))
+
+    left = a.select("rigid", "name", "s", F.explode(masked("s")).alias("key"))
+    right = b.select("rigid", "other", "t", F.explode(masked("t")).alias("key"))
+    met = left.join(right, ["rigid", "key"]).filter((F.col("name") != F.col("other")) & (F.size("s") == F.size("t")))
+    return _edits(met, 1).dropDuplicates(["name", "other"])
 
 
 def adjacent(members: DataFrame, found: DataFrame, top: int = 50) -> DataFrame:
@@ -401,21 +419,10 @@ def ladder(parsed: DataFrame) -> DataFrame:
     return out.select("name", *terms.LEVELS[:-1])
 
 
-def dictionary(rows: DataFrame, left: Column, right: Column, per_left: int = 1, score: str = "retention", pool: int = 64) -> DataFrame:
-    """(name, other, rank, total, ...): for each row of the left theory its best of the right one, by equal shape.
-
-    rows: name, shape, erased. The restriction to the theories comes before the comparison, not after the ranking.
-    """
-    a = rows.filter(left).select("name", "shape")
-    b = rows.filter(right).select(F.col("name").alias("other"), "shape")
-    pairs = a.join(b, "shape").filter("name <> other").select("name", "other")
-    ranked = rank(compare(pairs, rows), 2, score, pool)
-    return ranked.filter(F.col("rank") <= per_left)
-
-
-def dictionary_whole(rows: DataFrame, left: Column, right: Column, per_left: int = 1, score: str = "retention") -> DataFrame:
-    """dictionary over all three sources of candidates: (name, other, rank, total, ...).
+def dictionary(rows: DataFrame, left: Column, right: Column, per_left: int = 1, score: str = "retention") -> DataFrame:
+    """(name, other, rank, total, ...): for each row of the left theory its best of the right one, by all three sources.
 
+    The restriction to the theories comes before the comparison, not after the ranking.
     rows: name, root, erased, shape. Classes of either theory meet and are compared; members are ranked from them.
     """
     a, b = rows.filter(left), rows.filter(right)
@@ -439,27 +446,27 @@ def coherence(found: DataFrame, rights: DataFrame) -> DataFrame:
 
 def shuffled(found: DataFrame) -> DataFrame:
     """The rows of a dictionary paired anew by a fixed stride, as a control: (name, other) by place of (name)."""
-    order = Window.orderBy("name", "other")
-    placed = found.select("name", "other", (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("m"))
-    moved = placed.select("name", F.pmod(F.col("i") * 7919 + 13, F.col("m")).alias("j"))
+    placed = numbered(found.select("name", "other"), "name", "other")
+    m = placed.count()
+    moved = placed.select("name", F.pmod(F.col("i") * 7919 + 13, F.lit(max(m, 1))).alias("j"))
     return moved.join(placed.select(F.col("i").alias("j"), "other"), "j").select("name", "other")
 
 
 def frontier(rows: DataFrame, cross: DataFrame, least: int = 200, top: int = 20) -> DataFrame:
     """Pairs of theories by how many shapes they share beyond chance, damped by the citations between them.
 
-    rows: (theory, shape); cross: (left, right, n).
+    rows: (theory, shape); cross: (left, right, n). Pairs that share no shape have nothing beyond chance and are left out,
+    so that theories meet by their shapes alone.
     """
     shapes = rows.select("theory", "shape").distinct()
     sizes = shapes.groupBy("theory").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     every = shapes.agg(F.countDistinct("shape").alias("m"))
-    a, b = (sizes.select(F.col("theory").alias(t), F.col("n").alias(n)) for t, n in (("left", "na"), ("right", "nb")))
     s = shapes.join(sizes.select("theory"), "theory")
     both = s.select("shape", F.col("theory").alias("left")).join(s.select("shape", F.col("theory").alias("right")), "shape").filter("left < right")
     shared = both.groupBy("left", "right").agg(F.count("*").alias("shared"))
-    # Theories are few: one row each, counted before they are paired.
-    pairs = a.join(b, F.col("left") < F.col("right")).join(shared, ["left", "right"], "left").join(every)
-    pairs = pairs.withColumn("shared", F.coalesce("shared", F.lit(0)).cast("long"))
+    for side, n in (("left", "na"), ("right", "nb")):
+        shared = shared.join(sizes.select(F.col("theory").alias(side), F.col("n").alias(n)), side)
+    pairs = shared.join(F.broadcast(every))  # one row
     excess = F.col("shared") / F.least("na", "nb") - F.greatest("na", "nb") / F.col("m")
     pairs = pairs.withColumn("excess", excess).join(cross.withColumnRenamed("n", "cross"), ["left", "right"], "left")
     pairs = pairs.withColumn("cross", F.coalesce("cross", F.lit(0)).cast("long")).withColumn("score", F.col("excess") / (1 + F.sqrt("cross")))

@@ -45,11 +45,6 @@ def _lattice(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
 
 
 def hypothesis_homes(spark: SparkSession, d: str) -> DataFrame:
-    return hy.homes(*_lattice(spark, d)).filter(F.col("name").startswith("order:"))
-
-
-def homes_whole(spark: SparkSession, d: str) -> DataFrame:
-    """hypothesis_homes of suppliers and projections too."""
     return hy.homes(*_lattice(spark, d))
 
 
@@ -93,14 +88,7 @@ def auc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def information(spark: SparkSession, d: str) -> DataFrame:
-    p, n = plans._parsed(spark, d), plans._total(spark, d)
-    keys = plans._keys(p)
-    found = st.information(st.candidates(p, keys, st.postings(keys, n)), p, st.symbol_frequency(p), n, "root")
-    return found.groupBy("name").agg(F.count("*").alias("n"), *(F.round(f(m), 6).alias(f"{label}_{m}") for m in ("info_weighted", "info_dice") for label, f in (("best", F.max), ("mean", F.avg))))
-
-
-def information_whole(spark: SparkSession, d: str) -> DataFrame:
-    """information over all sources and keys: classes are compared once, and a class counts as often as it has other members."""
+    """Over all sources and keys: classes are compared once, and a class counts as often as it has other members."""
     p, n = plans._parsed(spark, d), plans._total(spark, d)
     rows = st.erased(p, "shape", "shape").withColumn("erased", F.col("root"))
     reps = materialize(st.representatives(rows), "representatives")
@@ -114,7 +102,7 @@ def information_whole(spark: SparkSession, d: str) -> DataFrame:
     return st.members(rows, reps).join(of_class, "class").drop("class")
 
 
-QUERIES = {f.__name__: f for f in (hypothesis_homes, homes_whole, class_ancestors, proved_elsewhere, proof_families, substitutions, interchangeable, shrunk_rates, auc, information, information_whole)}
+QUERIES = {f.__name__: f for f in (hypothesis_homes, class_ancestors, proved_elsewhere, proof_families, substitutions, interchangeable, shrunk_rates, auc, information)}
 
 EDITS = f"""{D}, v AS (SELECT a.size, a.bucket, CASE WHEN a.brand <> b.brand THEN a.brand ELSE a.type END AS a, CASE WHEN a.brand <> b.brand THEN b.brand ELSE b.type END AS b
         FROM decls a JOIN decls b ON a.size = b.size AND a.bucket = b.bucket AND (a.brand <> b.brand)::INT + (a.type <> b.type)::INT = 1),
@@ -127,7 +115,9 @@ SQL = {
             FROM o LEFT JOIN lineitem ON l_orderkey = k LEFT JOIN sup ON s_suppkey = l_suppkey GROUP BY ALL)
         SELECT 'order:' || k AS name, CASE WHEN k % 10 NOT IN (3, 7) THEN 'N' || n END AS class, CASE WHEN k % 10 = 7 THEN 'multi-carrier' WHEN k % 10 = 3 THEN 'produces-a-class' WHEN own THEN 'at-home'
             WHEN region AND part THEN 'no-single-home' WHEN region OR part OR top THEN 'over-hypothesis' ELSE 'unused' END AS verdict,
-            CASE WHEN k % 10 IN (3, 7) OR own OR (region AND part) THEN NULL WHEN region THEN 'R' || r WHEN part THEN 'G' || n % 4 WHEN top THEN 'Top' END AS home, false AS projection FROM x""",
+            CASE WHEN k % 10 IN (3, 7) OR own OR (region AND part) THEN NULL WHEN region THEN 'R' || r WHEN part THEN 'G' || n % 4 WHEN top THEN 'Top' END AS home, false AS projection FROM x
+        UNION ALL SELECT 'supplier:' || s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'N' || n WHEN 1 THEN 'R' || r WHEN 2 THEN 'G' || n % 4 ELSE 'Top' END, 'unused', NULL, false FROM sup
+        UNION ALL SELECT DISTINCT unnest(['N' || n_nationkey || '.toR' || n_regionkey, 'N' || n_nationkey || '.toG' || n_nationkey % 4, 'R' || n_regionkey || '.toTop', 'G' || n_nationkey % 4 || '.toTop']), NULL, 'produces-a-class', NULL, false FROM nation""",
     "class_ancestors": """WITH e AS (SELECT 'N' || n_nationkey AS class, unnest(['R' || n_regionkey, 'G' || n_nationkey % 4]) AS above FROM nation)
         SELECT class, above FROM e UNION SELECT class, 'Top' FROM e UNION SELECT above, 'Top' FROM e""",
     "proved_elsewhere": f"""WITH {D}, p AS (SELECT layers, count(*) AS proofs, arg_min(name, seq) AS proof FROM decls WHERE kind = 'theorem' GROUP BY 1)

@@ -11,69 +11,36 @@ from stratia.sources import derived, slices
 E, N = derived.SQL["edges"], derived.SQL["names"]
 
 
-def _sources(spark: SparkSession, d: str, kinds: str) -> DataFrame:
-    return derived.names(spark, d).filter(F.col("name").rlike(f"^({kinds}):")).select(F.col("name").alias("source"))
-
-
 def walls(spark: SparkSession, d: str) -> DataFrame:
     return graph.walls(derived.edges(spark, d), derived.names(spark, d))
 
 
-def citations_by_lens(spark: SparkSession, d: str) -> DataFrame:
-    e, n = derived.edges(spark, d), derived.names(spark, d).filter(F.col("name").rlike("^(supplier|nation|region):"))
-    parts = [graph.citations(e, n, lens).select(F.lit(lens).alias("lens"), "name", "citations") for lens in graph.LENSES]
-    return parts[0].union(parts[1]).union(parts[2])
-
-
-def foundations_all(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.foundations(derived.edges(spark, d), _sources(spark, d, "part"))
-    return found.groupBy("source").agg(F.count("*").alias("n"), F.min("node").alias("first_node"))
-
-
-def impact_all(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.impact(derived.edges(spark, d), _sources(spark, d, "nation|region"), "proof")
-    return found.groupBy("source", F.substring_index("node", ":", 1).alias("kind")).agg(F.count("*").alias("n"))
-
-
-def bridge_centrality(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bridge_centrality(derived.edges(spark, d), _sources(spark, d, "supplier|nation|region"), "proof")
-
-
-def why_path(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.why(derived.edges(spark, d), _sources(spark, d, "part|nation"), F.col("node").startswith("region:"))
-    return found.select("source", "target", F.array_join("path", ">").alias("path"))
-
-
 def _every(spark: SparkSession, d: str) -> DataFrame:
     return derived.names(spark, d).select(F.col("name").alias("source"))
 
 
-def citations_whole(spark: SparkSession, d: str) -> DataFrame:
-    """citations_by_lens of every name."""
+def citations_by_lens(spark: SparkSession, d: str) -> DataFrame:
     e, n = derived.edges(spark, d), derived.names(spark, d)
     parts = [graph.citations(e, n, lens).select(F.lit(lens).alias("lens"), "name", "citations") for lens in graph.LENSES]
     return parts[0].union(parts[1]).union(parts[2])
 
 
-def foundations_whole(spark: SparkSession, d: str) -> DataFrame:
-    """foundations_all from every name."""
+def foundations_all(spark: SparkSession, d: str) -> DataFrame:
     found = graph.foundations(derived.edges(spark, d), _every(spark, d))
     return found.groupBy("source").agg(F.count("*").alias("n"), F.min("node").alias("first_node"))
 
 
-def impact_whole(spark: SparkSession, d: str) -> DataFrame:
-    """impact_all from every name."""
+def impact_all(spark: SparkSession, d: str) -> DataFrame:
     found = graph.impact(derived.edges(spark, d), _every(spark, d), "proof")
     return found.groupBy("source", F.substring_index("node", ":", 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
-def bridge_whole(spark: SparkSession, d: str) -> DataFrame:
-    """bridge_centrality of every name, by edges of both lenses, as suppliers and parts are used by statements alone."""
+def bridge_centrality(spark: SparkSession, d: str) -> DataFrame:
+    """Of every name, by edges of both lenses, as suppliers and parts are used by statements alone."""
     return graph.bridge_centrality(derived.edges(spark, d), _every(spark, d))
 
 
-def why_whole(spark: SparkSession, d: str) -> DataFrame:
-    """why_path from every name."""
+def why_path(spark: SparkSession, d: str) -> DataFrame:
     found = graph.why(derived.edges(spark, d), _every(spark, d), F.col("node").startswith("region:"))
     return found.select("source", "target", F.array_join("path", ">").alias("path"))
 
@@ -120,7 +87,7 @@ def slice_faults(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slice_edges(spark: SparkSession, d: str) -> DataFrame:
-    return slices.edges(slices.below(slices.read_rows(_slice(spark, d)), "Trade.BU"))
+    return slices.edges(slices.read_rows(_slice(spark, d)))
 
 
 def _reach_sql(start: str, step: str, lens: str = "") -> str:
@@ -129,29 +96,19 @@ def _reach_sql(start: str, step: str, lens: str = "") -> str:
         found(source, node) AS (SELECT name, name FROM names WHERE {start} UNION SELECT f.source, {step})"""
 
 
-QUERIES = {f.__name__: f for f in (walls, citations_by_lens, foundations_all, impact_all, bridge_centrality, why_path, citations_whole, foundations_whole, impact_whole, bridge_whole, why_whole, honesty, theory_sizes, cross_citations, cyclic_reach, orphans, slice_faults, slice_edges)}
+QUERIES = {f.__name__: f for f in (walls, citations_by_lens, foundations_all, impact_all, bridge_centrality, why_path, honesty, theory_sizes, cross_citations, cyclic_reach, orphans, slice_faults, slice_edges)}
 
 DOWN = "p.dst FROM found f JOIN pairs p ON f.node = p.src"
 UP = "p.src FROM found f JOIN pairs p ON f.node = p.dst"
 SQL = {
     "walls": f"""WITH {E}, {N}, c AS (SELECT dst AS name, count(DISTINCT src) AS citations FROM edges GROUP BY dst)
         SELECT name, citations FROM c JOIN names USING (name) ORDER BY citations DESC, name LIMIT 20""",
-    "citations_by_lens": f"""WITH {E}, {N}, lenses AS (SELECT unnest(['statement', 'proof', 'both']) AS lens)
-        SELECT l.lens, n.name, count(DISTINCT e.src) AS citations FROM lenses l CROSS JOIN names n LEFT JOIN edges e ON e.dst = n.name AND (l.lens = 'both' OR l.lens = e.lens)
-        WHERE regexp_matches(n.name, '^(supplier|nation|region):') GROUP BY l.lens, n.name""",
-    "foundations_all": _reach_sql("name LIKE 'part:%'", DOWN) + " SELECT source, count(*) AS n, min(node) AS first_node FROM found WHERE node <> source GROUP BY source",
-    "impact_all": _reach_sql("name LIKE 'nation:%' OR name LIKE 'region:%'", UP, "proof") + " SELECT source, split_part(node, ':', 1) AS kind, count(*) AS n FROM found WHERE node <> source GROUP BY 1, 2",
-    "bridge_centrality": _reach_sql("regexp_matches(name, '^(supplier|nation|region):')", UP, "proof") + " SELECT source, count(*) - 1 AS n FROM found GROUP BY source",
-    "why_path": f"""WITH RECURSIVE {E}, {N}, pairs AS (SELECT DISTINCT src, dst FROM edges),
-        found(source, node, path) AS (SELECT name, name, [name] FROM names WHERE name LIKE 'part:%' OR name LIKE 'nation:%' UNION ALL SELECT f.source, p.dst, list_append(f.path, p.dst) FROM found f JOIN pairs p ON f.node = p.src),
-        short AS (SELECT *, rank() OVER (PARTITION BY source, node ORDER BY len(path)) AS r FROM found WHERE node LIKE 'region:%')
-        SELECT source, node AS target, array_to_string(min(path), '>') AS path FROM short WHERE r = 1 GROUP BY source, node""",
-    "citations_whole": f"""WITH {E}, {N}, lenses AS (SELECT unnest(['statement', 'proof', 'both']) AS lens), c AS (SELECT l.lens, dst AS name, count(DISTINCT src) AS citations FROM lenses l JOIN edges e ON l.lens = 'both' OR l.lens = e.lens GROUP BY 1, 2)
+    "citations_by_lens": f"""WITH {E}, {N}, lenses AS (SELECT unnest(['statement', 'proof', 'both']) AS lens), c AS (SELECT l.lens, dst AS name, count(DISTINCT src) AS citations FROM lenses l JOIN edges e ON l.lens = 'both' OR l.lens = e.lens GROUP BY 1, 2)
         SELECT l.lens, n.name, coalesce(citations, 0) AS citations FROM lenses l CROSS JOIN names n LEFT JOIN c ON c.lens = l.lens AND c.name = n.name""",
-    "foundations_whole": _reach_sql("true", DOWN) + " SELECT source, count(*) AS n, min(node) AS first_node FROM found WHERE node <> source GROUP BY source",
-    "impact_whole": _reach_sql("true", UP, "proof") + " SELECT source, split_part(node, ':', 1) AS kind, count(*) AS n FROM found WHERE node <> source GROUP BY 1, 2",
-    "bridge_whole": _reach_sql("true", UP) + " SELECT source, count(*) - 1 AS n FROM found GROUP BY source",
-    "why_whole": f"""WITH RECURSIVE {E}, {N}, pairs AS (SELECT DISTINCT src, dst FROM edges),
+    "foundations_all": _reach_sql("true", DOWN) + " SELECT source, count(*) AS n, min(node) AS first_node FROM found WHERE node <> source GROUP BY source",
+    "impact_all": _reach_sql("true", UP, "proof") + " SELECT source, split_part(node, ':', 1) AS kind, count(*) AS n FROM found WHERE node <> source GROUP BY 1, 2",
+    "bridge_centrality": _reach_sql("true", UP) + " SELECT source, count(*) - 1 AS n FROM found GROUP BY source",
+    "why_path": f"""WITH RECURSIVE {E}, {N}, pairs AS (SELECT DISTINCT src, dst FROM edges),
         found(source, node, path) AS (SELECT name, name, [name] FROM names UNION ALL SELECT f.source, p.dst, list_append(f.path, p.dst) FROM found f JOIN pairs p ON f.node = p.src),
         short AS (SELECT *, rank() OVER (PARTITION BY source, node ORDER BY len(path)) AS r FROM found WHERE node LIKE 'region:%')
         SELECT source, node AS target, array_to_string(min(path), '>') AS path FROM short WHERE r = 1 GROUP BY source, node""",
@@ -162,6 +119,6 @@ SQL = {
     "cyclic_reach": f"""WITH RECURSIVE {derived.SQL['traces']}, pairs AS (SELECT DISTINCT a.method AS src, b.method AS dst FROM traces a JOIN traces b ON a.problem = b.problem AND b.step = a.step + 1),
         found(source, node) AS (SELECT DISTINCT method, method FROM traces UNION SELECT f.source, p.dst FROM found f JOIN pairs p ON f.node = p.src) SELECT source, node FROM found WHERE node <> source""",
     "slice_faults": "SELECT c_custkey AS line, 'kind, module or is_instance is missing' AS reason FROM customer WHERE c_custkey % 10 = 0",
-    "slice_edges": "SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst, 'statement' AS lens FROM customer WHERE c_custkey % 10 <> 0 AND c_mktsegment LIKE 'BU%'",
+    "slice_edges": "SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst, 'statement' AS lens FROM customer WHERE c_custkey % 10 <> 0",
     "orphans": "SELECT 'nation:' || n_nationkey AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)",
 }

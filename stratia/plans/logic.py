@@ -5,65 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratia.operators import datalog, records
-from stratia.operators.datalog import Atom, Rule
+from stratia.operators import derivations, records
 from stratia.sources import derived
 
-REACH = [Rule("base", Atom("reach", ("X", "Y")), (Atom("edge", ("X", "Y")),)), Rule("step", Atom("reach", ("X", "Z")), (Atom("reach", ("X", "Y")), Atom("edge", ("Y", "Z"))))]
-CLEAN = [
-    Rule("bad", Atom("bad", ("N",)), (Atom("lives", ("C", "N")), Atom("owes", ("C",)))),
-    Rule("clean", Atom("clean", ("S",)), (Atom("serves", ("S", "N")),), without=(Atom("bad", ("N",)),)),
-    Rule("pair", Atom("pair", ("S", "N", "T")), (Atom("clean", ("S",)), Atom("serves", ("S", "N"))), equal=(("T", "ok"),)),
-]
-
-
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    rows = derived.edges(spark, d).filter("lens = 'proof'").filter(~F.col("src").startswith("order:"))
-    return rows.select(F.col("src").alias("a0"), F.col("dst").alias("a1"))
-
-
-def _whole_edges(spark: SparkSession, d: str) -> DataFrame:
-    return derived.edges(spark, d).filter("lens = 'proof'").select(F.col("src").alias("a0"), F.col("dst").alias("a1"))
-
-
-def reach_whole(spark: SparkSession, d: str) -> DataFrame:
-    """datalog_reach over all proof edges, those of orders too."""
-    return datalog.evaluate(REACH, {"edge": _whole_edges(spark, d)})["reach"].select(F.col("a0").alias("src"), F.col("a1").alias("dst"))
+    return derived.edges(spark, d).filter("lens = 'proof'").select("src", "dst")
 
 
 def datalog_reach(spark: SparkSession, d: str) -> DataFrame:
-    return datalog.evaluate(REACH, {"edge": _edges(spark, d)})["reach"].select(F.col("a0").alias("src"), F.col("a1").alias("dst"))
+    return derivations.closure(_edges(spark, d))
 
 
 def datalog_negation(spark: SparkSession, d: str) -> DataFrame:
+    """Of every supplier whether its nation is free of customers in deep debt."""
     c, s = derived.table(spark, d, "customer"), derived.table(spark, d, "supplier")
-    text = lambda k, a: F.col(k).cast("string").alias(a)
-    facts = {"lives": c.select(text("c_custkey", "a0"), text("c_nationkey", "a1")), "owes": c.filter("c_acctbal < -900").select(text("c_custkey", "a0")), "serves": s.select(text("s_suppkey", "a0"), text("s_nationkey", "a1"))}
-    return datalog.evaluate(CLEAN, facts)["pair"].select(F.col("a0").alias("supplier"), F.col("a1").alias("nation"), F.col("a2").alias("verdict"))
+    bad = c.filter("c_acctbal < -900").select(F.col("c_nationkey").alias("s_nationkey")).distinct().withColumn("verdict", F.lit("debtor"))
+    return s.join(bad, "s_nationkey", "left").select(F.col("s_suppkey").cast("string").alias("supplier"), F.col("s_nationkey").cast("string").alias("nation"), F.coalesce("verdict", F.lit("ok")).alias("verdict"))
 
 
-def _warranted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ways = datalog.derivations(REACH, datalog.evaluate(REACH, {"edge": edges}))
-    warrant = F.when(F.col("a0").startswith("nation:"), datalog.PROVED).when(F.col("a0").startswith("supplier:"), datalog.STRUCTURAL).otherwise(datalog.ASSERTED)
-    return ways, datalog.warrants(ways, edges.select(datalog.fact_key("edge", 2).alias("fact"), warrant.alias("warrant")))
+def _warranted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    edges = _edges(spark, d)
+    ways = derivations.closure_ways(edges, derivations.closure(edges))
+    warrant = F.when(F.col("src").startswith("nation:"), derivations.PROVED).when(F.col("src").startswith("supplier:"), derivations.STRUCTURAL).otherwise(derivations.ASSERTED)
+    return ways, derivations.warrants(ways, edges.select(derivations.fact("edge", "src", "dst").alias("fact"), warrant.alias("warrant")))
 
 
 def warrants(spark: SparkSession, d: str) -> DataFrame:
-    return _warranted(_edges(spark, d))[1]
+    return _warranted(spark, d)[1]
 
 
 def explain_fact(spark: SparkSession, d: str) -> DataFrame:
-    return datalog.explain(*_warranted(_edges(spark, d)))
-
-
-def warrants_whole(spark: SparkSession, d: str) -> DataFrame:
-    """warrants over all proof edges."""
-    return _warranted(_whole_edges(spark, d))[1]
-
-
-def explain_whole(spark: SparkSession, d: str) -> DataFrame:
-    """explain_fact over all proof edges."""
-    return datalog.explain(*_warranted(_whole_edges(spark, d)))
+    return derivations.explain(*_warranted(spark, d))
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
@@ -89,26 +61,20 @@ def relation_violations(spark: SparkSession, d: str) -> DataFrame:
     return records.relation_violations(rows)
 
 
-QUERIES = {f.__name__: f for f in (datalog_reach, reach_whole, datalog_negation, warrants, explain_fact, warrants_whole, explain_whole, fact_violations, store_append, relation_violations)}
+QUERIES = {f.__name__: f for f in (datalog_reach, datalog_negation, warrants, explain_fact, fact_violations, store_append, relation_violations)}
 
-EDGES = derived.SQL["edges"] + ", e AS (SELECT src AS a, dst AS b FROM edges WHERE lens = 'proof' AND src NOT LIKE 'order:%')"
+EDGES = derived.SQL["edges"] + ", e AS (SELECT src AS a, dst AS b FROM edges WHERE lens = 'proof')"
 WARRANTED = f"""WITH RECURSIVE {EDGES}, given AS (SELECT a, b, CASE WHEN a LIKE 'nation:%' THEN 3 WHEN a LIKE 'supplier:%' THEN 2 ELSE 1 END AS w FROM e),
     reach(a, b, w, last) AS (SELECT a, b, least(w, 2), NULL::VARCHAR FROM given UNION ALL SELECT r.a, g.b, least(r.w, g.w), r.b FROM reach r JOIN given g ON r.b = g.a)"""
-WHOLE_EDGES = derived.SQL["edges"] + ", e AS (SELECT src AS a, dst AS b FROM edges WHERE lens = 'proof')"
-WHOLE_WARRANTED = WARRANTED.replace(EDGES, WHOLE_EDGES)
 FACTS = """facts AS (SELECT o_orderkey AS id, CAST(o_orderpriority[1] AS INTEGER) % 4 AS warrant, CASE o_orderstatus WHEN 'F' THEN 'formal' WHEN 'O' THEN 'derived' ELSE 'assertion' END AS provenance FROM orders),
     support AS (SELECT f.id, count(*) FILTER (a.id IS NULL) + count(*) FILTER (b.id IS NULL) AS absent, greatest(max(a.warrant), max(b.warrant)) AS weakest FROM facts f LEFT JOIN facts a ON a.id = f.id - 1 LEFT JOIN facts b ON b.id = f.id - 2 WHERE f.provenance = 'derived' GROUP BY f.id),
     bad AS (SELECT id, f.warrant, provenance, CASE WHEN coalesce(absent, 0) > 0 THEN 'missing-input' WHEN f.warrant < CASE provenance WHEN 'formal' THEN 0 WHEN 'derived' THEN 1 ELSE 2 END THEN 'above-ceiling' WHEN provenance = 'derived' AND f.warrant < weakest THEN 'above-support' END AS rule FROM facts f LEFT JOIN support USING (id))"""
 SQL = {
     "datalog_reach": f"WITH RECURSIVE {EDGES}, r(src, dst) AS (SELECT a, b FROM e UNION SELECT r.src, e.b FROM r JOIN e ON r.dst = e.a) SELECT src, dst FROM r",
-    "datalog_negation": "SELECT CAST(s_suppkey AS VARCHAR) AS supplier, CAST(s_nationkey AS VARCHAR) AS nation, 'ok' AS verdict FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -900)",
+    "datalog_negation": "SELECT CAST(s_suppkey AS VARCHAR) AS supplier, CAST(s_nationkey AS VARCHAR) AS nation, CASE WHEN s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -900) THEN 'debtor' ELSE 'ok' END AS verdict FROM supplier",
     "warrants": WARRANTED + " SELECT 'edge,' || a || ',' || b AS fact, w AS warrant FROM given UNION ALL SELECT 'reach,' || a || ',' || b, max(w) FROM reach GROUP BY a, b",
     "explain_fact": WARRANTED + """ SELECT 'reach,' || a || ',' || b AS fact, CASE WHEN last IS NULL THEN 'base' ELSE 'step' END AS rule, CASE WHEN last IS NULL THEN 'edge,' || a || ',' || b ELSE 'reach,' || a || ',' || last || '&edge,' || last || ',' || b END AS inputs, 0 AS missing, w AS warrant
         FROM reach QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY w DESC, rule, inputs) = 1""",
-    "reach_whole": f"WITH RECURSIVE {WHOLE_EDGES}, r(src, dst) AS (SELECT a, b FROM e UNION SELECT r.src, e.b FROM r JOIN e ON r.dst = e.a) SELECT src, dst FROM r",
-    "warrants_whole": WHOLE_WARRANTED + " SELECT 'edge,' || a || ',' || b AS fact, w AS warrant FROM given UNION ALL SELECT 'reach,' || a || ',' || b, max(w) FROM reach GROUP BY a, b",
-    "explain_whole": WHOLE_WARRANTED + """ SELECT 'reach,' || a || ',' || b AS fact, CASE WHEN last IS NULL THEN 'base' ELSE 'step' END AS rule, CASE WHEN last IS NULL THEN 'edge,' || a || ',' || b ELSE 'reach,' || a || ',' || last || '&edge,' || last || ',' || b END AS inputs, 0 AS missing, w AS warrant
-        FROM reach QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY w DESC, rule, inputs) = 1""",
     "fact_violations": f"WITH {FACTS} SELECT id, warrant, provenance, rule FROM bad WHERE rule IS NOT NULL",
     "store_append": f"WITH {FACTS} SELECT provenance, warrant, count(*) AS n, min(id) AS first FROM bad WHERE rule IS NULL AND id % 7 <> 0 GROUP BY 1, 2",
     "relation_violations": f"""WITH kinds(i, kind, w, sym) AS (VALUES {', '.join(f"({i}, '{k}', {w}, {str(s).lower()})" for i, (k, (w, s)) in enumerate(records.KINDS.items()))}, ({len(records.KINDS)}, 'guess', NULL, NULL)),

@@ -13,7 +13,8 @@ D = derived.SQL["decls"]
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return st.parse(derived.declarations(spark, d))
+    """Parsed once and written: what follows reads it several times."""
+    return materialize(st.parse(derived.declarations(spark, d)), "parsed")
 
 
 def _total(spark: SparkSession, d: str) -> int:
@@ -45,8 +46,7 @@ def skeletons(spark: SparkSession, d: str) -> DataFrame:
 
 def _classes(level: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = st.classes(st.erased(_parsed(spark, d), level))
-        return found.select("erased", "n", "first", F.md5(F.array_join("members", ",").cast("binary")).alias("members"))
+        return st.classes(st.erased(_parsed(spark, d), level))
 
     return run
 
@@ -81,26 +81,9 @@ def derivativeness(spark: SparkSession, d: str) -> DataFrame:
     return st.derivativeness(rows).select("name", F.round("derivativeness", 6).alias("derivativeness"))
 
 
-def _compared(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    p, n = _parsed(spark, d), _total(spark, d)
-    keys = _keys(p)
-    return st.compare(st.candidates(p, keys, st.postings(keys, n)), st.erased(p, "carriers")), n
-
-
-def similar_topk(spark: SparkSession, d: str) -> DataFrame:
-    compared, n = _compared(spark, d)
-    return st.rank(compared, n).select("name", "other", "rank", "common", "vars", F.round("retention", 6).alias("retention"), F.round("total", 6).alias("total"))
-
-
-def score_variants(spark: SparkSession, d: str) -> DataFrame:
-    compared, _ = _compared(spark, d)
-    kept = compared.filter(F.col("common") >= st.LEAST_COMMON)
-    return kept.groupBy("name").agg(F.count("*").alias("n"), *(F.round(F.max(m), 6).alias(m) for m in ("retention", "min_normalised", "dice", "jaccard", "geometric_mean")), F.max("common").alias("common"))
-
-
 def _shaped(spark: SparkSession, d: str) -> DataFrame:
     p = _parsed(spark, d)
-    return st.erased(p, "carriers").join(st.erased(p, "shape", "shape").select("seq", "shape"), "seq")
+    return materialize(st.erased(p, "carriers").join(st.erased(p, "shape", "shape").select("seq", "shape"), "seq"), "shaped")
 
 
 def _classes_compared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
@@ -111,48 +94,31 @@ def _classes_compared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
     return st.compare_classes(st.meetings(st.weighed(st.sources(reps), reps, n)), reps), st.members(rows, reps), n
 
 
-def similar_whole(spark: SparkSession, d: str) -> DataFrame:
-    """similar_topk over all sources and keys, however many declarations have them."""
+def similar_topk(spark: SparkSession, d: str) -> DataFrame:
     found = st.rank_members(*_classes_compared(spark, d))
     return found.select("name", "other", "rank", "common", "vars", F.round("retention", 6).alias("retention"), F.round("total", 6).alias("total"))
 
 
-def score_whole(spark: SparkSession, d: str) -> DataFrame:
-    """score_variants over all sources and keys, however many declarations have them."""
+def score_variants(spark: SparkSession, d: str) -> DataFrame:
     compared, membership, _ = _classes_compared(spark, d)
     kept = compared.filter(F.col("common") >= st.LEAST_COMMON)
     found = kept.groupBy(F.col("name").alias("class")).agg(F.sum("n").alias("n"), *(F.round(F.max(m), 6).alias(m) for m in ("retention", "min_normalised", "dice", "jaccard", "geometric_mean")), F.max("common").alias("common"))
     return membership.join(found, "class").drop("class")
 
 
-def postings_whole(spark: SparkSession, d: str) -> DataFrame:
-    """postings_idf of all keys."""
-    n = _total(spark, d)
-    return st.postings(_keys(_parsed(spark, d)), n, n).select("key", "n", "size", F.round("idf", 6).alias("idf"))
-
-
-def motifs_whole(spark: SparkSession, d: str) -> DataFrame:
-    """motifs of all keys."""
-    n = _total(spark, d)
-    return st.motifs(st.postings(_keys(_parsed(spark, d)), n, n)).select("key", "n", "size", F.round("weight", 6).alias("weight"))
-
-
-def work_budget_whole(spark: SparkSession, d: str) -> DataFrame:
-    """work_budget of all keys: the budget alone bounds the walk."""
-    n = _total(spark, d)
-    keys = _keys(_parsed(spark, d))
-    return st.within_budget(keys.select("name", "key").join(st.postings(keys, n, n), "key"), 40).groupBy("name").agg(F.count("*").alias("kept"), F.max("before").alias("last_start"))
-
-
 def work_budget(spark: SparkSession, d: str) -> DataFrame:
-    p, n = _parsed(spark, d), _total(spark, d)
-    keys = _keys(p)
-    return st.within_budget(keys.select("name", "key").join(st.postings(keys, n), "key"), 40).groupBy("name").agg(F.count("*").alias("kept"), F.max("before").alias("last_start"))
+    """The budget alone bounds the walk over a declaration's keys."""
+    keys = materialize(_keys(_parsed(spark, d)), "keys")
+    return st.within_budget(keys.select("name", "key").join(st.postings(keys, _total(spark, d)), "key"), 40).groupBy("name").agg(F.count("*").alias("kept"), F.max("before").alias("last_start"))
 
 
 def variants(spark: SparkSession, d: str) -> DataFrame:
-    found = st.variants(_parsed(spark, d))
-    return found.select("name", "other", "n", F.array_join(F.transform("edits", lambda x: F.concat(x["s"], F.lit(">"), x["t"])), ",").alias("edits"))
+    """Of each distinct statement, by its first name, those that differ by one replacement, with how many copies both have."""
+    p = _parsed(spark, d)
+    first = p.groupBy("root").agg(F.min(F.struct("seq", "name"))["name"].alias("name"), F.count("*").alias("copies"))
+    reps = materialize(p.join(first.select("name", "copies"), "name").select("name", "rigid", "slots", "copies"), "representatives")
+    found = st.variants(reps).join(reps.select("name", "copies"), "name").join(reps.select(F.col("name").alias("other"), F.col("copies").alias("other_copies")), "other")
+    return found.select("name", "other", "n", F.array_join(F.transform("edits", lambda x: F.concat(x["s"], F.lit(">"), x["t"])), ",").alias("edits"), "copies", "other_copies")
 
 
 def adjacent(spark: SparkSession, d: str) -> DataFrame:
@@ -167,11 +133,11 @@ def vocab_adjacent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dictionary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = _parsed(spark, d)
-    rows = st.erased(p, "carriers").join(st.erased(p, "shape", "shape").select("seq", "shape"), "seq")
+    """The dictionary of the first brand's theory in the last one's, and all rows."""
+    rows = _shaped(spark, d)
     brands = rows.select(F.split("module", r"\.")[1].alias("b")).agg(F.min("b").alias("lo"), F.max("b").alias("hi")).first()
     of = lambda b: F.col("module").startswith(f"Mfgr.{b}.")
-    return st.dictionary(rows, of(brands["lo"]), of(brands["hi"])), rows
+    return materialize(st.dictionary(rows, of(brands["lo"]), of(brands["hi"])), "dictionary"), rows
 
 
 def dictionary(spark: SparkSession, d: str) -> DataFrame:
@@ -185,25 +151,6 @@ def dictionary_missing(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(F.col("module").startswith(f"Mfgr.{lo}.")).select("name").join(found, "name", "left_anti")
 
 
-def _dictionary_whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The dictionary of the first brand's theory in the last one's, and the first's names."""
-    rows = _shaped(spark, d)
-    brands = rows.select(F.split("module", r"\.")[1].alias("b")).agg(F.min("b").alias("lo"), F.max("b").alias("hi")).first()
-    of = lambda b: F.col("module").startswith(f"Mfgr.{b}.")
-    return st.dictionary_whole(rows, of(brands["lo"]), of(brands["hi"])), rows.filter(of(brands["lo"])).select("name")
-
-
-def dictionary_whole(spark: SparkSession, d: str) -> DataFrame:
-    """dictionary over all sources of candidates."""
-    found, _ = _dictionary_whole(spark, d)
-    return found.select("name", "other", "common", "vars", F.round("total", 6).alias("total"))
-
-
-def dictionary_missing_whole(spark: SparkSession, d: str) -> DataFrame:
-    found, lefts = _dictionary_whole(spark, d)
-    return lefts.join(found, "name", "left_anti")
-
-
 def coherence(spark: SparkSession, d: str) -> DataFrame:
     found, rows = _dictionary(spark, d)
     return st.coherence(found, rows.select(F.col("name").alias("other"), "root"))
@@ -248,7 +195,7 @@ def census(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("concrete", F.round("concrete", 6))
 
 
-QUERIES = {f.__name__: f for f in (slice_stats, stmt_digest, measures, skeletons, equivalent, ladder, postings_idf, symbol_df, motifs, closure_coverage, derivativeness, similar_topk, score_variants, similar_whole, score_whole, postings_whole, motifs_whole, work_budget, work_budget_whole, variants, adjacent, vocab_adjacent, dictionary, dictionary_missing, dictionary_whole, dictionary_missing_whole, coherence, shuffle_control, frontier, rule_stats, pattern_groups, transport, census)}
+QUERIES = {f.__name__: f for f in (slice_stats, stmt_digest, measures, skeletons, equivalent, ladder, postings_idf, symbol_df, motifs, closure_coverage, derivativeness, similar_topk, score_variants, work_budget, variants, adjacent, vocab_adjacent, dictionary, dictionary_missing, coherence, shuffle_control, frontier, rule_stats, pattern_groups, transport, census)}
 QUERIES |= {"equiv_classes_exact": _classes("exact"), "equiv_classes_shape": _classes("shape")}
 
 ROOT = "substr(stmt, 11)"
@@ -257,11 +204,14 @@ KEYS = f"""{D}, parts AS (SELECT *, 'a(c(4:Part,0),c(' || strlen(brand) || ':' |
     parts2 AS (SELECT *, 'a(' || k1 || ',c(' || strlen(type) || ':' || type || ',0))' AS k2 FROM parts), parts3 AS (SELECT *, 'a(' || k2 || ',n' || size || ')' AS k3 FROM parts2), parts4 AS (SELECT *, 'a(' || k3 || ',n' || bucket || ')' AS k4 FROM parts3),
     keys AS (SELECT name, unnest([k1, k2, k3, k4] || [repeat('a(c(1:f,0),', CAST(i AS BIGINT)) || k4 || repeat(')', CAST(i AS BIGINT)) for i in range(1, layers + 1)]) AS key, unnest([3, 5, 7, 9] || [9 + 2 * i for i in range(1, layers + 1)]) AS ksize FROM parts4),
     total AS (SELECT count(*) AS total FROM decls),
-    posted AS (SELECT key, count(DISTINCT name) AS n, max(ksize) AS size, ln(max(total) * 1.0 / count(DISTINCT name)) AS idf FROM keys, total GROUP BY key HAVING count(DISTINCT name) <= greatest(max(total) // 1000, 50))"""
+    posted AS (SELECT key, count(DISTINCT name) AS n, max(ksize) AS size, ln(max(total) * 1.0 / count(DISTINCT name)) AS idf FROM keys, total GROUP BY key)"""
 COMPARE = """SELECT p.*, 5 + 2 * a.layers + (a.brand = b.brand)::INT + (a.type = b.type)::INT + (a.size = b.size)::INT + (a.bucket = b.bucket)::INT AS common,
         (a.brand <> b.brand)::INT + (a.type <> b.type)::INT + (a.size <> b.size)::INT + (a.bucket <> b.bucket AND NOT (a.size = a.bucket AND b.size = b.bucket))::INT AS vars, 9 + 2 * a.layers AS whole
         FROM {pairs} p JOIN decls a ON a.name = p.name JOIN decls b ON b.name = p.other WHERE a.layers = b.layers"""
-SIMILAR = f"""WITH {KEYS}, pairs AS (SELECT a.name, b.name AS other, max(idf) AS rarity FROM keys a JOIN posted USING (key) JOIN keys b USING (key) WHERE a.name <> b.name GROUP BY 1, 2),
+# Source A is the layers, B the keys above, C the shape's subterms of 9 nodes and more: as many layers as the row has, or fewer.
+SIMILAR = f"""WITH {KEYS}, every AS (SELECT name, 'B' || key AS key FROM keys UNION ALL SELECT name, 'A' || layers FROM decls UNION ALL SELECT name, 'C' || unnest(range(layers + 1)) FROM decls),
+    weights AS (SELECT key, ln(max(total) * 1.0 / count(*)) AS idf FROM every, total GROUP BY key),
+    pairs AS (SELECT a.name, b.name AS other, max(idf) AS rarity FROM every a JOIN weights USING (key) JOIN every b USING (key) WHERE a.name <> b.name GROUP BY 1, 2),
     compared AS ({COMPARE.format(pairs='pairs')})"""
 # A row whose size is not 0 modulo 4 only meets rows of as many layers above the least number of shared nodes.
 DICT = f"""WITH {D}, ends AS (SELECT min(brand) AS lo, max(brand) AS hi FROM decls),
@@ -273,9 +223,9 @@ SQL = {
     "stmt_digest": f"WITH {D} SELECT name, 'x-stmt-v1:sha256:' || sha256(stmt) AS digest FROM decls",
     "measures": f"WITH {D} SELECT name, 9 + 2 * layers AS size, 9 + 2 * layers AS concrete, true AS closed, repeat('f,', layers) || 'Part,' || brand || ',' || type AS symbols FROM decls",
     "skeletons": f"WITH {D} SELECT name, {ROOT} AS carriers, {SHAPE} AS shape FROM decls",
-    "equiv_classes_exact": f"WITH {D} SELECT {ROOT} AS erased, count(*) AS n, arg_min(name, seq) AS first, md5(string_agg(name, ',' ORDER BY seq)) AS members FROM decls GROUP BY 1 HAVING count(*) > 1",
-    "equiv_classes_shape": f"WITH {D} SELECT {SHAPE} AS erased, count(*) AS n, arg_min(name, seq) AS first, md5(string_agg(name, ',' ORDER BY seq)) AS members FROM decls GROUP BY 1 HAVING count(*) > 1",
-    "equivalent": f"WITH {D} SELECT a.name, b.name AS other FROM decls a JOIN decls b ON a.stmt = b.stmt AND a.name <> b.name WHERE a.kind <> 'def' AND b.kind <> 'def'",
+    "equiv_classes_exact": f"WITH {D} SELECT {ROOT} AS erased, count(*) AS n, arg_min(name, seq) AS first, CAST(sum(CAST(('0x' || substr(md5(name), 1, 6)) AS BIGINT)) AS BIGINT) AS members FROM decls GROUP BY 1 HAVING count(*) > 1",
+    "equiv_classes_shape": f"WITH {D} SELECT {SHAPE} AS erased, count(*) AS n, arg_min(name, seq) AS first, CAST(sum(CAST(('0x' || substr(md5(name), 1, 6)) AS BIGINT)) AS BIGINT) AS members FROM decls GROUP BY 1 HAVING count(*) > 1",
+    "equivalent": f"WITH {D}, c AS (SELECT stmt, count(*) AS n, arg_min(name, seq) AS first FROM decls WHERE kind <> 'def' GROUP BY stmt HAVING count(*) > 1) SELECT name, first, n FROM decls JOIN c USING (stmt) WHERE kind <> 'def'",
     "ladder": f"WITH {D}, c AS (SELECT stmt, count(*) AS n FROM decls WHERE kind <> 'def' GROUP BY stmt) SELECT name, n - 1 AS exact, 0 AS presentation, 0 AS instances, 0 AS carriers FROM decls JOIN c USING (stmt) WHERE kind <> 'def'",
     "postings_idf": f"WITH {KEYS} SELECT key, n, size, round(idf, 6) AS idf FROM posted",
     "symbol_df": f"WITH {D}, s AS (SELECT DISTINCT name, unnest(['Part', brand, type] || CASE WHEN layers > 0 THEN ['f'] ELSE [] END) AS sym FROM decls) SELECT sym, count(*) AS df FROM s GROUP BY sym",
@@ -291,8 +241,9 @@ SQL = {
         round(max(common * 1.0 / whole), 6) AS geometric_mean, max(common) AS common FROM compared WHERE common >= 6 GROUP BY name""",
     "work_budget": f"""WITH {KEYS}, o AS (SELECT name, coalesce(sum(n) OVER (PARTITION BY name ORDER BY idf DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keys JOIN posted USING (key))
         SELECT name, count(*) AS kept, CAST(max(before) AS BIGINT) AS last_start FROM o WHERE before < 40 GROUP BY name""",
-    "variants": f"""WITH {D} SELECT a.name, b.name AS other, 1 AS n, CASE WHEN a.brand <> b.brand THEN a.brand || '>' || b.brand ELSE a.type || '>' || b.type END AS edits
-        FROM decls a JOIN decls b ON a.size = b.size AND a.bucket = b.bucket AND (a.brand <> b.brand)::INT + (a.type <> b.type)::INT = 1""",
+    "variants": f"""WITH {D}, r AS (SELECT brand, type, size, bucket, layers, arg_min(name, seq) AS name, count(*) AS copies FROM decls GROUP BY ALL)
+        SELECT a.name, b.name AS other, 1 AS n, CASE WHEN a.brand <> b.brand THEN a.brand || '>' || b.brand ELSE a.type || '>' || b.type END AS edits, a.copies, b.copies AS other_copies
+        FROM r a JOIN r b ON a.size = b.size AND a.bucket = b.bucket AND (a.brand <> b.brand)::INT + (a.type <> b.type)::INT = 1""",
     "adjacent": f"""WITH {D}, v AS (SELECT a.stmt, b.name AS other, a.seq, a.name AS via FROM decls a JOIN decls b ON a.size = b.size AND a.bucket = b.bucket AND (a.brand <> b.brand)::INT + (a.type <> b.type)::INT = 1),
         best AS (SELECT stmt, other, arg_min(via, seq) AS via FROM v GROUP BY 1, 2) SELECT md5(substr(stmt, 11)) AS class, other, 1 AS n, via FROM best QUALIFY row_number() OVER (PARTITION BY stmt ORDER BY other) <= 50""",
     "vocab_adjacent": f"""WITH {D}, s AS (SELECT DISTINCT name, module, unnest(['Part', brand, type] || CASE WHEN layers > 0 THEN ['f'] ELSE [] END) AS sym FROM decls), f AS (SELECT sym, count(*) AS df FROM s GROUP BY sym HAVING count(*) <= (SELECT greatest(floor(count(*) * 0.05), 2) FROM decls)),
@@ -310,7 +261,7 @@ SQL = {
         shared AS (SELECT a.theory AS "left", b.theory AS "right", count(*) AS shared FROM s a JOIN s b ON a.shape = b.shape AND a.theory < b.theory GROUP BY 1, 2),
         i AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey), cross_ AS (SELECT a.p_brand AS "left", b.p_brand AS "right", count(*) AS cross FROM i a JOIN i b ON a.l_orderkey = b.l_orderkey AND a.p_brand < b.p_brand GROUP BY 1, 2),
         f AS (SELECT a.theory AS "left", b.theory AS "right", coalesce(shared, 0) AS shared, coalesce("cross", 0) AS "cross", coalesce(shared, 0) * 1.0 / least(a.n, b.n) - greatest(a.n, b.n) * 1.0 / m AS excess
-            FROM z a JOIN z b ON a.theory < b.theory CROSS JOIN m LEFT JOIN shared h ON h."left" = a.theory AND h."right" = b.theory LEFT JOIN cross_ c ON c."left" = a.theory AND c."right" = b.theory)
+            FROM z a JOIN z b ON a.theory < b.theory CROSS JOIN m JOIN shared h ON h."left" = a.theory AND h."right" = b.theory LEFT JOIN cross_ c ON c."left" = a.theory AND c."right" = b.theory)
         SELECT "left", "right", shared, "cross", round(excess, 6) AS excess, round(excess / (1 + sqrt("cross")), 6) AS score FROM f ORDER BY round(excess / (1 + sqrt("cross")), 9) DESC, "left", "right" LIMIT 20""",
     "rule_stats": f"""WITH {D}, k AS (SELECT CASE WHEN layers = 0 THEN 'Part/4' ELSE 'f/1' END AS shallow, CASE layers WHEN 0 THEN 'Part/4(' || brand || ',' || type || ',n,n)' WHEN 1 THEN 'f/1(Part)' ELSE 'f/1(f)' END AS deep FROM decls),
         s AS (SELECT count(*) AS n FROM k GROUP BY shallow), e AS (SELECT count(*) AS n FROM k GROUP BY deep)

@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from stratia.functions.components import connected_components
-from stratia.operators import concepts, datalog, graph, intuition, records, statements
-from stratia.operators.datalog import Atom, Rule
+from stratia.functions.numbering import numbered
+from stratia.operators import concepts, derivations, graph, intuition, records, statements
 
 EDGES = [("A", "B", "proof"), ("B", "A", "statement"), ("B", "C", "proof"), ("C", "outside", "proof"), ("D", "B", "statement"), ("D", "C", "proof")]
 
@@ -65,22 +67,53 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(201)) and got[500] == 500 and got[601] == 600
 
 
-def test_datalog_agrees_with_the_closure_and_keeps_ways(spark):
-    pairs = [("1", "2"), ("2", "3"), ("3", "1"), ("3", "4")]
-    facts = spark.createDataFrame(pairs, "a0 string, a1 string")
-    rules = [Rule("base", Atom("reach", ("X", "Y")), (Atom("edge", ("X", "Y")),)), Rule("step", Atom("reach", ("X", "Z")), (Atom("reach", ("X", "Y")), Atom("edge", ("Y", "Z"))))]
-    known = datalog.evaluate(rules, {"edge": facts})
-    assert {tuple(r) for r in known["reach"].collect()} == {(x, y) for x in "123" for y in "1234"}
-    given = facts.select(datalog.fact_key("edge", 2).alias("fact"), F.when(F.col("a1") == "4", datalog.ASSERTED).otherwise(datalog.PROVED).alias("warrant"))
-    found = dict(map(tuple, datalog.warrants(datalog.derivations(rules, known), given).collect()))
-    assert found["reach,1,1"] == datalog.STRUCTURAL and found["reach,1,4"] == datalog.ASSERTED and found["edge,1,2"] == datalog.PROVED
-
-
-def test_unsafe_and_unstratified_programs_are_refused():
-    with pytest.raises(ValueError, match="no positive atom"):
-        datalog.strata([Rule("r", Atom("p", ("X",)), (Atom("q", ("Y",)),))])
-    with pytest.raises(ValueError, match="circle"):
-        datalog.strata([Rule("r", Atom("p", ("X",)), (Atom("q", ("X",)),), without=(Atom("p", ("X",)),))])
+def test_closure_and_its_ways_keep_the_best_warrant(spark):
+    pairs = [("1", "2"), ("2", "3"), ("3", "1"), ("3", "4"), ("5", "5"), ("5", "6")]
+    edges = spark.createDataFrame(pairs + pairs[:1], "src string, dst string")
+    reached = derivations.closure(edges)
+    assert sorted(map(tuple, reached.collect())) == sorted([(x, y) for x in "123" for y in "1234"] + [("5", "5"), ("5", "6")])
+    ways = derivations.closure_ways(edges, reached)
+    assert ways.filter("rule = 'base'").count() == len(pairs)
+    given = edges.distinct().select(derivations.fact("edge", "src", "dst").alias("fact"), F.when(F.col("dst") == "4", derivations.ASSERTED).otherwise(derivations.PROVED).alias("warrant"))
+    found = dict(map(tuple, derivations.warrants(ways, given).collect()))
+    assert found["reach,1,1"] == derivations.STRUCTURAL and found["reach,1,4"] == derivations.ASSERTED and found["edge,1,2"] == derivations.PROVED
+    best = {r.fact: r.rule for r in derivations.explain(ways, derivations.warrants(ways, given)).collect()}
+    assert best["reach,1,2"] == "base" and best["reach,1,3"] == "step"
+
+
+def test_numbers_follow_the_order(spark):
+    rows_ = [(f"k{i % 7}", i) for i in range(500)]
+    got = numbered(spark.createDataFrame(rows_, "k string, v long").repartition(5), "k", F.col("v").desc()).collect()
+    assert [(r.k, r.v) for r in sorted(got, key=lambda r: r.i)] == sorted(rows_, key=lambda r: (r[0], -r[1])) and sorted(r.i for r in got) == list(range(500))
+    assert numbered(spark.createDataFrame([], "k string"), "k").count() == 0
+
+
+def test_covers_equal_brute_force(spark):
+    rng = random.Random(7)
+    masks_ = {rng.getrandbits(7) for _ in range(14)}
+    intents = {127}
+    while True:
+        more = intents | {i & m for i in intents for m in masks_}
+        if more == intents:
+            break
+        intents = more
+    part = lambda a, b: a & b == a and a != b
+    want = {(a, b) for a in intents for b in intents if part(a, b) and not any(part(a, c) and part(c, b) for c in intents)}
+    assert {tuple(r) for r in concepts.covers(spark.createDataFrame([(i,) for i in intents], "intent long")).collect()} == want
+
+
+def test_masked_variants_equal_all_pairs(spark):
+    rng = random.Random(3)
+    data = [(f"d{i}", rng.choice(["r", "q"]), [rng.choice("abc") for _ in range(3)]) for i in range(60)] + [("e1", "r", []), ("e2", "r", [])]
+    parsed = spark.createDataFrame(data, "name string, rigid string, slots array<string>")
+    want = set()
+    for n, r, s in data:
+        for m, q, t in data:
+            edits = {(x, y) for x, y in zip(s, t, strict=False) if x != y}
+            if n != m and r == q and len(s) == len(t) and len(edits) == 1:
+                want.add((n, m, *edits.pop()))
+    got = {(r.name, r.other, r.edits[0].s, r.edits[0].t) for r in statements.variants(parsed).collect()}
+    assert got == want and statements.variants(parsed).count() == len(want)
 
 
 def test_greedy_diversity_is_the_window_form(spark):

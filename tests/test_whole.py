@@ -1,4 +1,4 @@
-"""Whole jobs beside queries whose SQL states a part of them, against brute force over hot and small fixtures."""
+"""Queries over whole tables against brute force, over fixtures with hot statements."""
 
 from collections import Counter, defaultdict
 from math import log
@@ -65,12 +65,10 @@ def best(found):
     return {(a, x[3], i) for a, rows in found.items() for i, (x, _) in enumerate(sorted((r for r in rows if r[1]["common"] >= st.LEAST_COMMON and r[1]["retention"] >= st.LEAST_SCORE), key=lambda r: r[0])[:10], 1)}
 
 
-def test_similar_whole_keeps_hot_statements(spark, hot):
+def test_similar_topk_keeps_hot_statements(spark, hot):
     want = best(brute(hot, source_keys))
-    got = {(r.name, r.other, r["rank"]) for r in plans.similar_whole(spark, "").collect()}
+    got = {(r.name, r.other, r["rank"]) for r in plans.similar_topk(spark, "").collect()}
     assert got == want and len({a for a, _, _ in got}) == len(hot)
-    cut = {r.name for r in plans.similar_topk(spark, "").collect()}
-    assert "part:0" not in cut  # the query whose SQL has the cut
 
 
 def test_sources_reach_pairs_of_equal_shape_alone(spark, hot):
@@ -80,12 +78,11 @@ def test_sources_reach_pairs_of_equal_shape_alone(spark, hot):
     hot = [(i, f"part:{i}", "theorem", "Mfgr.B.T", t) for i, t in enumerate([a, b, part("Z", "W", 102, 52, 3)])]
     with pytest.MonkeyPatch.context() as m:
         m.setattr(derived, "declarations", lambda s, d: spark.createDataFrame(hot, PARTS))
-        got = {(r.name, r.other) for r in plans.similar_whole(spark, "").collect()}
+        got = {(r.name, r.other) for r in plans.similar_topk(spark, "").collect()}
         assert {(x, y) for x, y, _ in best(brute(hot, source_keys))} == got >= {("part:0", "part:1"), ("part:1", "part:0")}
-        assert plans.similar_topk(spark, "").count() == 0  # its SQL has one source of three
 
 
-def test_dictionary_whole_meets_other_shapes(spark):
+def test_dictionary_meets_other_shapes(spark):
     texts = [("A", part("A", "T", 1, 1, 5)), ("A", part("A", "T", 2, 2, 1)), ("A", "x-stmt-v1;n1"), ("B", part("B", "T", 1, 1, 4)), ("B", part("B", "T", 1, 1, 4)), ("B", part("C", "U", 3, 3, 1))]
     rows = [(i, f"part:{i}", "theorem", f"Mfgr.{m}.T", t) for i, (m, t) in enumerate(texts)]
     with pytest.MonkeyPatch.context() as m:
@@ -99,26 +96,26 @@ def test_dictionary_whole_meets_other_shapes(spark):
                     found.append((-round(s["retention"] * (1 - st.SCOPED * s["scoped"] / max(s["vars"], 1)), 9), -s["common"], s["vars"], b))
             if found:
                 want[a] = min(found)[3]
-        assert {r.name: r.other for r in plans.dictionary_whole(spark, "").collect()} == want
-        assert {r.name for r in plans.dictionary_missing_whole(spark, "").collect()} == {"part:0", "part:1", "part:2"} - want.keys()
-        assert want["part:0"] == "part:3" and "part:0" not in {r.name for r in plans.dictionary(spark, "").collect()}
+        assert {r.name: r.other for r in plans.dictionary(spark, "").collect()} == want
+        assert {r.name for r in plans.dictionary_missing(spark, "").collect()} == {"part:0", "part:1", "part:2"} - want.keys()
+        assert want["part:0"] == "part:3"
 
 
-def test_score_whole_counts_all_members(spark, hot):
+def test_score_variants_counts_all_members(spark, hot):
     found = brute(hot, source_keys)
     kept = {a: [s for _, s in rows if s["common"] >= st.LEAST_COMMON] for a, rows in found.items()}
     want = {a: (len(x), round(max(s["dice"] for s in x), 6), max(s["common"] for s in x)) for a, x in kept.items() if x}
-    assert {r.name: (r.n, r.dice, r.common) for r in plans.score_whole(spark, "").collect()} == want
+    assert {r.name: (r.n, r.dice, r.common) for r in plans.score_variants(spark, "").collect()} == want
 
 
-def test_postings_whole_has_every_key(spark, hot):
+def test_postings_idf_has_every_key(spark, hot):
     df = Counter(k for r in hot for k in subterm_keys(r[4]))
-    assert {r.key: r.n for r in plans.postings_whole(spark, "").collect()} == df
-    assert max(r.n for r in plans.motifs_whole(spark, "").collect()) > 70
-    assert {r.name for r in plans.work_budget_whole(spark, "").collect()} == {r[1] for r in hot}
+    assert {r.key: r.n for r in plans.postings_idf(spark, "").collect()} == df
+    assert max(r.n for r in plans.motifs(spark, "").collect()) > 70
+    assert {r.name for r in plans.work_budget(spark, "").collect()} == {r[1] for r in hot}
 
 
-def test_information_whole_weighs_members(spark, hot):
+def test_information_weighs_members(spark, hot):
     df = Counter(k for r in hot for k in set(terms.symbols(terms.parse(r[4]))))
     weigh = lambda t: sum(log(len(hot) / df[k]) for k in terms.symbols(t))
     want, known = {}, {}
@@ -131,7 +128,7 @@ def test_information_whole_weighs_members(spark, hot):
                 known[x, y] = 2 * weigh(terms.generalise(s, t)[0]) / (weigh(s) + weigh(t))
             values.append(known[x, y])
         want[a] = (len(values), max(values), sum(values) / len(values))
-    got = {r.name: (r.n, r.best_info_dice, r.mean_info_dice) for r in evidence.information_whole(spark, "").collect()}
+    got = {r.name: (r.n, r.best_info_dice, r.mean_info_dice) for r in evidence.information(spark, "").collect()}
     assert got.keys() == want.keys()
     assert all(got[a][0] == n and got[a][1:] == pytest.approx((b, m), abs=2e-6) for a, (n, b, m) in want.items())
 
@@ -154,16 +151,16 @@ def test_every_name_is_a_source(spark):
         return found
 
     below = {n: reached(n, down) for n in names}
-    assert {r.source: r.n for r in graph.foundations_whole(spark, entry.SMOKE).collect()} == {n: len(x) for n, x in below.items() if x}
+    assert {r.source: r.n for r in graph.foundations_all(spark, entry.SMOKE).collect()} == {n: len(x) for n, x in below.items() if x}
     above = Counter(x for found in below.values() for x in found)
-    got = {r.source: r.n for r in graph.bridge_whole(spark, entry.SMOKE).collect()}
+    got = {r.source: r.n for r in graph.bridge_centrality(spark, entry.SMOKE).collect()}
     assert got == {n: above[n] for n in names} and any(n for s, n in got.items() if s.startswith("supplier:"))
-    pairs = {(r.src, r.dst) for r in logic.reach_whole(spark, entry.SMOKE).collect()}
+    pairs = {(r.src, r.dst) for r in logic.datalog_reach(spark, entry.SMOKE).collect()}
     assert pairs == {(a, b) for a in list(proofs) for b in reached(a, proofs)} and any(a.startswith("order:") for a, _ in pairs)
 
 
-def test_homes_whole_keeps_suppliers_and_projections(spark):
-    whole, orders = ({tuple(r) for r in f(spark, entry.SMOKE).collect()} for f in (evidence.homes_whole, evidence.hypothesis_homes))
+def test_hypothesis_homes_keeps_suppliers_and_projections(spark):
+    whole = {tuple(r) for r in evidence.hypothesis_homes(spark, entry.SMOKE).collect()}
     binders, _, _ = evidence._lattice(spark, entry.SMOKE)
     assert {r[0] for r in whole} == {r.name for r in binders.select("name").distinct().collect()}
-    assert {r for r in whole if r[0].startswith("order:")} == orders and len(whole) > len(orders)
+    assert {r[0].split(":")[0] for r in whole} >= {"order", "supplier"}
