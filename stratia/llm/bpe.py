@@ -2,7 +2,7 @@
 
 The tokenizers library runs over Arrow batches: its pre-tokenizer cuts texts by the pattern, its byte table writes
 bytes as visible characters, its model merges them by the ranks of the file, and it gives each token's offsets in
-characters. Decoding writes ids as the vocabulary's characters and reverses that table. Ids equal those of the tiktoken
+characters. Decoding reverses that table over the characters of the vocabulary's tokens. Ids equal those of the tiktoken
 library with the same ranks and pattern.
 
 Defined cases: a null text is an empty text (no ids, zero bytes); an id outside the vocabulary raises; bytes that
@@ -85,7 +85,7 @@ class ByteBpe:
     """Encoder and decoder of one rank file, for use inside a task.
 
     The library's tokenizer cuts texts by the pattern, writes bytes as characters, merges, and gives each token's
-    offsets. Decoding writes ids as the vocabulary's characters and turns these back into bytes by the same table.
+    offsets. Decoding turns ids into bytes by the same table, reversed over the vocabulary's characters.
     """
 
     def __init__(self, content: bytes, pattern: str):
@@ -98,43 +98,47 @@ class ByteBpe:
         # Built from its parts: a definition as JSON takes three times the memory.
         self.tokenizer = Tokenizer(BPE(vocab=vocab, merges=merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = Sequence([Split(Regex(pattern), "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.tokens = [""] * (max(vocab.values(), default=-1) + 1)
+        # Each token's characters go back through the byte table once; None where there is no token.
+        byte_of = {ord(c): b for b, c in enumerate(byte_characters())}
+        self.bytes_of: list[bytes | None] = [None] * (max(vocab.values(), default=-1) + 1)
         for token, rank in vocab.items():
-            self.tokens[rank] = token
-        self.byte_of = {ord(c): b for b, c in enumerate(byte_characters())}
+            self.bytes_of[rank] = token.translate(byte_of).encode("latin-1")
+        #: Whether a token starts inside a character.
+        self.inside = np.array([bool(b) and b[0] & 0xC0 == 0x80 for b in self.bytes_of])
 
-    def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
-        """Ids and, of each, the first character that its bytes touch and the one after the last."""
+    def _coded(self, texts: list[str]) -> Iterator[list[tuple[int, object]]]:
+        """Of each text its parts: where one starts, and what the library makes of it."""
         cut = [parts(t) for t in texts]
         coded = iter(self.tokenizer.encode_batch([x for row in cut for _, x in row], add_special_tokens=False))
-        out = []
         for row in cut:
-            ids, spans = [], []
-            for start, _ in row:
-                e = next(coded)
-                ids += e.ids
-                spans += e.offsets if not start else [(a + start, b + start) for a, b in e.offsets]
-            out.append((ids, spans))
+            yield [(start, next(coded)) for start, _ in row]
+
+    def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
+        """Ids and, of each, the first character that its bytes touch and the one after the last."""
+        return [([i for _, e in row for i in e.ids], [(a + start, b + start) for start, e in row for a, b in e.offsets]) for row in self._coded(texts)]
+
+    def encode_with_ends(self, texts: list[str]) -> list[tuple[list[int], int]]:
+        """Ids, and the end of the last one's offsets."""
+        out = []
+        for row in self._coded(texts):
+            start, last = row[-1]
+            out.append((last.ids if len(row) == 1 else [i for _, e in row for i in e.ids], start + last.token_to_chars(len(last) - 1)[1] if len(last) else 0))
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [ids for ids, _ in self.encode_with_offsets(texts)]
+        return [ids for ids, _ in self.encode_with_ends(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) and min(ids) < 0:
-            raise ValueError("an id is not in the vocabulary")
         try:
-            found = list(map(self.tokens.__getitem__, ids))
-        except IndexError:
+            if len(ids) and min(ids) < 0:
+                raise IndexError
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        except (IndexError, TypeError):
             raise ValueError("an id is not in the vocabulary") from None
-        if not all(found):
-            raise ValueError("an id is not in the vocabulary")
-        return "".join(found).translate(self.byte_of).encode("latin-1")
-
 
-def inside_characters(spans: list[tuple[int, int]]) -> int:
-    """How many borders between tokens lie inside a character."""
-    return sum(end > start for (_, end), (start, _) in zip(spans, spans[1:], strict=False))
+    def inside_characters(self, ids: list[int]) -> int:
+        """How many tokens start inside a character."""
+        return int(self.inside[ids].sum()) if len(ids) else 0
 
 
 @lru_cache(maxsize=2)
@@ -168,7 +172,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str | N
         coder = _coder(*shared.value)
         for b in slices(batches, text, SLICE):
             texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            found = coder.encode_with_offsets(texts)
+            found = coder.encode_with_offsets(texts) if offsets else coder.encode_with_ends(texts)
             added = [_lists([x for x, _ in found])]
             if offsets:
                 added.append(pa.array([[{"start": a, "end": e} for a, e in y] for _, y in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
@@ -213,7 +217,7 @@ def decoded_text(decoded: bytes) -> str:
 def round_trip(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode each text; one row per row, with counts and digests of both directions.
 
-    n_characters is the end of the last token's offsets, n_split how many borders of tokens lie inside a character.
+    n_characters is the end of the last token's offsets, n_split how many tokens start inside a character.
     Both directions run in one pass over small slices, so that no list of ids leaves its task.
     """
     shared = _vocabulary(df.sparkSession, None, None)
@@ -222,14 +226,13 @@ def round_trip(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(*shared.value)
-        number = [str(i) for i in range(len(coder.tokens))].__getitem__
+        number = [str(i) for i in range(len(coder.bytes_of))].__getitem__
         for b in slices(batches, text, SLICE):
-            found = coder.encode_with_offsets([t or "" for t in b.column(1).to_pylist()])
-            rows, spans = [x for x, _ in found], [y for _, y in found]
+            found = coder.encode_with_ends([t or "" for t in b.column(1).to_pylist()])
+            rows, ends = [x for x, _ in found], [y for _, y in found]
             listed = [hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest() for ids in rows]
             decoded = [hashlib.sha256(coder.decode(ids)).hexdigest() for ids in rows]
-            ends = [y[-1][1] if y else 0 for y in spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, rows)), pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string()), pa.array(ends, pa.int64()), pa.array(list(map(inside_characters, spans)), pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, rows)), pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string()), pa.array(ends, pa.int64()), pa.array(list(map(coder.inside_characters, rows)), pa.int64())], names=schema.names)
 
     return df.select(id_column, text).mapInArrow(run, schema)
 

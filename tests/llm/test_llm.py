@@ -643,10 +643,11 @@ def test_split_characters(spark):
         coder = bpe.ByteBpe(f.read(), P.PATTERN)
     (ids,) = coder.encode(["🙂"])
     ((_, spans),) = coder.encode_with_offsets(["a🙂"])
-    assert spans == [(0, 1), *[(1, 2)] * len(ids)] and bpe.inside_characters(spans) == len(ids) - 1
+    assert spans == [(0, 1), *[(1, 2)] * len(ids)] and coder.inside_characters(coder.encode(["a🙂"])[0]) == len(ids) - 1
     assert len(ids) > 1 and coder.decode(ids) == "🙂".encode() and bpe.decoded_text(coder.decode(ids[:1])) == "�"
-    with pytest.raises(ValueError):
-        coder.decode([60_000])
+    for unknown in ([60_000], [-1]):
+        with pytest.raises(ValueError):
+            coder.decode(unknown)
 
 
 def test_long_texts_are_cut_where_pieces_end(monkeypatch):
