@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling. DataFrame functions only.
 
 Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and share a budget; a target stops at
-`most` times its source's size and the excess goes to the others by weight (a water level, found by running sums over
+`most` times its source's size and the excess goes to the others by weight (a water level, found in rounds of sums over
 one row a source). A target over a source's size makes its rate: the whole part of the rate is copies that every
 document gets for certain, the rest is the inclusion probability p of one more copy.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratia.functions.numbering import numbered
 from stratia.llm.common import table
 from stratia.session import checkpoint, shuffle_partitions
 
@@ -45,19 +46,22 @@ def words(text: str = "text") -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
-    """(source, source_size, target), from one row a source: (source, source_size)."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    n, every = F.row_number().over(by_name) - 1, Window.partitionBy()
-    known = sizes.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (n % len(weights) + 1).cast("int")).cast("long").alias("w"))
-    known = known.withColumn("budget", F.sum("source_size").over(every) * F.lit(share)).withColumn("cap", F.col("source_size") * most)
-    # In the order of cap by weight, the sources that stop at their cap come first.
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(behind)
-    known = known.withColumn("level", level)
-    free = F.col("level") * F.col("w") < F.col("cap")
-    least = F.min(F.when(free, F.struct(F.col("cap") / F.col("w"), "level"))).over(every)["level"]
-    target = F.when(least.isNull() | (F.col("cap") <= least * F.col("w")), F.col("cap").cast("double")).otherwise(least * F.col("w"))
+    """(source, source_size, target), from one row a source: (source, source_size).
+
+    The water level rises in rounds: sources whose cap lies below their part of it stop there, and the others share
+    what is left, until no more stop. Each round is one sum over the sources, however many there are.
+    """
+    known = numbered(sizes.select("source", "source_size"), F.col("source").asc_nulls_last())
+    known = known.select("source", "source_size", (F.col("source_size") * most).alias("cap"), F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int")).cast("long").alias("w"))
+    known = checkpoint(known)
+    budget, stopped, level = (known.agg(F.sum("source_size")).first()[0] or 0) * share, F.lit(False), None
+    while True:
+        sums = known.agg(F.coalesce(F.sum(F.when(stopped, F.col("cap"))), F.lit(0)).alias("cap"), F.coalesce(F.sum(F.when(~stopped, F.col("w"))), F.lit(0)).alias("w")).first()
+        if not sums["w"] or (now := (budget - sums["cap"]) / sums["w"]) == level:
+            break
+        level = now
+        stopped = F.col("cap") <= F.lit(float(level)) * F.col("w")
+    target = F.when(stopped, F.col("cap").cast("double")).otherwise(F.lit(float(level or 0)) * F.col("w"))
     return known.select("source", "source_size", target.alias("target"))
 
 
