@@ -6,18 +6,23 @@ the other side's absolute sum). A pair survives if its upper bound reaches the k
 in the tile; survivors are computed again in double precision from the original vectors and merged by heaps, first
 inside a block pair, then over all of them.
 
-The query set is stated (ids divisible by `every`), so the join is that set against all rows. It is dealt out by
-block pairs: each row of the join holds one tile of queries and one of candidates, and no task more than a few.
+The query set is stated (ids divisible by `every`), so the join is that set against all rows. It is dealt out as a grid of
+block rows and block columns, so that a tile of queries is copied once a column and one of candidates once a row; their
+numbers follow the sizes of both sides. Each row of the join holds one tile of queries and one of candidates. Codes,
+steps and sums are made once, when vectors are packed. The original vectors travel with them, in the precision of the
+column: where a third of all rows are nearly alike their error bounds overlap, and pairs that survive would be far more
+than the tiles that they come from.
 
 Defined cases: vectors that are null, empty, zero, of another length than `dimension` (that of most vectors, smallest
 on ties, unless given), or hold null or non-finite components take no part, as queries or as candidates; a null id takes no part; ties go to the
 smaller id; rows that share an id are candidates of their own for other queries and none for their own id; repeated
-queries are one query; an empty table gives an empty result.
+queries are one query; an empty table gives an empty result. Other columns play no part, so that their names cannot clash.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +37,8 @@ EVERY, NEAREST, QUERY_TILE, TILE = 50, 5, 1024, 4096
 
 
 def usable(df: DataFrame, key: str, vector: str, dimension: int | None = None) -> DataFrame:
-    """(id, v): the rows whose vector takes part, as array<double>."""
-    v = F.col(vector).cast("array<double>")
+    """(id, v): the rows whose vector takes part, as array<float> if the column is one, else as array<double>."""
+    v = F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
     fine = F.col(key).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter(fine)
     if dimension is None:
@@ -42,8 +47,11 @@ def usable(df: DataFrame, key: str, vector: str, dimension: int | None = None) -
     return rows.filter(F.size("v") == dimension)
 
 
+TILES = "ids binary, vectors binary, codes binary, steps binary, sums binary, n int"
+
+
 def tiles(rows: DataFrame, most: int) -> DataFrame:
-    """Pack (id, v) into rows of up to `most` vectors: ids, vectors and how many, without a shuffle."""
+    """Pack (id, v) into rows of up to `most` vectors with their codes, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = [], []
@@ -52,7 +60,8 @@ def tiles(rows: DataFrame, most: int) -> DataFrame:
             i, v = np.concatenate(ids), np.concatenate(vectors)
             ids[:], vectors[:] = [i[n:]], [v[n:]]
             i, v = i[:n], v[:n]
-            return pa.RecordBatch.from_arrays([pa.array([i.tobytes()]), pa.array([v.tobytes()]), pa.array([len(i)], pa.int32())], names=["ids", "vectors", "n"])
+            columns = [i, v, *quantise(v.astype(np.float64))]
+            return pa.RecordBatch.from_arrays([*(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns), pa.array([len(i)], pa.int32())], names=["ids", "vectors", "codes", "steps", "sums", "n"])
 
         for b in batches:
             if not b.num_rows:
@@ -64,7 +73,7 @@ def tiles(rows: DataFrame, most: int) -> DataFrame:
         if sum(map(len, ids)):
             yield out(most)
 
-    return rows.mapInArrow(run, "ids binary, vectors binary, n int")
+    return rows.mapInArrow(run, TILES)
 
 
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,19 +94,32 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ab / (np.sqrt(aa) * np.sqrt(bb))
 
 
-def nearest_in_tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, float, int]]:
-    """(query, cosine, candidate): of each query the k best of the tile."""
-    (a, sa, la), (b, sb, lb) = quantise(q), quantise(c)
-    # Codes are small integers: their product is exact in single precision.
-    about = (a.astype(np.float32) @ b.astype(np.float32).T) * sa[:, None] * sb[None, :]
-    error = 0.5 * (sa[:, None] * lb[None, :] + la[:, None] * sb[None, :]) + 0.25 * q.shape[1] * sa[:, None] * sb[None, :] + 1e-6
+#: Components whose int8 products sum exactly in single precision: 1024 * 127 * 127 < 2 ** 24.
+EXACT = 1024
+
+
+def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The products of all pairs of int8 rows, exact for any number of components."""
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, a.shape[1], EXACT):
+        out += a[:, at : at + EXACT].astype(np.float32) @ b[:, at : at + EXACT].astype(np.float32).T
+    return out
+
+
+def nearest_in_tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, of_q=None, of_c=None) -> list[tuple[int, float, int]]:
+    """(query, cosine, candidate): of each query the k best of the tile; of_q, of_c: what quantise gives, where it is known."""
+    (a, sa, la), (b, sb, lb) = of_q or quantise(q.astype(np.float64)), of_c or quantise(c.astype(np.float64))
+    about = code_products(a, b) * sa[:, None] * sb[None, :]
+    # Half a step of each side against the other side, both halves together, and the rounding of sums of d products.
+    rounding = 8 * (q.shape[1] + 8) * 2.0**-52
+    error = 0.5 * (sa[:, None] * lb[None, :] + la[:, None] * sb[None, :]) + 0.25 * q.shape[1] * sa[:, None] * sb[None, :] + rounding
     low = np.where(qid[:, None] == cid[None, :], -np.inf, about - error)
     reach = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(q), -np.inf)
     i, j = np.nonzero((about + error >= reach[:, None]) & (qid[:, None] != cid[None, :]))
     best: dict[int, list] = {}
     for at in range(0, len(i), 1 << 16):
         ii, jj = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        for x, s, y in zip(qid[ii].tolist(), cosine(q[ii], c[jj]).tolist(), cid[jj].tolist(), strict=True):
+        for x, s, y in zip(qid[ii].tolist(), cosine(q[ii].astype(np.float64), c[jj].astype(np.float64)).tolist(), cid[jj].tolist(), strict=True):
             heap = best.setdefault(x, [])
             if len(heap) < k:
                 heapq.heappush(heap, (s, -y))
@@ -110,19 +132,29 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
     """(query_id, rank, id, score): of each id divisible by `every` the k other rows of largest cosine."""
     spark = df.sparkSession
     rows = usable(df, key, vector, dimension)
+    kind = np.float32 if rows.schema["v"].dataType.simpleString() == "array<float>" else np.float64
     candidates = materialize(tiles(rows, TILE), "candidates")
     queries = materialize(tiles(rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]), QUERY_TILE), "queries")
+    # Of about as many blocks as shuffle partitions, block rows for queries and columns for candidates by the sizes of both.
+    of_q, of_c = (max(1, df.agg(F.sum("n")).first()[0] or 0) for df in (queries, candidates))
     groups = max(1, shuffle_partitions(spark))
-    # Every tile of queries goes to every group of candidate tiles; the groups are joined by an equal key.
-    left = candidates.select(F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("g"), F.col("ids").alias("cid"), F.col("vectors").alias("cv"))
-    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.col("ids").alias("qid"), F.col("vectors").alias("qv"))
-    pairs = left.join(right, "g").select("qid", "qv", "cid", "cv")
+    down = max(1, min(groups, round(math.sqrt(groups * of_q / of_c))))
+    across = max(1, groups // down)
+    place = lambda n, name: F.pmod(F.xxhash64("ids"), F.lit(n)).alias(name)
+    each = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    parts = ("ids", "vectors", "codes", "steps", "sums")
+    left = candidates.select(place(across, "x"), each(down, "y"), *(F.col(c).alias(f"c_{c}") for c in parts))
+    right = queries.select(each(across, "x"), place(down, "y"), *(F.col(c).alias(f"q_{c}") for c in parts))
+    pairs = left.join(right, ["x", "y"]).select(*(f"{side}_{c}" for side in "qc" for c in parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(b.num_rows):
-                qid, qv, cid, cv = (np.frombuffer(b.column(i)[at].as_buffer(), t) for i, t in enumerate((np.int64, np.float64, np.int64, np.float64)))
-                found = nearest_in_tile(qid, qv.reshape(len(qid), -1), cid, cv.reshape(len(cid), -1), k)
+                read = [np.frombuffer(b.column(i)[at].as_buffer(), t) for i, t in enumerate((np.int64, kind, np.int8, np.float64, np.float64) * 2)]
+                (qid, qv, *of_q), (cid, cv, *of_c) = read[:5], read[5:]
+                for n, side in ((len(qid), of_q), (len(cid), of_c)):
+                    side[0] = side[0].reshape(n, -1)
+                found = nearest_in_tile(qid, qv.reshape(len(qid), -1), cid, cv.reshape(len(cid), -1), k, of_q, of_c)
                 columns = list(zip(*found, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64())], names=["query_id", "score", "id"])
 

@@ -686,6 +686,12 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_code_products_are_exact_for_long_vectors():
+    a, b = (np.full((2, 9001), x, np.int8) for x in (127, -127))
+    b[1, ::2] = 126
+    assert neighbours.code_products(a, b).tolist() == (a.astype(np.int64) @ b.astype(np.int64).T).tolist()
+
+
 # FLAC
 
 
