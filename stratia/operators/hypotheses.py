@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratia.functions import terms
+from stratia.operators import statements as st
 from stratia.operators.graph import reach
 from stratia.session import checkpoint
 
@@ -110,6 +111,80 @@ def homes(binders: DataFrame, ends: DataFrame, uses: DataFrame) -> DataFrame:
     return out.join(fields.withColumn("field", F.lit(True)), "name", "left").select("name", "class", "verdict", "home", F.coalesce("field", F.lit(False)).alias("projection"))
 
 
+def candidates(binders: DataFrame, ends: DataFrame, uses: DataFrame) -> DataFrame:
+    """(name, class, candidate): the classes, at or above one that a declaration asks for, that have all it needs above them.
+
+    What is needed are the classes at or above the asked one that its evidence names. The asked class itself has them all.
+    Declarations that homes() does not judge have no candidates.
+    """
+    above = checkpoint(ancestors(binders, ends))
+    got = checkpoint(evidence(binders, ends, uses, above))
+    asks = binders.select("name", "class").distinct().join(homes(binders, ends, uses).filter("class is null").select("name"), "name", "left_anti")
+    upset = above.select("class", F.col("above").alias("at")).union(asks.select("class", F.col("class").alias("at")).distinct())
+    needs = checkpoint(asks.join(upset, "class").join(got.withColumnRenamed("class", "at"), ["name", "at"]).select("name", "class", F.col("at").alias("need")))
+    met = needs.join(upset.select(F.col("class").alias("candidate"), F.col("at").alias("need")).union(above.select(F.col("above").alias("candidate"), F.col("above").alias("need")).distinct()).distinct(), "need")
+    met = met.groupBy("name", "class", "candidate").agg(F.countDistinct("need").alias("met"))
+    total = needs.groupBy("name", "class").agg(F.countDistinct("need").alias("all"))
+    offered = asks.join(upset, "class").select("name", "class", F.col("at").alias("candidate"))
+    judged = offered.join(total, ["name", "class"], "left").join(met, ["name", "class", "candidate"], "left")
+    return judged.filter(F.coalesce("met", F.lit(0)) == F.coalesce("all", F.lit(0))).select("name", "class", "candidate")
+
+
+def routes(parsed: DataFrame) -> DataFrame:
+    """(name, route, proof): of unproved rows (parsed with `proved`) how a proof is at hand, with its first name.
+
+    exact: a proved row states the same; rewrite: one replacement of a name, which is seen in two skeletons or more, leads
+    to a proved statement.
+    """
+    proved = parsed.filter("proved").select("root", F.col("name").alias("proof"))
+    exact = parsed.filter("not proved").select("name", "root").join(proved.groupBy("root").agg(F.min("proof").alias("proof")), "root").select("name", F.lit("exact").alias("route"), "proof")
+    found = checkpoint(st.variants(parsed))
+    seen = substitutions(found, parsed.select("name", "rigid")).select("a", "b")
+    steps = found.select("name", "other", F.get("edits", F.lit(0))["s"].alias("a"), F.get("edits", F.lit(0))["t"].alias("b"))
+    steps = steps.join(parsed.filter("not proved").select("name"), "name", "left_semi").join(parsed.filter("proved").select(F.col("name").alias("other")), "other", "left_semi")
+    rewrite = steps.join(seen, ["a", "b"], "left_semi").groupBy("name").agg(F.min("other").alias("proof"))
+    return exact.union(rewrite.select("name", F.lit("rewrite"), "proof"))
+
+
+def frontier_distance(parsed: DataFrame, most: int = 2) -> DataFrame:
+    """(name, distance): of unproved rows the fewest distinct replacements, up to `most`, that lead to a proved statement.
+
+    Equal statements are 0 apart; one replacement is found by masked slots; only rows that neither reaches meet all of
+    their skeleton.
+    """
+    open_, proved = parsed.filter("not proved"), parsed.filter("proved")
+    none = open_.select("name", "root").join(proved.select("root"), "root", "left_semi").select("name", F.lit(0).alias("distance"))
+    is_proved = proved.select(F.col("name").alias("other"))
+    one = st.variants(parsed, 1, open_.select("name")).join(is_proved, "other", "left_semi").select("name", F.lit(1).alias("distance"))
+    known = checkpoint(none.union(one).groupBy("name").agg(F.min("distance").alias("distance")))
+    if most < 2:
+        return known
+    rest = open_.select("name").join(known, "name", "left_anti")
+    more = st.variants(parsed, most, rest).join(is_proved, "other", "left_semi").groupBy("name").agg(F.min("n").alias("distance"))
+    return known.union(more)
+
+
+def spearman(rows: DataFrame) -> DataFrame:
+    """(family, n, rho): the correlation of the ranks of x and y, equal values sharing the mean of their ranks.
+
+    Ranks are running sums over the distinct values of a family, so that no window holds a family's rows.
+    """
+    rows = rows.filter("x is not null and y is not null")
+
+    def ranked(column: str) -> DataFrame:
+        counts = rows.groupBy("family", column).agg(F.count("*").alias("c"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy("family").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return counts.select("family", column, (before + (F.col("c") + 1) / 2).alias(f"r{column}"))
+
+    pairs = rows.groupBy("family", "x", "y").agg(F.count("*").alias("c")).join(ranked("x"), ["family", "x"]).join(ranked("y"), ["family", "y"])
+    s = lambda e: F.sum(F.col("c") * e)
+    x, y = F.col("rx"), F.col("ry")
+    sums = pairs.groupBy("family").agg(F.sum("c").alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("xx"), s(y * y).alias("yy"), s(x * y).alias("xy"))
+    spread = lambda q, m: F.col("n") * F.col(q) - F.col(m) * F.col(m)
+    both = F.sqrt(spread("xx", "sx") * spread("yy", "sy"))
+    return sums.select("family", "n", F.when(both > 0, (F.col("n") * F.col("xy") - F.col("sx") * F.col("sy")) / both).alias("rho"))
+
+
 def proved_elsewhere(rows: DataFrame, canon: str = "erased") -> DataFrame:
     """(name, proofs, proof): statements without a proof (axioms) whose canonical form theorems have, and the first of those.
 

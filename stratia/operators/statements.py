@@ -28,6 +28,8 @@ RARITY, OTHER_THEORY, SCOPED, DERIVED = 0.5, 0.15, 0.30, 0.45
 LEAST_COMMON, LEAST_SCORE = 6, 0.30
 #: Representatives of a key that one task joins; keys of more are dealt out in chunks.
 CHUNK = 512
+#: Blocks of terms that a stated set of queries meets.
+BLOCKS = 64
 
 PARSED = "seq long, name string, kind string, module string, root string, size int, concrete int, closed boolean, concludes string, heads array<string>, symbols array<string>, requires array<string>, rigid string, slots array<string>, binders array<string>, carriers array<boolean>, type_former boolean"
 
@@ -63,29 +65,38 @@ def signatures(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("n", F.row_number().over(last)).filter("n = 1").select(F.col("name").alias("sym"), "binders", "carriers", "type_former")
 
 
-def erased(parsed: DataFrame, level: str, column: str = "erased") -> DataFrame:
-    """parsed with the root at a level of erasure.
-
-    Each distinct root is erased once; it brings the signatures of its own heads, joined by name, so that no task
-    holds the table of all signatures.
-    """
+def erased(parsed: DataFrame, level: str, column: str = "erased", of: str = "root") -> DataFrame:
+    """parsed with the root (or another column of terms, as `concludes`) at a level of erasure."""
     check_choice(level, terms.LEVELS, "level")
     if level == "exact":
-        return parsed.withColumn(column, F.col("root"))
-    roots = parsed.select("root", "heads").dropDuplicates(["root"])
-    needed = roots.select("root", F.explode("heads").alias("sym")).join(signatures(parsed), "sym")
-    given = needed.groupBy("root").agg(F.collect_list(F.struct("sym", "binders", "carriers", "type_former")).alias("sigs"))
+        return parsed.withColumn(column, F.col(of))
+    return _by_signatures(parsed, column, of, lambda t, known: terms.erase(t, level, known))
+
+
+def explicit(parsed: DataFrame, column: str = "explicit", of: str = "root") -> DataFrame:
+    """parsed with its terms' implicit and instance arguments dropped, by the telescopes of the heads that take them."""
+    return _by_signatures(parsed, column, of, terms.drop_implicit)
+
+
+def _by_signatures(parsed: DataFrame, column: str, of: str, change) -> DataFrame:
+    """parsed with its terms changed, each distinct one once.
+
+    A term brings the signatures of its own heads, joined by name, so that no task holds the table of all signatures.
+    """
+    roots = parsed.groupBy(F.col(of).alias("_term")).agg(F.first("heads").alias("heads")) if of == "root" else parsed.select(F.col(of).alias("_term"), F.explode("heads").alias("h")).groupBy("_term").agg(F.collect_set("h").alias("heads"))
+    needed = roots.select("_term", F.explode("heads").alias("sym")).join(signatures(parsed), "sym")
+    given = needed.groupBy("_term").agg(F.collect_list(F.struct("sym", "binders", "carriers", "type_former")).alias("sigs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for root, sigs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for term, sigs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 known = {s["sym"]: (list(zip(s["binders"], s["carriers"], strict=True)), s["type_former"]) for s in sigs or []}
-                out.append(terms.render(terms.erase(terms.parse("x-stmt-v1;" + root), level, known)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["root", column])
+                out.append(terms.render(change(terms.parse("x-stmt-v1;" + term), known)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["_term", column])
 
-    made = roots.join(given, "root", "left").select("root", "sigs").mapInArrow(run, f"root string, {column} string")
-    return parsed.join(made, "root")
+    made = roots.join(given, "_term", "left").select("_term", "sigs").mapInArrow(run, f"_term string, {column} string")
+    return parsed.join(made, F.col(of) == F.col("_term")).drop("_term")
 
 
 def is_prop(kind: Column, concludes: Column) -> Column:
@@ -260,15 +271,20 @@ def compare(pairs: DataFrame, rows: DataFrame, term: str = "erased") -> DataFram
     a = rows.select("name", F.col(term).alias("x"))
     b = rows.select(F.col("name").alias("other"), F.col(term).alias("y"))
     joined = pairs.join(a, "name").join(b, "other")
-    distinct = joined.select("x", "y").distinct()  # equal terms are compared once
+    return joined.join(scored(joined.select("x", "y").distinct()), ["x", "y"]).drop("x", "y")  # equal terms are compared once
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    """pairs (x, y) of terms with the measures of their shared structure."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed = lru_cache(maxsize=1 << 15)(lambda t: terms.parse("x-stmt-v1;" + t))
         for b in batches:
-            found = [terms.scores(terms.parse("x-stmt-v1;" + x), terms.parse("x-stmt-v1;" + y)) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            found = [terms.scores(parsed(x), parsed(y)) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f[m] for f in found], _I if i < 5 else pa.float64()) for i, m in enumerate(MEASURES))], names=["x", "y", *MEASURES])
 
     schema = "x string, y string, " + ", ".join(f"{m} {'int' if i < 5 else 'double'}" for i, m in enumerate(MEASURES))
-    return joined.join(distinct.mapInArrow(run, schema), ["x", "y"]).drop("x", "y")
+    return pairs.select("x", "y").mapInArrow(run, schema)
 
 
 def information(pairs: DataFrame, rows: DataFrame, frequency: DataFrame, total: int, term: str = "erased") -> DataFrame:
@@ -320,6 +336,24 @@ def rank(compared: DataFrame, total: int, score: str = "retention", top: int = 1
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
+def similar_brute(rows: DataFrame, queries: Column, top: int = 10) -> DataFrame:
+    """(name, other, rank, measures): a stated set of queries against all rows, without candidates; ties by name.
+
+    Each distinct term is compared once a query's term; queries go out in blocks, one to each part of the rows.
+    """
+    asked = rows.filter(queries).select(F.col("erased").alias("x")).distinct()
+    terms_ = rows.select(F.col("erased").alias("y")).distinct()
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    pairs = terms_.withColumn("block", F.pmod(F.xxhash64("y"), F.lit(BLOCKS)).cast("int")).join(asked.withColumn("block", blocks), "block").select("x", "y")
+    found = scored(pairs).filter((F.col("common") >= LEAST_COMMON) & (F.col("retention") >= LEAST_SCORE))
+    # The first top + 1 names of a term are enough for any ranking, one more for the query itself.
+    place = Window.partitionBy("erased").orderBy("name")
+    named = rows.select("name", "erased").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= top + 1)
+    out = rows.filter(queries).select("name", F.col("erased").alias("x")).join(found, "x").join(named.select(F.col("name").alias("other"), F.col("erased").alias("y")), "y").filter("name <> other")
+    order = Window.partitionBy("name").orderBy(F.round("retention", 9).desc(), "other")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).drop("x", "y")
+
+
 def tied_rank(value: Column, by: Column | None = None) -> Column:
     """Rank from 0 to 1 in which equal values share the mean of their places."""
     whole = Window.partitionBy(by if by is not None else F.lit(0))

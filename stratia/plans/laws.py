@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratia.operators import logical
+from stratia.functions import terms
+from stratia.operators import hypotheses, logical
 from stratia.operators import statements as st
+from stratia.session import materialize
 from stratia.sources import derived
 
 
@@ -45,14 +47,59 @@ def relation_paths(spark: SparkSession, d: str) -> DataFrame:
     return logical.paths(found, heads).select("source", "target", F.array_join("path", ">").alias("path"))
 
 
-QUERIES = {f.__name__: f for f in (logical_stats, logical_edges, busiest_heads, relation_paths)}
+def _bound(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(st.parse(derived.binder_laws(spark, d)), "laws")
+
+
+def binder_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Each law at all levels of erasure, which all differ."""
+    p = _bound(spark, d)
+    out = p.select("name", F.col("root").alias("exact"))
+    for level in terms.LEVELS[1:]:
+        out = out.join(st.erased(p, level).select("name", F.col("erased").alias(level)), "name")
+    return out
+
+
+def binder_ladder(spark: SparkSession, d: str) -> DataFrame:
+    return st.ladder(_bound(spark, d))
+
+
+def binder_requires(spark: SparkSession, d: str) -> DataFrame:
+    return _bound(spark, d).select(F.explode("requires").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+
+
+def binder_telescopes(spark: SparkSession, d: str) -> DataFrame:
+    binders, ends = hypotheses.telescopes(derived.binder_laws(spark, d))
+    return binders.join(ends, "name")
+
+
+def anchored_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Laws by what they conclude alone, without instances."""
+    return st.classes(st.erased(_bound(spark, d), "instances", of="concludes"))
+
+
+def explicit_conclusions(spark: SparkSession, d: str) -> DataFrame:
+    """Conclusions without the arguments that Rel takes implicitly or by instance, and how many laws have each."""
+    return st.explicit(_bound(spark, d), of="concludes").groupBy("explicit").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (binder_levels, binder_ladder, binder_requires, binder_telescopes, anchored_classes, explicit_conclusions, logical_stats, logical_edges, busiest_heads, relation_paths)}
 
 LAWS = """heads AS (SELECT DISTINCT p_brand AS h FROM part WHERE p_size > 20 UNION SELECT DISTINCT p_type FROM part),
     rows AS (SELECT 'nation:' || n_nationkey AS theorem, false AS asserted, 'iff' AS form, r_name || '/1' AS l, 'letter_' || right(n_name, 1) || '/1' AS r, 'edge' AS what FROM nation JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT 'part:' || p_partkey, p_size % 3 = 0, 'implies', CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_brand || '/1' END, p_type || '/1', CASE WHEN p_size % 7 = 0 THEN 'flex' WHEN p_brand NOT IN (SELECT h FROM heads) THEN 'non-prop' ELSE 'edge' END FROM part
         UNION ALL SELECT 'fact:' || p_partkey, false, 'none', NULL, NULL, 'none' FROM part WHERE p_size > 20),
     edges AS (SELECT theorem, asserted, form, l, r FROM rows WHERE what = 'edge')"""
+B = derived.SQL["laws"]
+LADDER = ", ".join(f"c_{x} AS (SELECT {x}, count(*) AS n FROM levels GROUP BY {x})" for x in terms.LEVELS[:-1])
 SQL = {
+    "binder_levels": f"WITH {B} SELECT name, exact, presentation, instances, carriers, shape FROM levels",
+    "binder_ladder": f"WITH {B}, {LADDER} SELECT name, a.n - 1 AS exact, b.n - a.n AS presentation, c.n - b.n AS instances, d.n - c.n AS carriers FROM levels JOIN c_exact a USING (exact) JOIN c_presentation b USING (presentation) JOIN c_instances c USING (instances) JOIN c_carriers d USING (carriers)",
+    "binder_requires": f"WITH {B} SELECT class, count(*) AS n FROM levels GROUP BY class",
+    "binder_telescopes": f"WITH {B} SELECT name, class, 0 AS carrier, CASE WHEN name = 'Rel' THEN NULL ELSE 'Rel' END AS concludes FROM levels",
+    "anchored_classes": f"""WITH {B}, c AS (SELECT seq, name, 'a(a(a(c(3:Rel,0),' || carrier || '),_),n' || x || ')' AS erased FROM laws)
+        SELECT erased, count(*) AS n, arg_min(name, seq) AS first, CAST(sum(CAST(('0x' || substr(md5(name), 1, 6)) AS BIGINT)) AS BIGINT) AS members FROM c GROUP BY 1 HAVING count(*) > 1""",
+    "explicit_conclusions": f"WITH {B} SELECT 'a(c(3:Rel,0),n' || x || ')' AS explicit, count(*) AS n FROM laws GROUP BY 1 UNION ALL SELECT 's(0)', 1",
     "logical_stats": f"""WITH {LAWS} SELECT count(*) FILTER (NOT asserted) AS theorems_scanned, count(*) FILTER (asserted) AS axioms_scanned, count(*) FILTER (form = 'iff' AND what = 'edge') AS iff_edges, count(*) FILTER (form = 'implies' AND what = 'edge') AS implication_edges,
         count(*) FILTER (what = 'flex') AS flex_head_sides, 0 AS same_head_sides, count(*) FILTER (what = 'non-prop') AS non_prop_sides, (SELECT count(*) + 1 FROM heads) AS prop_heads FROM rows""",
     "logical_edges": f"WITH {LAWS} SELECT * FROM edges",

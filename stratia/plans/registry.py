@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratia.plans import evidence, graph, laws, logic, methods, statements
+from stratia.plans import evidence, graph, laws, logic, methods, review, statements
 
-MODULES = (graph, statements, methods, logic, laws, evidence)
+MODULES = (graph, statements, methods, logic, laws, evidence, review)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

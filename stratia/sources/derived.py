@@ -67,6 +67,24 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def binder_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, name, kind, module, stmt) of laws with binders, one a customer, and of the relation Rel that they speak of.
+
+    A law takes a type, an instance of the segment's class over it and an element, and states Rel of a type (bound, or one
+    of two constants), an instance and a number. Rel takes its first two arguments implicitly and by instance.
+    """
+    c = table(spark, sf_dir, "customer")
+    sized = lambda x: F.concat(F.octet_length(x).cast("string"), F.lit(":"), x)
+    k = F.col("c_custkey")
+    carrier = F.element_at(F.array(F.lit("b2"), F.lit("c(3:Int,0)"), F.lit("c(3:Rat,0)")), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    sort = F.when(k % 2 == 0, "+(0)").otherwise("u1")
+    body = F.concat(F.lit("a(a(a(c(3:Rel,0),"), carrier, F.lit("),c(5:inst"), (k % 4).cast("string"), F.lit(",0)),n"), (k % 10).cast("string"), F.lit(")"))
+    stmt = F.concat(F.lit(PREFIX + "pi(s("), sort, F.lit("),pt(a(c("), sized(F.col("c_mktsegment")), F.lit(",0),b0),pd(b1,"), body, F.lit(")))"))
+    laws = c.select(k.alias("seq"), F.concat(F.lit("law:"), k.cast("string")).alias("name"), F.when(k % 5 == 0, "axiom").otherwise("theorem").alias("kind"), F.concat(F.lit("Laws."), "c_mktsegment").alias("module"), stmt.alias("stmt"))
+    rel = spark.range(1).select(F.lit(-1).cast("long"), F.lit("Rel"), F.lit("def"), F.lit("Laws"), F.lit(PREFIX + "pi(s(+(0)),pt(a(c(4:Ring,0),b0),pd(b1,s(0))))"))
+    return laws.union(rel)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event rows as steps of a user's trace: (problem, step, method, outcome)."""
     from pyspark.sql import Window
@@ -97,6 +115,14 @@ SQL = {
             p_size AS size, CAST(floor(p_retailprice / 100) AS BIGINT) AS bucket, p_brand AS brand, p_type AS type, p_size % 4 AS layers,
             'x-stmt-v1;' || repeat('a(c(1:f,0),', p_size % 4) || 'a(a(a(a(c(4:Part,0),c(' || strlen(p_brand) || ':' || p_brand || ',0)),c(' || strlen(p_type) || ':' || p_type || ',0)),n' || p_size || '),n'
             || CAST(floor(p_retailprice / 100) AS BIGINT) || ')' || repeat(')', p_size % 4) AS stmt FROM part)""",
+    "laws": """laws AS (
+        SELECT c_custkey AS seq, 'law:' || c_custkey AS name, CASE WHEN c_custkey % 5 = 0 THEN 'axiom' ELSE 'theorem' END AS kind, c_mktsegment AS class, ['b2', 'c(3:Int,0)', 'c(3:Rat,0)'][c_nationkey % 3 + 1] AS carrier,
+            CASE WHEN c_custkey % 2 = 0 THEN '+(0)' ELSE 'u1' END AS sort, c_custkey % 4 AS inst, c_custkey % 10 AS x FROM customer),
+    levels AS (
+        SELECT name, kind, class, 'pi(s(' || sort || '),pt(a(c(' || strlen(class) || ':' || class || ',0),b0),pd(b1,' || body || ')))' AS exact, 'pi(s(*),pt(a(c(' || strlen(class) || ':' || class || ',0),b0),pd(b1,' || body || ')))' AS presentation,
+            'pi(s(*),pt(_,pd(b1,a(a(a(c(3:Rel,0),' || carrier || '),_),n' || x || '))))' AS instances, 'pi(_,pt(_,pd(b1,a(a(a(c(3:Rel,0),_),_),n' || x || '))))' AS carriers, 'pd(_,pd(_,pd(b1,a(a(a(_,_),_),_))))' AS shape, body AS concludes
+        FROM (SELECT *, 'a(a(a(c(3:Rel,0),' || carrier || '),c(5:inst' || inst || ',0)),n' || x || ')' AS body FROM laws)
+        UNION ALL SELECT 'Rel', 'def', 'Ring', 'pi(s(+(0)),pt(a(c(4:Ring,0),b0),pd(b1,s(0))))', 'pi(s(*),pt(a(c(4:Ring,0),b0),pd(b1,s(*))))', 'pi(s(*),pt(_,pd(b1,s(*))))', 'pi(_,pt(_,pd(b1,s(*))))', 'pd(_,pd(_,pd(b1,s(*))))', 's(0)')""",
     "traces": """traces AS (
         SELECT user_id AS problem, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, event_type AS method,
             CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'unknown' END AS outcome FROM events)""",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stratia.functions.components import connected_components
 from stratia.functions.numbering import numbered
-from stratia.operators import concepts, derivations, graph, intuition, records, statements
+from stratia.operators import claims, concepts, derivations, graph, intuition, records, selection, statements
 
 EDGES = [("A", "B", "proof"), ("B", "A", "statement"), ("B", "C", "proof"), ("C", "outside", "proof"), ("D", "B", "statement"), ("D", "C", "proof")]
 
@@ -194,3 +194,40 @@ def test_exploration_equals_a_plain_beam_search(spark):
     got = intuition.explore(objects, METHODS, beam=4).collect()
     for i, t in enumerate(starts):
         assert {(">".join(r.path), ",".join(r.tags), r.depth, round(r.score, 9)) for r in got if r.name == str(i)} == search(frozenset(t))
+
+
+def test_selection_is_stable_and_keeps_the_bound(spark):
+    rng = random.Random(11)
+    pairs = {(f"l{rng.randrange(30)}", f"r{rng.randrange(6)}"): rng.randrange(8) / 4 for _ in range(140)}
+    scored = spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "left string, right string, score double")
+    lefts = spark.createDataFrame([(f"l{i}",) for i in range(33)], "left string")
+    free = {r.left: r for r in selection.select(scored, lefts).collect()}
+    for cap in (1, 3):
+        got = {r.left: r for r in selection.select(scored, lefts, cap).collect()}
+        assert len(got) == 33
+        taken = {}
+        for r in got.values():
+            if r.right is not None:
+                taken.setdefault(r.right, []).append(r.left)
+        assert all(len(x) <= cap for x in taken.values())
+        for left, r in got.items():
+            mine = [(b, s) for (a, b), s in pairs.items() if a == left]
+            assert r.state == ("absent" if not mine else "selected" if r.right else "unmatched")
+            assert (r.best == min(mine, key=lambda x: (-x[1], x[0]))[0]) if r.state == "unmatched" else r.best is None
+            # No pair would rather have one another.
+            for b, s in mine:
+                if r.right is None or (-s, b) < (-r.score, r.right):
+                    there = taken.get(b, [])
+                    assert len(there) == cap and all((-pairs[x, b], x) < (-s, left) for x in there)
+    assert all(r.right == min(((-s, b) for (a, b), s in pairs.items() if a == left), default=(0, None))[1] for left, r in free.items())
+    assert selection.select(scored.limit(0), lefts, 1).filter("state = 'absent'").count() == 33
+
+
+def test_verdicts_and_claims_with_nulls(spark):
+    rows_ = spark.createDataFrame([("x-stmt-v1;n1", None), (None, "x"), ("x-stmt-v1;n1", "x-stmt-v1:sha256:zz"), ("no version", "x-stmt-v1:sha256:00")], "e string, f string")
+    assert [r.v for r in rows_.select(claims.verdict(F.col("e"), F.col("f")).alias("v")).collect()] == [None, None, "malformed-freeze", "unknown-version"]
+    made = spark.createDataFrame([(1, 7, None, None, None, None), (2, None, ["a"], "s", "formal", [1])], "claim long, relation long, args array<string>, scope string, evidence string, targets array<long>")
+    schema = spark.createDataFrame([(7, ["a"], "required", ["formal"])], "relation long, arguments array<string>, scope_policy string, admissible array<string>")
+    assert {(r.claim, r.rule) for r in claims.claim_violations(made, schema).collect()} == {(1, "wrong-arity"), (2, "unknown-relation")}
+    lists = spark.createDataFrame([(1, [2, 3]), (2, None)], "id long, inputs array<long>")
+    assert rows(claims.reference_violations(lists, "id", "inputs", lists, "id")) == [(1, 3)]
