@@ -9,7 +9,7 @@ from stratia.functions import terms
 from stratia.operators import hypotheses, logical
 from stratia.operators import statements as st
 from stratia.session import materialize
-from stratia.sources import derived
+from stratia.sources import derived, slices
 
 
 def _const(c: Column) -> Column:
@@ -83,7 +83,14 @@ def explicit_conclusions(spark: SparkSession, d: str) -> DataFrame:
     return st.explicit(_bound(spark, d), of="concludes").groupBy("explicit").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (binder_levels, binder_ladder, binder_requires, binder_telescopes, anchored_classes, explicit_conclusions, logical_stats, logical_edges, busiest_heads, relation_paths)}
+def qualified_laws(spark: SparkSession, d: str) -> DataFrame:
+    """The laws as a slice whose names all go under a namespace, inside statements too."""
+    none = F.array().cast("array<string>")
+    rows = derived.binder_laws(spark, d).select("*", F.when(F.col("name") != "Rel", F.array(F.lit("Rel"))).otherwise(none).alias("uses_statement"), none.alias("uses_proof"))
+    return slices.qualify(rows, "B", F.lit(True)).select("name", "stmt", F.array_join("uses_statement", ",").alias("uses"))
+
+
+QUERIES = {f.__name__: f for f in (qualified_laws, binder_levels, binder_ladder, binder_requires, binder_telescopes, anchored_classes, explicit_conclusions, logical_stats, logical_edges, busiest_heads, relation_paths)}
 
 LAWS = """heads AS (SELECT DISTINCT p_brand AS h FROM part WHERE p_size > 20 UNION SELECT DISTINCT p_type FROM part),
     rows AS (SELECT 'nation:' || n_nationkey AS theorem, false AS asserted, 'iff' AS form, r_name || '/1' AS l, 'letter_' || right(n_name, 1) || '/1' AS r, 'edge' AS what FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -93,6 +100,7 @@ LAWS = """heads AS (SELECT DISTINCT p_brand AS h FROM part WHERE p_size > 20 UNI
 B = derived.SQL["laws"]
 LADDER = ", ".join(f"c_{x} AS (SELECT {x}, count(*) AS n FROM levels GROUP BY {x})" for x in terms.LEVELS[:-1])
 SQL = {
+    "qualified_laws": f"WITH {B} SELECT 'B.' || name AS name, 'x-stmt-v1;' || replace(exact, 'c(3:Rel,0)', 'c(5:B.Rel,0)') AS stmt, CASE WHEN name = 'Rel' THEN '' ELSE 'B.Rel' END AS uses FROM levels",
     "binder_levels": f"WITH {B} SELECT name, exact, presentation, instances, carriers, shape FROM levels",
     "binder_ladder": f"WITH {B}, {LADDER} SELECT name, a.n - 1 AS exact, b.n - a.n AS presentation, c.n - b.n AS instances, d.n - c.n AS carriers FROM levels JOIN c_exact a USING (exact) JOIN c_presentation b USING (presentation) JOIN c_instances c USING (instances) JOIN c_carriers d USING (carriers)",
     "binder_requires": f"WITH {B} SELECT class, count(*) AS n FROM levels GROUP BY class",

@@ -54,9 +54,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that this driver's steps have written and that release() has not deleted.
+WRITTEN: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a step in the shared folder, until release()."""
+    path = f"{shared_root(spark).rstrip('/')}/stratia/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what steps have written so far. Results that were not read yet are lost, so read or write them before."""
+    while WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a step as compressed Parquet to the shared folder and read it back."""
-    path = f"{shared_root(df.sparkSession)}/stratia/{name}-{uuid.uuid4().hex}"
+    """Write a step as compressed Parquet to the shared folder and read it back; release() deletes it."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,9 +6,14 @@ metadata, which then is unknown (null) and not empty. Blank lines don't count; l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratia.functions import terms
+
 REQUIREMENTS = "array<struct<source:string,class:string,carrier:double>>"
 ROW = f"schema string, name string, kind string, module string, is_instance boolean, stmt string, stmt_error string, uses_statement array<string>, uses_proof array<string>, requirements_statement {REQUIREMENTS}, _bad string"
 OUTCOMES = {"success": "succeeded", "proved": "succeeded", "succeeded": "succeeded", "failure": "failed", "failed": "failed", "unstatable": "blocked", "blocked": "blocked", "refuted": "refuted", "unknown": "inconclusive", "inconclusive": "inconclusive"}
@@ -17,12 +22,14 @@ OUTCOMES = {"success": "succeeded", "proved": "succeeded", "succeeded": "succeed
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value): non-blank lines with their number in their file.
 
-    Numbers come from each line's place in its file, so a file is one partition: `wholetext` is not used, and
-    large corpora are many files. A slice that needs no line numbers is read with read_rows instead.
+    A line's number is its place in the block of the file that one task reads, after the lines of the blocks before, so
+    that no window holds more than a block, however large a file is.
     """
     text = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
-    order = Window.partitionBy("file").orderBy("block", "id")
-    return text.withColumn("line", F.row_number().over(order)).filter(F.trim("value") != "").select("file", "line", "value")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = text.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    placed = text.withColumn("place", F.row_number().over(Window.partitionBy("file", "block").orderBy("id"))).join(blocks, ["file", "block"])
+    return placed.filter(F.trim("value") != "").select("file", (F.col("first") + F.col("place")).alias("line"), "value")
 
 
 def parse(text: Column) -> Column:
@@ -78,9 +85,9 @@ def edges(rows: DataFrame) -> DataFrame:
 
 
 def qualify(rows: DataFrame, namespace: str, rename: Column) -> DataFrame:
-    """rows with names that meet `rename` (over column name) put under a namespace, in names and uses alike.
+    """rows with names that meet `rename` (over column name) put under a namespace: names, uses and the names in statements.
 
-    Encodings keep their names; use it for slices whose statements are not compared.
+    A statement meets the new names of its own symbols by a join; one that does not parse stays as it is.
     """
     moved = rows.filter(rename).select(F.col("name").alias("old"), F.concat(F.lit(f"{namespace}."), "name").alias("new")).distinct()
     out = rows.join(moved, rows.name == moved.old, "left").withColumn("name", F.coalesce("new", "name")).drop("old", "new")
@@ -88,7 +95,32 @@ def qualify(rows: DataFrame, namespace: str, rename: Column) -> DataFrame:
         used = out.select("seq", F.posexplode(column).alias("i", "old")).join(moved, "old", "left")
         lists = used.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("new", "old").alias("u")))).alias("l")).select("seq", F.col("l.u").alias("_new"))
         out = out.join(lists, "seq", "left").withColumn(column, F.coalesce("_new", F.array().cast("array<string>"))).drop("_new")
-    return out
+    return _renamed(out, moved)
+
+
+def _renamed(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """rows with the names of moved (old, new) replaced inside statements; each distinct statement once."""
+
+    def parsed(text: str):
+        try:
+            return terms.parse(text)
+        except terms.TermError:
+            return None
+
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(x, s) for x in b.column(0).to_pylist() if (t := parsed(x)) is not None for s in dict.fromkeys(terms.symbols(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["stmt", "old"])
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            made = [x[: x.index(";") + 1] + terms.render(terms.rename(parsed(x), {n["old"]: n["new"] for n in names})) for x, names in zip(texts, b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["stmt", "_stmt"])
+
+    used = rows.select("stmt").filter("stmt is not null").distinct().mapInArrow(symbols, "stmt string, old string").join(moved, "old")
+    made = used.groupBy("stmt").agg(F.collect_list(F.struct("old", "new")).alias("names")).mapInArrow(change, "stmt string, _stmt string")
+    return rows.join(made, "stmt", "left").withColumn("stmt", F.coalesce("_stmt", "stmt")).select(rows.columns)
 
 
 def collisions(*slices: DataFrame) -> DataFrame:
