@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratia.llm.common import fresh, slices, table
-from stratia.session import materialize, qualified, shared_root
+from stratia.session import materialize, qualified, scratch
 
 MAGIC, VERSION, SPLIT, LEVEL = b"\x1f\x8b\x08", b"WARC/1.1\r\n", 8 << 20, 6
 #: Bytes that are read at once, bytes of a candidate that are unpacked at once, and the longest block of headers.
@@ -286,7 +286,7 @@ def read(files: DataFrame, folder: str, split: int = SPLIT, payloads: bool = Tru
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write archives into the shared folder and read them back: one row a record."""
-    folder = f"{shared_root(pages.sparkSession).rstrip('/')}/stratia/warc-{uuid.uuid4().hex}"
+    folder = scratch(pages.sparkSession, "warc")
     files = materialize(write(pages, folder, key, url, payload, least_bytes), "warc-files")
     return read(files, folder, payloads=False)
 
