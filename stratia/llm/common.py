@@ -52,3 +52,14 @@ def lengths(column: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
     return [n or 0 for n in pc.binary_length(column).to_pylist()]
+
+
+def word_runs(text: bytes, letters: bytes, most: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text in UTF-8, some at a time, each from about `most` bytes; `letters` takes bytes between words to spaces."""
+    text = text.translate(letters)
+    start = 0
+    while start < len(text):
+        end = len(text) if start + most >= len(text) else text.find(b" ", start + most)
+        end = len(text) if end < 0 else end
+        yield text[start:end].split()
+        start = end

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratia.llm import bpe, flac, lattice, mixing, neighbours, pii, sharding, simhash, toxicity, warc
+from stratia.llm import bpe, flac, langid, lattice, mixing, neighbours, pii, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_nearest": neighbours.op9_nearest,
         "op10_flac": flac.op10_flac,
+        "op11_language": langid.op11_language,
     }
 
 
