@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratia.llm import bpe, flac, langid, lattice, mixing, neighbours, pii, sharding, simhash, toxicity, warc
+from stratia.llm import bpe, centroids, flac, importance, langid, lattice, mixing, neighbours, pii, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest": neighbours.op9_nearest,
         "op10_flac": flac.op10_flac,
         "op11_language": langid.op11_language,
+        "op12_importance": importance.op12_importance,
+        "op13_centroids": centroids.op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.op1_sql(), "op2_sharding": sharding.op2_sql(), "op5_warc": warc.op5_sql(), "op9_nearest": neighbours.op9_sql()}
+    return {"op1_mixing": mixing.op1_sql(), "op2_sharding": sharding.op2_sql(), "op5_warc": warc.op5_sql(), "op9_nearest": neighbours.op9_sql(), "op12_importance": importance.op12_sql(), "op13_centroids": centroids.op13_sql()}
