@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratia.plans import evidence, graph, laws, logic, methods, review, statements
+from stratia.plans import evidence, graph, laws, logic, methods, provability, quantities, review, statements, symmetry
 
-MODULES = (graph, statements, methods, logic, laws, evidence, review)
+MODULES = (graph, statements, methods, logic, laws, evidence, review, quantities, provability, symmetry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

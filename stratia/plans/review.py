@@ -167,5 +167,5 @@ SQL = {
         SELECT name, other, row_number() OVER w AS rank, common, round(common * 1.0 / whole, 6) AS retention FROM compared WHERE common >= 6 AND common * 1.0 / whole >= 0.3 WINDOW w AS (PARTITION BY name ORDER BY round(common * 1.0 / whole, 9) DESC, other) QUALIFY row_number() OVER w <= 10""",
     "spearman": """WITH p AS (SELECT p_brand AS family, p_size AS x, floor(p_retailprice / 10) AS y FROM part),
         r AS (SELECT family, rank() OVER (PARTITION BY family ORDER BY x) + (count(*) OVER (PARTITION BY family, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY family ORDER BY y) + (count(*) OVER (PARTITION BY family, y) - 1) / 2.0 AS ry FROM p)
-        SELECT family, count(*) AS n, round(corr(rx, ry), 9) AS rho FROM r GROUP BY family""",
+        SELECT family, count(*) AS n, CASE WHEN NOT isnan(corr(rx, ry)) THEN round(corr(rx, ry), 9) END AS rho FROM r GROUP BY family""",
 }

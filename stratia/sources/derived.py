@@ -85,6 +85,56 @@ def binder_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laws.union(rel)
 
 
+def quantity_laws(spark: SparkSession, sf_dir: str, off: Column | None = None) -> DataFrame:
+    """(seq, name, kind, module, stmt) of laws about quantities, one a part: brand^m x + type^n x = y for all x and y.
+
+    A brand or type is a quantity of its own in each of five kinds (by size), of weight 1 to 4 or 1 to 3; the powers are the
+    other's weight, so that all laws of a kind agree. off: a number that is added to the brand's power.
+    """
+    p = table(spark, sf_dir, "part")
+    sized = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
+    two = lambda f, a, b: F.concat(F.lit(f"a(a(c({len(f)}:{f},0),"), a, F.lit("),"), b, F.lit(")"))
+    atom = lambda c: F.concat(F.lit("a(a(c(3:dim,0),c("), sized(c), F.lit(",0)),n"), (F.col("p_size") % 5).cast("string"), F.lit(")"))
+    of_brand, of_type = F.ascii(F.substring("p_brand", -1, 1)) % 4 + 1, F.octet_length("p_type") % 3 + 1
+    power = lambda c, n: two("HPow.hPow", atom(F.col(c)), F.concat(F.lit("n"), n.cast("string")))
+    left = two("HMul.hMul", power("p_brand", of_type + (F.lit(0) if off is None else off)), F.lit("b1"))
+    right = two("HMul.hMul", power("p_type", of_brand), F.lit("b1"))
+    stmt = F.concat(F.lit(PREFIX + "pd(c(4:Real,0),pd(c(4:Real,0),a(a(a(c(2:Eq,0),c(4:Real,0)),"), two("HAdd.hAdd", left, right), F.lit("),b0)))"))
+    return p.select(F.col("p_partkey").alias("seq"), node("part", "p_partkey").alias("name"), F.lit("theorem").alias("kind"), F.lit("Quantities").alias("module"), stmt.alias("stmt"))
+
+
+def symmetry_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, name, kind, module, stmt) of laws about the functions f and g of parts, suppliers and orders, six forms by key.
+
+    For all x (and y): 0 f(g x) = f x; 1 f x y = f y x; 2 f x y = g x; 3 f x gives f(g x); 4 f x y gives f y x; 5 f x = g x.
+    """
+    sized = lambda c: F.concat(F.lit("c("), F.octet_length(c).cast("string"), F.lit(":"), c, F.lit(",0)"))
+
+    def laws(name: str, kind: str, key: str, f: Column, g: Column, seq: int) -> DataFrame:
+        f, g = sized(f), sized(g)
+        app = lambda h, *xs: app(F.concat(F.lit("a("), h, F.lit(","), xs[0], F.lit(")")), *xs[1:]) if xs else h
+        b = [F.lit(f"b{i}") for i in range(4)]
+        eq = lambda x, y: app(F.lit("c(2:Eq,0)"), F.lit("c(1:T,0)"), x, y)
+        one = lambda body: F.concat(F.lit("pd(c(1:T,0),"), body, F.lit(")"))
+        given = lambda x, y: F.concat(F.lit("pd("), x, F.lit(","), y, F.lit(")"))
+        forms = [
+            one(eq(app(f, app(g, b[0])), app(f, b[0]))), one(one(eq(app(f, b[1], b[0]), app(f, b[0], b[1])))), one(one(eq(app(f, b[1], b[0]), app(g, b[1])))),
+            one(given(app(f, b[0]), app(f, app(g, b[1])))), one(one(given(app(f, b[1], b[0]), app(f, b[1], b[2])))), one(eq(app(f, b[0]), app(g, b[0]))),
+        ]
+        body = F.element_at(F.array(*forms), (F.col(key) % 6 + 1).cast("int"))
+        return table(spark, sf_dir, name).select((F.col(key) * 3 + seq).alias("seq"), node(kind, key).alias("name"), F.lit("theorem").alias("kind"), F.concat_ws(".", F.lit("Sym"), F.lit(kind), g_module(name)).alias("module"), F.concat(F.lit(PREFIX), body).alias("stmt"))
+
+    def g_module(name: str) -> Column:
+        return {"part": F.col("p_brand"), "supplier": F.col("s_nationkey").cast("string"), "orders": F.col("o_orderstatus")}[name]
+
+    number = lambda c, word: F.concat(F.lit(word), F.col(c).cast("string"))
+    return (
+        laws("part", "part", "p_partkey", F.col("p_brand"), F.col("p_type"), 0)
+        .union(laws("supplier", "supplier", "s_suppkey", F.lit("Sup"), number("s_nationkey", "N"), 1))
+        .union(laws("orders", "order", "o_orderkey", F.lit("Ord"), F.concat(F.lit("S"), F.col("o_orderstatus")), 2))
+    )
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event rows as steps of a user's trace: (problem, step, method, outcome)."""
     from pyspark.sql import Window
@@ -123,6 +173,16 @@ SQL = {
             'pi(s(*),pt(_,pd(b1,a(a(a(c(3:Rel,0),' || carrier || '),_),n' || x || '))))' AS instances, 'pi(_,pt(_,pd(b1,a(a(a(c(3:Rel,0),_),_),n' || x || '))))' AS carriers, 'pd(_,pd(_,pd(b1,a(a(a(_,_),_),_))))' AS shape, body AS concludes
         FROM (SELECT *, 'a(a(a(c(3:Rel,0),' || carrier || '),c(5:inst' || inst || ',0)),n' || x || ')' AS body FROM laws)
         UNION ALL SELECT 'Rel', 'def', 'Ring', 'pi(s(+(0)),pt(a(c(4:Ring,0),b0),pd(b1,s(0))))', 'pi(s(*),pt(a(c(4:Ring,0),b0),pd(b1,s(*))))', 'pi(s(*),pt(_,pd(b1,s(*))))', 'pi(_,pt(_,pd(b1,s(*))))', 'pd(_,pd(_,pd(b1,s(*))))', 's(0)')""",
+    "quantities": """quantities AS (
+        SELECT p_partkey AS seq, 'part:' || p_partkey AS name, p_size % 5 AS kind, ascii(right(p_brand, 1)) % 4 + 1 AS wb, strlen(p_type) % 3 + 1 AS wt,
+            'dim(c(' || strlen(p_brand) || ':' || p_brand || ',0),n' || p_size % 5 || ')' AS b, 'dim(c(' || strlen(p_type) || ':' || p_type || ',0),n' || p_size % 5 || ')' AS t FROM part)""",
+    "symmetries": """symmetries AS (
+        SELECT 'part:' || p_partkey AS name, p_partkey % 6 AS form, p_brand AS f, p_type AS g, 'Sym.part.' || p_brand AS module FROM part
+        UNION ALL SELECT 'supplier:' || s_suppkey, s_suppkey % 6, 'Sup', 'N' || s_nationkey, 'Sym.supplier.' || s_nationkey FROM supplier
+        UNION ALL SELECT 'order:' || o_orderkey, o_orderkey % 6, 'Ord', 'S' || o_orderstatus, 'Sym.order.' || o_orderstatus FROM orders),
+    hits AS (SELECT name, ['INV', 'SWAP', 'CONS', 'INV_IMP', 'SWAP_IMP'][form + 1] AS motif, form <> 2 AS strict, CASE WHEN form IN (1, 4) THEN 2 ELSE 1 END AS variables, CASE WHEN form IN (0, 3) THEN 'a1:' || g END AS context,
+        CASE WHEN form IN (0, 3) THEN 'a1' END AS shape, ['R<L', 'swap', 'L>R', 'L<R', 'swap'][form + 1] AS direction, CASE WHEN form < 3 THEN 'Eq' ELSE f END AS head, CASE WHEN form < 3 THEN 3 ELSE -1 END AS arity, false AS whole, module
+        FROM symmetries WHERE form < 5)""",
     "traces": """traces AS (
         SELECT user_id AS problem, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, event_type AS method,
             CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'unknown' END AS outcome FROM events)""",
