@@ -11,11 +11,13 @@ it. So each record is read once, whatever the cuts. Behind a record the next one
 read forward through one window, so that a range costs its own bytes and the rest of its last record.
 
 Files go through pyarrow's file systems by a full address, which Spark's own file systems give for a folder, so that
-a path without a scheme means the same folder to all. A writing task that is run again puts the same bytes in the
-same place.
+a path without a scheme means the same folder to all. Schemes: file, hdfs, viewfs, s3 (and s3a, s3n), gs, abfs and abfss
+(and wasb, wasbs); others raise. A writing task that is run again puts the same bytes in the same place, under a name of
+its own first, and then moves them; on an object store the move is a copy, which another task never reads, as readers get
+the archives' names only when all are written.
 
 Defined cases: a null payload is an empty payload and counts as equal to other empty ones; a null url is written
-without a target; a null page id is never the smallest while another is there, and of equal payloads without any
+without a target; white space in a url is written as single spaces, as a header is one line; headers of any length are read; a null page id is never the smallest while another is there, and of equal payloads without any
 id all are responses; rows that share the smallest id are all responses, other repeated rows revisit; an empty table
 gives no records; columns besides key, url and payload are not written, so that their names cannot clash. A record that
 is cut off, does not decompress or is not as long as its headers say raises ValueError.
@@ -41,8 +43,12 @@ from stratia.llm.common import fresh, slices, table
 from stratia.session import materialize, qualified, scratch
 
 MAGIC, VERSION, SPLIT, LEVEL = b"\x1f\x8b\x08", b"WARC/1.1\r\n", 8 << 20, 6
-#: Bytes that are read at once, bytes of a candidate that are unpacked at once, and the longest block of headers.
-WINDOW, PROBE, HEADERS = 1 << 18, 1 << 12, 1 << 16
+#: Bytes that are read at once, and bytes of a candidate that are unpacked at once.
+WINDOW, PROBE = 1 << 18, 1 << 12
+#: Digests of repeated payloads that are sent to all tasks; of more, the rows meet them in a shuffled join.
+MOST_SENT = 250_000
+#: Schemes of Hadoop's file systems by the names that pyarrow has for them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 #: Tasks that read archives.
 MOST_TASKS = 100_000
 #: Fields without which a block of headers is not a record's.
@@ -54,6 +60,12 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def address(folder: str) -> str:
+    """A full address in the scheme that pyarrow's file systems know."""
+    scheme, colon, rest = folder.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}" if colon else folder
+
+
 def _gzip(data: bytes) -> bytes:
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
@@ -76,8 +88,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def with_responses(pages: DataFrame, key: str, payload: str, least_bytes: int = 0) -> DataFrame:
     """pages with `refers_to`: of rows with equal payloads the smallest key, null for the rows that have it.
 
-    Only (digest, key) pairs are grouped; the rows themselves meet that small table by their digest, in a join whose
-    large side Spark may split where many rows share a payload.
+    Only (digest, key) pairs are grouped, and only digests that repeat are kept. Up to MOST_SENT of them go to all tasks,
+    so that payloads stay where they are; of more, rows meet them by digest, in a join whose large side Spark may
+    split where many rows share a payload.
     """
     if "refers_to" in {c.lower() for c in pages.columns}:
         raise ValueError("the input has a column named refers_to")
@@ -85,7 +98,8 @@ def with_responses(pages: DataFrame, key: str, payload: str, least_bytes: int =
     marked = pages.withColumn(digest, F.sha2(F.coalesce(F.col(payload), F.lit("")).cast("binary"), 256))
     long_enough = F.coalesce(F.octet_length(payload), F.lit(0)) >= least_bytes
     firsts = marked.filter(long_enough).groupBy(digest).agg(F.min(key).alias(first), F.count("*").alias(n)).filter(F.col(n) > 1).select(digest, first)
-    joined = marked.join(firsts, digest, "left")
+    firsts = materialize(firsts, "warc-digests")
+    joined = marked.join(F.broadcast(firsts) if firsts.count() <= MOST_SENT else firsts, digest, "left")
     same = F.coalesce(F.col(key) == F.col(first), F.lit(False))
     return joined.withColumn("refers_to", F.when(~same, F.col(first))).drop(digest, first)
 
@@ -93,7 +107,7 @@ def with_responses(pages: DataFrame, key: str, payload: str, least_bytes: int =
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write one archive a partition into the folder; (path, length, records) of each."""
     rows = with_responses(pages.select(key, url, payload), key, payload, least_bytes).select(key, url, payload, "refers_to")
-    folder = qualified(pages.sparkSession, folder)
+    folder = address(qualified(pages.sparkSession, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -168,19 +182,28 @@ def header_fields(head: bytes) -> dict[str, str] | None:
     return fields if all(fields.get(name) for name in NEEDED) and fields["content-length"].isdigit() else None
 
 
+def _may_be_headers(data: bytes | bytearray, at: int = 0) -> bool:
+    """Whether decoded bytes without an empty line can still become a record's headers: each whole line from `at` on has a colon."""
+    front = b"WARC/1."
+    if bytes(data[: len(front)]) != front[: len(data)]:
+        return False
+    lines = bytes(data[at:]).split(b"\r\n")[:-1]
+    return all(b":" in x for x in (lines[1:] if at == 0 else lines))
+
+
 def _starts_record(data: bytes) -> bool:
-    """Whether the first bytes that decode are a record's headers, whatever follows."""
+    """Whether the first bytes that decode begin a record's headers, whatever follows."""
     unpack, out = zlib.decompressobj(31), b""
     with contextlib.suppress(zlib.error):
         for at in range(0, len(data), 16):
             out += unpack.decompress(data[at : at + 16])
     head, blank, _ = out.partition(b"\r\n\r\n")
-    return bool(blank) and header_fields(head) is not None
+    return header_fields(head) is not None if blank else len(out) > 7 and _may_be_headers(out)
 
 
 def member(window: _Window, at: int) -> tuple[bytes, int] | None:
     """(decoded record, the place behind it) of the member at a place; None if no WARC headers decode there."""
-    unpack, out, place, known = zlib.decompressobj(31), bytearray(), at, None
+    unpack, out, place, known, seen = zlib.decompressobj(31), bytearray(), at, None, 0
     step = PROBE
     while not unpack.eof:
         data = window.bytes(place, step)
@@ -197,11 +220,14 @@ def member(window: _Window, at: int) -> tuple[bytes, int] | None:
             return None
         place += len(data)
         if not known:
-            end = out.find(b"\r\n\r\n")
-            if end >= 0 or unpack.eof or len(out) > HEADERS:
+            end = out.find(b"\r\n\r\n", max(seen - 2, 0))
+            if end >= 0 or unpack.eof:
                 known = header_fields(bytes(out[:end])) if end >= 0 else None
                 if known is None:
                     return None
+            elif not _may_be_headers(out, seen):
+                return None
+            seen = max(out.rfind(b"\r\n") + 2, seen) if b"\r\n" in out[seen:] else seen
     if not known:
         return None
     if not unpack.eof:
@@ -258,7 +284,7 @@ def read(files: DataFrame, folder: str, split: int = SPLIT, payloads: bool = Tru
 
     There are as many tasks as ranges, up to MOST_TASKS; beyond that a task reads several, one after the other.
     """
-    folder = qualified(files.sparkSession, folder)
+    folder = address(qualified(files.sparkSession, folder))
     many = files.agg(F.sum(F.ceil(F.col("length") / split)).alias("n")).first()["n"] or 1
     fields = [f for f in READ if payloads or f.name != "payload"]
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
