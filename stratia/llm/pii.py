@@ -25,7 +25,9 @@ their number by hundreds each time.
 
 Defined cases: a null text stays null; an empty text stays empty; repeated rows change alike; an empty table gives an
 empty result; other columns stay, whatever their names. Texts are processed whole; a text without entities stays as it is,
-byte for byte. Not detected: names without a title whose given name is not in the lists.
+byte for byte. Titles and given names are found as the lists have them and in capitals. Not detected: names without a title
+whose given name is not in the lists. A permuted number can be that of another entity of the corpus, whose own mentions have
+then moved on to another; which of the two it was can't be told without the key.
 """
 
 from __future__ import annotations
@@ -57,6 +59,12 @@ SYLLABLES = {"latin": ("bdklmnrt", "aeio"), "cyrillic": ("бдклмнрт", "а
 #: Endings of made-up given names.
 ENDINGS = {"latin": {"f": "a", "m": "n"}, "cyrillic": {"f": "ия", "m": "ий"}, "greek": {"f": "ία", "m": "ος"}}
 
+
+
+def both_cases(words: list[str]) -> list[str]:
+    return [*words, *(w.upper() for w in words)]
+
+
 CAPITALISED = r"\p{Lu}[\p{L}'’\-]+"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
@@ -66,7 +74,7 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\p{L}\d.\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,4}|3[47]\d{2}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?![\p{L}\d])",
     "secret": r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\d])",
-    "name": rf"(?=\p{{Lu}})(?:(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?(?: \p{{Lu}}\.){{0,2}} {CAPITALISED}(?: (?:\p{{Lu}}\. )?{CAPITALISED})?|(?:{'|'.join(n for names in GIVEN.values() for n in names)})(?: \p{{Lu}}\.)? {CAPITALISED})(?!\p{{L}})",
+    "name": rf"(?=\p{{Lu}})(?:(?:{'|'.join(t for ts in TITLES.values() for t in both_cases(ts))})\.?(?: \p{{Lu}}\.){{0,2}} {CAPITALISED}(?: (?:\p{{Lu}}\. )?{CAPITALISED})?|(?:{'|'.join(n for names in GIVEN.values() for n in both_cases(names))})(?: \p{{Lu}}\.)? {CAPITALISED})(?!\p{{L}})",
 }
 #: One pattern for a single scan: inside a word it fails after a character class and one look back.
 ENTITY = "(?=[+(0-9])(?:{ip}|{phone}|{ssn}|{card})|(?<![\\p{{L}}\\p{{N}}])(?:{email}|{secret}|{name})".format(**PATTERNS)
@@ -215,7 +223,7 @@ def _other_given(word: Column, gender: str, salt: Column, level: Column) -> Colu
 
 
 #: Titles with and without a dot, and the gender that each says.
-TITLED = {t + dot: gender for gender, ts in TITLES.items() for t in ts for dot in ("", ".")}
+TITLED = {t + dot: gender for gender, ts in TITLES.items() for t in both_cases(ts) for dot in ("", ".")}
 LISTED = [n for names in GIVEN.values() for n in names]
 
 
@@ -235,7 +243,7 @@ def name_parts(mention: Column) -> Column:
         last = F.size(words) - 1
 
         def role(w: Column, i: Column) -> Column:
-            known = F.array_contains(F.array(*map(F.lit, LISTED)), w) & (i < last)
+            known = F.array_contains(F.array(*map(F.lit, LISTED)), F.initcap(w)) & (i < last)
             return F.when((i == 0) & gender.isNotNull(), "title").when(w.rlike(r"^\p{Lu}\.$"), "initial").when(known, "known").when((i == first) & (i < last), given(w)).otherwise("surname")
 
         return F.transform(words, lambda w, i: F.struct(role(w, i).alias("role"), w.alias("word")))
@@ -302,7 +310,7 @@ class Surrogates:
             role, w = part["role"], part["word"]
             cased = lambda new: F.when((F.upper(w) == w) & (F.length(w) > 1), F.upper(new)).otherwise(F.initcap(new))
             letter = F.concat(F.upper(F.substring(_spelled(F.lower(w), self.salt("initial"), F.lit(1)), 1, 1)), F.lit("."))
-            return F.when(role == "title", w).when(role == "initial", letter).when(role == "known", F.element_at(listed, w)).otherwise(let(self.word(role, F.lower(w)), cased))
+            return F.when(role == "title", w).when(role == "initial", letter).when(role == "known", let(F.element_at(listed, F.initcap(w)), cased)).otherwise(let(self.word(role, F.lower(w)), cased))
 
         return F.array_join(F.transform(name_parts(mention), made), " ")
 
