@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 The tokenizers library runs over Arrow batches: its byte table writes bytes as visible characters, its model merges them
-by the ranks of the file, and it gives each token's offsets in characters. For ids with offsets it takes whole texts, for ids
-alone each distinct match of the pattern once. Decoding reverses that table over the characters of the vocabulary's tokens. Ids equal those of the tiktoken
+by the ranks of the file. For ids with offsets (`encode(offsets=...)`) it takes whole texts and gives each token's offsets in
+characters; for ids alone each distinct match of the pattern once, and no offsets are read. Decoding reverses that table over the characters of the vocabulary's tokens. Ids equal those of the tiktoken
 library with the same ranks and pattern.
 
 Defined cases: a null text is an empty text (no ids, zero bytes); an id outside the vocabulary raises; bytes that
@@ -159,7 +159,7 @@ class ByteBpe:
         return [([i for _, e in row for i in e.ids], [(a + start, b + start) for start, e in row for a, b in e.offsets]) for row in self._coded(texts)]
 
     def encode_with_ends(self, texts: list[str]) -> list[tuple[list[int], int]]:
-        """Ids, and the end of the last one's offsets, which is that of the last piece."""
+        """Ids, and the summed length of the pieces in characters, where the last one ends."""
         split = [self.pieces(t) for t in texts]
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
@@ -261,7 +261,7 @@ def decoded_text(decoded: bytes) -> str:
 def round_trip(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode each text; one row per row, with counts and digests of both directions.
 
-    n_characters is the end of the last token's offsets, n_split how many tokens start inside a character.
+    n_characters is the summed length of the pieces, n_split how many tokens start inside a character.
     Both directions run in one pass over small slices, so that no list of ids leaves its task.
     """
     shared = _vocabulary(df.sparkSession, None, None)

@@ -227,8 +227,8 @@ class PlainSurrogates:
                 out.append(w)
             elif len(w) == 2 and w[0].isupper() and w[1] == ".":
                 out.append(self.spelled(low, f"{self.key}|initial", 1)[0].upper() + ".")
-            elif w in listed and i < len(words) - 1:
-                out.append(listed[w])
+            elif w.capitalize() in listed and i < len(words) - 1:
+                out.append(cased(listed[w.capitalize()]))
             elif i == (title is not None) and i < len(words) - 1:
                 suggested = "f" if low[-1] in "aeаяαη" or low.endswith(("ie", "ία")) else "m"
                 out.append(cased(self.word(f"given-{title or suggested}", low)))
@@ -318,6 +318,15 @@ def test_gender_follows_title_list_or_ending(spark):
     assert len({t.split(" ")[-1] for t in got}) == 1
 
 
+def test_names_in_capitals_are_found_and_corefer(spark):
+    texts = ["Mr. John Smith", "Mr. JOHN SMITH", "JOHN SMITH", "John Smith", "MR. JOHN SMITH", "DR SMITH", "ОЛЬГА ИВАНОВА", "Ольга Иванова", "A JOINT STATEMENT OF NOBODY"]
+    got = [r.text for r in pii.pseudonymise(docs(spark, texts)).orderBy("doc_id").collect()]
+    given, last = got[3].split()
+    assert given in pii.GIVEN["m", "latin"] and given != "John" and last != "Smith"
+    assert got[:6] == [f"Mr. {given} {last}", f"Mr. {given.upper()} {last.upper()}", f"{given} {last}".upper(), f"{given} {last}", f"MR. {given.upper()} {last.upper()}", f"DR {last.upper()}"]
+    assert got[6] == got[7].upper() and got[7].split()[0] in pii.GIVEN["f", "cyrillic"] and got[8] == texts[8]
+
+
 def test_pii_edge_cases(spark, many):
     got = pii.pseudonymise(many.withColumn("pieces_", F.lit(7)))
     assert got.columns == [*many.columns, "pieces_"] and got.drop("pieces_").exceptAll(many).count() == 0
@@ -802,3 +811,82 @@ def test_pipeline_stages_equal_brute_force(spark, many, tmp_path):
     assert sorted(final.doc_id) == [i for i, _ in kept[3]]
     want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept[3]}
     assert all(want[i] == h for i, h in zip(final.doc_id, final.decoded_sha256, strict=True))
+
+
+# Long headers and object stores
+
+
+@pytest.mark.parametrize("length", [10, 5_000, 70_000, 1_000_000])
+def test_records_with_long_addresses_are_read_at_every_cut(length):
+    rng = random.Random(length)
+    url = "http://" + "".join(rng.choice("abcdefghij0123456789/") for _ in range(length))
+    members = [warc.record(i, url if i % 2 else "u", b"body %d" % i, warc.payload_digest(b"body %d" % i), None) for i in range(4)]
+    data = b"".join(members)
+    starts = [sum(map(len, members[:i])) for i in range(4)]
+    cuts = sorted({0, len(data), *starts, *(s + d for s in starts[1:] for d in (-1, 1, 7)), *range(0, len(data), max(len(data) // 9, 1))})
+    found = [(at, warc.parse(w)["page_id"], warc.parse(w)["url"]) for a, b in zip(cuts, cuts[1:], strict=False) for at, w in warc.records(io.BytesIO(data), len(data), a, b)]
+    assert found == [(s, i, url if i % 2 else "u") for i, s in enumerate(starts)]
+
+
+def test_a_damaged_record_with_a_long_address_raises():
+    url = "http://" + "".join(random.Random(1).choice("abcdefghij0123456789/") for _ in range(90_000))
+    data = bytearray(warc.record(1, url, b"x", warc.payload_digest(b"x"), None))
+    data[len(data) // 2] ^= 0xFF
+    with pytest.raises(ValueError, match="record"):
+        list(warc.records(io.BytesIO(bytes(data)), len(data), 0, len(data)))
+
+
+def test_members_that_only_begin_like_headers_are_passed_over():
+    odd = warc._gzip(b"WARC/1.1\r\nthis line has no mark\r\n" + b"z" * 200_000)
+    good = warc.record(7, "u", b"x" * 50, warc.payload_digest(b"x" * 50), None)
+    assert [at for at, _ in warc.records(io.BytesIO(odd + good), len(odd + good), 1, len(odd + good))] == [len(odd)]
+
+
+def test_addresses_of_object_stores_get_the_names_that_readers_know():
+    assert warc.address("s3a://bucket/a/b") == "s3://bucket/a/b" and warc.address("wasbs://c@a.blob.core.windows.net/x") == "abfss://c@a.blob.core.windows.net/x"
+    assert warc.address("file:///a") == "file:///a" and warc.address("hdfs://h:1/a") == "hdfs://h:1/a" and warc.address("/plain") == "/plain"
+
+
+def test_warc_digests_meet_rows_both_ways(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"u{i}", f"body {i % 7}" if i % 5 else None) for i in range(60)] + [(None, None, "body 1"), (3, "again", "body 3")], PAGES)
+    want = sorted(map(str, warc.with_responses(pages, "page_id", "html").collect()))
+    monkeypatch.setattr(warc, "MOST_SENT", 0)
+    assert sorted(map(str, warc.with_responses(pages, "page_id", "html").collect())) == want
+
+
+# Fit and score of a whole table, plainly
+
+
+def test_toxicity_equals_a_plain_fit_and_score_of_a_table(spark):
+    d = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = {r.doc_id: int(r.toxic) for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r.toxic in (0, 1)}
+    use = sorted(i for i in labels if i in rows and rows[i] is not None and zlib.crc32(str(i).encode()) % 4 != 2)
+    w, b = toxicity.train([rows[i] for i in use], np.array([labels[i] for i in use]))
+    for r in toxicity.op4_toxicity(spark, d).collect():
+        none, sentences = 1.0, [[]]
+        for t in toxicity.tokens(rows[r.doc_id] or ""):
+            sentences[-1].append(t)
+            if t in toxicity.ENDS:
+                sentences.append([])
+        for s in sentences:
+            inside = [t for t in s if t not in toxicity.ENDS]
+            if inside:
+                z = b + sum(float(w[f]) for t in inside for f in toxicity.word_features(t))
+                none *= 1 - 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        assert r.score == pytest.approx(1 - none, abs=2e-3), r.doc_id
+        assert r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_flac_columns_against_plain_counts(spark):
+    d = "/root/testdata/sf0.001"
+    rows = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    for r in flac.op10_flac(spark, d).collect():
+        raw = rows[r.doc_id]
+        payload = raw + b"\0" * (64 if not raw else -len(raw) % 64)
+        s = [x - 256 if x > 127 else x for x in payload]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(s, s[1:], strict=False))
+        assert r.feature == f"sum={sum(s)};energy={sum(x * x for x in s)};crossings={crossings};peak={max(map(abs, s))}"
+        (stream,) = flac.encode([payload])
+        assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
