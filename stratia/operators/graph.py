@@ -91,18 +91,26 @@ def bridge_centrality(edges: DataFrame, sources: DataFrame, lens: str = "both")
 def why(edges: DataFrame, sources: DataFrame, is_target: Column, lens: str = "both") -> DataFrame:
     """(source, target, path): of each source and each node that meets `is_target` (over column node) a shortest path.
 
-    Of shortest paths the one whose names come first in order; a source that is a target has the path of itself.
+    Of shortest paths the one whose names come first in order; a source that is a target has the path of itself. The search
+    starts from the fewer of sources and targets, so that a node has one path for each of those; backwards a node's best
+    path is its own name before the best of those that it leads to.
     """
     pairs = checkpoint(through(edges, lens))
-    frontier = checkpoint(sources.select("source", F.col("source").alias("node"), F.array("source").alias("path")).distinct())
-    seen = frontier
-    for _ in range(MAX_ROUNDS):
-        step = frontier.join(pairs, frontier.node == pairs.src).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("source", "node").agg(F.min("path").alias("path"))
-        frontier = checkpoint(step.join(seen, ["source", "node"], "left_anti"))
+    sources = checkpoint(sources.select(F.col("source").alias("node")).distinct())
+    targets = checkpoint(pairs.select(F.col("dst").alias("node")).union(sources).distinct().filter(is_target))
+    back = targets.count() < sources.count()
+    starts, near, far = (targets, "dst", "src") if back else (sources, "src", "dst")
+    grown = F.concat(F.array(far), "path") if back else F.concat("path", F.array(far))
+    seen = frontier = checkpoint(starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path")))
+    for i in range(1, MAX_ROUNDS):
+        step = frontier.join(pairs, frontier.node == pairs[near]).select("start", F.col(far).alias("node"), grown.alias("path"))
+        step = step.groupBy("start", "node").agg(F.min("path").alias("path"))
+        frontier = checkpoint(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         if frontier.isEmpty():
-            return seen.filter(is_target).select("source", F.col("node").alias("target"), "path")
-        seen = seen.union(frontier)
+            found = seen.join(sources if back else targets, "node", "left_semi")
+            source, target = ("node", "start") if back else ("start", "node")
+            return found.select(F.col(source).alias("source"), F.col(target).alias("target"), "path")
+        seen = _compact(seen.union(frontier), i, "start", "node")
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
 

@@ -77,6 +77,14 @@ def evidence(binders: DataFrame, ends: DataFrame, uses: DataFrame, above: DataFr
     return used.join(binders.select(F.col("name").alias("used"), "class").distinct(), "used").select("name", "class").distinct()
 
 
+def skips(binders: DataFrame, ends: DataFrame) -> DataFrame:
+    """(name, skipped): of each declaration with binders why it is not judged, or null."""
+    spread = binders.groupBy("name").agg((F.countDistinct(F.coalesce("carrier", F.lit(-1))) > 1).alias("many"))
+    made = producers(binders, ends).select("name").distinct().withColumn("made", F.lit(True))
+    skipped = F.when(F.col("many"), "multi-carrier").when(F.col("made"), "produces-a-class")
+    return spread.join(made, "name", "left").select("name", skipped.alias("skipped"))
+
+
 def homes(binders: DataFrame, ends: DataFrame, uses: DataFrame) -> DataFrame:
     """(name, class, verdict, home, projection): for each class that a declaration asks for, how much of it is needed.
 
@@ -87,12 +95,7 @@ def homes(binders: DataFrame, ends: DataFrame, uses: DataFrame) -> DataFrame:
     """
     above = checkpoint(ancestors(binders, ends))
     got = checkpoint(evidence(binders, ends, uses, above))
-    asks = binders.select("name", "class", F.coalesce("carrier", F.lit(-1)).alias("carrier"))
-    spread = asks.groupBy("name").agg((F.countDistinct("carrier") > 1).alias("many"))
-    made = producers(binders, ends).select("name").distinct().withColumn("made", F.lit(True))
-    skipped = F.when(F.col("many"), "multi-carrier").when(F.col("made"), "produces-a-class")
-    marked = spread.join(made, "name", "left").select("name", skipped.alias("skipped"))
-    asks = asks.select("name", "class").distinct().join(marked, "name")
+    asks = binders.select("name", "class").distinct().join(skips(binders, ends), "name")
 
     judged = asks.filter("skipped is null").join(got.withColumn("met", F.lit(True)), ["name", "class"], "left").select("name", "class", F.coalesce("met", F.lit(False)).alias("met"))
     hits = checkpoint(judged.filter("not met").join(above, "class").join(got.withColumnRenamed("class", "above"), ["name", "above"]).select("name", "class", F.col("above").alias("hit")))
@@ -119,7 +122,7 @@ def candidates(binders: DataFrame, ends: DataFrame, uses: DataFrame) -> DataFram
     """
     above = checkpoint(ancestors(binders, ends))
     got = checkpoint(evidence(binders, ends, uses, above))
-    asks = binders.select("name", "class").distinct().join(homes(binders, ends, uses).filter("class is null").select("name"), "name", "left_anti")
+    asks = checkpoint(binders.select("name", "class").distinct().join(skips(binders, ends).filter("skipped is null").select("name"), "name", "left_semi"))
     upset = above.select("class", F.col("above").alias("at")).union(asks.select("class", F.col("class").alias("at")).distinct())
     needs = checkpoint(asks.join(upset, "class").join(got.withColumnRenamed("class", "at"), ["name", "at"]).select("name", "class", F.col("at").alias("need")))
     met = needs.join(upset.select(F.col("class").alias("candidate"), F.col("at").alias("need")).union(above.select(F.col("above").alias("candidate"), F.col("above").alias("need")).distinct()).distinct(), "need")

@@ -108,18 +108,30 @@ def similar_brute(spark: SparkSession, d: str) -> DataFrame:
 
 
 def selected_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of one type choose suppliers by what is ordered of them, each supplier taking at most three."""
+    """Parts choose suppliers by what is ordered of them, each supplier taking at most three."""
     items = derived.table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("score"))
     rows = items.select(derived.node("part", "l_partkey").alias("left"), derived.node("supplier", "l_suppkey").alias("right"), "score")
     return selection.select(rows, derived.declarations(spark, d).select(F.col("name").alias("left")), 3)
 
 
+def best_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Of each type and size, parts choose brands that are there, one each: how many get one, and the total score.
+
+    A score is the part's price bucket times the brand's weight, by which the sides' order decides.
+    """
+    p = derived.table(spark, d, "part").select(derived.node("part", "p_partkey").alias("left"), F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("team"), F.col("p_brand").alias("brand"), F.floor(F.col("p_retailprice") / 100).cast("long").alias("f"))
+    brands = p.select("team", "brand", (F.ascii(F.substring("brand", -1, 1)) % 7 + F.length("brand")).alias("g")).distinct()
+    rows = p.select("left", "team", "f").join(brands, "team").select("team", "left", F.concat_ws("/", "team", "brand").alias("right"), (F.col("f") * F.col("g")).alias("score"))
+    found = selection.best_selection(rows, p)
+    return found.join(p.select("left", "team"), "left").groupBy("team").agg(F.count("right").alias("selected"), F.sum("score").alias("total"), F.count_if(F.col("state") == "unmatched").alias("unmatched"))
+
+
 def spearman(spark: SparkSession, d: str) -> DataFrame:
     rows = derived.table(spark, d, "part").select(F.col("p_brand").alias("family"), F.col("p_size").alias("x"), F.floor(F.col("p_retailprice") / 10).alias("y"))
     return hy.spearman(rows).select("family", "n", F.round("rho", 9).alias("rho"))
 
 
-QUERIES = {f.__name__: f for f in (statement_verify, legacy_dispositions, claim_violations, support_violations, artifact_links, failure_classes, excluded_roles, missing_references, hypothesis_candidates, provable_routes, frontier_distance, similar_brute, selected_pairs, spearman)}
+QUERIES = {f.__name__: f for f in (statement_verify, legacy_dispositions, claim_violations, support_violations, artifact_links, failure_classes, excluded_roles, missing_references, hypothesis_candidates, provable_routes, frontier_distance, similar_brute, selected_pairs, best_selection, spearman)}
 
 
 def _case(values: tuple, by: str) -> str:
@@ -165,6 +177,10 @@ SQL = {
     "frontier_distance": f"WITH {MATES} SELECT name, min(n) AS distance FROM m GROUP BY name",
     "similar_brute": f"""WITH {D}, pairs AS (SELECT a.name, b.name AS other FROM decls a, decls b WHERE a.seq % 50 = 0 AND a.name <> b.name), compared AS ({plans.COMPARE.format(pairs='pairs')})
         SELECT name, other, row_number() OVER w AS rank, common, round(common * 1.0 / whole, 6) AS retention FROM compared WHERE common >= 6 AND common * 1.0 / whole >= 0.3 WINDOW w AS (PARTITION BY name ORDER BY round(common * 1.0 / whole, 9) DESC, other) QUALIFY row_number() OVER w <= 10""",
+    "best_selection": """WITH p AS (SELECT p_type || '/' || p_size AS team, p_brand AS brand, CAST(floor(p_retailprice / 100) AS BIGINT) AS f FROM part),
+        l AS (SELECT team, f, row_number() OVER (PARTITION BY team ORDER BY f DESC) AS i, count(*) OVER (PARTITION BY team) AS n FROM p),
+        r AS (SELECT team, ascii(right(brand, 1)) % 7 + length(brand) AS g, row_number() OVER (PARTITION BY team ORDER BY ascii(right(brand, 1)) % 7 + length(brand) DESC) AS i FROM (SELECT DISTINCT team, brand FROM p))
+        SELECT team, count(*) AS selected, CAST(sum(f * g) AS BIGINT) AS total, any_value(n) - count(*) AS unmatched FROM l JOIN r USING (team, i) GROUP BY team""",
     "spearman": """WITH p AS (SELECT p_brand AS family, p_size AS x, floor(p_retailprice / 10) AS y FROM part),
         r AS (SELECT family, rank() OVER (PARTITION BY family ORDER BY x) + (count(*) OVER (PARTITION BY family, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY family ORDER BY y) + (count(*) OVER (PARTITION BY family, y) - 1) / 2.0 AS ry FROM p)
         SELECT family, count(*) AS n, CASE WHEN NOT isnan(corr(rx, ry)) THEN round(corr(rx, ry), 9) END AS rho FROM r GROUP BY family""",

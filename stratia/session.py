@@ -72,10 +72,10 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a step as compressed Parquet to the shared folder and read it back; release() deletes it."""
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write a step as compressed Parquet (by `codec`, or as the session has it) to the shared folder and read it back; release() deletes it."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
