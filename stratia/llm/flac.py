@@ -573,5 +573,5 @@ def padded(text: str = "text"):
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload, n = padded("text")
     rows = table(spark, sf_dir, "documents").select("doc_id", n.alias("n_bytes"), payload.alias("payload"))
-    stored = materialize(encode_column(rows, "payload"), "flac")
+    stored = materialize(encode_column(rows, "payload"), "flac", "zstd")
     return read_digests(decode_column(stored), "blocks", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
