@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratia.plans import analytics, evidence, graph, laws, logic, methods, provability, quantities, review, statements, symmetry
+from stratia.plans import analytics, evidence, graph, kept, laws, logic, methods, provability, quantities, review, statements, symmetry
 
-MODULES = (graph, statements, methods, logic, laws, evidence, review, quantities, provability, symmetry, analytics)
+MODULES = (graph, statements, methods, logic, laws, evidence, review, quantities, provability, symmetry, analytics, kept)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
