@@ -465,6 +465,34 @@ def dictionary(rows: DataFrame, left: Column, right: Column, per_left: int = 1,
     return rank_members(compared, members(a, lefts), 2, score, per_left, members(b, rights))
 
 
+#: Candidates of a left row that filters by pairs may choose from.
+POOL = 64
+
+
+def registered(is_instance: Column) -> Column:
+    """Whether a declaration is a registered instance; where that is unknown, it is not."""
+    return F.coalesce(is_instance, F.lit(False))
+
+
+def filtered_dictionary(rows: DataFrame, left: Column, right: Column, dropped: Column, cited: DataFrame | None = None, per_left: int = 1, pool: int = POOL, score: str = "retention") -> tuple[DataFrame, DataFrame]:
+    """(found, missing): a dictionary without rows that `dropped` marks and without pairs of which one cites the other.
+
+    dropped is over rows, as registered() and excluded_role() give it, null for rows that stay; it applies before rows are
+    compared, so that no row that stays gives way to one that does not. cited: (src, dst), either way, applies to the best
+    `pool` of a left row, before its `per_left` are taken. missing: (side, name) of the rows that stay and have no row.
+    """
+    kept = materialize(rows.filter(~F.coalesce(dropped, F.lit(False))), "dictionary-rows")
+    found = dictionary(kept, left, right, pool, score)
+    if cited is not None:
+        both = cited.select(F.col("src").alias("name"), F.col("dst").alias("other"))
+        both = both.union(both.select("other", "name")).distinct()
+        found = found.join(both, ["name", "other"], "left_anti")
+    order = Window.partitionBy("name").orderBy(F.round("total", 9).desc(), F.col("common").desc(), "vars", "other")
+    found = materialize(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_left), "dictionary")
+    side = lambda where, label, column: kept.filter(where).select(F.lit(label).alias("side"), "name").join(found.select(F.col(column).alias("name")), "name", "left_anti").select("side", "name")
+    return found, side(left, "left", "name").union(side(right, "right", "other"))
+
+
 def coherence(found: DataFrame, rights: DataFrame) -> DataFrame:
     """Counts of a dictionary: rows, lefts, rights, distinct right statements, rows that share their right.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratia.operators import claims
 from stratia.operators import statements as st
 from stratia.session import materialize
 from stratia.sources import derived
@@ -151,6 +152,26 @@ def dictionary_missing(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(F.col("module").startswith(f"Mfgr.{lo}.")).select("name").join(found, "name", "left_anti")
 
 
+def _filtered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Without parts of a tenth of the sizes, as registered instances, without those of a role, and without parts that one order has."""
+    rows, sizes = _shaped(spark, d), derived.table(spark, d, "part").select(derived.node("part", "p_partkey").alias("name"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 10 == 0).alias("is_instance"))
+    rows = materialize(rows.join(sizes, "name"), "shaped")
+    brands = rows.select(F.split("module", r"\.")[1].alias("b")).agg(F.min("b").alias("lo"), F.max("b").alias("hi")).first()
+    of = lambda b: F.col("module").startswith(f"Mfgr.{b}.")
+    items = derived.table(spark, d, "lineitem").select("l_orderkey", derived.node("part", "l_partkey").alias("part"))
+    cited = items.withColumnRenamed("part", "src").join(items.withColumnRenamed("part", "dst"), "l_orderkey").filter("src <> dst").select("src", "dst")
+    dropped = st.registered(F.col("is_instance")) | claims.excluded_role(F.col("name"), ["part:1*"])
+    return st.filtered_dictionary(rows, of(brands["lo"]), of(brands["hi"]), dropped, cited, 2)
+
+
+def dictionary_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return _filtered(spark, d)[0].select("name", "other", "rank", "common", "vars", F.round("total", 6).alias("total"))
+
+
+def dictionary_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return _filtered(spark, d)[1]
+
+
 def coherence(spark: SparkSession, d: str) -> DataFrame:
     found, rows = _dictionary(spark, d)
     return st.coherence(found, rows.select(F.col("name").alias("other"), "root"))
@@ -195,7 +216,7 @@ def census(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("concrete", F.round("concrete", 6))
 
 
-QUERIES = {f.__name__: f for f in (slice_stats, stmt_digest, measures, skeletons, equivalent, ladder, postings_idf, symbol_df, motifs, closure_coverage, derivativeness, similar_topk, score_variants, work_budget, variants, adjacent, vocab_adjacent, dictionary, dictionary_missing, coherence, shuffle_control, frontier, rule_stats, pattern_groups, transport, census)}
+QUERIES = {f.__name__: f for f in (slice_stats, stmt_digest, measures, skeletons, equivalent, ladder, postings_idf, symbol_df, motifs, closure_coverage, derivativeness, similar_topk, score_variants, work_budget, variants, adjacent, vocab_adjacent, dictionary, dictionary_missing, dictionary_filtered, dictionary_unmatched, coherence, shuffle_control, frontier, rule_stats, pattern_groups, transport, census)}
 QUERIES |= {"equiv_classes_exact": _classes("exact"), "equiv_classes_shape": _classes("shape")}
 
 ROOT = "substr(stmt, 11)"
@@ -218,6 +239,12 @@ DICT = f"""WITH {D}, ends AS (SELECT min(brand) AS lo, max(brand) AS hi FROM dec
     pairs AS (SELECT a.name, b.name AS other FROM decls a, decls b, ends WHERE a.brand = lo AND b.brand = hi AND a.layers = b.layers AND a.name <> b.name),
     compared AS ({COMPARE.format(pairs='pairs')}),
     dict AS (SELECT *, common * 1.0 / whole AS retention FROM compared WHERE common >= 6 AND common * 1.0 / whole >= 0.3 QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(common * 1.0 / whole, 9) DESC, common DESC, vars, other) = 1)"""
+FILTERED = f"""WITH {D}, ends AS (SELECT min(brand) AS lo, max(brand) AS hi FROM decls), ok AS (SELECT * FROM decls WHERE NOT (size % 3 > 0 AND size % 10 = 0) AND name NOT LIKE 'part:1%'),
+    pairs AS (SELECT a.name, b.name AS other FROM ok a, ok b, ends WHERE a.brand = lo AND b.brand = hi AND a.layers = b.layers AND a.name <> b.name),
+    compared AS ({COMPARE.format(pairs='pairs')}),
+    pool AS (SELECT *, common * 1.0 / whole AS retention FROM compared WHERE common >= 6 AND common * 1.0 / whole >= 0.3 QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(common * 1.0 / whole, 9) DESC, common DESC, vars, other) <= {st.POOL}),
+    cited AS (SELECT DISTINCT 'part:' || a.l_partkey AS name, 'part:' || b.l_partkey AS other FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey),
+    dict AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(retention, 9) DESC, common DESC, vars, other) AS rank FROM pool WHERE (name, other) NOT IN (SELECT (name, other) FROM cited) QUALIFY rank <= 2)"""
 SQL = {
     "slice_stats": f"WITH {D} SELECT count(*) AS declarations, count(stmt) AS encoded, count(*) FILTER (stmt IS NULL) AS unencodable FROM decls",
     "stmt_digest": f"WITH {D} SELECT name, 'x-stmt-v1:sha256:' || sha256(stmt) AS digest FROM decls",
@@ -251,6 +278,8 @@ SQL = {
         SELECT class, other, shared, rarest FROM o QUALIFY row_number() OVER (PARTITION BY class ORDER BY shared DESC, rarest, other) <= 50""",
     "dictionary": DICT + " SELECT name, other, common, vars, round(retention, 6) AS total FROM dict",
     "dictionary_missing": DICT + " SELECT name FROM decls, ends WHERE brand = lo AND name NOT IN (SELECT name FROM dict)",
+    "dictionary_filtered": FILTERED + " SELECT name, other, rank, common, vars, round(retention, 6) AS total FROM dict",
+    "dictionary_unmatched": FILTERED + " SELECT 'left' AS side, name FROM ok, ends WHERE brand = lo AND name NOT IN (SELECT name FROM dict) UNION ALL SELECT 'right', name FROM ok, ends WHERE brand = hi AND name NOT IN (SELECT other FROM dict)",
     "coherence": DICT + """, s AS (SELECT other, count(*) AS n FROM dict GROUP BY other) SELECT count(*) AS rows, count(DISTINCT d.name) AS lefts, count(DISTINCT other) AS rights, count(DISTINCT b.stmt) AS statements,
         count(DISTINCT CASE WHEN n > 1 THEN other END) AS contested, count(*) FILTER (n > 1) AS in_collision, max(n) AS worst FROM dict d JOIN s USING (other) JOIN decls b ON b.name = other""",
     "shuffle_control": DICT + f""", placed AS (SELECT name, other, row_number() OVER (ORDER BY name, other) - 1 AS i, count(*) OVER () AS m FROM dict),
