@@ -20,3 +20,18 @@ def numbered(df: DataFrame, *order: Column | str, column: str = "i") -> DataFram
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = held.groupBy(part.alias("_part")).agg(F.count("*").alias("c")).select("_part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_first"))
     return held.withColumn("_part", part).withColumn("_inside", inside).join(firsts, "_part").withColumn(column, F.col("_first") + F.col("_inside")).drop("_part", "_first", "_inside", "_row")
+
+
+def running(df: DataFrame, value: str, *order: Column | str, column: str = "before") -> DataFrame:
+    """df with the sum of a column over the rows before each one in a given order, without a window that holds all rows.
+
+    Rows are dealt out by range; inside a part the sum runs over the part alone, and a part starts with the sums of those
+    before it, which is a running sum over one row a part. Rows of equal order stand in any order.
+    """
+    parts = shuffle_partitions(df.sparkSession)
+    held = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "running")
+    held = held.withColumn("_part", F.shiftright("_row", 33))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    firsts = held.groupBy("_part").agg(F.sum(value).alias("c")).select("_part", F.coalesce(F.sum("c").over(before(Window.orderBy("_part"))), F.lit(0)).alias("_first"))
+    inside = F.coalesce(F.sum(value).over(before(Window.partitionBy("_part").orderBy("_row"))), F.lit(0))
+    return held.withColumn("_inside", inside).join(firsts, "_part").withColumn(column, F.col("_first") + F.col("_inside")).drop("_part", "_first", "_inside", "_row")

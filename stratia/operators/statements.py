@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratia.functions import terms
-from stratia.functions.numbering import numbered
+from stratia.functions.numbering import numbered, running
 from stratia.operators.graph import check_choice
 from stratia.session import materialize
 
@@ -365,15 +365,16 @@ def derivativeness(rows: DataFrame) -> DataFrame:
     """(name, derivativeness) from (name, proof, cited, mechanical): the mean of three ranks.
 
     proof: length of a proof (short ranks high); cited: how often a declaration is used (seldom ranks high);
-    mechanical: the share of its uses that are constructors and recursors. Equal values are counted first, so that a
-    rank is a running sum over distinct values and no window holds all rows.
+    mechanical: the share of its uses that are constructors and recursors. Equal values are counted first, and a rank is a
+    running sum over ranges of distinct values, so that no task holds them all.
     """
+    n = F.greatest(F.lit(rows.count()), F.lit(2))
+
     def share(column: str, high: bool) -> DataFrame:
         counts = rows.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-        run = Window.orderBy(F.col("v").desc() if high else F.col("v")).rowsBetween(Window.unboundedPreceding, -1)
-        n = F.sum("c").over(Window.partitionBy())
-        place = (F.coalesce(F.sum("c").over(run), F.lit(0)) + (F.col("c") - 1) / 2) / (F.greatest(n, F.lit(2)) - 1)
-        return counts.select(F.col("v").alias(column), place.alias(f"{column}_rank"))
+        placed = running(counts, "c", F.col("v").desc() if high else F.col("v"))
+        place = (F.col("before") + (F.col("c") - 1) / 2) / (n - 1)
+        return placed.select(F.col("v").alias(column), place.alias(f"{column}_rank"))
 
     out = rows
     for column, high in (("proof", True), ("cited", True), ("mechanical", False)):

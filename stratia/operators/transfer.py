@@ -9,9 +9,10 @@ pairs give inventories of nothing and rates of zero.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratia.functions.numbering import running
 from stratia.operators import statements as st
 from stratia.session import checkpoint, materialize
 
@@ -42,11 +43,10 @@ def pairs(reps: DataFrame) -> DataFrame:
 def occurrences(parsed: DataFrame) -> DataFrame:
     """(sym, start, n): how often each symbol stands in all statements, and the sum of those before it by name.
 
-    One row a symbol: the running sum goes over the vocabulary, whose occurrences are counted first.
+    Occurrences are counted first; the sum runs over ranges of symbols.
     """
     counted = parsed.select(F.explode("symbols").alias("sym")).groupBy("sym").agg(F.count("*").alias("n"))
-    before = Window.orderBy("sym").rowsBetween(Window.unboundedPreceding, -1)
-    return checkpoint(counted.select("sym", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("start"), "n"))
+    return checkpoint(running(counted, "n", "sym", column="start").select("sym", F.col("start").cast("long").alias("start"), "n"))
 
 
 def redrawn(keys: DataFrame, seen: DataFrame, seed: int, *by: str) -> DataFrame:
