@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from stratia.llm.common import fold, slices, table
 
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
-FIT_ROWS, FIT_BYTES, STEPS = 6144, 256 << 20, 100
+FIT_ROWS, FIT_BYTES, STEPS = 6144, 32 << 20, 100
 #: Hashed features, features of a word, where the bias starts.
 SIZE, PER_WORD, BIAS = 1 << 18, 5, -6.0
 #: Size of a step, the pull towards zero, what holds rare features back, and the fewest occurrences of one.
@@ -130,17 +130,18 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> tuple[np.
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", use=None, rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
     """Weights and bias from the labelled documents whose key column meets `use` (all, if None).
 
-    rows and FIT_BYTES bound the sample: each labelled id stays with a probability of at most rows over their number, and
-    of FIT_BYTES over the bytes of all their texts. Texts of any length can be drawn.
+    rows and FIT_BYTES bound the sample: each labelled id stays with a probability of at most rows over their number, which
+    falls further by FIT_BYTES over the bytes of the texts that this draws. Texts of any length can be drawn.
     """
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     if use is not None:
         known = known.filter(use(F.col("id")))
-    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    total, size = known.count(), docs.select("id", F.octet_length("text").alias("n")).join(known, "id").agg(F.sum("n").alias("n")).first()["n"] or 0
+    docs, total = df.select(F.col(key).alias("id"), F.col(text).alias("text")), known.count()
     number = F.conv(F.substring(F.md5(F.concat(F.lit("fit:"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    known = known.filter(number < min(1.0, rows / max(total, 1), FIT_BYTES / max(size, 1)))
+    chance = min(1.0, rows / max(total, 1))
+    size = docs.select("id", F.octet_length("text").alias("n")).join(F.broadcast(known.filter(number < chance)), "id").agg(F.sum("n").alias("n")).first()["n"] or 0
+    known = known.filter(number < chance * min(1.0, FIT_BYTES / max(size, 1)))
     # The sample's ids are at most about `rows`, so they are broadcast; the texts stay where they are.
     sample = docs.join(F.broadcast(known), "id").groupBy("id").agg(F.min(F.struct("text", "toxic")).alias("row")).select(F.lit(0).alias("all"), "id", "row.text", "row.toxic")
 
