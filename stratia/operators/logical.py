@@ -115,3 +115,17 @@ def paths(found: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, target, path): from each source head a shortest chain of proved edges, heads in order."""
     proved = from_heads(found.filter("not asserted")).select(F.col("l").alias("src"), F.col("r").alias("dst"), F.lit("proof").alias("lens"))
     return graph.why(proved, sources, F.lit(True))
+
+
+def survey(counters: DataFrame, degrees: DataFrame, classes: dict[str, DataFrame], hub: int = 10) -> DataFrame:
+    """(measure, n): what relations a corpus yields: its logical counters, heads and hubs, and classes at each level.
+
+    counters: one row, as stats() gives it; degrees: (head, n); classes: of each level (canon, n). A hub is a head of at
+    least `hub` edges. Each part is a few sums, whatever the corpus.
+    """
+    out = counters.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("long").alias("n")) for c in counters.columns))).alias("m")).select("m.*")
+    some = degrees.agg(F.count("*").alias("heads"), F.count_if(F.col("n") >= hub).alias("hubs"), F.coalesce(F.max("n"), F.lit(0)).alias("busiest"))
+    tables = [some] + [df.agg(F.count("*").alias(f"classes_{level}"), F.coalesce(F.sum("n"), F.lit(0)).alias(f"members_{level}")) for level, df in classes.items()]
+    for t in tables:
+        out = out.union(t.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("long").alias("n")) for c in t.columns))).alias("m")).select("m.*"))
+    return out

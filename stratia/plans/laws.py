@@ -41,6 +41,13 @@ def busiest_heads(spark: SparkSession, d: str) -> DataFrame:
     return logical.busiest(logical.edges(_laws(spark, d)))
 
 
+def relationship_survey(spark: SparkSession, d: str) -> DataFrame:
+    """What the laws yield, and the classes of the laws with binders at each level."""
+    laws, bound = materialize(_laws(spark, d), "laws"), _bound(spark, d)
+    degrees = logical.busiest(logical.edges(laws), 1 << 30)
+    return logical.survey(logical.stats(laws), degrees, {level: st.classes(st.erased(bound, level)) for level in terms.LEVELS[:-1]})
+
+
 def relation_paths(spark: SparkSession, d: str) -> DataFrame:
     found = logical.edges(_laws(spark, d))
     heads = logical.from_heads(found).select(F.col("l").alias("source")).distinct()
@@ -90,7 +97,7 @@ def qualified_laws(spark: SparkSession, d: str) -> DataFrame:
     return slices.qualify(rows, "B", F.lit(True)).select("name", "stmt", F.array_join("uses_statement", ",").alias("uses"))
 
 
-QUERIES = {f.__name__: f for f in (qualified_laws, binder_levels, binder_ladder, binder_requires, binder_telescopes, anchored_classes, explicit_conclusions, logical_stats, logical_edges, busiest_heads, relation_paths)}
+QUERIES = {f.__name__: f for f in (qualified_laws, binder_levels, binder_ladder, binder_requires, binder_telescopes, anchored_classes, explicit_conclusions, logical_stats, logical_edges, busiest_heads, relationship_survey, relation_paths)}
 
 LAWS = """heads AS (SELECT DISTINCT p_brand AS h FROM part WHERE p_size > 20 UNION SELECT DISTINCT p_type FROM part),
     rows AS (SELECT 'nation:' || n_nationkey AS theorem, false AS asserted, 'iff' AS form, r_name || '/1' AS l, 'letter_' || right(n_name, 1) || '/1' AS r, 'edge' AS what FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -112,6 +119,11 @@ SQL = {
         count(*) FILTER (what = 'flex') AS flex_head_sides, 0 AS same_head_sides, count(*) FILTER (what = 'non-prop') AS non_prop_sides, (SELECT count(*) + 1 FROM heads) AS prop_heads FROM rows""",
     "logical_edges": f"WITH {LAWS} SELECT * FROM edges",
     "busiest_heads": f"WITH {LAWS}, e AS (SELECT l AS head FROM edges UNION ALL SELECT r FROM edges) SELECT head, count(*) AS n FROM e GROUP BY head ORDER BY n DESC, head LIMIT 20",
+    "relationship_survey": f"""WITH {B}, {LAWS}, s AS (SELECT count(*) FILTER (NOT asserted) AS theorems_scanned, count(*) FILTER (asserted) AS axioms_scanned, count(*) FILTER (form = 'iff' AND what = 'edge') AS iff_edges, count(*) FILTER (form = 'implies' AND what = 'edge') AS implication_edges,
+        count(*) FILTER (what = 'flex') AS flex_head_sides, 0::BIGINT AS same_head_sides, count(*) FILTER (what = 'non-prop') AS non_prop_sides, (SELECT count(*) + 1 FROM heads) AS prop_heads FROM rows),
+        g AS (SELECT count(*) AS n FROM (SELECT l AS head FROM edges UNION ALL SELECT r FROM edges) GROUP BY head)
+        SELECT measure, n FROM (UNPIVOT s ON COLUMNS(*) INTO NAME measure VALUE n) UNION ALL SELECT 'heads', count(*) FROM g UNION ALL SELECT 'hubs', count(*) FROM g WHERE n >= 10 UNION ALL SELECT 'busiest', max(n) FROM g
+        UNION ALL """ + " UNION ALL ".join(f"SELECT unnest(['classes_{x}', 'members_{x}']), unnest([count(*), CAST(coalesce(sum(n), 0) AS BIGINT)]) FROM (SELECT count(*) AS n FROM levels GROUP BY {x} HAVING count(*) > 1)" for x in terms.LEVELS[:-1]),
     "relation_paths": f"""WITH RECURSIVE {LAWS}, pairs AS (SELECT DISTINCT l AS src, r AS dst FROM edges WHERE NOT asserted UNION SELECT r, l FROM edges WHERE NOT asserted AND form = 'iff'),
         sources AS (SELECT DISTINCT l AS s FROM edges UNION SELECT r FROM edges WHERE form = 'iff'),
         found(source, node, path) AS (SELECT s, s, [s] FROM sources UNION ALL SELECT f.source, p.dst, list_append(f.path, p.dst) FROM found f JOIN pairs p ON f.node = p.src WHERE NOT list_contains(f.path, p.dst) AND len(f.path) < 8),
