@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from stratia.functions import terms
 from stratia.functions.numbering import numbered, running
 from stratia.operators.graph import check_choice
-from stratia.session import materialize
+from stratia.session import materialize, shuffle_partitions
 
 #: Nodes that a shared subterm needs to be a key: closed, open, and of a shape.
 CLOSED, OPEN, SHAPE = 3, 5, 8
@@ -36,27 +36,44 @@ PARSED = "seq long, name string, kind string, module string, root string, size i
 
 def parse(decls: DataFrame) -> DataFrame:
     """One row for each statement that parses (others are left out, as declarations without one are)."""
+    rows = decls.filter("stmt is not null").select("seq", "name", "kind", "module", "stmt")
+    return rows.join(_read(rows).hint("merge"), "stmt").select([f.name for f in T._parse_datatype_string(PARSED)])
+
+
+def collapsed(decls: DataFrame) -> DataFrame:
+    """parse() of one row for each distinct statement, its first by seq, with how many declarations have it (copies) and stmt."""
+    firsts = decls.filter("stmt is not null").groupBy("stmt").agg(F.min(F.struct("seq", "name", "kind", "module")).alias("f"), F.count("*").alias("copies"))
     fields = [f.name for f in T._parse_datatype_string(PARSED)]
+    return firsts.select("stmt", "copies", "f.*").join(_read(firsts).hint("merge"), "stmt").select(*fields, "copies", "stmt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all tasks: distinct terms are few bytes, which would else be read by one task, and much work."""
+    return df.repartition(shuffle_partitions(df.sparkSession))
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """(stmt, what its term says) of the distinct statements that parse, each read once, however many declarations have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for seq, name, kind, module, stmt in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out = []
+            for stmt in b.column(0).to_pylist():
                 try:
                     t = terms.parse(stmt)
                 except terms.TermError:
                     continue
                 skeleton, slots = terms.rigid(t)
                 binders, former = terms.signature(t)
-                values = (seq, name, kind, module, terms.render(t), terms.size(t), terms.concrete(t), terms.loose(t) == 0, terms.render(terms.conclusion(t)), terms.application_heads(t), terms.symbols(t), terms.requires(t), terms.render(skeleton), slots, [x for x, _ in binders], [c for _, c in binders], former)
-                rows.append(dict(zip(fields, values, strict=True)))
-            yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+                values = (stmt, terms.render(t), terms.size(t), terms.concrete(t), terms.loose(t) == 0, terms.render(terms.conclusion(t)), terms.application_heads(t), terms.symbols(t), terms.requires(t), terms.render(skeleton), slots, [x for x, _ in binders], [c for _, c in binders], former)
+                out.append(dict(zip(SCHEMA.names, values, strict=True)))
+            yield pa.RecordBatch.from_pylist(out, SCHEMA)
 
-    return decls.filter("stmt is not null").select("seq", "name", "kind", "module", "stmt").mapInArrow(run, PARSED)
+    return spread(rows.select("stmt").distinct()).mapInArrow(run, "stmt string, " + PARSED[PARSED.index("root") :])
 
 
 _S, _I, _B = pa.string(), pa.int32(), pa.bool_()
-SCHEMA = pa.schema([("seq", pa.int64()), ("name", _S), ("kind", _S), ("module", _S), ("root", _S), ("size", _I), ("concrete", _I), ("closed", _B), ("concludes", _S), ("heads", pa.list_(_S)), ("symbols", pa.list_(_S)), ("requires", pa.list_(_S)), ("rigid", _S), ("slots", pa.list_(_S)), ("binders", pa.list_(_S)), ("carriers", pa.list_(_B)), ("type_former", _B)])
+SCHEMA = pa.schema([("stmt", _S), ("root", _S), ("size", _I), ("concrete", _I), ("closed", _B), ("concludes", _S), ("heads", pa.list_(_S)), ("symbols", pa.list_(_S)), ("requires", pa.list_(_S)), ("rigid", _S), ("slots", pa.list_(_S)), ("binders", pa.list_(_S)), ("carriers", pa.list_(_B)), ("type_former", _B)])
 
 
 def signatures(parsed: DataFrame) -> DataFrame:
@@ -84,7 +101,7 @@ def _by_signatures(parsed: DataFrame, column: str, of: str, change) -> DataFrame
     A term brings the signatures of its own heads, joined by name, so that no task holds the table of all signatures.
     """
     roots = parsed.groupBy(F.col(of).alias("_term")).agg(F.first("heads").alias("heads")) if of == "root" else parsed.select(F.col(of).alias("_term"), F.explode("heads").alias("h")).groupBy("_term").agg(F.collect_set("h").alias("heads"))
-    needed = roots.select("_term", F.explode("heads").alias("sym")).join(signatures(parsed), "sym")
+    needed = roots.select("_term", F.explode("heads").alias("sym")).join(signatures(parsed).hint("merge"), "sym")
     given = needed.groupBy("_term").agg(F.collect_list(F.struct("sym", "binders", "carriers", "type_former")).alias("sigs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +112,9 @@ def _by_signatures(parsed: DataFrame, column: str, of: str, change) -> DataFrame
                 out.append(terms.render(change(terms.parse("x-stmt-v1;" + term), known)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["_term", column])
 
-    made = roots.join(given, "_term", "left").select("_term", "sigs").mapInArrow(run, f"_term string, {column} string")
-    return parsed.join(made, F.col(of) == F.col("_term")).drop("_term")
+    # Rows of repeated terms are few bytes when they are stored, so that sizes of files must not choose what goes to all tasks.
+    made = spread(roots.join(given.hint("merge"), "_term", "left").select("_term", "sigs")).mapInArrow(run, f"_term string, {column} string")
+    return parsed.join(made.hint("merge"), F.col(of) == F.col("_term")).drop("_term")
 
 
 def is_prop(kind: Column, concludes: Column) -> Column:
@@ -138,8 +156,12 @@ def subterms(parsed: DataFrame, column: str = "root") -> DataFrame:
 
 
 def postings(keys: DataFrame, total: int) -> DataFrame:
-    """(key, n, size, idf): how many declarations have a key, of all keys; (name, key) are distinct."""
-    found = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    """(key, n, size, idf): how many declarations have a key, of all keys; (name, key) are distinct.
+
+    copies, where keys have it: how many declarations a row stands for.
+    """
+    n = F.sum("copies") if "copies" in keys.columns else F.count("*")
+    found = keys.groupBy("key").agg(n.alias("n"), F.max("size").alias("size"))
     return found.withColumn("idf", F.log(F.lit(float(total)) / F.col("n")))
 
 
@@ -266,12 +288,12 @@ def rank_members(compared: DataFrame, membership: DataFrame, total: int, score:
 MEASURES = ("common", "vars", "scoped", "left", "right", "retention", "min_normalised", "dice", "jaccard", "geometric_mean")
 
 
-def compare(pairs: DataFrame, rows: DataFrame, term: str = "erased") -> DataFrame:
-    """pairs (name, other, ...) with the shared structure of the two terms."""
+def compare(pairs: DataFrame, rows: DataFrame, term: str = "erased", others: DataFrame | None = None) -> DataFrame:
+    """pairs (name, other, ...) with the shared structure of the two terms; others: the rows of `other`, where they are not the same."""
     a = rows.select("name", F.col(term).alias("x"))
-    b = rows.select(F.col("name").alias("other"), F.col(term).alias("y"))
-    joined = pairs.join(a, "name").join(b, "other")
-    return joined.join(scored(joined.select("x", "y").distinct()), ["x", "y"]).drop("x", "y")  # equal terms are compared once
+    b = (rows if others is None else others).select(F.col("name").alias("other"), F.col(term).alias("y"))
+    joined = pairs.join(a.hint("merge"), "name").join(b.hint("merge"), "other")
+    return joined.join(scored(spread(joined.select("x", "y").distinct())).hint("merge"), ["x", "y"]).drop("x", "y")  # equal terms are compared once
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -430,6 +452,19 @@ def adjacent(members: DataFrame, found: DataFrame, top: int = 50) -> DataFrame:
     return best.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")
 
 
+def adjacent_classes(found: DataFrame, names: DataFrame, top: int = 50) -> DataFrame:
+    """adjacent() where a class's members are alike, so that the first of them stands for all: (via, other, n).
+
+    found: variants among first members; names: (class, name) of all members, class being the first. The first `top` names of a
+    class are enough for any ranking, so that classes meet and not their members.
+    """
+    place = F.row_number().over(Window.partitionBy("class").orderBy("name"))
+    heads = names.withColumn("place", place).filter(F.col("place") <= top).select("class", F.col("name").alias("member"))
+    met = found.select(F.col("name").alias("via"), F.col("other").alias("class"), "n").join(heads.hint("merge"), "class")
+    order = Window.partitionBy("via").orderBy("n", "member")
+    return met.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).select("via", F.col("member").alias("other"), "n")
+
+
 def vocabulary_adjacent(parsed: DataFrame, members: DataFrame, total: int, share: float = 0.05, top: int = 50) -> DataFrame:
     """(class, other, shared, rarest): rows that share symbols of at most max(total * share, 2) declarations with a class."""
     df = symbol_frequency(parsed).filter(F.col("df") <= max(math.floor(total * share), 2))
@@ -462,7 +497,7 @@ def dictionary(rows: DataFrame, left: Column, right: Column, per_left: int = 1,
     """
     a, b = rows.filter(left), rows.filter(right)
     lefts, rights = (materialize(representatives(x), "representatives") for x in (a, b))
-    compared = compare(meetings_between(sources(lefts), sources(rights)), rows)
+    compared = compare(meetings_between(sources(lefts), sources(rights)), lefts, others=rights)
     return rank_members(compared, members(a, lefts), 2, score, per_left, members(b, rights))
 
 
