@@ -64,8 +64,8 @@ def proof_families(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _substitutions(spark: SparkSession, d: str) -> DataFrame:
-    p = plans._parsed(spark, d)
-    return hy.substitutions(st.variants(p), p.select("name", "rigid"))
+    firsts = materialize(st.collapsed(derived.declarations(spark, d)), "collapsed")
+    return hy.substitutions(plans._variants(firsts), firsts.select("name", "rigid"))
 
 
 def substitutions(spark: SparkSession, d: str) -> DataFrame:
