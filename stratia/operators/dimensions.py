@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from stratia.functions import dimensions, terms
 from stratia.functions.numbering import numbered
+from stratia.operators.statements import spread
 from stratia.session import checkpoint, materialize, scratch
 
 #: Rounds after which a phase gives up; forwards a round settles at least one atom.
@@ -41,22 +42,26 @@ BLOCK, SHRUNK = 2_000, 0.7
 WHOLE = "decimal(38,0)"
 
 
-def _statements(run_one, fields: list[tuple[str, pa.DataType]]):
+def _statements(decls: DataFrame, run_one, fields: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+    """(seq, name, fields) of each declaration; each distinct statement is read once, however many have it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[] for _ in range(2 + len(fields))]
-            for seq, name, stmt in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out = [[] for _ in range(1 + len(fields))]
+            for stmt in b.column(0).to_pylist():
                 try:
-                    found = dimensions.Statement(terms.parse(stmt), *run_one.options).rows if stmt is not None else []
+                    found = dimensions.Statement(terms.parse(stmt), *run_one.options).rows
                 except terms.TermError:
                     found = []
                 for values in run_one(found):
-                    for column, v in zip(out, (seq, name, *values), strict=True):
+                    for column, v in zip(out, (stmt, *values), strict=True):
                         column.append(v)
-            kinds = [pa.int64(), pa.string(), *(t for _, t in fields)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["seq", "name", *(n for n, _ in fields)])
+            kinds = [pa.string(), *(t for _, t in fields)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["stmt", *(n for n, _ in fields)])
 
-    return run
+    rows = decls.filter("stmt is not null").select(F.col("seq").cast("long"), "name", "stmt")
+    made = spread(rows.select("stmt").distinct()).mapInArrow(run, "stmt string, " + schema)
+    return rows.join(made.hint("merge"), "stmt").select("seq", "name", *(n for n, _ in fields))
 
 
 def equations(decls: DataFrame, keying: str = "fine", literals: str = "dimensionless") -> DataFrame:
@@ -69,8 +74,7 @@ def equations(decls: DataFrame, keying: str = "fine", literals: str = "dimension
 
     each.options = (keying, literals)
     whole = pa.decimal128(38, 0)
-    run = _statements(each, [("row", pa.int32()), ("atom", pa.string()), ("local", pa.bool_()), ("num", whole), ("den", whole)])
-    return decls.select(F.col("seq").cast("long"), "name", "stmt").mapInArrow(run, f"seq long, name string, row int, atom string, local boolean, num {WHOLE}, den {WHOLE}")
+    return _statements(decls, each, [("row", pa.int32()), ("atom", pa.string()), ("local", pa.bool_()), ("num", whole), ("den", whole)], f"row int, atom string, local boolean, num {WHOLE}, den {WHOLE}")
 
 
 def constraints(decls: DataFrame, keying: str = "fine", literals: str = "dimensionless") -> DataFrame:
@@ -85,8 +89,7 @@ def constraints(decls: DataFrame, keying: str = "fine", literals: str = "dimensi
 
     each.options = (keying, literals)
     entry = pa.list_(pa.struct([("atom", pa.string()), ("v", pa.decimal128(38, 0))]))
-    run = _statements(each, [("row", pa.int32()), ("form", pa.string()), ("entries", entry)])
-    return decls.select(F.col("seq").cast("long"), "name", "stmt").mapInArrow(run, f"seq long, name string, row int, form string, entries array<struct<atom: string, v: {WHOLE}>>")
+    return _statements(decls, each, [("row", pa.int32()), ("form", pa.string()), ("entries", entry)], f"row int, form string, entries array<struct<atom: string, v: {WHOLE}>>")
 
 
 def _sure(c: Column) -> Column:
