@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from stratia.functions import terms
 from stratia.operators import graph
-from stratia.operators.statements import is_prop
+from stratia.operators.statements import is_prop, spread
 
-SIDES = "seq long, theorem string, asserted boolean, form string, l string, r string, lhead string, rhead string"
+SIDES = "root string, form string, l string, r string, lhead string, rhead string"
 
 
 def head_key(term) -> tuple[str, str] | None:
@@ -46,20 +46,23 @@ def both_sides(term) -> tuple[str, object, object] | None:
 
 
 def sides(parsed: DataFrame) -> DataFrame:
-    """One row for each theorem or axiom: its form (iff, implies, none) and the keys of its sides (null: no constant head)."""
+    """One row for each distinct statement of theorems and axioms: its form (iff, implies, none) and the keys of its sides (null: no constant head)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for seq, name, kind, root in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for root in b.column(0).to_pylist():
                 found = both_sides(terms.parse("x-stmt-v1;" + root))
                 keys = [head_key(s) for s in found[1:]] if found else [None, None]
                 (l, lh), (r, rh) = ((None, None) if k is None else k for k in keys)  # noqa: E741
-                rows.append({"seq": seq, "theorem": name, "asserted": kind == "axiom", "form": found[0] if found else "none", "l": l, "r": r, "lhead": lh, "rhead": rh})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("seq", pa.int64()), ("theorem", pa.string()), ("asserted", pa.bool_()), *((n, pa.string()) for n in ("form", "l", "r", "lhead", "rhead"))]))
+                rows.append({"root": root, "form": found[0] if found else "none", "l": l, "r": r, "lhead": lh, "rhead": rh})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.string()) for n in ("root", "form", "l", "r", "lhead", "rhead")]))
 
-    rows = parsed.filter(F.col("kind").isin("theorem", "axiom")).select("seq", "name", "kind", "root")
-    return rows.mapInArrow(run, SIDES)
+    return spread(_asserted(parsed).select("root").distinct()).mapInArrow(run, SIDES)
+
+
+def _asserted(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("kind").isin("theorem", "axiom"))
 
 
 def prop_heads(parsed: DataFrame) -> DataFrame:
@@ -81,7 +84,8 @@ def _judged(parsed: DataFrame) -> DataFrame:
     flex, same = F.col("l").isNull() | F.col("r").isNull(), F.col("l") == F.col("r")
     outside = F.col("lprop").isNull() | F.col("rprop").isNull()
     what = F.when(F.col("form") == "none", "none").when(flex, "flex").when((F.col("form") == "implies") & outside, "non-prop").when(same, "same").otherwise("edge")
-    return s.withColumn("what", what)
+    rows = _asserted(parsed).select("seq", F.col("name").alias("theorem"), (F.col("kind") == "axiom").alias("asserted"), "root")
+    return rows.join(s.withColumn("what", what).hint("merge"), "root")  # what a statement says is judged once
 
 
 def edges(parsed: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stratia.operators import dimensions as dim
 from stratia.operators import hypotheses as hy
+from stratia.operators import logical
 from stratia.operators import statements as st
 
 COPIES = 40
@@ -86,3 +88,10 @@ def test_dictionary_broadcasts_no_rows(decls):
     assert "Broadcast" not in static_plan(rows)
     found = st.compare(st.meetings_between(st.sources(rows), st.sources(rows)), rows)
     assert "Broadcast" not in static_plan(found)
+
+
+def test_equations_and_sides_are_read_once_a_statement(decls):
+    assert "Aggregate" in static_plan(dim.equations(decls)) and "Aggregate" in static_plan(dim.constraints(decls))
+    parsed = st.parse(decls)
+    assert logical.sides(parsed).count() == 4
+    assert logical._judged(parsed).count() == 4 * COPIES
