@@ -145,7 +145,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
     parts = ("ids", "vectors", "codes", "steps", "sums")
     left = candidates.select(place(across, "x"), each(down, "y"), *(F.col(c).alias(f"c_{c}") for c in parts))
     right = queries.select(each(across, "x"), place(down, "y"), *(F.col(c).alias(f"q_{c}") for c in parts))
-    pairs = left.join(right, ["x", "y"]).select(*(f"{side}_{c}" for side in "qc" for c in parts))
+    pairs = left.join(right.hint("merge"), ["x", "y"]).select(*(f"{side}_{c}" for side in "qc" for c in parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
