@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratia.operators import graph
-from stratia.session import checkpoint
+from stratia.session import materialize
 
 #: Warrants by strength; what a rule derives is at most structural.
 HEURISTIC, ASSERTED, STRUCTURAL, PROVED = range(4)
@@ -42,24 +42,34 @@ def warrants(ways: DataFrame, given: DataFrame, most: int = MOST_ROUNDS) -> Data
 
     given: (fact, warrant) of source facts, which derivations don't change. Derived facts start as heuristic and rise.
     """
-    sources = checkpoint(given.select("fact", F.col("warrant").cast("int").alias("warrant")))
-    ways = checkpoint(ways.withColumn("way", F.concat_ws("|", "fact", "rule", F.array_join("inputs", "&"))).join(sources.select("fact"), "fact", "left_anti"))
-    state = sources.union(ways.select("fact", F.lit(HEURISTIC).alias("warrant")).distinct())
-    steps = ways.select("fact", "way", F.explode("inputs").alias("input"))
+    sources = materialize(given.select("fact", F.col("warrant").cast("int").alias("warrant")), "given")
+    # Rounds move numbers of facts and ways; texts are met before and after them alone.
+    derived = ways.select("fact", "inputs").join(sources.select("fact").hint("merge"), "fact", "left_anti")
+    held = materialize(derived.withColumn("way", F.monotonically_increasing_id()), "ways")
+    said = held.select("way", "fact", F.explode("inputs").alias("input"))
+    facts = said.select("fact").union(said.select("input")).union(sources.select("fact")).distinct()
+    facts = materialize(facts.withColumn("f", F.monotonically_increasing_id()), "facts")
+    numbers = lambda text, as_: facts.select(F.col("fact").alias(text), F.col("f").alias(as_)).hint("merge")
+    steps = said.join(numbers("input", "i"), "input").select("way", "fact", "i").join(numbers("fact", "f"), "fact").select("way", "f", "i")
+    steps = materialize(steps, "steps")
+    fixed = materialize(sources.join(numbers("fact", "f"), "fact").select("f", "warrant"), "given")
+    state = fixed.union(steps.select("f").distinct().withColumn("warrant", F.lit(HEURISTIC)))
     for _ in range(most):
-        of = steps.join(state.select(F.col("fact").alias("input"), "warrant"), "input", "left")
-        each = of.groupBy("fact", "way").agg(F.least(F.min(F.coalesce("warrant", F.lit(HEURISTIC))), F.lit(STRUCTURAL)).alias("w"))
-        best = each.groupBy("fact").agg(F.max("w").alias("warrant"))
-        new = checkpoint(sources.union(best.select("fact", F.col("warrant").cast("int").alias("warrant"))))
-        if new.join(state, ["fact", "warrant"], "left_anti").isEmpty():
-            return new
+        of = steps.join(state.select(F.col("f").alias("i"), "warrant").hint("merge"), "i", "left")
+        each = of.groupBy("f", "way").agg(F.least(F.min(F.coalesce("warrant", F.lit(HEURISTIC))), F.lit(STRUCTURAL)).alias("w"))
+        best = each.groupBy("f").agg(F.max("w").cast("int").alias("warrant"))
+        new = materialize(fixed.union(best), "warrants")
+        if new.join(state.hint("merge"), ["f", "warrant"], "left_anti").isEmpty():
+            return facts.join(new.hint("merge"), "f").select("fact", "warrant")
         state = new
     raise RuntimeError(f"warrants still rise after {most} rounds")
 
 
 def explain(ways: DataFrame, warranted: DataFrame) -> DataFrame:
     """(fact, rule, inputs, missing, warrant): of each derived fact its strongest way, first by rule and inputs on ties."""
-    rows = ways.select("fact", "rule", F.array_join("inputs", "&").alias("inputs"), F.explode("inputs").alias("input"))
-    rows = rows.join(warranted.select(F.col("fact").alias("input"), F.col("warrant").alias("w")), "input", "left")
-    each = rows.groupBy("fact", "rule", "inputs").agg(F.least(F.min(F.coalesce("w", F.lit(HEURISTIC))), F.lit(STRUCTURAL)).alias("warrant"), F.count_if(F.col("w").isNull()).alias("missing"))
+    held = materialize(ways.select("fact", "rule", "inputs").withColumn("way", F.monotonically_increasing_id()), "ways")
+    rows = held.select("way", F.explode("inputs").alias("input"))
+    rows = rows.join(warranted.select(F.col("fact").alias("input"), F.col("warrant").alias("w")).hint("merge"), "input", "left")
+    each = rows.groupBy("way").agg(F.least(F.min(F.coalesce("w", F.lit(HEURISTIC))), F.lit(STRUCTURAL)).alias("warrant"), F.count_if(F.col("w").isNull()).alias("missing"))
+    each = held.withColumn("inputs", F.array_join("inputs", "&")).join(each.hint("merge"), "way")
     return each.groupBy("fact").agg(F.min(F.struct((-F.col("warrant")).alias("o"), "rule", "inputs", "missing", "warrant")).alias("b")).select("fact", "b.rule", "b.inputs", "b.missing", "b.warrant")
