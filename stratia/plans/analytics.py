@@ -63,11 +63,11 @@ def crossing_control(spark: SparkSession, d: str) -> DataFrame:
 def minimal_hypotheses(spark: SparkSession, d: str) -> DataFrame:
     """Of orders and suppliers the smallest sets of classes, at or above the asked one, that have all that their proofs need."""
     binders, ends, uses = evidence._lattice(spark, d)
-    above = checkpoint(hy.ancestors(binders, ends))
+    above = hy.small(checkpoint(hy.ancestors(binders, ends)))
     got = hy.evidence(binders, ends, uses, above)
     judged = hy.skips(binders, ends).filter("skipped is null").select("name")
     asks = checkpoint(binders.select("name", "class").distinct().join(judged, "name", "left_semi"))
-    upset = checkpoint(above.select("class", F.col("above").alias("at")).union(binders.select("class", F.col("class").alias("at")).distinct()).distinct())
+    upset = hy.small(checkpoint(above.select("class", F.col("above").alias("at")).union(binders.select("class", F.col("class").alias("at")).distinct()).distinct()))
     items = checkpoint(asks.join(upset, "class").select(F.col("name").alias("goal"), F.col("at").alias("item")))
     needs = checkpoint(items.join(got.select(F.col("name").alias("goal"), F.col("class").alias("item")), ["goal", "item"]).select("goal", F.col("item").alias("need")).distinct())
     found, _ = su.minimal_sets(asks.select(F.col("name").alias("goal")), items, su.covers(needs, upset))

@@ -41,7 +41,8 @@ def _lattice(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     binders = binders.union(row(makers, derived.node("supplier", "s_suppkey").alias("name"), asked, 0))
     ends = ups.select("name", "concludes").union(orders.filter("k % 10 = 3").select("name", F.lit("Top")))
     items = t("lineitem").select(derived.node("order", "l_orderkey").alias("name"), derived.node("supplier", "l_suppkey").alias("used"), F.lit("proof").alias("lens"))
-    return binders, ends, items.union(orders.select("name", "up", F.lit("statement")))
+    # Written once: what follows reads each several times.
+    return materialize(binders, "binders"), materialize(ends, "ends"), materialize(items.union(orders.select("name", "up", F.lit("statement"))), "uses")
 
 
 def hypothesis_homes(spark: SparkSession, d: str) -> DataFrame:
