@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratia.functions import assignment
 from stratia.functions.components import connected_components
-from stratia.session import checkpoint, materialize
+from stratia.session import checkpoint, materialize, shuffle_partitions
 
 MOST_ROUNDS = 10_000
 
@@ -144,6 +144,24 @@ def _auctioned(choices: DataFrame) -> DataFrame:
         eps = max(1, eps // assignment.FALL)
 
 
+def _contenders(fine: DataFrame, per_right: int) -> DataFrame:
+    """(part, left, right, s): the connected parts of fine (left, right, s), without rows that a best selection can do without.
+
+    Parts are told apart by right sides alone: a left side links its first right side to its others. A right side can do
+    with as many of its best rows (ties by left) as its part has places: were it to take another, one of those would be
+    free, as all other places together hold fewer, and would do as well. So a part of few right sides stays small
+    however many left sides want them.
+    """
+    firsts = fine.groupBy("left").agg(F.min("right").alias("a"))
+    parts = connected_components(fine.join(firsts, "left").select("a", F.col("right").alias("b")).distinct())
+    parts = parts.select(F.col("node").alias("right"), F.col("root").alias("part"))
+    places = checkpoint(parts.join(parts.groupBy("part").agg((F.count("*") * per_right).alias("places")), "part"))
+    most = places.agg(F.max("places")).first()[0] or 0
+    order = Window.partitionBy("right").orderBy(F.col("s").desc(), "left")
+    near = fine.select("left", "right", "s").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    return near.join(places, "right").filter(F.col("place") <= F.col("places")).select("part", "left", "right", "s")
+
+
 def best_selection(scored: DataFrame, lefts: DataFrame, per_right: int = 1, floor: float | None = None, refuted: DataFrame | None = None, unsupported: DataFrame | None = None) -> DataFrame:
     """(left, right, score, state, best) of each left side: the most rows that right sides can bear, then the best total score.
 
@@ -151,7 +169,7 @@ def best_selection(scored: DataFrame, lefts: DataFrame, per_right: int = 1, floo
     candidate); low-ranked, where all candidates score below the floor (best: that candidate); contradicted, where all that
     remain are refuted pairs (left, right); unsupported, for the left sides named so without a row; absent, without candidates.
 
-    Connected parts are told apart first. One of up to MOST_CHOICES choices is an auction inside a task, any number of them
+    Connected parts are told apart first, and a right side keeps as many rows as its part has places. One of up to MOST_CHOICES choices is an auction inside a task, any number of them
     side by side; a larger one is dealt out to blocks of bidders, which exchange prices. Final prices show that no other
     selection is better, which is checked for each part. Scores count in units of 1 / SCALE, cut off.
     """
@@ -159,12 +177,11 @@ def best_selection(scored: DataFrame, lefts: DataFrame, per_right: int = 1, floo
     fine = rows if floor is None else rows.filter(F.col("score") >= floor)
     fine = fine if refuted is None else fine.join(refuted.select("left", "right").distinct(), ["left", "right"], "left_anti")
     fine = materialize(fine.withColumn("s", (F.col("score") * SCALE).cast("long")), "selection")
-    names = fine.select(F.concat(F.lit("l"), "left").alias("a"), F.concat(F.lit("r"), "right").alias("b"))
-    parts = connected_components(names).select(F.col("node").alias("l"), F.col("root").alias("part"))
-    choices = materialize(_choices(fine.withColumn("l", F.concat(F.lit("l"), "left")).join(parts, "l").select("part", "left", "right", "s"), per_right), "choices")
+    choices = materialize(_choices(_contenders(fine, per_right), per_right), "choices")
     sizes = checkpoint(choices.groupBy("part").agg(F.count("*").alias("n")))
     small = choices.join(sizes.filter(F.col("n") <= MOST_CHOICES).select("part"), "part", "left_semi")
-    found = small.groupBy("part").applyInPandas(_solved, HELD)
+    # Dealt out by number: parts are few bytes and much work.
+    found = small.repartition(shuffle_partitions(scored.sparkSession), "part").groupBy("part").applyInPandas(_solved, HELD)
     large = sizes.filter(F.col("n") > MOST_CHOICES).select("part")
     if not large.isEmpty():
         many = materialize(choices.join(large, "part", "left_semi"), "choices")

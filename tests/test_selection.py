@@ -111,3 +111,19 @@ def test_prices_prove_the_assignment():
 def test_scores_that_do_not_fit_raise(spark):
     with pytest.raises(Exception, match="64 bits"):
         selection.best_selection(table(spark, [("a", "x", 1e13), ("b", "x", 1.0)]), table(spark, [("a", "x", 0.0)]).select("left"))
+
+
+@pytest.mark.parametrize("cap", [1, 2])
+def test_many_left_sides_of_few_right_ones_make_few_choices(spark, monkeypatch, cap):
+    """Two parts, one of two right sides and 200 left ones, and the best totals of both."""
+    seen, plain = [], selection._choices
+    monkeypatch.setattr(selection, "_choices", lambda rows, n: (seen.append(sorted(map(tuple, rows.select("part", "right").collect()))), plain(rows, n))[1])
+    rows = [(f"l{i:03}", r, (i * k) % 211 / 4) for i in range(200) for r, k in (("x", 7), ("y", 11))] + [("m", "z", 2.0), ("n", "z", 3.0)]
+    assert value(run(spark, rows, cap)) == pytest.approx(tuple(a + b for a, b in zip(top_two(rows, cap), (min(cap, 2), 3.0 + 2.0 * (cap > 1)), strict=True)))
+    assert len(seen[0]) <= 2 * 2 * cap + cap and len(set(p for p, _ in seen[0])) == 2
+
+
+def top_two(rows, cap):
+    """(rows, total) of the best selection for x and y, by trying all of the best few of either."""
+    best = [sorted((r for r in rows if r[1] == side), key=lambda r: -r[2])[: 4 * cap] for side in "xy"]
+    return brute(best[0] + best[1], cap)
