@@ -11,11 +11,14 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratia.functions import pairs as together
 from stratia.functions import terms
 from stratia.functions.numbering import numbered, running
 from stratia.operators.graph import check_choice
@@ -186,9 +189,10 @@ def closure(parsed: DataFrame, prefix: str = "") -> DataFrame:
 def representatives(rows: DataFrame) -> DataFrame:
     """(name, root, erased, shape, n): one row for each distinct root, with its first name and how many rows have it.
 
-    rows: name, root, erased, shape; names are unique and equal roots have equal erasures.
+    rows: name, root, erased, shape, and symbols, if they are to go along; names are unique and equal roots have equal erasures.
     """
-    return rows.groupBy("root").agg(F.min("name").alias("name"), F.min("erased").alias("erased"), F.min("shape").alias("shape"), F.count("*").alias("n"))
+    more = [F.first("symbols").alias("symbols")] if "symbols" in rows.columns else []
+    return rows.groupBy("root").agg(F.min("name").alias("name"), F.min("erased").alias("erased"), F.min("shape").alias("shape"), F.count("*").alias("n"), *more)
 
 
 def sources(reps: DataFrame) -> DataFrame:
@@ -241,6 +245,95 @@ def meetings_between(a: DataFrame, b: DataFrame, chunk: int | None = None) -> Da
     return left.join(right, ["key", "i", "j"]).select("name", "other").distinct()
 
 
+def tiles(keys: DataFrame, reps: DataFrame, *carried: str, chunk: int | None = None) -> DataFrame:
+    """(g, lo, hi, key, i, name, ranks, ...): representatives dealt out so that each pair that shares a key meets in one group.
+
+    keys: (name, key, idf); carried: columns of reps. Keys have numbers in the order of idf, the rarest last, and a pair counts where
+    the key is the last that both have, which _met() tells. A key of over `chunk` (CHUNK) representatives is dealt out
+    as pairs of chunks; smaller ones share groups.
+    """
+    chunk = chunk or CHUNK
+    shared_ = materialize(keys.groupBy("key").agg(F.max("idf").alias("idf"), F.count("*").alias("c")).filter("c > 1"), "keys")
+    placed = materialize(numbered(shared_, "idf", "key", column="r"), "keys")
+    bins = max(1, -(-(shared_.filter(F.col("c") <= chunk).agg(F.sum("c")).first()[0] or 0) // chunk))
+    named = materialize(keys.select("name", "key").join(placed, "key").select("name", "r", "idf", F.ceil(F.col("c") / chunk).alias("chunks")), "ranks")
+    ranks = named.groupBy("name").agg(F.sort_array(F.collect_list("r")).alias("ranks"))
+    whole = reps.select("name", *carried).join(ranks.hint("merge"), "name")
+    dealt = named.withColumn("i", F.pmod(F.xxhash64("name"), "chunks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    g = F.when(F.col("chunks") == 1, -1 - F.pmod("r", F.lit(bins))).otherwise(F.col("r")).alias("g")
+    spots = dealt.select(g, F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("r").alias("key"), "idf", "i", "name")
+    # Groups are few bytes and much work, so that sizes must not choose how many tasks read them.
+    return spots.join(whole.hint("merge"), "name").repartition(4 * shuffle_partitions(keys.sparkSession), "g", "lo", "hi").groupBy("g", "lo", "hi")
+
+
+def _met(pdf: pd.DataFrame) -> Iterator[tuple[float, pd.DataFrame, pd.DataFrame, np.ndarray]]:
+    """Of each key in a group of tiles(): (idf, rows, others, which of them meet here), each pair one way."""
+    for key, rows in pdf.sort_values(["key", "name"], kind="stable").groupby("key"):
+        lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
+        a, b = rows[rows["i"] == lo], rows[rows["i"] == hi]
+        met = np.triu(np.ones((len(a), len(b)), bool), 1) if lo == hi else np.ones((len(a), len(b)), bool)
+        later: tuple[dict, dict] = ({}, {})
+        for held, side in zip(later, (a, b), strict=True):
+            for at, ranks in enumerate(side["ranks"]):
+                for r in ranks[np.searchsorted(ranks, key, "right") :]:
+                    held.setdefault(r, []).append(at)
+        for r, at in later[0].items():
+            if r in later[1]:
+                met[np.ix_(at, later[1][r])] = False
+        if met.any():
+            yield float(rows["idf"].iloc[0]), a, b, met
+
+
+def _measured(c: np.ndarray, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> dict[str, np.ndarray]:
+    """The ratios of terms.scores from shared nodes and both sizes."""
+    most = np.maximum(a, b)
+    retention = np.where(most > 0, c / np.maximum(most, 1), same.astype(float))
+    other = lambda x: np.where(most > 0, c / np.maximum(x, 1), retention)
+    return {
+        "retention": retention, "min_normalised": other(np.minimum(a, b)), "dice": np.where(most > 0, 2 * c / np.maximum(a + b, 1), retention),
+        "jaccard": other(a + b - c), "geometric_mean": other(np.sqrt(a * b)),
+    }
+
+
+def nearest_classes(keys: DataFrame, reps: DataFrame, total: int, score: str = "retention", most: int = 11) -> DataFrame:
+    """What compare_classes() gives for all pairs that share a key, less those that `most` others of a row outrank in its group.
+
+    rank() over the result has the same first `most` rows as over all pairs. Groups compare their rows as matrices.
+    """
+    check_choice(score, MEASURES, "score")
+    fields = "name string, other string, rarity double, n long, " + ", ".join(f"{m} {'int' if i < 5 else 'double'}" for i, m in enumerate(MEASURES))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for rarity, a, b, met in _met(pdf):
+            x, y = a["erased"].tolist(), b["erased"].tolist()
+            c, n, scoped, left, right = together.compared(x, y, together.counted)
+            same = np.array(x, object)[:, None] == np.array(y, object)[None, :]
+            ratios = _measured(c, left[:, None], right[None, :], same)
+            value = {"common": c, "vars": n, "scoped": scoped, "left": left[:, None] + 0 * c, "right": right[None, :] + 0 * c, **ratios}
+            factor = (1 + RARITY * min(rarity / max(math.log(max(total, 2)), 1e-9), 1.0)) * (1 - SCOPED * scoped / np.maximum(n, 1))
+            worth = np.round(value[score] * factor, 9)
+            fine = met & (c >= LEAST_COMMON) & (value[score] >= LEAST_SCORE)
+            for turned in (False, True):
+                names, others, sizes = (b["name"], a["name"], a["n"]) if turned else (a["name"], b["name"], b["n"])
+                names, others, sizes = names.to_numpy(), others.to_numpy(), sizes.to_numpy()
+                side = {k: v.T for k, v in value.items()} if turned else value
+                ok, w = (fine.T, worth.T) if turned else (fine, worth)
+                rows, columns = [], []
+                for i in np.flatnonzero(ok.any(1)):
+                    at = np.flatnonzero(ok[i])  # in the order of names
+                    at = at[np.lexsort((at, side["vars"][i, at], -side["common"][i, at], -w[i, at]))[:most]]
+                    rows += [i] * len(at)
+                    columns += at.tolist()
+                swap = {"left": "right", "right": "left"} if turned else {}
+                picked = {m: side[swap.get(m, m)][rows, columns] for m in MEASURES}
+                out.append(pd.DataFrame({"name": names[rows], "other": others[columns], "rarity": rarity, "n": sizes[columns], **picked}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[f.split()[0] for f in fields.split(", ")])
+
+    own = keys.groupBy("name").agg(F.max("idf").alias("rarity")).select("name", F.col("name").alias("other"), "rarity")
+    return compare_classes(own, reps).unionByName(tiles(keys, reps, "erased", "n").applyInPandas(run, fields))
+
+
 def compare_classes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """(name, other, rarity, n, measures) in both directions from pairs name <= other of representatives.
 
@@ -338,6 +431,43 @@ def information(pairs: DataFrame, rows: DataFrame, frequency: DataFrame, total:
     return known.select("name", "other", ratio(F.col("shared"), most).alias("info_weighted"), ratio(2 * F.col("shared"), both).alias("info_dice"))
 
 
+def information_by_class(keys: DataFrame, reps: DataFrame, frequency: DataFrame, total: int, term: str = "root") -> DataFrame:
+    """(class, n, best and sum of info_weighted and info_dice): information() over all rows of classes that share a key with a class.
+
+    n: how many rows, a class's other members among them. Groups sum up their pairs as matrices, so that no pair is a row.
+    """
+    weight = F.greatest(F.log(F.lit(float(max(total, 1))) / F.coalesce("df", F.lit(1))), F.lit(0.0)).alias("weight")
+    names = reps.select("name", F.explode(F.array_distinct("symbols")).alias("sym")).join(frequency, "sym", "left")
+    weights = names.groupBy("name").agg(F.collect_list(F.struct("sym", weight)).alias("weights"))
+    held = materialize(reps.select("name", "n", F.col(term).alias("term")).join(weights.hint("merge"), "name", "left"), "weighed")
+    measures = ("info_weighted", "info_dice")
+    fields = "name string, n long, " + ", ".join(f"best_{m} double, sum_{m} double" for m in measures)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        known = {w["sym"]: w["weight"] for ws in pdf["weights"] if ws is not None for w in ws}
+        for _, a, b, met in _met(pdf):
+            c, _, _, left, right = together.compared(a["term"].tolist(), b["term"].tolist(), lambda tag, data: known[data[0]] if tag in "cj" else 0.0, False)
+            most, both = np.maximum(left[:, None], right[None, :]), left[:, None] + right[None, :]
+            ratios = {"info_weighted": np.where(most > 0, c / np.where(most > 0, most, 1), 0.0), "info_dice": np.where(both > 0, 2 * c / np.where(both > 0, both, 1), 0.0)}
+            for rows, others, turn in ((a, b, lambda m: m), (b, a, lambda m: m.T)):
+                hit, sizes = turn(met), others["n"].to_numpy()
+                some = hit.any(1)
+                sums = {"name": rows["name"].to_numpy()[some], "n": (hit * sizes[None, :]).sum(1)[some]}
+                for m in measures:
+                    v = turn(ratios[m])
+                    sums |= {f"best_{m}": np.where(hit, v, -1.0).max(1)[some], f"sum_{m}": (np.where(hit, v, 0.0) * sizes[None, :]).sum(1)[some]}
+                out.append(pd.DataFrame(sums))
+        return pd.concat(out) if out else pd.DataFrame(columns=[f.split()[0] for f in fields.split(", ")])
+
+    # A term shares all its information with itself.
+    own = F.coalesce(F.aggregate("weights", F.lit(0.0), lambda s, w: s + w["weight"]), F.lit(0.0)) > 0
+    with_self = held.filter("n > 1").select("name", (F.col("n") - 1).alias("n"), own.cast("double").alias("v"))
+    with_self = with_self.select("name", "n", *(c for m in measures for c in (F.col("v").alias(f"best_{m}"), (F.col("v") * F.col("n")).alias(f"sum_{m}"))))
+    parts = tiles(keys, held, "n", "term", "weights").applyInPandas(run, fields).unionByName(with_self)
+    return parts.groupBy(F.col("name").alias("class")).agg(F.sum("n").alias("n"), *(f for m in measures for f in (F.max(f"best_{m}").alias(f"best_{m}"), F.sum(f"sum_{m}").alias(f"sum_{m}"))))
+
+
 def rank(compared: DataFrame, total: int, score: str = "retention", top: int = 10, theories: DataFrame | None = None, derivativeness: DataFrame | None = None) -> DataFrame:
     """The `top` of each query by the score and its factors, ties by shared nodes, variables and name."""
     check_choice(score, MEASURES, "score")
@@ -363,17 +493,37 @@ def similar_brute(rows: DataFrame, queries: Column, top: int = 10) -> DataFrame:
 
     Each distinct term is compared once a query's term; queries go out in blocks, one to each part of the rows.
     """
+    order = lambda by, name: Window.partitionBy(by).orderBy(F.round("retention", 9).desc(), name)
     asked = rows.filter(queries).select(F.col("erased").alias("x")).distinct()
-    terms_ = rows.select(F.col("erased").alias("y")).distinct()
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    pairs = terms_.withColumn("block", F.pmod(F.xxhash64("y"), F.lit(BLOCKS)).cast("int")).join(asked.withColumn("block", blocks), "block").select("x", "y")
-    found = scored(pairs).filter((F.col("common") >= LEAST_COMMON) & (F.col("retention") >= LEAST_SCORE))
-    # The first top + 1 names of a term are enough for any ranking, one more for the query itself.
+    terms_ = rows.groupBy(F.col("erased").alias("y")).agg(F.min("name").alias("first"))
+    fields = "x string, y string, first string, " + ", ".join(f"{m} {'int' if i < 5 else 'double'}" for i, m in enumerate(MEASURES))
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=[f.split()[0] for f in fields.split(", ")])]
+        right = right.sort_values("first", kind="stable")
+        for at in range(0, len(left), CHUNK):
+            for from_ in range(0, len(right), CHUNK):
+                a, b = left["x"].to_numpy()[at : at + CHUNK], right.iloc[from_ : from_ + CHUNK]
+                c, n, scoped, x, y = together.compared(list(a), b["y"].tolist(), together.counted)
+                ratios = _measured(c, x[:, None], y[None, :], a[:, None] == b["y"].to_numpy()[None, :])
+                value = {"common": c, "vars": n, "scoped": scoped, "left": x[:, None] + 0 * c, "right": y[None, :] + 0 * c, **ratios}
+                i, j = np.nonzero((c >= LEAST_COMMON) & (ratios["retention"] >= LEAST_SCORE))
+                i, j = (k[np.lexsort((j, -np.round(ratios["retention"][i, j], 9), i))] for k in (i, j))
+                near = np.arange(len(i)) - np.searchsorted(i, i) <= top
+                i, j = i[near], j[near]
+                out.append(pd.DataFrame({"x": a[i], "y": b["y"].to_numpy()[j], "first": b["first"].to_numpy()[j], **{m: value[m][i, j] for m in MEASURES}}))
+        return pd.concat(out[1:] or out)
+
+    block = F.pmod(F.xxhash64("y"), F.lit(BLOCKS)).cast("int").alias("block")
+    sides = [df.repartition(BLOCKS, "block").groupBy("block") for df in (asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))), terms_.select("*", block))]
+    found = sides[0].cogroup(sides[1]).applyInPandas(run, fields)
+    # top + 1 names lie in the top + 1 terms by (retention, first name), and in each among its first top + 1; one more for the query itself.
+    found = found.withColumn("place", F.row_number().over(order("x", "first"))).filter(F.col("place") <= top + 1).drop("place", "first")
     place = Window.partitionBy("erased").orderBy("name")
     named = rows.select("name", "erased").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= top + 1)
-    out = rows.filter(queries).select("name", F.col("erased").alias("x")).join(found, "x").join(named.select(F.col("name").alias("other"), F.col("erased").alias("y")), "y").filter("name <> other")
-    order = Window.partitionBy("name").orderBy(F.round("retention", 9).desc(), "other")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).drop("x", "y")
+    met = found.join(named.select(F.col("name").alias("other"), F.col("erased").alias("y")), "y").withColumn("place", F.row_number().over(order("x", "other"))).filter(F.col("place") <= top + 1).drop("place", "y")
+    out = rows.filter(queries).select("name", F.col("erased").alias("x")).join(met.hint("merge"), "x").drop("x").filter("name <> other")
+    return out.withColumn("rank", F.row_number().over(order("name", "other"))).filter(F.col("rank") <= top)
 
 
 def tied_rank(value: Column, by: Column | None = None) -> Column:

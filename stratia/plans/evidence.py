@@ -93,13 +93,11 @@ def information(spark: SparkSession, d: str) -> DataFrame:
     p, n = plans._parsed(spark, d), plans._total(spark, d)
     rows = st.erased(p, "shape", "shape").withColumn("erased", F.col("root"))
     reps = materialize(st.representatives(rows), "representatives")
-    pairs = st.meetings(st.weighed(st.sources(reps), reps, n))
-    found = st.information(pairs, reps, st.symbol_frequency(p), n, "root")  # the same both ways
-    both = found.unionByName(found.filter("name <> other").select(F.col("other").alias("name"), F.col("name").alias("other"), "info_weighted", "info_dice"))
-    sized = both.join(reps.select(F.col("name").alias("other"), "n"), "other").withColumn("n", F.col("n") - (F.col("name") == F.col("other")).cast("int")).filter("n > 0")
-    best = [F.round(F.max(m), 6).alias(f"best_{m}") for m in ("info_weighted", "info_dice")]
-    mean = [F.round(F.sum(F.col(m) * F.col("n")) / F.sum("n"), 6).alias(f"mean_{m}") for m in ("info_weighted", "info_dice")]
-    of_class = sized.groupBy(F.col("name").alias("class")).agg(*best, *mean, F.sum("n").alias("n"))
+    keys = materialize(st.weighed(st.sources(reps), reps, n), "weighed")
+    found = st.information_by_class(keys, reps, st.symbol_frequency(p), n)
+    best = [F.round(f"best_{m}", 6).alias(f"best_{m}") for m in ("info_weighted", "info_dice")]
+    mean = [F.round(F.col(f"sum_{m}") / F.col("n"), 6).alias(f"mean_{m}") for m in ("info_weighted", "info_dice")]
+    of_class = materialize(found.select("class", *best, *mean, "n"), "information")
     return st.members(rows, reps).join(of_class, "class").drop("class")
 
 
