@@ -619,8 +619,14 @@ def vocabulary_adjacent(parsed: DataFrame, members: DataFrame, total: int, share
     """(class, other, shared, rarest): rows that share symbols of at most max(total * share, 2) declarations with a class."""
     df = symbol_frequency(parsed).filter(F.col("df") <= max(math.floor(total * share), 2))
     has = parsed.select("name", F.explode(F.array_distinct("symbols")).alias("sym")).join(df, "sym")
-    mine = has.join(members.select("class", "name"), "name").select("class", "sym").distinct()
-    out = mine.join(has.select("sym", "df", F.col("name").alias("other")), "sym").join(members.select("class", F.col("name").alias("other")), ["class", "other"], "left_anti")
+    of = members.groupBy("name").agg(F.sort_array(F.collect_set("class")).alias("classes"))
+    kinds = has.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("sym", "df"))).alias("has")).join(of.hint("merge"), "name", "left")
+    kinds = materialize(kinds, "kinds")
+    mine = kinds.select("classes", "has").distinct().select(F.explode("classes").alias("class"), "has").select("class", F.explode("has.sym").alias("sym")).distinct()
+    # Rows of the same classes and symbols rank by their names alone, so that the first of them are enough.
+    place = F.row_number().over(Window.partitionBy("classes", "has").orderBy("name"))
+    heads = kinds.withColumn("place", place).filter(F.col("place") <= top).select(F.col("name").alias("other"), "classes", F.explode("has").alias("h")).select("other", "classes", "h.sym", "h.df")
+    out = mine.join(heads, "sym").filter(~F.coalesce(F.array_contains("classes", F.col("class")), F.lit(False)))
     out = out.groupBy("class", "other").agg(F.count("*").alias("shared"), F.min("df").alias("rarest"))
     order = Window.partitionBy("class").orderBy(F.col("shared").desc(), "rarest", "other")
     return out.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")

@@ -95,3 +95,13 @@ def test_equations_and_sides_are_read_once_a_statement(decls):
     parsed = st.parse(decls)
     assert logical.sides(parsed).count() == 4
     assert logical._judged(parsed).count() == 4 * COPIES
+
+
+def test_neighbours_by_vocabulary_rank_the_first_of_a_kind(spark, decls, monkeypatch):
+    """Of 40 copies of a statement in one module only as many as are asked for meet the classes."""
+    kept, plain = [], st.materialize
+    monkeypatch.setattr(st, "materialize", lambda df, name: (kept.append(name), plain(df, name))[1])
+    parsed = st.parse(decls.withColumn("module", F.concat(F.lit("M"), (F.col("seq") % 2).cast("string"))))
+    members = parsed.select(F.col("module").alias("class"), "name")
+    found = st.vocabulary_adjacent(parsed, members, 4 * COPIES, share=0.5, top=3)
+    assert sorted(map(tuple, found.collect())) == [("M0", "n001", 1, 80), ("M0", "n003", 1, 80), ("M0", "n005", 1, 80), ("M1", "n000", 1, 80), ("M1", "n002", 1, 80), ("M1", "n004", 1, 80)] and kept == ["kinds"]
