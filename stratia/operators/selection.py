@@ -20,7 +20,8 @@ def select(scored: DataFrame, lefts: DataFrame, per_right: int | None = None) ->
     Without a bound each left side takes its best (ties by right). With one, a right side takes at most per_right left sides:
     left sides propose in the order of their scores, and a right side keeps its best (ties by left) and turns the rest
     away, until no one is left to propose. The result is stable: no left and right side would both rather have one another. A
-    round is a join and a window over proposals, so that no group of connected sides meets in one task.
+    round is a join and a window over proposals, so that no group of connected sides meets in one task; it drops every
+    candidate that its right side would turn away, so that later rounds read the few that are left.
 
     States: selected; unmatched, with the best right side that was turned away; absent, for left sides without candidates.
     """
@@ -30,16 +31,16 @@ def select(scored: DataFrame, lefts: DataFrame, per_right: int | None = None) ->
     held = best
     if per_right is not None:
         keeps = Window.partitionBy("right").orderBy(F.col("score").desc(), "left")
-        at = best.select("left", F.lit(1).alias("place"))  # the candidate that each left side proposes to
+        rest = ranked  # candidates that no right side would turn away yet
         for _ in range(MOST_ROUNDS):
-            asked = ranked.join(at, ["left", "place"]).withColumn("r", F.row_number().over(keeps))
-            asked = checkpoint(asked)
-            held = asked.filter(F.col("r") <= per_right).drop("r")
-            turned = asked.filter(F.col("r") > per_right)
-            if turned.isEmpty():
+            held = materialize(rest.groupBy("left").agg(F.min(F.struct("place", "right", "score")).alias("b")).select("left", "b.right", "b.score", "b.place"), "proposals")
+            asked = held.withColumn("r", F.row_number().over(keeps)).filter(F.col("r") <= per_right + 1)
+            if asked.filter(F.col("r") > per_right).isEmpty():
                 break
-            # Who was turned away goes on to the next candidate; those without one drop out.
-            at = held.select("left", "place").union(turned.select("left", F.col("place") + 1))
+            last = asked.filter(F.col("r") == per_right).select("right", F.col("left").alias("l"), F.col("score").alias("s"))
+            # A right side that has all it takes would turn away whatever comes after the last of them, now and later.
+            stays = F.col("l").isNull() | (F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("left") <= F.col("l")))
+            rest = materialize(rest.join(last, "right", "left").filter(stays).select("left", "right", "score", "place"), "candidates")
         else:
             raise RuntimeError(f"no end after {MOST_ROUNDS} rounds")
     out = lefts.select("left").distinct().join(held.drop("place"), "left", "left").join(best.select("left", F.col("right").alias("first")), "left", "left")

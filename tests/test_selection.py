@@ -127,3 +127,17 @@ def top_two(rows, cap):
     """(rows, total) of the best selection for x and y, by trying all of the best few of either."""
     best = [sorted((r for r in rows if r[1] == side), key=lambda r: -r[2])[: 4 * cap] for side in "xy"]
     return brute(best[0] + best[1], cap)
+
+
+def test_rounds_of_proposals_read_what_no_right_side_would_turn_away(spark, monkeypatch):
+    """200 left sides want two right ones that take one each: after the first round few candidates are left."""
+    seen, plain = [], selection.materialize
+    monkeypatch.setattr(selection, "materialize", lambda df, name: (lambda out: (seen.append((name, out.count())), out)[1])(plain(df, name)))
+    rows = [(f"l{i:03}", r, (i * k) % 211) for i in range(200) for r, k in (("x", 7), ("y", 11))]
+    found = selection.select(table(spark, rows), table(spark, rows).select("left"), 1).filter("right is not null")
+    score = {(a, b): s for a, b, s in rows}
+    got = {r.right: r.left for r in found.collect()}
+    assert len(got) == 2 and max(n for name, n in seen if name == "candidates") <= 20
+    for (a, b), s in score.items():  # no pair would both rather have one another
+        mine = next((r for r, left in got.items() if left == a), None)
+        assert not ((mine is None or (-s, b) < (-score[a, mine], mine)) and (-s, a) < (-score[got[b], b], got[b]))
