@@ -26,8 +26,7 @@ def citations_by_lens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def foundations_all(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.foundations(derived.edges(spark, d), _every(spark, d))
-    return found.groupBy("source").agg(F.count("*").alias("n"), F.min("node").alias("first_node"))
+    return graph.foundation_sizes(derived.edges(spark, d), _every(spark, d))
 
 
 def impact_all(spark: SparkSession, d: str) -> DataFrame:
