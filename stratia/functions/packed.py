@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SHIFT = 22
 PLACE = (1 << SHIFT) - 1
@@ -94,7 +95,8 @@ def merge(b: pa.RecordBatch, keys: tuple[str, ...]) -> tuple[pa.RecordBatch, tup
 def sweep(batches: Batches, run: tuple[str, ...], keys: tuple[str, ...] | None = None, seen: Callable | None = None) -> Batches:
     """Whole runs of a sorted part, with one row for each of `keys`, a longer key than that of the run or the same.
 
-    seen(batch, doubles) is called at each merge, and what it gives is yielded in place of the runs.
+    seen(batch, doubles, done) is called at each merge, and what it gives is yielded in place of the runs; the first `done`
+    rows of the batch are whole.
     """
     keys, held = keys or run, None
     for b in batches:
@@ -103,14 +105,29 @@ def sweep(batches: Batches, run: tuple[str, ...], keys: tuple[str, ...] | None =
         if held is not None:
             b = pa.Table.from_batches([held, b.cast(held.schema)]).combine_chunks().to_batches()[0]
         one, doubles = merge(b, keys)
-        if seen:
-            yield from seen(one, doubles)
         at = int(starts(one, run)[-1])
-        if at and not seen:
+        if seen:
+            yield from seen(one, doubles, at)
+        elif at:
             yield one.slice(0, at)
         held = one.slice(at)
-    if held is not None and not seen:
-        yield held
+    if held is not None:
+        none = (np.empty(0, np.int64),) * 3
+        yield from seen(held, none, held.num_rows) if seen else [held]
+
+
+def repeated(batches: Batches) -> Batches:
+    """(node, i, n): of rows of sets how often a number stands in more than one of a node; its own number counts each time."""
+
+    def seen(one: pa.RecordBatch, doubles: tuple, done: int) -> Batches:
+        row, place, n = doubles
+        own, number = numbers(one.slice(0, done))
+        same = pc.fill_null(one["i"], -1).to_numpy(zero_copy_only=False)[own] == number
+        chunk = one["chunk"].to_numpy().astype(np.int64)
+        rows, found = np.append(row, own[same]), np.append(chunk[row] << SHIFT | place, number[same])
+        yield pa.RecordBatch.from_arrays([one["node"].take(pa.array(rows)), pa.array(found, pa.int64()), pa.array(np.append(n, np.ones(same.sum(), np.int64)), pa.int64())], names=["node", "i", "n"])
+
+    yield from sweep(batches, ROW, seen=seen)
 
 
 def sorted_parts(df: DataFrame, *keys: str) -> DataFrame:
@@ -134,6 +151,11 @@ SETS = "node string, i long, chunk int, set binary"
 ROW = ("node", "chunk")
 
 
+def onward(ends: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, i, chunk, set): the set of each edge's end for its source; ends: (src, at, dst), `at` the source's number."""
+    return ends.join(sets.select("node", "chunk", "set"), F.col("dst") == F.col("node")).select(F.col("src").alias("node"), F.col("at").alias("i"), "chunk", "set")
+
+
 def union(sets: DataFrame) -> DataFrame:
     """(node, i, chunk, set) with one row for a node and chunk."""
     return sorted_parts(sets.select("node", "i", "chunk", "set"), *ROW).mapInArrow(lambda batches: sweep(batches, ROW), SETS)
@@ -141,7 +163,6 @@ def union(sets: DataFrame) -> DataFrame:
 
 def fresh(step: DataFrame, seen: DataFrame) -> DataFrame:
     """What step has and seen has not, both (node, i, chunk, set); one row for a node and chunk."""
-    from pyspark.sql import functions as F
 
     def run(batches: Batches) -> Batches:
         for b in sweep(batches, ROW, (*ROW, "old")):

@@ -95,13 +95,12 @@ def _followed(edges: DataFrame, lens: str) -> tuple[DataFrame, DataFrame, DataFr
     pairs = materialize(pairs, "pairs")
     nodes = materialize(numbered(pairs.select(F.col("dst").alias("node")).distinct(), "node"), "nodes")
     ends = materialize(pairs.join(nodes.select(F.col("node").alias("src"), F.col("i").alias("at")), "src", "left").select("src", "at", "dst"), "ends")
-    onward = lambda ends, sets: ends.join(sets.select("node", "chunk", "set"), F.col("dst") == F.col("node")).select(F.col("src").alias("node"), F.col("at").alias("i"), "chunk", "set")
     seen = frontier = materialize(packed.singles(nodes), "sets")
     for i in range(1, MAX_ROUNDS):
-        frontier = materialize(packed.fresh(onward(ends.filter("at is not null"), frontier), seen), "sets")
+        frontier = materialize(packed.fresh(packed.onward(ends.filter("at is not null"), frontier), seen), "sets")
         if frontier.isEmpty():
             sets = materialize(packed.union(seen), "sets")
-            return nodes, sets, onward(ends.filter("at is null"), sets)
+            return nodes, sets, packed.onward(ends.filter("at is null"), sets)
         seen = seen.union(frontier)
         seen = seen if i % COMPACT else materialize(packed.union(seen), "sets")
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")

@@ -10,10 +10,10 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratia.functions import symmetry, terms
+from stratia.functions import packed, symmetry, terms
 from stratia.functions.numbering import numbered
 from stratia.session import materialize
 
@@ -80,37 +80,40 @@ def degree_bucket(n: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.least(F.lit(12), F.length(F.bin(n)))).cast("int")
 
 
-#: Sets that are drawn: of which null, of which side, and what their buckets go by.
-SETS = [(null, label, member, None if null == "uniform" else degree) for null in ("uniform", "matched") for label, member, degree in (("a", "in_a", "out"), ("b", "in_b", "in"))]
+#: Sets that are drawn: of which null and side.
+SETS = [(null, label) for null in ("uniform", "matched") for label in ("a", "b")]
 
 
 def drawn(held: DataFrame, seed: int, draws: range) -> DataFrame:
     """(name, uniform_a, uniform_b, matched_a, matched_b): in which draws of each set a node is taken, bit by bit.
 
     Each draw takes as many nodes of a bucket as it has members, those with the smallest hashes of seed, side, draw and
-    name. Nodes are numbered in the order of draw, set, bucket and hash by ranges, so that no task holds a bucket; a
-    bucket's first number is that of counts before it.
+    name. What the last one's hash is, is found in two steps: hashes are counted by their first two digits, and those of
+    the digits in which the last one falls are put in order, a 256th of the nodes of a bucket. The uniform null is one
+    bucket of all degrees.
     """
-    nodes = None
-    for i, (_, label, member, degree) in enumerate(SETS):
-        one = held.select("name", F.lit(i).alias("set"), F.lit(label).alias("label"), (F.lit(0) if degree is None else F.col(degree)).alias("bucket"), F.col(member).alias("member"))
-        nodes = one if nodes is None else nodes.union(one)
-    sizes = nodes.groupBy("set", "bucket").agg(F.count("*").alias("n"), F.count_if("member").alias("k")).orderBy("set", "bucket").collect()  # a row a bucket
-    first, starts, takes = 0, [], []
-    for r in sizes:
-        key = F.lit(r["set"] * 100 + r["bucket"])
-        starts += [key, F.lit(first)]
-        takes += [key, F.lit(r["k"])]
-        first += r["n"]
-    each = nodes.select("name", "set", "label", "bucket", F.explode(F.array(*map(F.lit, draws))).alias("draw"))
-    hashed = each.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "label", F.col("draw").cast("string"), "name").cast("binary"))).drop("label")
-    placed = numbered(hashed, F.col("draw"), F.col("set"), F.col("bucket"), F.col("h"), column="i")
-    if sizes:
-        key = F.col("set") * 100 + F.col("bucket")
-        inside = F.col("i") - (F.col("draw") - draws[0]) * F.lit(first) - F.create_map(*starts)[key]
-        placed = placed.filter(inside < F.create_map(*takes)[key])
+    sides = F.array(*(F.struct(F.lit(x).alias("label"), F.col(m).alias("member"), F.col(d).alias("degree")) for x, m, d in (("a", "in_a", "out"), ("b", "in_b", "in"))))
+    each = held.select("name", F.inline(sides))
+    sizes = each.groupBy("label", "degree").agg(F.count_if("member").alias("k"))
+    hashed = each.select("name", "label", "degree", F.explode(F.array(*map(F.lit, draws))).alias("draw"))
+    hashed = hashed.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "label", F.col("draw").cast("string"), "name").cast("binary")))
+    hashed = hashed.withColumn("bin", F.substring("h", 1, 2))
+    counts = materialize(hashed.groupBy("label", "degree", "draw", "bin").agg(F.count("*").alias("n")), "hashes")
+
+    def limits(*bucket: str) -> DataFrame:
+        """(label, *bucket, draw, last): the last hash that each draw takes; no row where it takes none."""
+        key = ["label", *bucket, "draw"]
+        bins = counts.groupBy(*key, "bin").agg(F.sum("n").alias("n")).join(F.broadcast(sizes.groupBy("label", *bucket).agg(F.sum("k").alias("k"))), ["label", *bucket])
+        upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy(*key).orderBy("bin")))
+        at = materialize(upto.filter("k > upto - n and k <= upto").select(*key, "bin", (F.col("k") - F.col("upto") + F.col("n")).alias("rest")), "hashes")  # a row a draw and bucket
+        near = hashed.join(F.broadcast(at), [*key, "bin"]).withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("h")))
+        return materialize(near.filter("place = rest").select(*key, F.col("h").alias("last")), "hashes")
+
+    uniform, matched = limits().withColumnRenamed("last", "uniform"), limits("degree").withColumnRenamed("last", "matched")
+    placed = hashed.join(F.broadcast(uniform), ["label", "draw"], "left").join(F.broadcast(matched), ["label", "degree", "draw"], "left")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("draw") - draws[0]).cast("int"))
-    return placed.groupBy("name").agg(*(F.coalesce(F.bit_or(F.when(F.col("set") == i, bit)), F.lit(0).cast("long")).alias(f"{null}_{label}") for i, (null, label, _, _) in enumerate(SETS)))
+    taken = lambda null, label: F.when((F.col("label") == label) & (F.col("h") <= F.col(null)), bit)
+    return placed.groupBy("name").agg(*(F.coalesce(F.bit_or(taken(null, label)), F.lit(0).cast("long")).alias(f"{null}_{label}") for null, label in SETS))
 
 
 def citations(edges: DataFrame, universe: DataFrame, a: DataFrame, b: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
@@ -118,12 +121,17 @@ def citations(edges: DataFrame, universe: DataFrame, a: DataFrame, b: DataFrame,
 
     edges: (src, dst); universe, a, b: (name). Hops 1 counts edges, 2 pairs within two steps. The uniform null draws sets of
     the same sizes; the matched one keeps the numbers in each bucket of out-degree (a) and in-degree (b). back counts from
-    b to a. A draw is a bit of a node's mask, so that all draws are counted in one pass over the edges.
+    b to a. A draw is a bit of a node's mask. Pairs within two steps are not listed: steps are counted at the node in their
+    middle, by how many of either side meet there, and what a source reaches in more than one way is taken off again.
     """
     nodes = universe.select("name").distinct()
     one = edges.select("src", "dst").filter("src <> dst").join(nodes.withColumnRenamed("name", "src"), "src", "left_semi").join(nodes.withColumnRenamed("name", "dst"), "dst", "left_semi")
     one = materialize(one.select("src", "dst").distinct(), "citations")
-    two = materialize(one.union(one.select("src", F.col("dst").alias("via")).join(one.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")).filter("src <> dst").distinct(), "citations")
+    cited = materialize(numbered(one.select(F.col("dst").alias("node")).distinct(), "node"), "cited")
+    ends = materialize(one.join(cited.select(F.col("node").alias("src"), F.col("i").alias("at")), "src", "left").select("src", "at", "dst"), "citations")
+    inner, own = ends.filter("at is not null"), packed.singles(cited)
+    near = materialize(packed.union(own.union(packed.onward(inner, own))), "citations")
+    extra = materialize(packed.sorted_parts(packed.onward(ends, near), *packed.ROW).mapInArrow(packed.repeated, "node string, i long, n long"), "citations")
     flags = lambda x, as_: x.select("name").distinct().withColumn(as_, F.lit(True))
     degree = lambda side, as_: one.groupBy(F.col(side).alias("name")).agg(F.count("*").alias(as_))
     held = nodes.join(flags(a, "in_a"), "name", "left").join(flags(b, "in_b"), "name", "left").join(degree("src", "out"), "name", "left").join(degree("dst", "in"), "name", "left")
@@ -132,16 +140,25 @@ def citations(edges: DataFrame, universe: DataFrame, a: DataFrame, b: DataFrame,
     seen: dict[int, tuple[int, int]] = {}
     for at in range(0, draws, BITS):
         some = range(at, min(at + BITS, draws))
-        masks = held.join(drawn(held, seed, some), "name", "left").na.fill(0)
-        masks = materialize(masks, "draws")
-        side = lambda end, m=masks: m.select(F.col("name").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in m.columns if c != "name"))
-        for hops, graph in ((1, one), (2, two)):
-            both = graph.join(side("src"), "src").join(side("dst"), "dst")
-            counts = [F.count_if(F.col("src_in_a") & F.col("dst_in_b")).alias("ab"), F.count_if(F.col("src_in_b") & F.col("dst_in_a")).alias("ba")]
-            for null in ("uniform", "matched"):
-                hit = F.col(f"src_{null}_a").bitwiseAND(F.col(f"dst_{null}_b"))
-                counts += [F.coalesce(F.sum(F.shiftright(hit, i).bitwiseAND(F.lit(1))), F.lit(0)).alias(f"{null}{d}") for i, d in enumerate(some)]
-            got = both.agg(*counts).first()
+        masks = materialize(held.join(drawn(held, seed, some), "name", "left").na.fill(0), "draws")
+        flag = lambda c: F.col(c).cast("long")
+        of = lambda c, i: F.shiftright(c, i).bitwiseAND(F.lit(1))
+        # What is counted: whether a node counts as a source, and whether as a target.
+        source = {"ab": flag("in_a"), "ba": flag("in_b")} | {f"{null}{d}": of(f"{null}_a", i) for null in ("uniform", "matched") for i, d in enumerate(some)}
+        target = {"ab": flag("in_b"), "ba": flag("in_a")} | {f"{null}{d}": of(f"{null}_b", i) for null in ("uniform", "matched") for i, d in enumerate(some)}
+        marks = masks.withColumnRenamed
+        # Dealt out before they are summed: a sum of so many columns is wider than what it sums.
+        into = ends.join(marks("name", "src"), "src").drop("src", "at").repartition("dst").groupBy(F.col("dst").alias("name")).agg(*(F.sum(v).alias(f"s_{k}") for k, v in source.items()))
+        out = inner.join(marks("name", "dst"), "dst").drop("dst", "at").repartition("src").groupBy(F.col("src").alias("name")).agg(*(F.sum(v).alias(f"t_{k}") for k, v in target.items()))
+        met = into.join(masks, "name").join(out, "name", "left")
+        total = lambda e, name: F.coalesce(F.sum(e), F.lit(0)).alias(name)
+        steps = met.agg(*(total(F.col(f"s_{k}") * v, f"1{k}") for k, v in target.items()), *(total(F.col(f"s_{k}") * F.col(f"t_{k}"), f"2{k}") for k in target)).first()
+        ended = cited.join(marks("name", "node"), "node").select("i", F.struct(*(c for c in masks.columns if c != "name")).alias("t"))
+        twice = extra.join(marks("name", "node"), "node").join(ended, "i")
+        on_target = {"ab": F.col("t.in_b").cast("long"), "ba": F.col("t.in_a").cast("long")} | {f"{null}{d}": of(f"t.{null}_b", i) for null in ("uniform", "matched") for i, d in enumerate(some)}
+        off = twice.agg(*(total(F.col("n") * source[k] * v, k) for k, v in on_target.items())).first()
+        for hops in (1, 2):
+            got = {k: steps[f"1{k}"] + (steps[f"2{k}"] - off[k] if hops == 2 else 0) for k in source}
             seen[hops] = (got["ab"], got["ba"])
             for null in ("uniform", "matched"):
                 sums.setdefault((hops, null), []).extend(got[f"{null}{d}"] for d in some)

@@ -54,3 +54,13 @@ def test_a_source_that_nothing_leads_to_has_a_row_an_edge(spark):
     assert outer.count() == 200 and sets.count() == 201
     found = graph.foundation_sizes(edges, spark.createDataFrame([("s7",)], "source string")).collect()
     assert [tuple(r) for r in found] == [("s7", 201, "hub")]
+
+
+def test_only_what_is_reached_twice_is_listed():
+    """By n, of number 2, in three rows cut over batches: 5 twice, its own number once, 9 once; m reaches 5 once."""
+    rows = [("m", None, [5]), ("n", 2, [2, 5]), ("n", 2, [9]), ("n", 2, [5])]
+    sets = packed.pack(np.concatenate([x for *_, x in rows]), np.array([len(x) for *_, x in rows]))
+    b = pa.RecordBatch.from_arrays([pa.array([n for n, *_ in rows]), pa.array([i for _, i, _ in rows], pa.int64()), pa.array([0] * 4, pa.int32()), sets], names=["node", "i", "chunk", "set"])
+    for size in (1, 2, 3, 4):
+        found = [tuple(r.values()) for out in packed.repeated(b.slice(i, size) for i in range(0, 4, size)) for r in out.to_pylist()]
+        assert sorted(found) == [("n", 2, 1), ("n", 5, 1)]
