@@ -130,28 +130,67 @@ def bridge_centrality(edges: DataFrame, sources: DataFrame, lens: str = "both")
     return sources.select("source").distinct().join(counts, "source", "left").select("source", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+#: Targets that a row of a node holds, or so.
+WIDTH = 1000
+
+
+def _back(pairs: DataFrame, sources: DataFrame, targets: DataFrame, n: int) -> DataFrame:
+    """why() from n targets backwards: (source, target, path).
+
+    A node's best path is its own name before the best of those that it leads to, and those differ in their first name.
+    So a search keeps the next name alone, for all targets of a node in one row or a few; paths are put together after it,
+    shortest first.
+    """
+    kinds = "array<struct<start: string, next: string>>"
+    bucket = F.pmod(F.hash("start"), F.lit(-(-n // WIDTH) or 1)).alias("bucket")
+    frontier = materialize(targets.select("node", F.col("node").alias("start")).select("node", bucket, F.array(F.struct("start", F.lit(None).cast("string").alias("next"))).cast(kinds).alias("found")), "why")
+    rounds, seen = [frontier], frontier
+    for i in range(1, MAX_ROUNDS):
+        starts = F.transform("found", lambda x: x["start"]).alias("starts")
+        step = frontier.join(pairs, frontier.node == pairs.dst).select(F.col("src").alias("node"), "bucket", F.col("dst").alias("next"), starts)
+        both = step.union(seen.select("node", "bucket", F.lit(None).cast("string"), starts)).repartition("node")  # by node alone: what follows stays in its part
+        best = both.select("node", "bucket", "next", F.explode("starts").alias("start")).groupBy("node", "bucket", "start").agg(F.min("next").alias("next"), F.count_if(F.col("next").isNull()).alias("known"))
+        frontier = materialize(best.filter("known = 0").groupBy("node", "bucket").agg(F.collect_list(F.struct("start", "next")).cast(kinds).alias("found")), "why")
+        if frontier.isEmpty():
+            break
+        rounds.append(frontier)
+        seen = seen.union(frontier)
+        seen = seen if i % COMPACT else materialize(seen.repartition("node"), "why")
+    else:
+        raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
+    asked = sources.select("node").withColumn("asked", F.lit(True))
+    out = before = None
+    for k, one in enumerate(rounds):
+        each = one.join(asked, "node", "left").select("node", F.coalesce("asked", F.lit(False)).alias("asked"), F.inline("found"))
+        if before is None:
+            paths = each.select("start", "node", "asked", F.array("node").alias("path"))
+        else:
+            ends = before.select("start", F.col("node").alias("next"), F.col("path").alias("rest"))
+            paths = each.join(ends, ["start", "next"]).select("start", "node", "asked", F.concat(F.array("node"), "rest").alias("path"))
+        before = materialize(paths, "paths") if k + 1 < len(rounds) else paths
+        out = before if out is None else out.union(before)
+    return out.filter("asked").select(F.col("node").alias("source"), F.col("start").alias("target"), "path")
+
+
 def why(edges: DataFrame, sources: DataFrame, is_target: Column, lens: str = "both") -> DataFrame:
     """(source, target, path): of each source and each node that meets `is_target` (over column node) a shortest path.
 
     Of shortest paths the one whose names come first in order; a source that is a target has the path of itself. The search
-    starts from the fewer of sources and targets, so that a node has one path for each of those; backwards a node's best
-    path is its own name before the best of those that it leads to.
+    starts from the fewer of sources and targets, so that a node has one path for each of those.
     """
-    pairs = checkpoint(through(edges, lens))
-    sources = checkpoint(sources.select(F.col("source").alias("node")).distinct())
-    targets = checkpoint(pairs.select(F.col("dst").alias("node")).union(sources).distinct().filter(is_target))
-    back = targets.count() < sources.count()
-    starts, near, far = (targets, "dst", "src") if back else (sources, "src", "dst")
-    grown = F.concat(F.array(far), "path") if back else F.concat("path", F.array(far))
-    seen = frontier = checkpoint(starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path")))
+    check_choice(lens, LENSES, "lens")
+    pairs = materialize((edges if lens == "both" else edges.filter(F.col("lens") == lens)).select("src", "dst").filter("src is not null and dst is not null"), "pairs")
+    sources = materialize(sources.select(F.col("source").alias("node")).filter("node is not null").distinct(), "sources")
+    targets = checkpoint(pairs.select(F.col("dst").alias("node")).filter(is_target).union(sources.filter(is_target)).distinct())
+    if (n := targets.count()) < sources.count():
+        return _back(pairs, sources, targets, n)
+    seen = frontier = checkpoint(sources.select(F.col("node").alias("start"), "node", F.array("node").alias("path")))
     for i in range(1, MAX_ROUNDS):
-        step = frontier.join(pairs, frontier.node == pairs[near]).select("start", F.col(far).alias("node"), grown.alias("path"))
+        step = frontier.join(pairs, frontier.node == pairs.src).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         step = step.groupBy("start", "node").agg(F.min("path").alias("path"))
         frontier = checkpoint(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         if frontier.isEmpty():
-            found = seen.join(sources if back else targets, "node", "left_semi")
-            source, target = ("node", "start") if back else ("start", "node")
-            return found.select(F.col(source).alias("source"), F.col(target).alias("target"), "path")
+            return seen.join(targets, "node", "left_semi").select(F.col("start").alias("source"), F.col("node").alias("target"), "path")
         seen = _compact(seen.union(frontier), i, "start", "node")
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
