@@ -39,8 +39,9 @@ def _detectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     canon = lambda n, k: F.concat_ws(":", F.col(n).cast("string"), (F.col(k) % 2).cast("string")).alias("canon")
     members = t("supplier").select(derived.node("supplier", "s_suppkey").alias("name"), canon("s_nationkey", "s_suppkey"))
     members = members.union(t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(derived.node("order", "o_orderkey"), canon("c_nationkey", "o_orderkey")))
-    verdicts = materialize(hy.homes(binders, ends, uses), "verdicts")
-    right = materialize(cr.stronger(members, binders.select("name", "class"), checkpoint(hy.ancestors(binders, ends))), "stronger")
+    members, above = materialize(members, "members"), checkpoint(hy.ancestors(binders, ends))
+    verdicts = materialize(hy.homes(binders, ends, uses, above), "verdicts")
+    right = materialize(cr.stronger(members, binders.select("name", "class"), above), "stronger")
     crowd = members.groupBy("canon").agg(F.count("*").alias("n")).filter("n > 1")
     eligible = members.join(crowd, "canon").select("name").join(verdicts.filter("class is not null").select("name"), "name", "left_semi")
     return cr.over_strong(verdicts), right, eligible
