@@ -334,6 +334,35 @@ def nearest_classes(keys: DataFrame, reps: DataFrame, total: int, score: str = "
     return compare_classes(own, reps).unionByName(tiles(keys, reps, "erased", "n").applyInPandas(run, fields))
 
 
+def best_measures(keys: DataFrame, reps: DataFrame) -> DataFrame:
+    """(class, n, best of each ratio and of common): compare_classes() over all pairs that share a key and LEAST_COMMON nodes, summed up.
+
+    n: how many rows those of a class share so many with, its other members among them. Groups sum up their pairs as matrices, so
+    that no pair is a row.
+    """
+    ratios = MEASURES[5:]
+    fields = "name string, n long, " + ", ".join(f"{m} double" for m in ratios) + ", common int"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, a, b, met in _met(pdf):
+            x, y = a["erased"].tolist(), b["erased"].tolist()
+            c, _, _, left, right = together.compared(x, y, together.counted, False)
+            value = _measured(c, left[:, None], right[None, :], np.array(x, object)[:, None] == np.array(y, object)[None, :]) | {"common": c}
+            fine = met & (c >= LEAST_COMMON)
+            for rows, others, turn in ((a, b, lambda m: m), (b, a, lambda m: m.T)):
+                hit = turn(fine)
+                some = hit.any(1)
+                sums = {"name": rows["name"].to_numpy()[some], "n": (hit[some] * others["n"].to_numpy()[None, :]).sum(1)}
+                out.append(pd.DataFrame(sums | {m: np.where(hit, turn(v), -1.0).max(1)[some] for m, v in value.items()}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[f.split()[0] for f in fields.split(", ")])
+
+    own = reps.filter("n > 1").select("name", F.col("name").alias("other"), F.lit(None).cast("double").alias("rarity"))
+    with_self = compare_classes(own, reps).filter(F.col("common") >= LEAST_COMMON).select("name", "n", *ratios, "common")
+    parts = tiles(keys, reps, "erased", "n").applyInPandas(run, fields).unionByName(with_self)
+    return parts.groupBy(F.col("name").alias("class")).agg(F.sum("n").alias("n"), *(F.max(m).alias(m) for m in (*ratios, "common")))
+
+
 def compare_classes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """(name, other, rarity, n, measures) in both directions from pairs name <= other of representatives.
 

@@ -52,6 +52,22 @@ def test_each_pair_meets_in_one_group(spark):
     assert got == sorted(tuple(r) for r in st.meetings(keys, 7).filter("name < other").collect()) and len(got) == 40 * 39 // 2
 
 
+def test_best_measures_are_those_of_pairs_and_compare_none_alone(spark, monkeypatch):
+    """Sums over groups against compare_classes() over meetings(); terms of different classes never meet as rows."""
+    stmts = [f"a(a(a(a(c(1:R,0),c(1:{x},0)),c(1:y,0)),c(1:{y},0)),n{i % 3})" for i, (x, y) in enumerate((x, y) for x in "abcdef" for y in "uvw")] + ["n1", "a(c(1:R,0),n1)"]
+    reps = spark.createDataFrame([(f"d{i:02}", t, i % 2 + 1) for i, t in enumerate(stmts)], "name string, erased string, n long").cache()
+    keys = spark.createDataFrame([(f"d{i:02}", k, float(len(k))) for i, t in enumerate(stmts) for k in {"every", t[:22], f"n-{t[-3:]}"}], "name string, key string, idf double").cache()
+    kept = st.compare_classes(st.meetings(keys), reps).filter(F.col("common") >= st.LEAST_COMMON).groupBy("name").agg(F.sum("n"), *(F.round(F.max(m), 9) for m in st.MEASURES[5:]), F.max("common"))
+    want = sorted(map(tuple, kept.collect()))
+    monkeypatch.setattr(st, "CHUNK", 5)
+    plain, given = st.compare_classes, []
+    monkeypatch.setattr(st, "compare_classes", lambda pairs, reps: (given.append(pairs), plain(pairs, reps))[1])
+    found = st.best_measures(keys, reps)
+    got = sorted(map(tuple, found.select("class", "n", *(F.round(m, 9) for m in st.MEASURES[5:]), "common").collect()))
+    assert got == want and len(got) == 18
+    assert all(p.filter("name <> other").isEmpty() for p in given)
+
+
 def test_brute_ranks_terms_before_their_copies(spark):
     """Of 300 copies of each of three terms no more than the first few names are ranked."""
     stmts = [f"a(a(a(a(c(1:R,0),c(1:x,0)),c(1:y,0)),c(1:z,0)),n{i % 3})" for i in range(900)]
