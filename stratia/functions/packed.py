@@ -130,6 +130,59 @@ def repeated(batches: Batches) -> Batches:
     yield from sweep(batches, ROW, seen=seen)
 
 
+def again(batches: Batches) -> Batches:
+    """(i, mask): of rows (node, mask, chunk, set), sorted by node and chunk, each number as often as its node has it beyond once.
+
+    Nodes are numbers; a node's own number counts each time. Whole runs are looked at as they are, only the last one of a
+    batch is joined and kept.
+    """
+
+    def out(b: pa.RecordBatch, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        chunk = b["chunk"].to_numpy().astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(chunk[row] << SHIFT | place, pa.int64()), b["mask"].take(pa.array(row))], names=["i", "mask"])
+
+    def whole(b: pa.RecordBatch) -> pa.RecordBatch:
+        first = starts(b, ROW)
+        places, counts = unpack(b["set"])
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, b.num_rows)))
+        both = np.sort(np.repeat(group, counts) << SHIFT | places)
+        node, chunk = b["node"].to_numpy()[first], b["chunk"].to_numpy()[first]
+        own = (np.arange(len(first)) << SHIFT | node & PLACE)[node >> SHIFT == chunk]
+        own = own[both[np.minimum(np.searchsorted(both, own), len(both) - 1)] == own]
+        found = np.append(both[1:][both[1:] == both[:-1]], own)
+        return out(b, first[found >> SHIFT], found & PLACE)
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b.cast(held.schema)]).combine_chunks().to_batches()[0]
+        at = int(starts(b, ROW)[-1])
+        if at:
+            yield whole(b.slice(0, at))
+        held, (row, place, n) = merge(b.slice(at), ROW)
+        yield out(held, np.repeat(row, n), np.repeat(place, n))
+    if held is not None:
+        yield whole(held)
+
+
+def lists(batches: Batches) -> Batches:
+    """(node, chunk, set) of sorted rows (node, i) of numbers, which differ; a node may have several rows of a chunk."""
+    for b in batches:
+        if b.num_rows:
+            node, i = b["node"].to_numpy(), b["i"].to_numpy()
+            changed = np.append(True, (node[1:] != node[:-1]) | (i[1:] >> SHIFT != i[:-1] >> SHIFT))
+            first = np.flatnonzero(changed)
+            sets = pack(i & PLACE, np.diff(np.append(first, len(i))))
+            yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(i[first] >> SHIFT, pa.int32()), sets], names=["node", "chunk", "set"])
+
+
+def bits(masks: np.ndarray) -> np.ndarray:
+    """A row of 64 zeros and ones for each mask, lowest bit first."""
+    return np.unpackbits(masks.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
 def sorted_parts(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt out by its first key, each part in the order of the keys."""
     return df.repartition(keys[0]).sortWithinPartitions(*keys)

@@ -6,20 +6,26 @@ count; a set without members has nothing observed and a null of zeros, whose z i
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratia.functions import packed, symmetry, terms
+from stratia.functions import digests, packed, symmetry, terms
 from stratia.functions.numbering import numbered
 from stratia.session import materialize
 
 SEED, DRAWS = 7, 20
-#: Draws that one mask of bits holds.
-BITS = 62
+#: Draws that one mask holds: their bits of the uniform null from 0, of the matched one from BITS + 1; the bit after each is for
+#: the sets themselves.
+BITS = 30
+#: Standard deviations on either side of where a draw's last hash is expected, within which hashes are put in order.
+NEAR = 8.0
 HITS = "name string, motif string, strict boolean, variables int, context string, shape string, direction string, head string, arity int, whole boolean"
 
 
@@ -28,13 +34,17 @@ def motifs(decls: DataFrame) -> DataFrame:
     kinds = [pa.string(), pa.bool_(), pa.int32(), *[pa.string()] * 4, pa.int32(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=1 << 12)
+        def read(stmt: str) -> list:
+            try:
+                return symmetry.motifs(terms.parse(stmt))
+            except terms.TermError:
+                return []
+
         for b in batches:
             names, rows = [], []
             for name, stmt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    found = symmetry.motifs(terms.parse(stmt)) if stmt is not None else []
-                except terms.TermError:
-                    continue
+                found = read(stmt) if stmt is not None else []
                 names += [name] * len(found)
                 rows += found
             columns = [pa.array([r[f] for r in rows], t) for f, t in zip(symmetry.FIELDS, kinds, strict=True)]
@@ -80,40 +90,136 @@ def degree_bucket(n: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.least(F.lit(12), F.length(F.bin(n)))).cast("int")
 
 
-#: Sets that are drawn: of which null and side.
-SETS = [(null, label) for null in ("uniform", "matched") for label in ("a", "b")]
+MOST = (1 << 64) - 1
+
+
+def _window(n: int, k: int, near: float) -> tuple[int, int]:
+    """Of n hashes by their first 64 bits: those below the first number are among the k smallest, those beyond the second are not, as far as drawn() finds."""
+    if k in (0, n):
+        return (0, 0) if k == 0 else (MOST, MOST)
+    wide = near * (math.sqrt(k / n * (1 - k / n) / n) + 4 / n)
+    at = lambda x: min(max(int(x * 2**64), 0), MOST)
+    return at(k / n - wide), at(k / n + wide)
+
+
+MEMBER = ("in_a", "in_b", "out", "in")
+HASHED = "i long, in_a boolean, in_b boolean, out int, in int, " + ", ".join(f"sure_{x} long, open_{x} array<struct<degree: int, j: int, h: string>>" for x in "ab")
+
+
+def _hashes(ends: dict[tuple[str, int], tuple[int, int]], seed: int, draws: range):
+    """Of (i, name, in_a, in_b, out, in), by side, in which draws a node surely is, and its hashes for which that is open; ends: windows by side and degree."""
+    kept = pa.list_(pa.struct([("degree", pa.int32()), ("j", pa.int32()), ("h", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns, n = [b["i"], *(b[c] for c in MEMBER)], b.num_rows
+            for label, side in (("a", "out"), ("b", "in")):
+                heads = digests.md5_heads([f"{seed}:{label}:{d}:".encode() for d in draws], b["name"])
+                degree, mask, found = b[side].to_numpy(), np.zeros(n, np.int64), [[] for _ in range(n)]
+                for null, first in ((-1, 0), (degree, BITS + 1)):
+                    of = np.broadcast_to(null, n)
+                    low, high = (np.array([ends[label, i][k] for i in of.tolist()], np.uint64) for k in (0, 1))
+                    mask |= ((heads < low) << np.arange(first, first + len(draws))[:, None]).sum(0)
+                    for j, row in zip(*np.nonzero((heads >= low) & (heads <= high)), strict=True):
+                        h = hashlib.md5(f"{seed}:{label}:{draws[j]}:{b['name'][int(row)].as_py()}".encode()).hexdigest()
+                        found[row].append({"degree": int(of[row]), "j": int(j), "h": h})
+                columns += [pa.array(mask, pa.int64()), pa.array(found, kept)]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", *MEMBER, "sure_a", "open_a", "sure_b", "open_b"])
+
+    return run
+
+
+def _by_place(values: dict[tuple[int, int], object], at: Column | None = None) -> Column:
+    """What the table has for columns degree and j (of `at`), null where it has nothing."""
+    if not values:
+        return F.lit(None)
+    degree, j = (F.col(c) if at is None else at[c] for c in ("degree", "j"))
+    return F.element_at(F.create_map(*(F.lit(x) for (i, k), v in values.items() for x in (100 * i + k, v))), 100 * degree + j)
+
+
+def _by_bit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, bit, n): how many masks of a key have a bit."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        key, bits = b["key"].to_numpy(), packed.bits(b["mask"].to_numpy())
+        for k in np.unique(key):
+            sums[int(k)] = sums.get(int(k), 0) + bits[key == k].sum(0, dtype=np.int64)
+    rows = [(k, i, n) for k, ns in sums.items() for i, n in enumerate(ns.tolist()) if n]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["key", "bit", "n"])
+
+
+def bit_sums(rows: DataFrame) -> dict[tuple[int, int], int]:
+    """How many rows (key, mask) of a key have a bit, by key and bit; there are few keys."""
+    found = rows.select(F.col("key").cast("int").alias("key"), "mask").mapInArrow(_by_bit, "key int, bit int, n long")
+    return {(r["key"], r["bit"]): r["n"] for r in found.groupBy("key", "bit").agg(F.sum("n").alias("n")).collect()}
 
 
 def drawn(held: DataFrame, seed: int, draws: range) -> DataFrame:
-    """(name, uniform_a, uniform_b, matched_a, matched_b): in which draws of each set a node is taken, bit by bit.
+    """(i, source, target): masks of the draws that take a node, as one of a and as one of b, and of whether it is one itself.
 
-    Each draw takes as many nodes of a bucket as it has members, those with the smallest hashes of seed, side, draw and
-    name. What the last one's hash is, is found in two steps: hashes are counted by their first two digits, and those of
-    the digits in which the last one falls are put in order, a 256th of the nodes of a bucket. The uniform null is one
-    bucket of all degrees.
+    held: (i, name, in_a, in_b, out, in). Each draw takes as many nodes of a bucket as it has members, those with the
+    smallest hashes of seed, side, draw and name; the uniform null is one bucket of all degrees. Hashes are spread evenly,
+    so that only those near the place where the last one is expected are kept and put in order; what lies below is counted,
+    which tells whether the last one is among them. If not, more are kept. There are 13 buckets of degrees.
     """
-    sides = F.array(*(F.struct(F.lit(x).alias("label"), F.col(m).alias("member"), F.col(d).alias("degree")) for x, m, d in (("a", "in_a", "out"), ("b", "in_b", "in"))))
-    each = held.select("name", F.inline(sides))
-    sizes = each.groupBy("label", "degree").agg(F.count_if("member").alias("k"))
-    hashed = each.select("name", "label", "degree", F.explode(F.array(*map(F.lit, draws))).alias("draw"))
-    hashed = hashed.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "label", F.col("draw").cast("string"), "name").cast("binary")))
-    hashed = hashed.withColumn("bin", F.substring("h", 1, 2))
-    counts = materialize(hashed.groupBy("label", "degree", "draw", "bin").agg(F.count("*").alias("n")), "hashes")
-
-    def limits(*bucket: str) -> DataFrame:
-        """(label, *bucket, draw, last): the last hash that each draw takes; no row where it takes none."""
-        key = ["label", *bucket, "draw"]
-        bins = counts.groupBy(*key, "bin").agg(F.sum("n").alias("n")).join(F.broadcast(sizes.groupBy("label", *bucket).agg(F.sum("k").alias("k"))), ["label", *bucket])
-        upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy(*key).orderBy("bin")))
-        at = materialize(upto.filter("k > upto - n and k <= upto").select(*key, "bin", (F.col("k") - F.col("upto") + F.col("n")).alias("rest")), "hashes")  # a row a draw and bucket
-        near = hashed.join(F.broadcast(at), [*key, "bin"]).withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("h")))
-        return materialize(near.filter("place = rest").select(*key, F.col("h").alias("last")), "hashes")
-
-    uniform, matched = limits().withColumnRenamed("last", "uniform"), limits("degree").withColumnRenamed("last", "matched")
-    placed = hashed.join(F.broadcast(uniform), ["label", "draw"], "left").join(F.broadcast(matched), ["label", "degree", "draw"], "left")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("draw") - draws[0]).cast("int"))
-    taken = lambda null, label: F.when((F.col("label") == label) & (F.col("h") <= F.col(null)), bit)
-    return placed.groupBy("name").agg(*(F.coalesce(F.bit_or(taken(null, label)), F.lit(0).cast("long")).alias(f"{null}_{label}") for null, label in SETS))
+    sides = [("a", "in_a", "out"), ("b", "in_b", "in")]
+    sizes = {label: {r[degree]: (r["n"], r["k"]) for r in held.groupBy(degree).agg(F.count("*").alias("n"), F.count_if(member).alias("k")).collect()} for label, member, degree in sides}
+    whole = {label: tuple(map(sum, zip(*sizes[label].values(), strict=True))) or (0, 0) for label, *_ in sides}
+    near = NEAR
+    while True:
+        ends = {(label, -1): _window(*whole[label], near) for label, *_ in sides} | {(label, i): _window(*v, near) for label, *_ in sides for i, v in sizes[label].items()}
+        hashed = materialize(held.select("i", "name", *MEMBER).mapInArrow(_hashes(ends, seed, draws), HASHED), "draws")
+        # The last hash of each draw, by degree (-1 for all) and draw: of those that are kept the one whose place is left.
+        last, fits = {}, True
+        for label, _, degree in sides:
+            below = bit_sums(hashed.select(F.col(degree).alias("key"), F.col(f"sure_{label}").alias("mask")))
+            rest = {(-1, j): whole[label][1] - sum(below.get((i, j), 0) for i in sizes[label]) for j in range(len(draws))}
+            rest |= {(i, j): k - below.get((i, j + BITS + 1), 0) for i, (_, k) in sizes[label].items() for j in range(len(draws))}
+            ranked = hashed.select(F.inline(f"open_{label}")).withColumn("place", F.row_number().over(Window.partitionBy("degree", "j").orderBy("h")))
+            last[label] = {(r["degree"], r["j"]): r["h"] for r in ranked.filter(F.col("place") == _by_place(rest)).collect()}
+            fits = fits and all(k == 0 or at in last[label] for at, k in rest.items())
+        if fits:
+            break
+        near *= 16
+    out = {}
+    for label, *_ in sides:
+        taken = lambda x: F.coalesce(x["h"] <= _by_place(last[label], x), F.lit(False))  # noqa: E731, B023
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["j"] + F.when(x["degree"] < 0, 0).otherwise(BITS + 1))
+        out[label] = F.aggregate(f"open_{label}", F.col(f"sure_{label}"), lambda s, x: F.when(taken(x), s.bitwiseOR(bit(x))).otherwise(s))  # noqa: B023
+    flag = lambda c, by: F.when(F.col(c), F.lit(1 << by)).otherwise(0)
+    own = lambda c, d: flag(c, BITS).bitwiseOR(flag(d, 2 * BITS + 1))
+    return materialize(hashed.select("i", out["a"].bitwiseOR(own("in_a", "in_b")).alias("source"), out["b"].bitwiseOR(own("in_b", "in_a")).alias("target")), "draws")
+
+
+#: What a mask at a node says: of one that cites it, of one that it cites, of itself. The two highest bits hold it.
+CITING, CITED, ITSELF = range(3)
+
+
+def _at_middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, bit, n) over rows (node, mask) sorted by node: 1: edges, 2: paths of two steps, with a bit at both ends."""
+    total = {1: np.zeros(64, np.int64), 2: np.zeros(64, np.int64)}
+
+    def add(sums: np.ndarray) -> None:
+        total[1] += (sums[CITING] * sums[ITSELF]).sum(0)
+        total[2] += (sums[CITING] * sums[CITED]).sum(0)
+
+    held, before = np.zeros((3, 1, 64), np.int64), None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        node, mask = b["node"].to_numpy(), b["mask"].to_numpy()
+        kind, bits = mask >> 62 & 3, packed.bits(mask & (1 << 62) - 1)
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        sums = np.stack([np.add.reduceat(bits * (kind == k)[:, None], first, axis=0, dtype=np.int64) for k in range(3)])
+        if node[0] == before:
+            sums[:, :1] += held
+        else:
+            add(held)
+        add(sums[:, :-1])
+        held, before = sums[:, -1:], node[-1]
+    add(held)
+    rows = [(k, i, n) for k, ns in total.items() for i, n in enumerate(ns.tolist()) if n]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["key", "bit", "n"])
 
 
 def citations(edges: DataFrame, universe: DataFrame, a: DataFrame, b: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
@@ -123,45 +229,39 @@ def citations(edges: DataFrame, universe: DataFrame, a: DataFrame, b: DataFrame,
     the same sizes; the matched one keeps the numbers in each bucket of out-degree (a) and in-degree (b). back counts from
     b to a. A draw is a bit of a node's mask. Pairs within two steps are not listed: steps are counted at the node in their
     middle, by how many of either side meet there, and what a source reaches in more than one way is taken off again.
+    Nodes have numbers, so that names are met once.
     """
-    nodes = universe.select("name").distinct()
-    one = edges.select("src", "dst").filter("src <> dst").join(nodes.withColumnRenamed("name", "src"), "src", "left_semi").join(nodes.withColumnRenamed("name", "dst"), "dst", "left_semi")
-    one = materialize(one.select("src", "dst").distinct(), "citations")
-    cited = materialize(numbered(one.select(F.col("dst").alias("node")).distinct(), "node"), "cited")
-    ends = materialize(one.join(cited.select(F.col("node").alias("src"), F.col("i").alias("at")), "src", "left").select("src", "at", "dst"), "citations")
-    inner, own = ends.filter("at is not null"), packed.singles(cited)
-    near = materialize(packed.union(own.union(packed.onward(inner, own))), "citations")
-    extra = materialize(packed.sorted_parts(packed.onward(ends, near), *packed.ROW).mapInArrow(packed.repeated, "node string, i long, n long"), "citations")
     flags = lambda x, as_: x.select("name").distinct().withColumn(as_, F.lit(True))
-    degree = lambda side, as_: one.groupBy(F.col(side).alias("name")).agg(F.count("*").alias(as_))
-    held = nodes.join(flags(a, "in_a"), "name", "left").join(flags(b, "in_b"), "name", "left").join(degree("src", "out"), "name", "left").join(degree("dst", "in"), "name", "left")
-    held = materialize(held.select("name", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("in_a", "in_b")), *(degree_bucket(F.coalesce(c, F.lit(0))).alias(c) for c in ("out", "in"))), "citing")
+    nodes = universe.select("name").filter("name is not null").distinct().join(flags(a, "in_a"), "name", "left").join(flags(b, "in_b"), "name", "left")
+    nodes = materialize(numbered(nodes.select("name", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("in_a", "in_b"))), "name"), "citing")
+    ids = lambda name, as_: nodes.select(F.col("name").alias(name), F.col("i").alias(as_))
+    met = edges.select("src", "dst").filter("src <> dst").join(ids("src", "s"), "src").select("s", "dst").join(ids("dst", "t"), "dst")
+    one = materialize(met.select("dst", "t", "s").distinct().select("s", "t"), "citations")  # dealt out by dst already
+    degree = lambda side, as_: one.groupBy(F.col(side).alias("i")).agg(F.count("*").alias(as_))
+    held = nodes.join(degree("s", "out"), "i", "left").join(degree("t", "in"), "i", "left")
+    held = materialize(held.select("i", "name", "in_a", "in_b", *(degree_bucket(F.coalesce(c, F.lit(0))).alias(c) for c in ("out", "in"))), "citing")
+    cited = held.filter(F.col("in") > 0).select(F.col("i").alias("node"))
+    onward = one.select(F.col("s").alias("node"), F.col("t").alias("i")).join(cited, "node", "left_semi").union(cited.select("node", F.col("node").alias("i")))
+    near = materialize(onward.repartition("node").sortWithinPartitions("node", "i").mapInArrow(packed.lists, "node long, chunk int, set binary"), "citations")
     sums: dict[tuple[int, str], list[int]] = {}
     seen: dict[int, tuple[int, int]] = {}
     for at in range(0, draws, BITS):
         some = range(at, min(at + BITS, draws))
-        masks = materialize(held.join(drawn(held, seed, some), "name", "left").na.fill(0), "draws")
-        flag = lambda c: F.col(c).cast("long")
-        of = lambda c, i: F.shiftright(c, i).bitwiseAND(F.lit(1))
-        # What is counted: whether a node counts as a source, and whether as a target.
-        source = {"ab": flag("in_a"), "ba": flag("in_b")} | {f"{null}{d}": of(f"{null}_a", i) for null in ("uniform", "matched") for i, d in enumerate(some)}
-        target = {"ab": flag("in_b"), "ba": flag("in_a")} | {f"{null}{d}": of(f"{null}_b", i) for null in ("uniform", "matched") for i, d in enumerate(some)}
-        marks = masks.withColumnRenamed
-        # Dealt out before they are summed: a sum of so many columns is wider than what it sums.
-        into = ends.join(marks("name", "src"), "src").drop("src", "at").repartition("dst").groupBy(F.col("dst").alias("name")).agg(*(F.sum(v).alias(f"s_{k}") for k, v in source.items()))
-        out = inner.join(marks("name", "dst"), "dst").drop("dst", "at").repartition("src").groupBy(F.col("src").alias("name")).agg(*(F.sum(v).alias(f"t_{k}") for k, v in target.items()))
-        met = into.join(masks, "name").join(out, "name", "left")
-        total = lambda e, name: F.coalesce(F.sum(e), F.lit(0)).alias(name)
-        steps = met.agg(*(total(F.col(f"s_{k}") * v, f"1{k}") for k, v in target.items()), *(total(F.col(f"s_{k}") * F.col(f"t_{k}"), f"2{k}") for k in target)).first()
-        ended = cited.join(marks("name", "node"), "node").select("i", F.struct(*(c for c in masks.columns if c != "name")).alias("t"))
-        twice = extra.join(marks("name", "node"), "node").join(ended, "i")
-        on_target = {"ab": F.col("t.in_b").cast("long"), "ba": F.col("t.in_a").cast("long")} | {f"{null}{d}": of(f"t.{null}_b", i) for null in ("uniform", "matched") for i, d in enumerate(some)}
-        off = twice.agg(*(total(F.col("n") * source[k] * v, k) for k, v in on_target.items())).first()
+        masks = drawn(held, seed, some)
+        ends = materialize(one.join(masks.select(F.col("i").alias("s"), F.col("source").alias("mask")), "s"), "citations")
+        told = lambda node, mask, kind: (F.col(node).alias("node"), F.col(mask).bitwiseOR(F.call_function("shiftleft", F.lit(kind).cast("long"), F.lit(62))).alias("mask"))
+        into, of = ends.select(*told("t", "mask", CITING)), masks.select(*told("i", "target", ITSELF)).join(cited, "node", "left_semi")
+        out = one.join(cited.withColumnRenamed("node", "s"), "s", "left_semi").join(masks.select(F.col("i").alias("t"), "target"), "t").select(*told("s", "target", CITED))
+        middles = packed.sorted_parts(into.union(of).union(out), "node").mapInArrow(_at_middles, "key int, bit int, n long")
+        steps = {(r["key"], r["bit"]): r["n"] for r in middles.groupBy("key", "bit").agg(F.sum("n").alias("n")).collect()}
+        reached = ends.join(near, F.col("t") == F.col("node")).select(F.col("s").alias("node"), "mask", "chunk", "set")
+        twice = packed.sorted_parts(reached, *packed.ROW).mapInArrow(packed.again, "i long, mask long")
+        off = bit_sums(twice.join(masks, "i").select(F.lit(0).alias("key"), F.col("mask").bitwiseAND(F.col("target")).alias("mask")).filter("mask <> 0"))
         for hops in (1, 2):
-            got = {k: steps[f"1{k}"] + (steps[f"2{k}"] - off[k] if hops == 2 else 0) for k in source}
-            seen[hops] = (got["ab"], got["ba"])
-            for null in ("uniform", "matched"):
-                sums.setdefault((hops, null), []).extend(got[f"{null}{d}"] for d in some)
+            got = lambda bit: steps.get((1, bit), 0) + (steps.get((2, bit), 0) - off.get((0, bit), 0) if hops == 2 else 0)  # noqa: E731, B023
+            seen[hops] = (got(BITS), got(2 * BITS + 1))
+            for null, first in (("uniform", 0), ("matched", BITS + 1)):
+                sums.setdefault((hops, null), []).extend(got(first + j) for j in range(len(some)))
     rows = []
     for (hops, null), values in sorted(sums.items()):
         mean = sum(values) / len(values)

@@ -121,6 +121,24 @@ def test_citations_equal_a_plain_version_with_a_hub(spark, monkeypatch):
             assert r.p == pytest.approx((sum(v >= r.observed for v in values) + 1) / 13)
 
 
+@pytest.mark.parametrize("near", [8.0, 1e-6, 1e9])
+def test_draws_take_the_smallest_hashes_wherever_they_are_looked_for(spark, monkeypatch, near):
+    """Only hashes near a draw's last one leave their task; where that one is elsewhere, more are kept."""
+    monkeypatch.setattr(sy, "NEAR", near)
+    kept, plain = [], sy.materialize
+    monkeypatch.setattr(sy, "materialize", lambda df, name: (kept.append(plain(df, name)), kept[-1])[1])
+    rng = random.Random(2)
+    held = [(i, f"n{i}", rng.random() < 0.2, rng.random() < 0.5, rng.randrange(4), 12 * rng.randrange(2)) for i in range(2000)]
+    got = {r["i"]: r for r in sy.drawn(spark.createDataFrame(held, "i long, name string, in_a boolean, in_b boolean, out int, in int"), 7, range(2, 5)).collect()}
+    for label, column, member, degree in (("a", "source", 2, 4), ("b", "target", 3, 5)):
+        for first, by in ((0, lambda r: 0), (sy.BITS + 1, lambda r, c=degree: r[c])):
+            draws = plain_draws([(r[1], by(r), r[member]) for r in held], label, 7, 5)[2:]
+            assert [{r[1] for r in held if got[r[0]][column] >> first + j & 1} for j in range(3)] == draws
+    assert all((r["source"] >> sy.BITS & 1, r["source"] >> 2 * sy.BITS + 1 & 1, r["target"] >> sy.BITS & 1, r["target"] >> 2 * sy.BITS + 1 & 1) == (x[2], x[3], x[3], x[2]) for x in held for r in [got[x[0]]])
+    sizes = kept[0].selectExpr("sum(size(open_a) + size(open_b)) n").first()["n"]
+    assert (sizes > 0) == (len(kept) == 2) == (near >= 8) and (near > 8 or sizes < 2000 * 12 * 0.7)
+
+
 def test_citations_of_nothing(spark):
     none = spark.createDataFrame([], "name string")
     some = spark.createDataFrame([("a",), ("b",)], "name string")
