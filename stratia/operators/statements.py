@@ -802,6 +802,35 @@ def image(left: str, right: str, subject: str) -> str | None:
     return terms.render(terms.substitute(skeleton, {i: pairs[i][1] if v == pairs[i][0] else v for i, v in bound.items()}))
 
 
+def transport_all(pairs: DataFrame, subjects: DataFrame, rows: DataFrame, *keys: str, term: str = "erased") -> DataFrame:
+    """transport() of each pair (left, right, keys) and all subjects (subject, keys, term) that have its keys.
+
+    Distinct terms meet, and only those that have an image are joined to their declarations, in the last step: the result may
+    grow with the square of a statement's copies, but nothing of that size is kept or moved.
+    """
+    held = pairs
+    for side in ("left", "right"):
+        held = held.join(rows.select(F.col("name").alias(side), F.col(term).alias(f"{side}_t")).hint("merge"), side)
+    held = materialize(held.select("left", "right", *keys, "left_t", "right_t"), "pairs")
+    asked = materialize(subjects.select("subject", *keys, F.col(term).alias("subject_t")).join(held.select(*keys).distinct(), list(keys), "left_semi"), "subjects")
+    every = held.select(*keys, "left_t", "right_t").distinct().join(asked.select(*keys, "subject_t").distinct(), list(keys))
+    images = materialize(_images(spread(every.select("left_t", "right_t", "subject_t").distinct())).filter("image is not null"), "images")
+    first = rows.groupBy(F.col(term).alias("image")).agg(F.min_by("name", "seq").alias("exists"))
+    known = images.join(first.hint("merge"), "image", "left")
+    return held.join(known.hint("merge"), ["left_t", "right_t"]).join(asked.hint("merge"), [*keys, "subject_t"]).select("left", "right", "subject", "image", "exists")
+
+
+def _images(triples: DataFrame) -> DataFrame:
+    """(left_t, right_t, subject_t, image) of three terms each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            moved = [image(*ts) for ts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(moved, _S)], names=["left_t", "right_t", "subject_t", "image"])
+
+    return triples.mapInArrow(run, "left_t string, right_t string, subject_t string, image string")
+
+
 def transport(wanted: DataFrame, rows: DataFrame, term: str = "erased") -> DataFrame:
     """wanted (left, right, subject) with the subject's image and the first declaration that states it.
 
@@ -811,13 +840,8 @@ def transport(wanted: DataFrame, rows: DataFrame, term: str = "erased") -> DataF
     for side in ("left", "right", "subject"):
         out = out.join(rows.select(F.col("name").alias(side), F.col(term).alias(f"{side}_t")), side)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            moved = [image(*ts) for ts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(moved, _S)], names=["left_t", "right_t", "subject_t", "image"])
-
     keys = ["left_t", "right_t", "subject_t"]
-    images = out.select(*keys).distinct().mapInArrow(run, "left_t string, right_t string, subject_t string, image string")
+    images = _images(out.select(*keys).distinct())
     first = rows.groupBy(F.col(term).alias("image")).agg(F.min_by("name", "seq").alias("exists"))
     return out.join(images, keys).filter("image is not null").join(first, "image", "left").select("left", "right", "subject", "image", "exists")
 

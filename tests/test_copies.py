@@ -90,6 +90,20 @@ def test_dictionary_broadcasts_no_rows(decls):
     assert "Broadcast" not in static_plan(found)
 
 
+def test_transport_moves_each_distinct_subject_once(spark, decls, monkeypatch):
+    """Of 40 copies of each statement; images are made and kept of distinct terms, and the rows are those of all triples."""
+    rows = st.erased(st.parse(decls), "carriers").withColumn("k", F.lit(1)).cache()
+    pairs = rows.filter("seq % 4 = 0").select(F.col("name").alias("left"), "k").join(rows.filter("seq in (1, 3)").select(F.col("name").alias("right")))
+    subjects = rows.select(F.col("name").alias("subject"), "k", "erased")
+    wanted = sorted(map(tuple, st.transport(pairs.join(subjects, "k").select("left", "right", "subject"), rows).collect()), key=str)
+    kept, plain = {}, st.materialize
+    monkeypatch.setattr(st, "materialize", lambda df, name: kept.setdefault(name, plain(df, name)))
+    found = st.transport_all(pairs, subjects, rows, "k")
+    assert sorted(map(tuple, found.collect()), key=str) == wanted and len(wanted) > COPIES * COPIES
+    assert {name: df.count() for name, df in kept.items()} == {"pairs": 2 * COPIES, "subjects": 4 * COPIES, "images": 6}
+    assert "Broadcast" not in static_plan(found)
+
+
 def test_equations_and_sides_are_read_once_a_statement(decls):
     assert "Aggregate" in static_plan(dim.equations(decls)) and "Aggregate" in static_plan(dim.constraints(decls))
     parsed = st.parse(decls)
