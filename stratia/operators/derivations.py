@@ -73,3 +73,58 @@ def explain(ways: DataFrame, warranted: DataFrame) -> DataFrame:
     each = rows.groupBy("way").agg(F.least(F.min(F.coalesce("w", F.lit(HEURISTIC))), F.lit(STRUCTURAL)).alias("warrant"), F.count_if(F.col("w").isNull()).alias("missing"))
     each = held.withColumn("inputs", F.array_join("inputs", "&")).join(each.hint("merge"), "way")
     return each.groupBy("fact").agg(F.min(F.struct((-F.col("warrant")).alias("o"), "rule", "inputs", "missing", "warrant")).alias("b")).select("fact", "b.rule", "b.inputs", "b.missing", "b.warrant")
+
+
+def _capped(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst", F.least(F.col("warrant").cast("int"), F.lit(STRUCTURAL)).alias("warrant")).filter("src is not null and dst is not null")
+
+
+def _below(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps, reached), both (src, dst, warrant), of sources that an edge leads to: their edges, and what these lead to by the best path.
+
+    Rounds go on from the rows that have become better.
+    """
+    best = lambda df: df.groupBy("src", "dst").agg(F.max("warrant").alias("warrant"))
+    steps = materialize(best(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")), "steps")
+    on = steps.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("warrant").alias("w")).hint("merge")
+    seen = frontier = steps
+    for i in range(1, graph.MAX_ROUNDS):
+        step = best(frontier.join(on, "dst").select("src", F.col("to").alias("dst"), F.least("warrant", "w").alias("warrant")))
+        known = best(seen).withColumnRenamed("warrant", "known").hint("merge")
+        frontier = materialize(step.join(known, ["src", "dst"], "left").filter("known is null or known < warrant").drop("known"), "reached")
+        if frontier.isEmpty():
+            return steps, materialize(best(seen), "reached")
+        seen = seen.union(frontier)
+        seen = seen if i % graph.COMPACT else materialize(best(seen), "reached")
+    raise RuntimeError(f"no end after {graph.MAX_ROUNDS} rounds")
+
+
+def closure_warrants(edges: DataFrame) -> DataFrame:
+    """(src, dst, warrant) of the facts of closure(), as warrants() finds them; edges: (src, dst, warrant), of equal ones the best counts.
+
+    What a source reaches is what its edges' ends do, so that only ends are searched from, and sources meet them once. Names
+    move, and not the texts of facts.
+    """
+    edges = _capped(edges)
+    _, reached = _below(edges)
+    on = reached.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("warrant").alias("w")).hint("merge")
+    step = edges.join(on, "dst").select("src", F.col("to").alias("dst"), F.least("warrant", "w").alias("warrant"))
+    return edges.union(step).groupBy("src", "dst").agg(F.max("warrant").alias("warrant"))
+
+
+def closure_explained(edges: DataFrame) -> DataFrame:
+    """(src, dst, via, warrant): closure_warrants() with the way that explain() finds: the node before dst, null where it is the edge itself."""
+    edges = _capped(edges)
+    steps, reached = _below(edges)
+    last = steps.select(F.col("src").alias("via"), "dst", F.col("warrant").alias("w")).hint("merge")
+    ways = reached.select("src", F.col("dst").alias("via"), "warrant").join(last, "via").select("src", "via", "dst", F.least("warrant", "w").alias("warrant"))
+    # The inputs of a fact's ways differ from here on; what stands before it is the same.
+    text = F.concat("via", F.lit("&edge,"), "via", F.lit(","), "dst")
+    # Behind a weak edge stronger ways are equal, so that of each warrant the first way is kept.
+    ways = steps.select("src", F.col("src").alias("via"), "dst", "warrant").union(ways)
+    ways = materialize(ways.groupBy("src", "dst", "warrant").agg(F.min(F.struct(text.alias("text"), "via"))["via"].alias("via")), "ways")
+    on = ways.select(F.col("src").alias("dst"), F.col("dst").alias("to"), "via", F.col("warrant").alias("w")).hint("merge")
+    step = edges.join(on, "dst").select("src", F.col("to").alias("dst"), "via", F.least("warrant", "w").alias("warrant"))
+    every = edges.select("src", "dst", F.lit(None).cast("string").alias("via"), "warrant").union(step).repartition("src")  # so that texts are not moved
+    order = F.struct((-F.col("warrant")).alias("o"), F.col("via").isNotNull().alias("step"), text.alias("text"), "via", "warrant")
+    return every.groupBy("src", "dst").agg(F.min(order).alias("b")).select("src", "dst", "b.via", "b.warrant")

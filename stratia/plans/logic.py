@@ -23,19 +23,22 @@ def datalog_negation(spark: SparkSession, d: str) -> DataFrame:
     return s.join(bad, "s_nationkey", "left").select(F.col("s_suppkey").cast("string").alias("supplier"), F.col("s_nationkey").cast("string").alias("nation"), F.coalesce("verdict", F.lit("ok")).alias("verdict"))
 
 
-def _warranted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    edges = _edges(spark, d)
-    ways = derivations.closure_ways(edges, derivations.closure(edges))
+def _warranted(spark: SparkSession, d: str) -> DataFrame:
     warrant = F.when(F.col("src").startswith("nation:"), derivations.PROVED).when(F.col("src").startswith("supplier:"), derivations.STRUCTURAL).otherwise(derivations.ASSERTED)
-    return ways, derivations.warrants(ways, edges.select(derivations.fact("edge", "src", "dst").alias("fact"), warrant.alias("warrant")))
+    return _edges(spark, d).withColumn("warrant", warrant)
 
 
 def warrants(spark: SparkSession, d: str) -> DataFrame:
-    return _warranted(spark, d)[1]
+    edges = _warranted(spark, d)
+    found = derivations.closure_warrants(edges).select(derivations.fact("reach", "src", "dst").alias("fact"), "warrant")
+    return edges.select(derivations.fact("edge", "src", "dst").alias("fact"), "warrant").union(found)
 
 
 def explain_fact(spark: SparkSession, d: str) -> DataFrame:
-    return derivations.explain(*_warranted(spark, d))
+    found = derivations.closure_explained(_warranted(spark, d))
+    base, edge = F.col("via").isNull(), derivations.fact("edge", "src", "dst")
+    step = F.concat_ws("&", derivations.fact("reach", "src", "via"), derivations.fact("edge", "via", "dst"))
+    return found.select(derivations.fact("reach", "src", "dst").alias("fact"), F.when(base, "base").otherwise("step").alias("rule"), F.when(base, edge).otherwise(step).alias("inputs"), F.lit(0).cast("long").alias("missing"), "warrant")
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
